@@ -130,9 +130,8 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: st
 
 def place_pieces(cut: DataFrame, capacity: int, span_rows: int = 100_000) -> DataFrame:
     """Adds sequence_id and offset to a table with `length` (1 to capacity)."""
-    n = cut.count()
-    spans = max(1, -(-n // span_rows))
     rows = materialize(cut.withColumn("tie", F.rand(23)), "pieces")
+    spans = max(1, -(-rows.count() // span_rows))
     rows = rows.withColumn("span", F.floor(F.col("tie") * spans).cast("int"))
     counts = materialize(rows.groupBy("length", "span").agg(F.count(F.lit(1)).alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
