@@ -1,50 +1,85 @@
-"""Token ids of whole texts, with the public tokenizer files, and the binary id format.
+"""Token ids of whole texts, with the public tokenizer files.
 
 Splitting first, encoding once: both tokenizers never merge across the boundaries used here
 (white space for the word tokenizer; a single space between two other characters for the
 byte-level one, where the space belongs to what follows), so a text's ids are those of its
-chunks in turn. Every chunk that a worker has not met goes through the tokenizers library;
-chunks met before come from a cache of bounded size. A text for which a boundary could be
-wrong is encoded as a whole.
+chunks in turn. A chunk that a worker has not met goes through the tokenizers library; chunks
+met lately come from a cache of bounded size. A text for which a boundary could be wrong is
+encoded as a whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import string
 import unicodedata
 
 import numpy as np
 
-_RUN = re.compile(r"[^\W\d_]+|[^\W_]|(?:[^\w\s]|_)+")
-_HEAD = re.compile(r"[^\W\d_]+")
 _DOUBLE = re.compile(r"\s\s")
 _GAP = re.compile(r"(?<=\S) (?=\S)")
-#: Characters in a space before which the byte-level tokenizer sees no plain blank.
+#: White space to Python but not to the tokenizers.
 _ODD = re.compile(r"[\x1c-\x1f\x85]")
+#: Marks that end a word and form one piece of their own; an apostrophe may start a contraction.
+_MARKS = string.punctuation.replace("'", "")
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256, 512))
+    return [chr(b if b in printable else next(rest)) for b in range(256)]
+
+
+class _Cache(dict):
+    """Chunks and their ids in two generations: when the new one is full, it becomes the old one, and what the old one held and nobody used again is forgotten."""
+
+    def __init__(self, make, size: int):
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.make(chunk)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = ids
+        return ids
 
 
 class Encoder:
     """ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, most_chunks: int = 400_000):
+    def __init__(self, path: str, size: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        vocab = self.tokenizer.get_vocab()
-        self.by_word = any(k.endswith("</w>") for k in vocab)
-        self.bounds = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        for token, i in vocab.items():
-            self.bounds[i] = token.endswith("</w>") if self.by_word else token.startswith("Ġ")
-        self.most_chunks = most_chunks
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.by_word = any(k.endswith("</w>") for k in self.tokenizer.get_vocab())
+        self.letters = byte_letters()
+        self.pieces = _Cache(self.piece, size)
+        self.chunks = _Cache(self.chunk, size)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        """ids of what the tokenizer never splits before it merges."""
+        if not piece.isascii() or piece[:1] == " ":
+            piece = "".join([self.letters[b] for b in piece.encode()])
+        return b"".join([token.id.to_bytes(4, "little") for token in self.model.tokenize(piece)])
+
+    def chunk(self, chunk: str) -> bytes:
+        """ids of a chunk: letters and marks that follow them, or else anything."""
+        word = chunk.rstrip(_MARKS)
+        if not (word if self.by_word or word[:1] != " " else word[1:]).isalpha():
+            return self.whole(chunk)
+        return self.pieces[word] + self.pieces[chunk[len(word) :]] if len(word) < len(chunk) else self.piece(word)
+
     def split(self, text: str) -> list[str] | None:
         """Chunks that encode independently, or None if the text must be encoded as a whole."""
         if _ODD.search(text):
@@ -54,41 +89,16 @@ class Encoder:
                 return None
             return text.lower().split()
         first, *rest = _GAP.split(text) if _DOUBLE.search(text) else text.split(" ")
-        return [first, *(" " + x for x in rest)]
+        return [first, *[" " + x for x in rest]]
 
-    def learn(self, new: set[str]) -> None:
-        """Encodes chunks that the cache lacks: runs of letters many at a time, all else one by one."""
-        if self.by_word:
-            runs = {w: [w] if "'" in w else _RUN.findall(w) for w in new}
-        else:
-            runs = {w: [w[: m.end()], w[m.end() :]] if w[:1] == " " and (m := _HEAD.match(w, 1)) else [w] for w in new}
-        need = list({p for ps in runs.values() for p in ps if p} - self.pieces.keys())
-        letters = [p for p in need if (p.isalpha() if self.by_word else p[:1] == " " and p[1:].isalpha())]
-        if letters:
-            ids = np.array(self.tokenizer.encode(" ".join(letters) if self.by_word else "".join(letters), add_special_tokens=False).ids, dtype="<u4")
-            marks = np.flatnonzero(self.bounds[ids])
-            ends = marks + 1 if self.by_word else np.append(marks[1:], len(ids))
-            if len(ends) == len(letters):
-                raw, start = ids.tobytes(), 0
-                for p, end in zip(letters, (4 * ends).tolist()):
-                    self.pieces[p] = raw[start:end]
-                    start = end
-        for p in need:
-            if p not in self.pieces:
-                self.pieces[p] = self.whole(p)
-        for w, ps in runs.items():
-            self.chunks[w] = b"".join([self.pieces[p] for p in ps if p])
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.split(t) if t else [] for t in texts]
-        new = set().union(*(s for s in split if s)) - self.chunks.keys()
-        if len(self.chunks) + len(new) > self.most_chunks or len(self.pieces) > self.most_chunks:
-            self.chunks, self.pieces = {}, {}
-            new = set().union(*(s for s in split if s))
-        if new:
-            self.learn(new)
-        get = self.chunks.__getitem__
-        return [self.whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        chunks = self.split(text)
+        if chunks is None:
+            return self.whole(text)
+        ids = self.chunks
+        return b"".join([ids[c] for c in chunks if c])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -101,8 +111,6 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encoded(batch_texts: list[str | None], path: str, step: int = 128):
-    """ids of each text as bytes, a few texts at a time."""
-    enc = encoder(path)
-    for lo in range(0, len(batch_texts), step):
-        yield from enc.encode_batch(batch_texts[lo : lo + step])
+def encoded(texts: list[str | None], path: str):
+    """ids of each text as bytes."""
+    return map(encoder(path).encode, texts)
