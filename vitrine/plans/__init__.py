@@ -1,0 +1,6 @@
+"""All named queries of the engine."""
+
+from . import product_queries, store_queries
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "product_queries", "store_queries"]
