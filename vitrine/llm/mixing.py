@@ -79,31 +79,38 @@ def mix(
     order = Window.partitionBy(P + "source").orderBy(P + "span").rowsBetween(Window.unboundedPreceding, 0)
     ends = spans.withColumn("end", F.sum("words").over(order)).withColumn("begin", F.col("end") - F.col("words"))
     same = F.col("s." + P + "source").eqNullSafe(F.col("e." + P + "source"))
-    cut = (
+    plan = (
         sizes.alias("s")
         .join(ends.alias("e"), same & (F.col("begin") < F.col("rest")) & (F.col("end") >= F.col("rest")), "left")
-        .select(F.col("s." + P + "source").alias("own_source"), P + "source_size", F.col("target").alias(P + "target"), "full", "rest", P + "span", "begin")
-        .withColumnRenamed(P + "span", "cut_span")
+        .select(
+            F.col("s." + P + "source").alias(P + "own"),
+            P + "source_size",
+            F.col("target").alias(P + "target"),
+            F.col("full").alias(P + "full"),
+            F.col("rest").alias(P + "rest"),
+            F.col(P + "span").alias(P + "cut"),
+            F.col("begin").alias(P + "begin"),
+        )
     )
-    plan = materialize(cut, "budgets")
+    plan = materialize(plan, "budgets")
     plan = F.broadcast(plan) if plan.count() <= 10_000 else plan
-    rows = rows.join(plan, rows[P + "source"].eqNullSafe(plan["own_source"]))
-    span = F.col(P + "span")
-    whole = rows.filter(F.col("cut_span").isNull() | (span != F.col("cut_span")))
-    whole = whole.withColumn(P + "epochs", F.col("full") + F.when(span < F.col("cut_span"), 1).otherwise(0)).withColumn(P + "part", F.lit(0).cast("long"))
+    rows = rows.join(plan, F.col(P + "source").eqNullSafe(F.col(P + "own")))
+    span, cut = F.col(P + "span"), F.col(P + "cut")
+    whole = rows.filter(cut.isNull() | (span != cut))
+    whole = whole.withColumn(P + "epochs", F.col(P + "full") + F.when(span < cut, 1).otherwise(0)).withColumn(P + "part", F.lit(0).cast("long"))
+    # Only the span in which a source's budget ends is ordered.
     inside = Window.partitionBy(P + "source").orderBy(P + "key", P + "size").rowsBetween(Window.unboundedPreceding, 0)
-    last = rows.filter(span == F.col("cut_span"))
-    begin = F.col("begin") + F.sum(P + "size").over(inside) - F.col(P + "size")
-    got = F.greatest(F.lit(0), F.least(F.col(P + "size"), F.col("rest") - F.col(P + "begin")))
-    last = last.withColumn(P + "begin", begin).withColumn(P + "got", got)
+    before = F.col(P + "begin") + F.sum(P + "size").over(inside) - F.col(P + "size")
+    last = rows.filter(span == cut).withColumn(P + "got", F.greatest(F.lit(0), F.least(F.col(P + "size"), F.col(P + "rest") - before)))
     all_of_it = (F.col(P + "got") == F.col(P + "size")) & (F.col(P + "size") > 0)
     last = (
-        last.withColumn(P + "epochs", F.col("full") + F.when(all_of_it, 1).otherwise(0))
+        last.withColumn(P + "epochs", F.col(P + "full") + F.when(all_of_it, 1).otherwise(0))
         .withColumn(P + "part", F.when(all_of_it, F.lit(0)).otherwise(F.col(P + "got")).cast("long"))
-        .drop(P + "begin", P + "got")
+        .drop(P + "got")
     )
     taken = F.col(P + "epochs") * F.col(P + "size") + F.col(P + "part")
-    return whole.unionByName(last).withColumn(P + "taken", taken).drop("own_source", "full", "rest", "cut_span", "begin", P + "key", P + "span", P + "source")
+    out = whole.unionByName(last).withColumn(P + "taken", taken)
+    return out.drop(*(P + c for c in ("own", "full", "rest", "cut", "begin", "key", "span", "source")))
 
 
 def mixed_rows(df: DataFrame, text_col: str = "text", **options) -> DataFrame:

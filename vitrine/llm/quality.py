@@ -239,9 +239,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 700, most_bytes: in
     return model
 
 
-def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, `score` (probability of good quality) and the kept columns of every row."""
-    slim = df.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("__text"))
+def score(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """The kept columns of every row, and its probability of good quality."""
+    slim = df.select(*keep, F.col(text_col).alias("__text"))
     names = [c for c in slim.columns if c != "__text"]
     fields = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in names)
 
@@ -250,9 +250,9 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             for lo in range(0, len(b), 1000):
                 part = b.slice(lo, 1000)
                 texts = [(t or "").encode() for t in part.column(len(names)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(model.scores(texts))], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(model.scores(texts))], names=[*names, out_col])
 
-    return slim.mapInArrow(run, f"{fields}, score double")
+    return slim.mapInArrow(run, f"{fields}, `{out_col}` double")
 
 
 def op10_byte_cnn(spark, sf_dir: str) -> DataFrame:
