@@ -1,6 +1,6 @@
 """All named queries of the engine."""
 
-from . import product_queries, store_queries
+from . import product_queries, source_queries, store_queries
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "product_queries", "store_queries"]
+__all__ = ["QUERIES", "SQL", "product_queries", "source_queries", "store_queries"]

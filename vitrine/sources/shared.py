@@ -5,21 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes df once as Parquet in the folder of spark.checkpoint.dir and reads it back.
-
-    Iterations cut their lineage this way; a lost executor costs reading files again. Where
-    the setting is absent, as in tests on one machine, a temporary folder is set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where the setting is absent, as in tests on one machine, a temporary one is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vitrine-"))
         base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/vitrine-{what}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """Writes df once as Parquet in the shared folder and reads it back.
+
+    Iterations cut their lineage this way; a lost executor costs reading files again.
+    """
+    path = f"{shared_folder(df.sparkSession)}/vitrine-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
