@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_folder, table
+from .common import materialize, new_folder, table, uniform
 from .files import Upload, open_file
 from .tokens import encoded
 
@@ -45,9 +45,15 @@ def footer(at: int, documents: int, width: int, digest: bytes) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, rows: int, sample_bytes: int, size: int) -> bytes:
-    """A dictionary from the ids of a sample of at most `rows` documents of at most sample_bytes each; empty if there are too few."""
-    texts = docs.filter(F.octet_length("text") <= sample_bytes).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    ids = [narrow(x + np.array([end_id], "<u4").tobytes(), width) for x in encoded([r["text"] for r in texts.collect()], tokenizer)]
+    """A dictionary from the ids of a sample of about `rows` documents of at most sample_bytes each; empty if there are too few.
+
+    Rows are drawn by a hash of their id with the same chance each, so only drawn texts leave
+    their executors.
+    """
+    small = docs.filter(F.octet_length("text") <= sample_bytes)
+    texts = small.filter(uniform(F.col("doc_id"), seed=29) < rows / max(docs.count(), 1)).select("text").limit(2 * rows).collect()
+    end = end_id.to_bytes(width, "little")
+    ids = [x + end for x in encoded([r["text"] for r in texts], tokenizer, width)]
     if len(ids) < 16:
         return b""
     try:
@@ -56,10 +62,6 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, r
         return b""
 
 
-def narrow(ids: bytes, width: int) -> bytes:
-    return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids
-
-
 def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdCompressor(level=LEVEL)
 
@@ -80,7 +82,7 @@ def write_id_files(
     width: int = 2,
     shard_rows: int = 20_000,
     file_bytes: int = 64 << 20,
-    sample_rows: int = 4000,
+    sample_rows: int = 1500,
     sample_bytes: int = 20_000,
     dictionary_size: int = 64 << 10,
 ) -> DataFrame:
@@ -93,15 +95,15 @@ def write_id_files(
     digest = hashlib.sha256(dictionary).digest()
     if dictionary:
         store_dictionary(folder, dictionary)
-    end = np.array([end_id], "<u4").tobytes()
+    end = end_id.to_bytes(width, "little")
 
     def frames(batches):
         pack = compressor(dictionary)
         for b in batches:
             ids, zipped, counts = b.column(0), [], []
-            for x in encoded(b.column(1).to_pylist(), tokenizer):
-                zipped.append(pack.compress(narrow(x + end, width)))
-                counts.append(len(x) // 4 + 1)
+            for x in encoded(b.column(1).to_pylist(), tokenizer, width):
+                zipped.append(pack.compress(x + end))
+                counts.append(len(x) // width + 1)
             shard = np.searchsorted(bounds, ids.fill_null(NO_ID).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array(counts, pa.int64()), pa.array(zipped, pa.binary())], names=["shard", "doc_id", "n", "frame"])
 
