@@ -114,7 +114,7 @@ def test_price_claims(spark):
     ]
     q = "struct<kind:string,amount:double,unit:string>"
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, p string, r string, pq {q}, rq {q}, ap string, ar string")
-    got = [tuple(x["c"]) for x in df.withColumn("c", P.price_claim(*(F.col(c) for c in ("p", "r", "pq", "rq", "ap", "ar")))).orderBy("i").collect()]
+    got = [tuple(x["claim"]) for x in P.price_claims(df, *(F.col(c) for c in ("p", "r", "pq", "rq", "ap", "ar"))).orderBy("i").collect()]
     assert [x[0] for x in got] == ["direct", "approved-unparsed", "none-observed", "one-observed", "both-observed", "both-observed", "unit-normalized", "listed-equal", "listed-gap"]
     assert got[0] == ("direct", "rival", "USD", 2.0, 20, None) and got[3][5] == "primary" and got[4][5] == "format" and got[5][5] == "currency"
     assert got[6][1:5] == ("rival", "USD", 0.8, 40) and got[8][1:4] == ("rival", "USD", 2.0)

@@ -10,6 +10,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with value computed once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def half_up(c: Column | str) -> Column:
     """Nearest whole number; a half goes up, for negative numbers too."""
     return F.floor(col(c) + F.lit(0.5))

@@ -23,23 +23,35 @@ def near_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "signature").filter(X.within_one_edit(F.col("a"), F.col("b"))).select("a", "b").distinct()
 
 
+def token_hits(primary: DataFrame, rivals: DataFrame) -> DataFrame:
+    """pk, rk and hits of two tables of token sets (k, tokens): how many tokens of the first have a near one in the second."""
+    p = primary.select(F.col("k").alias("pk"), F.explode("tokens").alias("token"))
+    r = rivals.select(F.col("k").alias("rk"), F.explode("tokens").alias("token"))
+    near = near_tokens(p, r)
+    # A rival's token becomes the primary tokens near it first, so a pair and token meet once.
+    reached = r.join(near, r["token"] == near["b"]).select("rk", F.col("a").alias("token")).distinct()
+    return p.join(reached, "token").groupBy("pk", "rk").agg(F.count(F.lit(1)).alias("hits"))
+
+
 def candidate_pairs(primary: DataFrame, rivals: DataFrame, least_hits: int = 2) -> DataFrame:
     """primary_id, rival_id and hits of pairs with enough hits.
 
     Tables have id, name_tokens and optionally gtins. Each distinct primary token counts once
-    for a rival however many of its tokens are near; a shared number counts as two.
+    for a rival however many of its tokens are near; a shared number counts as two. Products
+    with the same tokens are compared once.
     """
-    p = primary.select(F.col("id").alias("primary_id"), F.explode("name_tokens").alias("token"))
-    r = rivals.select(F.col("id").alias("rival_id"), F.explode("name_tokens").alias("token"))
-    near = near_tokens(p, r)
-    hits = p.join(near, p["token"] == near["a"]).join(r, F.col("b") == r["token"]).select("primary_id", "rival_id", F.col("a"))
-    hits = hits.distinct().groupBy("primary_id", "rival_id").agg(F.count(F.lit(1)).alias("hits"))
-    if "gtins" in primary.columns and "gtins" in rivals.columns:
-        pg = primary.select(F.col("id").alias("primary_id"), F.explode("gtins").alias("gtin"))
-        rg = rivals.select(F.col("id").alias("rival_id"), F.explode("gtins").alias("gtin"))
-        by_number = pg.join(rg, "gtin").groupBy("primary_id", "rival_id").agg(F.lit(2).cast("long").alias("hits"))
-        hits = hits.unionByName(by_number).groupBy("primary_id", "rival_id").agg(F.sum("hits").alias("hits"))
-    return hits.filter(F.col("hits") >= least_hits)
+    sets = [df.withColumn("k", F.xxhash64(F.array_sort("name_tokens"))) for df in (primary, rivals)]
+    p = sets[0].select(F.col("id").alias("primary_id"), F.col("k").alias("pk"))
+    r = sets[1].select(F.col("id").alias("rival_id"), F.col("k").alias("rk"))
+    hits = token_hits(*(df.groupBy("k").agg(F.first("name_tokens").alias("tokens")) for df in sets))
+    pairs = hits.filter(F.col("hits") >= least_hits).join(p, "pk").join(r, "rk").select("primary_id", "rival_id", "hits")
+    if "gtins" not in primary.columns or "gtins" not in rivals.columns:
+        return pairs
+    pg = sets[0].select(F.col("id").alias("primary_id"), F.col("k").alias("pk"), F.explode("gtins").alias("gtin"))
+    rg = sets[1].select(F.col("id").alias("rival_id"), F.col("k").alias("rk"), F.explode("gtins").alias("gtin"))
+    same = pg.join(rg, "gtin").select("primary_id", "rival_id", "pk", "rk").distinct().join(hits, ["pk", "rk"], "left")
+    same = same.select("primary_id", "rival_id", (F.coalesce("hits", F.lit(0)) + 2).alias("hits"))
+    return pairs.unionByName(same).groupBy("primary_id", "rival_id").agg(F.max("hits").alias("hits"))
 
 
 def shared_near(a: Column, b: Column) -> Column:

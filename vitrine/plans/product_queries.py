@@ -197,8 +197,7 @@ def price_claim_kind(spark, sf_dir):
     price = F.format_string("%.2f", "l_quantity")
     b = F.when(k == 0, F.concat(F.lit("EUR "), price)).when(k == 1, F.lit("")).otherwise(F.concat(F.lit("$"), price))
     none = F.lit(None).cast("struct<kind:string,amount:double,unit:string>")
-    claim = P.price_claim(a, b, none, none, F.lit(""), F.lit(""))
-    return j.withColumn("c", claim).select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), "c.kind", "c.gap")
+    return P.price_claims(j, a, b, none, none, F.lit(""), F.lit("")).select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), "claim.kind", "claim.gap")
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN p_size % 5 = 3 THEN NULL ELSE p_retailprice END AS amount, CASE WHEN p_size % 5 = 3 THEN NULL WHEN p_size % 5 = 0 THEN 'USD' WHEN p_size % 5 = 1 THEN 'EUR' WHEN p_size % 5 = 2 THEN 'GBP' END AS currency FROM part""")
