@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.constants import ACCESSORY_GROUPS
 from ..functions.identifiers import conflicting_gtins, quantities_conflict, shared_gtin
-from ..functions.numbers import cosine, rounded
+from ..functions.numbers import bound, cosine, rounded
 
 
 def near_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -90,15 +90,18 @@ def pair_score(p: Column, r: Column) -> Column:
     A struct has name_tokens, family_tokens, category_tokens, description_tokens,
     image_tokens (null without an image), gtins, quantity, kind and tier (null if no plan).
     """
+    return bound(F.struct(p.alias("p"), r.alias("r"), shared_near(p["name_tokens"], r["name_tokens"]).alias("shared"), vetoes(p, r).alias("vetoes")), _scored)
+
+
+def _scored(x: Column) -> Column:
+    p, r, shared, out = x["p"], x["r"], x["shared"], x["vetoes"]
     name = name_similarity(p["name_tokens"], r["name_tokens"], p["family_tokens"], r["family_tokens"])
     image = F.coalesce(X.jaccard(p["image_tokens"], r["image_tokens"]), F.lit(0.0))
     base = name * 0.58 + X.jaccard(p["category_tokens"], r["category_tokens"]) * 0.18 + X.jaccard(p["description_tokens"], r["description_tokens"]) * 0.14 + image * 0.1
     same_tier = F.coalesce(p["tier"] == r["tier"], F.lit(False))
     score = F.when(same_tier, F.greatest(base, F.lit(0.72))).otherwise(base)
-    shared = shared_near(p["name_tokens"], r["name_tokens"])
     same_number = (shared_gtin(p["gtins"], r["gtins"]) != "") & ~quantities_conflict(p["quantity"], r["quantity"])
     ordinary = p["tier"].isNull() & r["tier"].isNull() & (score >= 0.32) & (F.size(shared) >= 2)
-    out = vetoes(p, r)
     return F.struct(rounded(score, 4).alias("score"), shared.alias("shared"), out.alias("vetoes"), ((same_number | same_tier | ordinary) & (F.size(out) == 0)).alias("eligible"))
 
 

@@ -17,13 +17,14 @@ from ..functions.numbers import half_up, percent_of
 from ..operators import assignment as A
 from ..operators import similarity as S
 from ..operators.aggregates import benchmark_row, region_votes, rubric_points
+from ..sources.shared import stored
 from ..sources.tables import load
 from .registry import query
 
 
 def catalog(spark, sf_dir) -> DataFrame:
     """Products as structs of tokens."""
-    p = load(spark, sf_dir, "part")
+    p = load(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism)
     words = X.tokens("p_name", ascii_only=True)
     return p.select(
         F.col("p_partkey").alias("id"),
@@ -43,7 +44,8 @@ def catalog(spark, sf_dir) -> DataFrame:
 
 
 def sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    c = catalog(spark, sf_dir)
+    """Both catalogs; their tokens are used several times and computed once."""
+    c = stored(catalog(spark, sf_dir), "catalog")
     return c.filter("domain = 'Brand#1'"), c.filter("domain <> 'Brand#1'")
 
 
@@ -66,6 +68,8 @@ def scored_pairs(spark, sf_dir) -> DataFrame:
     pairs = S.candidate_pairs(primary, rivals).select("primary_id", "rival_id")
     p = primary.select(F.col("id").alias("primary_id"), F.struct("*").alias("p"))
     r = rivals.select(F.col("id").alias("rival_id"), F.struct("*").alias("r"))
+    # Pairs are slim and their scores are dear: deal them out evenly first.
+    pairs = pairs.repartition(2 * spark.sparkContext.defaultParallelism)
     return pairs.join(p, "primary_id").join(r, "rival_id").withColumn("s", S.pair_score(F.col("p"), F.col("r")))
 
 
