@@ -30,8 +30,12 @@ from .components import components
 BLOCK = 1024
 
 
-def hash_plan(n: int, threshold: float, miss: float, per_bucket: int = 4) -> tuple[int, int]:
-    """Bits of a hash, so that a label's vectors spread over buckets of a few, and tables, so that at most `miss` of the pairs at the threshold share none."""
+def hash_plan(n: int, threshold: float, miss: float, per_bucket: float = 0.25) -> tuple[int, int]:
+    """Bits of a hash and tables: so many tables that at most `miss` of the pairs at the threshold share none.
+
+    Four buckets a vector leave most vectors without chance company, and a vector goes to the
+    next step only in tables where it has company.
+    """
     bits = max(6, min(30, math.ceil(math.log2(max(n, 2) / per_bucket))))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(miss) / math.log1p(-agree)))
