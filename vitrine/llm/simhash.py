@@ -34,10 +34,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, uniform
 from .components import components
 
-#: Fingerprints sampled to learn which bits are correlated.
+#: Fingerprints, about, that are sampled to learn which bits are correlated.
 SAMPLE = 8192
 #: Index entries of one partition value above which its candidates are walked, not joined.
 HOT = 64
@@ -215,7 +215,7 @@ def links_in_blocks(entries: DataFrame, sizes: DataFrame, radius: int) -> DataFr
 def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """Links a, b between distinct fingerprints that join all that lie within the radius into the same components."""
     n = fps.count()
-    sample = [r[0] for r in fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()]
+    sample = [r[0] for r in fps.filter(uniform(F.col("fp"), seed=31) < SAMPLE / max(n, 1)).select("fp").limit(2 * SAMPLE).collect()]
     order = correlated_order(np.array(sample or [0], dtype="<i8").view("<u8"))
 
     def tally(batches):
