@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .constants import GENERIC_TOKENS, STOPWORDS
+from .constants import GENERIC_TOKENS, SIZE_PATTERN, STOPWORDS
 from .numbers import col
 
 
@@ -74,8 +74,7 @@ def tokens(c: Column | str, generic: bool = False, ascii_only: bool = False) ->
 def field_tokens(c: Column | str, domain: Column | str, ascii_only: bool = False) -> Column:
     """Tokens without those of the product's own brand and without sizes."""
     own = tokens(F.split_part(col(domain), F.lit("."), F.lit(1)), generic=True, ascii_only=ascii_only)
-    size = r"(?i)^\d+(?:\.\d+)?(?:g|kg|ml|l|oz|lb|pk|pack|pcs?)?$"
-    return F.filter(F.array_except(tokens(c, ascii_only=ascii_only), own), lambda w: ~w.rlike(size))
+    return F.filter(F.array_except(tokens(c, ascii_only=ascii_only), own), lambda w: ~w.rlike(SIZE_PATTERN))
 
 
 def family_name(c: Column | str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import urls as U
+from ..functions.constants import AGENCY_PATTERN, BUYING_PATTERN, GOODS_PATTERN, MARKET_QUERY_PATTERN, PARKING, PHASE_PATTERNS, REDIRECT_PATTERNS, SAAS_PATTERN
 from ..functions.numbers import bound, clamp100, observed_score, percent_of, rounded_median
 
 
@@ -84,16 +85,12 @@ def redirect_retry(requested: Column, fetched: Column, country: Column) -> Colum
     locale = r"^/([A-Za-z]{2,3})-([A-Za-z]{2})(/.*)$"
     found = F.upper(F.regexp_extract(path(fetched), locale, 2))
     rest = F.regexp_extract(path(fetched), locale, 3)
-    chosen = requested.rlike(r"(?i)[?&](country|country_?code|market|region|locale|currency|currency_?code)=") | path(requested).rlike(locale)
+    chosen = requested.rlike(MARKET_QUERY_PATTERN) | path(requested).rlike(locale)
     same = U.canonical_host(U.page_host(requested)) == U.canonical_host(U.page_host(fetched))
     retry = F.concat(F.regexp_extract(fetched, "(?i)^(https?://[^/?#]*)", 1), F.lit("/"), F.lower(F.regexp_extract(path(fetched), locale, 1)), F.lit("-"), F.lower(country), rest)
     return F.when(country.rlike("^[A-Z]{2}$") & same & ~chosen & (found != "") & (found != country) & (rest == path(requested)), retry).otherwise("")
 
 
-#: Fixed value: hosts of parking services.
-PARKING = {"sedo": "sedoparking.com", "bodis": "bodis.com", "parkingcrew": "parkingcrew.net", "dan": "dan.com", "afternic": "afternic.com"}
-
-
 def parking_provider(host: Column) -> Column:
     h = U.canonical_host(host)
     hit = None
@@ -105,12 +102,7 @@ def parking_provider(host: Column) -> Column:
 
 def static_redirect(html: Column) -> Column:
     """Where a page sends its reader at once: by script or by a refresh element; '' if nowhere."""
-    patterns = (
-        r"(?i)(?:window\.)?location(?:\.href)?\s*=\s*[\"']([^\"']+)[\"']",
-        r"(?i)(?:window\.)?location\.replace\(\s*[\"']([^\"']+)[\"']",
-        r"(?i)<meta[^>]+http-equiv\s*=\s*[\"']?refresh[^>]+url\s*=\s*([^\"';\s>]+)",
-    )
-    return F.coalesce(*(F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in patterns), F.lit(""))
+    return F.coalesce(*(F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in REDIRECT_PATTERNS), F.lit(""))
 
 
 def safe_destination(url: Column) -> Column:
@@ -121,16 +113,12 @@ def safe_destination(url: Column) -> Column:
 
 def business_type(product_count: Column, product_pages: Column, core: Column, text: Column) -> Column:
     """ecommerce, agency, saas or unknown, the surest sign first."""
-    goods = r"(?i)\b(boxes?|bundles?|grocer(y|ies)|food|shoes?|apparel|grooming|nut butter|tea)\b"
-    buying = r"(?i)\b(buy|cart|checkout|deliver(ed|y)|shop|subscri(be|ption))\b"
-    agency = r"(?i)\b(agency|consult(ancy|ing)|(digital product|design) studio|client services|fractional leadership)\b"
-    saas = r"(?i)\b(saas|software|platform|(social media|project) management|product development system|cloud-based|workflow)\b"
     return (
-        F.when((product_count >= 2) | (product_pages >= 2) | (text.rlike(goods) & text.rlike(buying)), "ecommerce")
-        .when(core.rlike(agency), "agency")
-        .when(core.rlike(saas), "saas")
-        .when(text.rlike(agency), "agency")
-        .when(text.rlike(saas), "saas")
+        F.when((product_count >= 2) | (product_pages >= 2) | (text.rlike(GOODS_PATTERN) & text.rlike(BUYING_PATTERN)), "ecommerce")
+        .when(core.rlike(AGENCY_PATTERN), "agency")
+        .when(core.rlike(SAAS_PATTERN), "saas")
+        .when(text.rlike(AGENCY_PATTERN), "agency")
+        .when(text.rlike(SAAS_PATTERN), "saas")
         .when(product_count >= 3, "ecommerce")
         .otherwise("unknown")
     )
@@ -162,13 +150,9 @@ def gap_action(metric: Column, missing: Column) -> Column:
     )
 
 
-#: Fixed value: words by which a reason explains a phase.
-PHASES = {"crawl": "crawl|website|domain|page|fetch|robots|redirect", "competitors": "competitor|discovery|market|rival", "products": "product|catalog|price|image|inventory", "matching": "match|comparison|pair|substitute", "ads": "advert|campaign"}
-
-
 def explained_phases(phases: Column, reasons: Column) -> Column:
     """Phases that some reason explains."""
-    rule = lambda p: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in PHASES.items() for x in kv)), p), p)
+    rule = lambda p: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in PHASE_PATTERNS.items() for x in kv)), p), p)
     return F.filter(phases, lambda p: F.exists(reasons, lambda r: F.call_function("rlike", F.lower(r), rule(p))))
 
 
