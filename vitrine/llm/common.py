@@ -34,8 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/vitrine-{what}-{uuid.uuid4().hex}"
+    """A path of its own in the application's part of the shared folder, which can be removed once the application has ended."""
+    return f"{shared_dir(spark)}/vitrine-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
