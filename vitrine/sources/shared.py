@@ -23,6 +23,6 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
     Iterations cut their lineage this way; a lost executor costs reading files again.
     """
-    path = f"{shared_folder(df.sparkSession)}/vitrine-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/vitrine-{df.sparkSession.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -82,7 +82,7 @@ def finished(stream: DataFrame, mode: str) -> DataFrame:
     from ..sources.shared import shared_folder
 
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/vitrine-stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/vitrine-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
 
     def write(df: DataFrame, batch: int) -> None:
         path = f"{base}/out" if mode == "complete" else f"{base}/out/b={batch}"
