@@ -117,7 +117,7 @@ FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100
 def cosine_topk_cross_label(spark, sf_dir):
     """The three most similar vectors of each label for every vec_id divisible by 100, against all rows."""
     e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
-    return S.vector_top_k(e.filter("id % 100 = 0"), e, 3, "label")
+    return S.vector_top_k(e.filter("id % 100 = 0"), e, 3, "label").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("""SELECT id, min(k) AS primary_id FROM (SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_brand, lower(p_name)) AS k FROM part) GROUP BY id HAVING id = min(k)""")
@@ -154,13 +154,13 @@ def best_attempt_per_primary(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey AS run_id, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp,
-CASE WHEN l_tax > 0.07 THEN NULL WHEN l_returnflag = 'A' THEN 0.8 + 0.2 * l_discount * 10 WHEN l_returnflag = 'R' THEN 0.55 + 0.25 * l_discount * 10 END AS score FROM lineitem""")
+round(CASE WHEN l_tax > 0.07 THEN NULL WHEN l_returnflag = 'A' THEN 0.8 + 0.2 * l_discount * 10 WHEN l_returnflag = 'R' THEN 0.55 + 0.25 * l_discount * 10 END, 6) AS score FROM lineitem""")
 def assessed_scores(spark, sf_dir):
     """Scores of verdicts; a veto leaves none."""
     verdict = F.when(F.col("l_returnflag") == "A", "same_product").when(F.col("l_returnflag") == "R", "close_substitute").otherwise("no_match")
     verdict = S.sanitized_verdict(verdict, F.col("l_tax") > 0.07, F.lit(False), F.lit(True))
     l = load(spark, sf_dir, "lineitem")
-    return l.select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), S.assessed_score(verdict, F.col("l_discount") * 10).alias("score"))
+    return l.select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.round(S.assessed_score(verdict, F.col("l_discount") * 10), 6).alias("score"))
 
 
 # Identifiers and prices

@@ -386,7 +386,7 @@ def top_k_per_rival_then_primary(spark, sf_dir):
     score = F.col("l_extendedprice").desc()
     l = l.withColumn("r1", F.row_number().over(Window.partitionBy("l_partkey", "l_suppkey").orderBy(score, "l_orderkey", "l_linenumber"))).filter("r1 <= 2")
     l = l.withColumn("rank", F.row_number().over(Window.partitionBy("l_partkey").orderBy(score, "l_orderkey", "l_linenumber", "l_suppkey"))).filter("rank <= 5")
-    return l.select(F.col("l_partkey").alias("primary_id"), F.col("l_suppkey").alias("rival_id"), F.col("l_orderkey").alias("ord"), F.col("l_linenumber").alias("line"), "rank")
+    return l.select(F.col("l_partkey").alias("primary_id"), F.col("l_suppkey").alias("rival_id"), F.col("l_orderkey").alias("ord"), F.col("l_linenumber").alias("line"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("""SELECT o_orderkey AS run_id, (SELECT count(*) FROM orders) > 500 AS truncated FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 500""")
@@ -414,7 +414,7 @@ def event_sequence_and_gap(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("event_id")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     return t(spark, sf_dir, "events").select(
-        "user_id", "event_id", "event_type", F.lead("event_type").over(w).alias("next_type"), F.row_number().over(w).alias("seq"), (us - F.lag(us).over(w)).alias("gap_us")
+        "user_id", "event_id", "event_type", F.lead("event_type").over(w).alias("next_type"), F.row_number().over(w).cast("long").alias("seq"), (us - F.lag(us).over(w)).alias("gap_us")
     )
 
 
