@@ -100,3 +100,29 @@ def test_same_result_on_other_partitions(spark):
     df = spark.createDataFrame([(i, f"some words for document {i // 2} and a few more of them") for i in range(60)], "doc_id long, text string")
     a = sorted(map(tuple, S.near_duplicates(df).collect()))
     assert a == sorted(map(tuple, S.near_duplicates(df.repartition(7, F.rand())).collect()))
+
+
+def test_wider_radius_links_similar_texts_only(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
+    texts = []
+    for _ in range(40):
+        words = [word() for _ in range(r.choice([60, 150, 300]))]
+        texts.append(" ".join(words))
+        for changes in r.sample([1, 2, 4, 12, 40], 2):
+            copy = list(words)
+            for k in r.sample(range(len(copy)), min(changes, len(copy))):
+                copy[k] = word()
+            texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fps = [S.fingerprint(t) for t in texts]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            d, shared = (fps[i] ^ fps[j]).bit_count(), len(sets[i] & sets[j])
+            if d <= 3 or (d <= 7 and shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared)):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    got = {x["doc_id"]: x["component_id"] for x in S.near_duplicates(df, wide=7).collect()}
+    assert [got[i] for i in range(len(texts))] == label and len(set(label)) < len(texts)

@@ -26,6 +26,7 @@ table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -41,9 +42,13 @@ from .components import components
 SAMPLE = 8192
 #: Index entries of one partition value above which its candidates are walked, not joined.
 HOT = 64
+#: The same where a wider radius sends more probes.
+WIDE_HOT = 12
 #: Most index entries and probes that meet in one block of a hot value.
 BLOCK = 2048
 BLOCKS = 8
+#: Most bits in which a probe differs from a partition's value; with four partitions or fewer this allows any radius up to 8.
+MOST_FLIPS = 3
 #: Blocks in each partition, for each number of partitions.
 LAYOUTS = {2: (4, 4), 3: (3, 3, 2), 4: (2, 2, 2, 2)}
 #: What one probe costs against checking one candidate.
@@ -116,8 +121,8 @@ def distance_shares(counts: np.ndarray) -> np.ndarray:
 def allocate(fp: np.ndarray, layout: tuple[int, ...], shares: np.ndarray, n: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Thresholds of least expected cost for each (permuted) fingerprint, and that cost."""
     m, goal = len(layout), radius - len(layout) + 1
-    options = list(range(-1, radius + 1))
-    sums = list(range(-m, m * radius + 1))
+    options = list(range(-1, min(radius, MOST_FLIPS) + 1))
+    sums = list(range(-m, m * MOST_FLIPS + 1))
     best = np.full((len(fp), len(sums)), np.inf)
     best[:, sums.index(0)] = 0
     taken, block = [], 0
@@ -132,7 +137,7 @@ def allocate(fp: np.ndarray, layout: tuple[int, ...], shares: np.ndarray, n: int
             near = new
         block += width
         candidates = n * np.cumsum(near, axis=1)
-        probes = np.cumsum([len(list(itertools.combinations(range(8 * width), e))) if e < 4 else 0 for e in range(radius + 1)])
+        probes = np.cumsum([math.comb(8 * width, e) for e in range(radius + 1)])
         cost = np.concatenate([np.zeros((len(fp), 1)), candidates + PROBE_COST * probes], axis=1)
         new = np.full_like(best, np.inf)
         pick = np.zeros(best.shape, dtype=np.int8)
@@ -166,7 +171,7 @@ def postings(fps: DataFrame, order: list[int], layout: tuple[int, ...], shares:
                 value = ((fp >> np.uint64(8 * start)) & np.uint64((1 << 8 * width) - 1)).astype(np.int64) | (np.int64(i) << np.int64(40))
                 start += width
                 yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(raw), pa.array(np.zeros(len(raw), bool))], names=["key", "fp", "probe"])
-                for e in range(radius + 1):
+                for e in range(int(t[:, i].max(initial=-1)) + 1):
                     who = np.flatnonzero(t[:, i] >= e)
                     masks = np.array([sum(1 << k for k in c) for c in itertools.combinations(range(8 * width), e)], dtype=np.int64)
                     for part in np.array_split(who, max(1, len(who) * len(masks) // 200_000)) if len(who) else []:
@@ -212,7 +217,7 @@ def links_in_blocks(entries: DataFrame, sizes: DataFrame, radius: int) -> DataFr
     return dealt.groupBy("key", "x", "q").applyInPandas(walk, "a long, b long")
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
+def fingerprint_links(fps: DataFrame, radius: int = 3, hot_from: int | None = None) -> DataFrame:
     """Links a, b between distinct fingerprints that join all that lie within the radius into the same components."""
     n = fps.count()
     sample = [r[0] for r in fps.filter(uniform(F.col("fp"), seed=31) < SAMPLE / max(n, 1)).select("fp").limit(2 * SAMPLE).collect()]
@@ -235,7 +240,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     layout = min(LAYOUTS.values(), key=lambda x: allocate(some, x, shares, n, radius)[1].mean())
     entries = materialize(postings(fps, order, layout, shares, n, radius), "postings")
     sizes = entries.groupBy("key").agg(F.count(F.when(~F.col("probe"), 1)).alias("xs"), F.count(F.when(F.col("probe"), 1)).alias("qs"))
-    hot = materialize(sizes.filter(F.col("xs") > HOT), "hot")
+    hot = materialize(sizes.filter(F.col("xs") > (HOT if hot_from is None else hot_from)), "hot")
     index = entries.filter(~F.col("probe")).select("key", F.col("fp").alias("b"))
     probes = entries.filter("probe").select("key", F.col("fp").alias("a"))
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius) & (F.col("a") < F.col("b"))
@@ -243,11 +248,53 @@ def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return cold.union(links_in_blocks(entries, hot, radius))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """doc_id, fp and component_id (the smallest id reachable by links) of every row."""
+def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
+    """fp and the sorted distinct hashes of the word shingles of a table of fp, text."""
+
+    def run(batches):
+        for b in batches:
+            sets = []
+            for text in b.column(1).to_pylist():
+                words = (text or "").encode().lower().split()
+                n = max(1, len(words) - shingle + 1)
+                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(n)], dtype="<u8").view("<i8")))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "set"])
+
+    return df.mapInArrow(run, "fp long, set array<long>")
+
+
+def similar_links(df: DataFrame, firsts: DataFrame, radius: int, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Links between fingerprints within a wider radius whose texts share enough of their word shingles (exact Jaccard similarity).
+
+    One text stands for a fingerprint, the one with the smallest id. Partition values held by more
+    than WIDE_HOT fingerprints give a spanning forest of their pairs, not all pairs, so among very
+    many copies of one text a similar pair may be compared only over others; links within the
+    narrow radius do not depend on this.
+    """
+    pairs = materialize(fingerprint_links(firsts, radius, hot_from=WIDE_HOT).distinct(), "wide")
+    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    wanted = firsts.join(ends, "fp", "left_semi").filter("first IS NOT NULL").select("fp", "first")
+    texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(wanted, F.col("__id") == F.col("first")).select("fp", "__text")
+    sets = materialize(shingle_sets(texts, shingle), "shingles").dropDuplicates(["fp"])
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, wide: int | None = None, wide_shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """doc_id, fp and component_id (the smallest id reachable by links) of every row.
+
+    Fingerprints within the radius link. With `wide`, so do those within that larger radius whose
+    texts have the given similarity on shingles of wide_shingle words.
+    """
     docs = materialize(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     firsts = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = materialize(components(fingerprint_links(firsts, radius), "a", "b"), "roots")
+    links = fingerprint_links(firsts, radius)
+    if wide is not None:
+        links = links.union(similar_links(df, firsts, wide, wide_shingle, similarity, id_col, text_col))
+    roots = materialize(components(links, "a", "b"), "roots")
     rooted = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
