@@ -5,7 +5,8 @@ DataFrame that is written as Parquet and read again as the next stage's docs. Al
 return the columns of documents.
 
 Defined cases: null and empty texts are scored, grouped, mixed (with no words) and packed like
-any other; rows with a null id are kept; an empty table goes through as an empty table; extra
+any other; rows with a null id are grouped by their texts like any other, and so are rows that repeat
+an id; an empty table goes through as an empty table; extra
 columns pass through all stages but the last.
 """
 
@@ -33,15 +34,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id.
+    """One document of each group of near-duplicates: the one with the smallest id, null ids last.
 
     Documents link as in the operator's contract (3 bits), and also within WIDE_RADIUS bits if
     they share 0.8 or more of their five-word shingles.
     """
-    groups = simhash.near_duplicates(docs, wide=WIDE_RADIUS)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    same = docs["doc_id"].eqNullSafe(kept["__kept"])
-    return docs.join(kept, same).dropDuplicates(["doc_id"]).select(*docs.columns)
+    return simhash.representatives(docs, wide=WIDE_RADIUS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

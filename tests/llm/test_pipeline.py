@@ -46,3 +46,16 @@ def test_queries_are_named_by_number():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
     assert zlib.crc32(b"") == 0
+
+
+def test_rows_without_an_id_or_with_a_repeated_one_stay(spark):
+    import random
+
+    r = random.Random(11)
+    text = lambda: " ".join("".join(r.choices("abcdefghij", k=r.randint(3, 8))) for _ in range(80))
+    t = [text() for _ in range(9)]
+    rows = [(None, t[0]), (None, t[1]), (None, t[2]), (None, t[2]), (1, t[3]), (1, t[4]), (2, t[5]), (3, t[5]), (3, t[6]), (None, t[7]), (4, t[7]), (5, t[8]), (5, t[8]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(corpus_pipeline.drop_near_duplicates(spark, docs, "").collect(), key=str)
+    want = [(None, t[0]), (None, t[1]), (None, t[2]), (1, t[3]), (1, t[4]), (2, t[5]), (3, t[6]), (4, t[7]), (5, t[8]), (None, None)]
+    assert got == sorted((docs.sparkSession.createDataFrame(want, docs.schema)).collect(), key=str)

@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, table, uniform
@@ -69,16 +69,23 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """id and the fingerprint as a signed long of every row."""
+def row_key(df: DataFrame) -> list[Column]:
+    """k1, k2: two hashes of a row's values, nulls told apart; only rows that repeat in full share them."""
+    values = [x for f in df.schema.fields if "map<" not in f.dataType.simpleString() for x in (F.col(f.name).isNull(), F.col(f.name))]
+    return [F.xxhash64(F.lit(k), *values).alias(f"k{k}") for k in (1, 2)]
+
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """id, the fingerprint as a signed long and the columns to keep of every row."""
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype="<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
-    slim = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp long")
+    slim = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
+    kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[2:])
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp long{kept}")
 
 
 def correlated_order(sample: np.ndarray) -> list[int]:
@@ -281,6 +288,19 @@ def similar_links(df: DataFrame, firsts: DataFrame, radius: int, shingle: int, s
     return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def classes(
+    df: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, wide: int | None, wide_shingle: int, similarity: float, keep: tuple[Column, ...] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """doc_id, fp and the columns to keep of every row; fp, first (its smallest id) and root (its component) of every fingerprint."""
+    docs = materialize(fingerprints(df, id_col, text_col, shingle, keep), "fingerprints")
+    firsts = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    links = fingerprint_links(firsts, radius)
+    if wide is not None:
+        links = links.union(similar_links(df, firsts, wide, wide_shingle, similarity, id_col, text_col))
+    roots = materialize(components(links, "a", "b"), "roots")
+    return docs, firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, wide: int | None = None, wide_shingle: int = 5, similarity: float = 0.8
 ) -> DataFrame:
@@ -289,16 +309,25 @@ def near_duplicates(
     Fingerprints within the radius link. With `wide`, so do those within that larger radius whose
     texts have the given similarity on shingles of wide_shingle words.
     """
-    docs = materialize(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    firsts = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    links = fingerprint_links(firsts, radius)
-    if wide is not None:
-        links = links.union(similar_links(df, firsts, wide, wide_shingle, similarity, id_col, text_col))
-    roots = materialize(components(links, "a", "b"), "roots")
-    rooted = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    docs, rooted = classes(df, id_col, text_col, shingle, radius, wide, wide_shingle, similarity)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    return docs.join(classes, "fp").select("doc_id", "fp", "component_id")
+    found = rooted.join(least, "root").select("fp", "component_id")
+    return docs.join(found, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, wide: int | None = None, wide_shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """One row of each component of near_duplicates: the one with the smallest id (null ids last), then the smallest row key.
+
+    A row is known by the hashes of its values, not by its id, which may be null or repeated.
+    """
+    key = row_key(df)
+    docs, rooted = classes(df, id_col, text_col, shingle, radius, wide, wide_shingle, similarity, tuple(key))
+    best = docs.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("best"))
+    kept = best.select(F.col("best.k1").alias("__k1"), F.col("best.k2").alias("__k2"))
+    keyed = df.select("*", key[0].alias("__k1"), key[1].alias("__k2"))
+    return keyed.join(kept, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*df.columns)
 
 
 def op3_simhash_pigeonhole(spark, sf_dir: str) -> DataFrame:
