@@ -126,3 +126,29 @@ def test_wider_radius_links_similar_texts_only(spark):
                 label = [min(a, b) if x in (a, b) else x for x in label]
     got = {x["doc_id"]: x["component_id"] for x in S.near_duplicates(df, wide=7).collect()}
     assert [got[i] for i in range(len(texts))] == label and len(set(label)) < len(texts)
+
+
+def test_wider_radius_lists_all_pairs_of_different_roots(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 8)
+    fps = sorted({f - 2**64 if f >> 63 else f for f in clustered(5, 250)} | {k * 5 for k in range(60)})
+    root = {f: f if f % 3 else 7 for f in fps}
+    want = {(a, b) for a in fps for b in fps if a < b and root[a] != root[b] and ((a ^ b) & (2**64 - 1)).bit_count() <= 7}
+    df = spark.createDataFrame(list(root.items()), "fp long, root long")
+    for hot in (0, 12):
+        got = {tuple(r) for r in S.fingerprint_links(df, 7, hot_from=hot).distinct().collect()}
+        assert got == want and len(want) > 500
+
+
+def test_similar_pairs_of_a_dense_value_are_all_compared(spark, monkeypatch):
+    """Fingerprints that lie within 7 bits of each other, of which only some texts are similar; all are hot, and two texts share a fingerprint."""
+    word = lambda k, i: f"w{k}x{i}"
+    base = {k: [word(k, i) for i in range(100)] for k in range(8)}
+    texts = [" ".join(base[k]) for k in range(8)] + [" ".join([*base[k][:-3], "other", "end", "here"]) for k in range(8)]
+    fake = {t: (0b111 << 4 * (i % 8)) ^ (0b1111 << 32 if i >= 8 else 0) for i, t in enumerate(texts)}
+    fake[texts[1]], fake[texts[9]] = fake[texts[0]], fake[texts[0]] ^ (0b11111 << 40)
+    rows = spark.createDataFrame([(None, t, fake[t], n) for n, t in enumerate(texts)], "doc_id long, text string, fp long, n int")
+    docs = rows.select("fp", F.xxhash64("text").alias("text_hash"), *S.row_key(rows))
+    rooted = rows.select("fp", F.col("fp").alias("root")).distinct()
+    monkeypatch.setattr(S, "WIDE_HOT", 0)
+    got = {tuple(r) for r in S.similar_links(rows, docs, rooted, 7, 5, 0.8, "text").collect()}
+    assert got == {tuple(sorted((fake[texts[k]], fake[texts[k + 8]]))) for k in range(8)}

@@ -17,6 +17,11 @@ held by more than HOT fingerprints goes another way, in blocks of bounded size:
 block, a breadth-first walk over exact distances returns a spanning forest of its links, not
 its pairs. Both ways together lose no link, so the components are exact.
 
+A wider radius with a similarity needs more: a forest's links may fail the similarity where
+other pairs meet it. So all pairs within that radius are listed, in blocks as well, but for
+those that the narrow radius has already joined; bitmaps of the shingle sets bound the
+similarity from above and leave out most others, and the rest are compared exactly.
+
 Defined cases: a null or empty text has no shingles and the fingerprint zero, which links
 like any other; fewer words than a shingle form one shorter shingle; repeated rows and copies
 share a fingerprint; null ids never become a component's id unless no other is there; an empty
@@ -47,6 +52,8 @@ WIDE_HOT = 12
 #: Most index entries and probes that meet in one block of a hot value.
 BLOCK = 2048
 BLOCKS = 8
+#: Bits of the bitmap of a set of shingles.
+BITMAP = 512
 #: Most bits in which a probe differs from a partition's value; with four partitions or fewer this allows any radius up to 8.
 MOST_FLIPS = 3
 #: Blocks in each partition, for each number of partitions.
@@ -166,10 +173,13 @@ def allocate(fp: np.ndarray, layout: tuple[int, ...], shares: np.ndarray, n: int
 
 
 def postings(fps: DataFrame, order: list[int], layout: tuple[int, ...], shares: np.ndarray, n: int, radius: int) -> DataFrame:
-    """key, fp, probe: one index entry a partition, and the probes within the thresholds. The key is partition and value."""
+    """key, fp, probe: one index entry a partition, and the probes within the thresholds. The key is partition and value. A root goes along."""
+    rooted = "root" in fps.columns
+    names = ["key", "fp", "probe"] + ["root"] * rooted
 
     def run(batches):
         for b in batches:
+            root = b.column(1).to_numpy(zero_copy_only=False) if rooted else None
             raw = b.column(0).to_numpy(zero_copy_only=False).astype("<i8")
             fp = permuted(raw.view("<u8"), order)
             t, _ = allocate(fp, layout, shares, n, radius)
@@ -177,16 +187,16 @@ def postings(fps: DataFrame, order: list[int], layout: tuple[int, ...], shares:
             for i, width in enumerate(layout):
                 value = ((fp >> np.uint64(8 * start)) & np.uint64((1 << 8 * width) - 1)).astype(np.int64) | (np.int64(i) << np.int64(40))
                 start += width
-                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(raw), pa.array(np.zeros(len(raw), bool))], names=["key", "fp", "probe"])
+                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(raw), pa.array(np.zeros(len(raw), bool)), *([pa.array(root)] if rooted else [])], names=names)
                 for e in range(int(t[:, i].max(initial=-1)) + 1):
                     who = np.flatnonzero(t[:, i] >= e)
                     masks = np.array([sum(1 << k for k in c) for c in itertools.combinations(range(8 * width), e)], dtype=np.int64)
                     for part in np.array_split(who, max(1, len(who) * len(masks) // 200_000)) if len(who) else []:
                         keys = (value[part][:, None] ^ masks[None, :]).ravel()
-                        own = np.repeat(raw[part], len(masks))
-                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own), pa.array(np.ones(len(keys), bool))], names=["key", "fp", "probe"])
+                        own = [pa.array(np.repeat(c[part], len(masks))) for c in ((raw, root) if rooted else (raw,))]
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), own[0], pa.array(np.ones(len(keys), bool)), *own[1:]], names=names)
 
-    return fps.select("fp").mapInArrow(run, "key long, fp long, probe boolean")
+    return fps.select("fp", *["root"] * rooted).mapInArrow(run, "key long, fp long, probe boolean" + ", root long" * rooted)
 
 
 def spanning_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -207,16 +217,34 @@ def spanning_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
+def unjoined_pairs(group: pd.DataFrame, radius: int) -> pd.DataFrame:
+    """a, b of all pairs a < b of a probe and an index entry within the radius that have different roots."""
+    is_probe = group["probe"].to_numpy().astype(bool)
+    fp, root = (group[c].to_numpy().astype("<i8") for c in ("fp", "root"))
+    a, ra, b, rb = fp[is_probe], root[is_probe], fp[~is_probe], root[~is_probe]
+    found = [np.zeros((2, 0), dtype="<i8")]
+    for lo in range(0, len(a), 256):
+        own = a[lo : lo + 256, None]
+        near = np.bitwise_count(own.view("<u8") ^ b.view("<u8")[None, :]) <= radius
+        i, j = np.nonzero(near & (own < b[None, :]) & (ra[lo : lo + 256, None] != rb[None, :]))
+        found.append(np.stack([a[lo + i], b[j]]))
+    ends = np.concatenate(found, axis=1)
+    return pd.DataFrame({"a": ends[0], "b": ends[1]})
+
+
 def links_in_blocks(entries: DataFrame, sizes: DataFrame, radius: int) -> DataFrame:
-    """Spanning links of the hot partition values: index entries and probes meet in blocks of bounded size."""
+    """Spanning links of the hot partition values, or all pairs with different roots if entries have roots: index entries and probes meet in blocks of bounded size."""
     both = entries.join(sizes, "key")
     n_x, n_q = (F.ceil(F.col(c) / F.lit(BLOCK)).cast("int") for c in ("xs", "qs"))
     mix = F.xxhash64("fp")
     x = F.when(F.col("probe"), F.sequence(F.lit(0), F.greatest(n_x, F.lit(1)) - 1)).otherwise(F.array(F.pmod(mix, n_x).cast("int")))
     q = F.when(~F.col("probe"), F.sequence(F.lit(0), F.greatest(n_q, F.lit(1)) - 1)).otherwise(F.array(F.pmod(mix, F.greatest(n_q, F.lit(1))).cast("int")))
-    dealt = both.withColumn("x", F.explode(x)).withColumn("q", F.explode(q)).select("key", "x", "q", "fp")
+    dealt = both.withColumn("x", F.explode(x)).withColumn("q", F.explode(q)).select("x", "q", *entries.columns)
+    rooted = "root" in entries.columns
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
+        if rooted:
+            return unjoined_pairs(group, radius)
         links = spanning_links(group["fp"].to_numpy().astype("<i8").view("<u8"), radius)
         ends = np.array(links, dtype="<u8").reshape(-1, 2).view("<i8")
         return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
@@ -225,7 +253,10 @@ def links_in_blocks(entries: DataFrame, sizes: DataFrame, radius: int) -> DataFr
 
 
 def fingerprint_links(fps: DataFrame, radius: int = 3, hot_from: int | None = None) -> DataFrame:
-    """Links a, b between distinct fingerprints that join all that lie within the radius into the same components."""
+    """Links a, b between distinct fingerprints that join all that lie within the radius into the same components.
+
+    If fps has a column root, they are instead all pairs within the radius whose roots differ, some of them repeated.
+    """
     n = fps.count()
     sample = [r[0] for r in fps.filter(uniform(F.col("fp"), seed=31) < SAMPLE / max(n, 1)).select("fp").limit(2 * SAMPLE).collect()]
     order = correlated_order(np.array(sample or [0], dtype="<i8").view("<u8"))
@@ -248,57 +279,79 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, hot_from: int | None = No
     entries = materialize(postings(fps, order, layout, shares, n, radius), "postings")
     sizes = entries.groupBy("key").agg(F.count(F.when(~F.col("probe"), 1)).alias("xs"), F.count(F.when(F.col("probe"), 1)).alias("qs"))
     hot = materialize(sizes.filter(F.col("xs") > (HOT if hot_from is None else hot_from)), "hot")
-    index = entries.filter(~F.col("probe")).select("key", F.col("fp").alias("b"))
-    probes = entries.filter("probe").select("key", F.col("fp").alias("a"))
+    ends = [c for c in ("fp", "root") if c in fps.columns]
+    index = entries.filter(~F.col("probe")).select("key", *(F.col(c).alias(n) for c, n in zip(ends, ("b", "rb"))))
+    probes = entries.filter("probe").select("key", *(F.col(c).alias(n) for c, n in zip(ends, ("a", "ra"))))
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius) & (F.col("a") < F.col("b"))
+    if "root" in ends:
+        near &= F.col("ra") != F.col("rb")
     cold = probes.join(index.join(hot.select("key"), "key", "left_anti"), "key").filter(near).select("a", "b")
     return cold.union(links_in_blocks(entries, hot, radius))
 
 
 def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
-    """fp and the sorted distinct hashes of the word shingles of a table of fp, text."""
+    """fp, text_hash, the sorted distinct hashes of the word shingles, their number and a bitmap of a table of fp, text_hash, text.
+
+    A bit of the bitmap is the parity of the hashes that fall on it, so two sets differ in at
+    least as many members as their bitmaps in bits.
+    """
 
     def run(batches):
         for b in batches:
-            sets = []
-            for text in b.column(1).to_pylist():
+            sets, maps = [], []
+            for text in b.column(2).to_pylist():
                 words = (text or "").encode().lower().split()
                 n = max(1, len(words) - shingle + 1)
-                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(n)], dtype="<u8").view("<i8")))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "set"])
+                own = np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(n)], dtype="<u8"))
+                sets.append(own.view("<i8"))
+                parity = np.bincount((own % BITMAP).astype(int), minlength=BITMAP) & 1
+                maps.append(np.packbits(parity.astype(bool), bitorder="little").view("<i8"))
+            columns = [pa.array(sets, pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int32()), pa.array(maps, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["fp", "text_hash", "set", "n", "bits"])
 
-    return df.mapInArrow(run, "fp long, set array<long>")
+    return df.select("fp", "text_hash", "text").mapInArrow(run, "fp long, text_hash long, set array<long>, n int, bits array<long>")
 
 
-def similar_links(df: DataFrame, firsts: DataFrame, radius: int, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Links between fingerprints within a wider radius whose texts share enough of their word shingles (exact Jaccard similarity).
+def similar_links(df: DataFrame, docs: DataFrame, rooted: DataFrame, radius: int, shingle: int, similarity: float, text_col: str) -> DataFrame:
+    """Links between fingerprints of different roots within a wider radius of which two texts share enough of their word shingles (exact Jaccard similarity).
 
-    One text stands for a fingerprint, the one with the smallest id. Partition values held by more
-    than WIDE_HOT fingerprints give a spanning forest of their pairs, not all pairs, so among very
-    many copies of one text a similar pair may be compared only over others; links within the
-    narrow radius do not depend on this.
+    docs has fp, text_hash and the row key of every row of df; every distinct text of a
+    fingerprint is compared.
     """
-    pairs = materialize(fingerprint_links(firsts, radius, hot_from=WIDE_HOT).distinct(), "wide")
+    pairs = materialize(fingerprint_links(rooted, radius, hot_from=WIDE_HOT).distinct(), "wide")
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = firsts.join(ends, "fp", "left_semi").filter("first IS NOT NULL").select("fp", "first")
-    texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(wanted, F.col("__id") == F.col("first")).select("fp", "__text")
-    sets = materialize(shingle_sets(texts, shingle), "shingles").dropDuplicates(["fp"])
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    wanted = docs.join(ends, "fp", "left_semi").groupBy("fp", "text_hash").agg(F.min(F.struct("k1", "k2")).alias("k")).select("fp", "text_hash", "k.k1", "k.k2")
+    key = row_key(df)
+    texts = df.select(F.col(text_col).alias("text"), *key).join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    sets = materialize(shingle_sets(texts, shingle), "shingles")
+
+    def side(end: str, *cols: str) -> DataFrame:
+        return sets.select(F.col("fp").alias(end), F.col("text_hash").alias(f"t{end}"), *(F.col(c).alias(c + end) for c in cols))
+
+    apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    most = (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    close = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").filter(apart <= most).select("a", "ta", "b", "tb")
+    both = materialize(close, "close").join(side("a", "set"), ["a", "ta"]).join(side("b", "set"), ["b", "tb"])
+    shared = F.size(F.array_intersect("seta", "setb"))
+    return both.filter(shared >= similarity * (F.size("seta") + F.size("setb") - shared)).select("a", "b").distinct()
 
 
 def classes(
     df: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, wide: int | None, wide_shingle: int, similarity: float, keep: tuple[Column, ...] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """doc_id, fp and the columns to keep of every row; fp, first (its smallest id) and root (its component) of every fingerprint."""
+    if wide is not None:
+        keep = (F.xxhash64(text_col).alias("text_hash"), *row_key(df))
     docs = materialize(fingerprints(df, id_col, text_col, shingle, keep), "fingerprints")
     firsts = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    links = fingerprint_links(firsts, radius)
-    if wide is not None:
-        links = links.union(similar_links(df, firsts, wide, wide_shingle, similarity, id_col, text_col))
+    roots = materialize(components(fingerprint_links(firsts, radius), "a", "b"), "roots")
+    rooted = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    if wide is None:
+        return docs, rooted
+    rooted = materialize(rooted, "rooted")
+    links = similar_links(df, docs, rooted, wide, wide_shingle, similarity, text_col).union(roots.select("node", "root"))
     roots = materialize(components(links, "a", "b"), "roots")
-    return docs, firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return docs, rooted.drop("root").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(
