@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from vitrine.operators import assignment as A
+from vitrine.operators import reports as R
 from vitrine.operators import similarity as S
 from vitrine.operators.aggregates import benchmark_row, region_votes
 from vitrine.operators.chunks import bounded_chunks
@@ -126,3 +127,24 @@ def test_sinks(spark, tmp_path):
     (tmp_path / "s.json").write_text("\n".join([good % ("a" * 32), good % ("b" * 32), good % "short"]))
     fresh, bad = sinks.import_snapshot(spark, str(tmp_path / "s.json"), spark.createDataFrame([("b" * 32,)], "run_id string"))
     assert [r["run_id"][0] for r in fresh.collect()] == ["a"] and bad.count() == 1
+
+
+def test_judge_batches_lose_no_pair(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(run, k, r.choice([0, 1, 3, 8, 24, 25, 26, 60, 130])) for run in range(6) for k in range(40)]
+
+    def packed(sizes, most_pairs, most_groups):
+        units = [(k, 1) for k, n in enumerate(sizes) for _ in range(n)]
+        done, batch = [], []
+        for k, _ in units:
+            if batch and (len(batch) == most_pairs or (batch[-1] != k and len(set(batch)) == most_groups)):
+                done.append(batch)
+                batch = []
+            batch.append(k)
+        return [(len(set(b)), len(b)) for b in done + [batch] * bool(batch)]
+
+    want = [(run, k, *x) for run in range(6) for k, x in enumerate(packed([n for q, _, n in rows if q == run], 25, 6))]
+    got = sorted(map(tuple, R.batches(spark.createDataFrame(rows, "run long, ord long, pairs long"), 25, 6).collect()))
+    assert got == want and sum(x[3] for x in got) == sum(n for _, _, n in rows)

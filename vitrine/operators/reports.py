@@ -31,28 +31,33 @@ def comparison_rows(rows: DataFrame, most: int = 80, least: int = 16) -> DataFra
 
 
 def batches(groups: DataFrame, pairs: int, most_groups: int) -> DataFrame:
-    """run, batch, groups, pairs: groups of a run (run, ord, pairs) in order, a new batch where the next group would make it too large.
+    """run, batch, groups, pairs: groups of a run (run, ord, pairs) in order, each batch filled up; what is left of a group opens the next one.
 
-    One pass over rows that Spark has sorted by run; nothing is held but the open batch.
+    One pass over rows that Spark has sorted by run; nothing is held but the open batch. Groups without pairs are left out.
     """
 
     def cut(frames):
         run, batch, n, total, out = None, 0, 0, 0, []
         for f in frames:
             for r, x in zip(f["run"], f["pairs"]):
-                x = int(x)
                 if run is None or r != run:
-                    if run is not None:
+                    if n:
                         out.append((run, batch, n, total))
                     run, batch, n, total = r, 0, 0, 0
-                elif n >= most_groups or total + x > pairs:
-                    out.append((run, batch, n, total))
-                    batch, n, total = batch + 1, 0, 0
-                n, total = n + 1, total + x
+                x = int(x)
+                while x > 0:
+                    if total >= pairs or n >= most_groups:
+                        out.append((run, batch, n, total))
+                        batch, n, total = batch + 1, 0, 0
+                        if len(out) >= 10_000:
+                            yield pd.DataFrame(out, columns=["run", "batch", "groups", "pairs"])
+                            out = []
+                    take = min(x, pairs - total)
+                    n, total, x = n + 1, total + take, x - take
             if out:
                 yield pd.DataFrame(out, columns=["run", "batch", "groups", "pairs"])
                 out = []
-        if run is not None:
+        if n:
             yield pd.DataFrame([(run, batch, n, total)], columns=["run", "batch", "groups", "pairs"])
 
     rows = groups.filter("run IS NOT NULL AND pairs IS NOT NULL").select("run", "ord", "pairs").repartition("run").sortWithinPartitions("run", "ord")
