@@ -60,3 +60,8 @@ def test_odd_rows(spark):
     assert len(got) == 5 and max(r["text"].count("\n") for r in got) == 19999
     assert sorted(r["text"][:4] for r in got) == ["", "", "Head", "Head", "word"]
     assert extract(df.filter("1 = 0")).collect() == []
+
+
+def test_text_after_a_literal_less_than_stays():
+    pages = ["<article><p>price < 5 and all the rest, never closed", "plain 1 < 2 <3 text", "<p>a < b <a href=\"x", "<p>a < b </", "<p>a < b <"]
+    assert main_texts(pages) == ["price < 5 and all the rest, never closed", "plain 1 < 2 <3 text", "a < b", "a < b", "a < b"]

@@ -56,6 +56,7 @@ _SCAN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I,
 )
+_OPEN = re.compile(r"<(?:[a-zA-Z/!?]|\Z)")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PART = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 
@@ -132,7 +133,9 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
             stack.append((tag, own))
             place = own
     if at < len(html):
-        held.append(html[at:] if "<" not in html[at:] else html[at : at + html[at:].index("<")])
+        # An incomplete tag at the end is not text; any other '<' is.
+        tail = _OPEN.search(html, at)
+        held.append(html[at : tail.start() if tail else len(html)])
     finish()
     return out
 
