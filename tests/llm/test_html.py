@@ -65,3 +65,10 @@ def test_odd_rows(spark):
 def test_text_after_a_literal_less_than_stays():
     pages = ["<article><p>price < 5 and all the rest, never closed", "plain 1 < 2 <3 text", "<p>a < b <a href=\"x", "<p>a < b </", "<p>a < b <"]
     assert main_texts(pages) == ["price < 5 and all the rest, never closed", "plain 1 < 2 <3 text", "a < b", "a < b", "a < b"]
+
+
+def test_a_body_beside_an_article_stays_if_unique():
+    menu = " ".join(f"menu{i}" for i in range(12))
+    body = [" ".join(f"body{k}x{i}" for i in range(40)) for k in range(3)]
+    pages = [f"<div>{menu}</div><div>{body[k]}</div><article>teaser {k}</article>" for k in range(3)]
+    assert main_texts(pages) == [f"{body[k]}\nteaser {k}" for k in range(3)]

@@ -179,12 +179,11 @@ def main_texts(pages: list[str | None]) -> list[str]:
     out = []
     for blocks, text in zip(found, whole):
         marks, at, kept = boilerplate[first[text]], 0, []
-        has_article = any(place == ARTICLE for _, place in blocks)
         for t, place in blocks:
             n = t.count(" ") + 1
             unique = 2 * marks[at : at + n].sum() <= n
             at += n
-            if place == ARTICLE or (place == OTHER and not has_article and unique):
+            if place == ARTICLE or (place == OTHER and unique):
                 kept.append(t)
         out.append("\n".join(kept))
     return out
