@@ -72,3 +72,13 @@ def test_a_body_beside_an_article_stays_if_unique():
     body = [" ".join(f"body{k}x{i}" for i in range(40)) for k in range(3)]
     pages = [f"<div>{menu}</div><div>{body[k]}</div><article>teaser {k}</article>" for k in range(3)]
     assert main_texts(pages) == [f"{body[k]}\nteaser {k}" for k in range(3)]
+
+
+def test_slabs_of_a_host_share_their_runs(spark):
+    notice = " ".join(f"notice{i}" for i in range(20))
+    own = [" ".join(f"own{k}x{i}" for i in range(30)) for k in range(40)]
+    rows = [(k, f"http://a.example/{k}", f"<div>{notice}</div><div>{own[k]}</div>" if k % 4 == 0 else f"<div>{own[k]}</div>") for k in range(40)]
+    df = spark.createDataFrame(rows + rows[1:2], "page_id long, url string, html string")
+    for slab_bytes in (200, 4 << 20):
+        got = sorted((r["page_id"], r["text"]) for r in extract(df, slab_bytes).collect())
+        assert got == sorted([*enumerate(own), (1, own[1])])

@@ -10,8 +10,9 @@ alone gets wrong: passages of the article that other pages quote are not boilerp
 furniture is not text though it may be unique.
 
 A host may hold a large part of all pages, so its pages are dealt into slabs of about
-slab_bytes each by a hash; a slab has its own suffix array. Copies of one page count as one
-page.
+slab_bytes each by a hash; a slab has its own suffix array. Runs of blocks whose place is
+unknown are also looked for on all pages of such a host by their hashes, and those found on two
+distinct pages count as repeated in every slab. Copies of one page count as one page.
 
 Defined cases: a null html is an empty text; a null url belongs to the host ''; text after an
 unclosed comment, script or style is not text; repeated rows are each returned; an empty table
@@ -25,6 +26,7 @@ from html import unescape
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,8 +142,35 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
     return out
 
 
-def covered(streams: list[list[str]]) -> list[np.ndarray]:
-    """For each page's tokens, which of them are in a run of MIN_RUN tokens or more that another page has too."""
+def run_hashes(stream: list[str]) -> np.ndarray:
+    """A 64-bit hash of the MIN_RUN tokens from each position on, as signed longs."""
+    n = len(stream) - MIN_RUN + 1
+    if n <= 0:
+        return np.zeros(0, dtype="<i8")
+    codes, words = pd.factorize(np.array(stream, dtype=object))
+    own = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], dtype="<u8")[codes]
+    out = np.zeros(n, dtype="<u8")
+    for k in range(MIN_RUN):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + own[k : k + n]
+    return out.view("<i8")
+
+
+def page_runs(html: str, unplaced: bool) -> tuple[np.ndarray, int]:
+    """Hashes of a page's runs, or of those that touch a block of unknown place, and a hash of its whole text."""
+    blocks = blocks_of(html)
+    if unplaced and all(place != OTHER for _, place in blocks):
+        return np.zeros(0, dtype="<i8"), 0
+    stream = [w for t, _ in blocks for w in t.split(" ")]
+    hashes = run_hashes(stream)
+    if unplaced and len(hashes):
+        at = np.cumsum([0] + [place == OTHER for t, place in blocks for _ in range(t.count(" ") + 1)])
+        hashes = hashes[at[MIN_RUN:] > at[:-MIN_RUN]]
+    whole = "\n".join(t for t, _ in blocks).encode("utf-8", "surrogatepass")
+    return np.unique(hashes), int(np.array(xxhash.xxh64_intdigest(whole), dtype="<u8").view("<i8"))
+
+
+def covered(streams: list[list[str]], repeated: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each page's tokens, which of them are in a run of MIN_RUN tokens or more that another page has too, or whose hash is among the repeated ones."""
     lengths = np.array([len(s) for s in streams])
     tokens = [t for s in streams for t in (*s, None)]
     ids = pd.factorize(np.array(tokens, dtype=object))[0].astype(np.int64)
@@ -160,6 +189,9 @@ def covered(streams: list[list[str]]) -> list[np.ndarray]:
         own = page[suffixes]
         several = np.minimum.reduceat(own, heads) != np.maximum.reduceat(own, heads)
         shared[suffixes] = np.repeat(several, np.diff(np.append(heads, len(rank))))
+    if repeated is not None and len(repeated):
+        for stream, stop in zip(streams, stops.tolist()):
+            shared[stop - len(stream) + np.flatnonzero(np.isin(run_hashes(stream), repeated))] = True
     marks = np.zeros(len(rank) + MIN_RUN + 1, dtype=np.int64)
     at = np.flatnonzero(shared)
     np.add.at(marks, at, 1)
@@ -168,14 +200,14 @@ def covered(streams: list[list[str]]) -> list[np.ndarray]:
     return [inside[stop - n : stop] for stop, n in zip(stops.tolist(), lengths.tolist())]
 
 
-def main_texts(pages: list[str | None]) -> list[str]:
-    """The main text of each of the pages of one host."""
+def main_texts(pages: list[str | None], repeated: np.ndarray | None = None) -> list[str]:
+    """The main text of each of the pages of one host; repeated has hashes of runs that other pages of it are known to share."""
     found = [blocks_of(p or "") for p in pages]
     whole = ["\n".join(t for t, _ in blocks) for blocks in found]
     first = {text: k for k, text in reversed(list(enumerate(whole)))}
     distinct = sorted(first.values())
     streams = [[w for t, _ in found[k] for w in t.split(" ")] for k in distinct]
-    boilerplate = dict(zip(distinct, covered(streams)))
+    boilerplate = dict(zip(distinct, covered(streams, repeated)))
     out = []
     for blocks, text in zip(found, whole):
         marks, at, kept = boilerplate[first[text]], 0, []
@@ -189,6 +221,27 @@ def main_texts(pages: list[str | None]) -> list[str]:
     return out
 
 
+def repeated_runs(rows: DataFrame) -> DataFrame:
+    """host, slab, run: hashes of the runs at blocks of unknown place that two distinct pages of a host have, for rows of host, slab, html. Pages are not moved."""
+
+    def reader(unplaced: bool):
+        def run(frames):
+            for f in frames:
+                for host, slab, html in zip(f["host"], f["slab"], f["html"]):
+                    hashes, page = page_runs(html if isinstance(html, str) else "", unplaced)
+                    if len(hashes):
+                        yield pd.DataFrame({"host": host, "slab": slab, "run": hashes, "page": page})
+
+        return rows.select("host", "slab", "html").mapInPandas(run, "host string, slab int, run long, page long")
+
+    asked = materialize(reader(True).select("host", "slab", "run").distinct(), "asked")
+    if asked.isEmpty():
+        return asked
+    found = reader(False).join(asked.select("host", "run").distinct(), ["host", "run"], "left_semi")
+    shared = found.groupBy("host", "run").agg(F.min("page").alias("low"), F.max("page").alias("high")).filter("low <> high")
+    return asked.join(shared, ["host", "run"], "left_semi").select("host", "slab", "run")
+
+
 def extract(df: DataFrame, slab_bytes: int = 4 << 20) -> DataFrame:
     """page_id, url and text of every row of page_id, url, html."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
@@ -197,15 +250,24 @@ def extract(df: DataFrame, slab_bytes: int = 4 << 20) -> DataFrame:
     slabs = rows.groupBy("host").agg(F.greatest(F.lit(1), F.ceil(F.sum(size) / F.lit(float(slab_bytes)))).cast("int").alias("slabs"), F.sum(size).alias("bytes"))
     slabs = materialize(slabs, "hosts")
     total = slabs.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    dealt = rows.join(slabs.drop("bytes"), "host").withColumn("slab", F.pmod(F.xxhash64("page_id", "url"), F.col("slabs")))
+    placed = rows.join(slabs.drop("bytes"), "host").withColumn("slab", F.pmod(F.xxhash64("page_id", "url"), F.col("slabs")).cast("int"))
     # As many partitions as slabs, so that a task has a few of them, however large the table.
-    dealt = dealt.repartition(max(1, -(-total // slab_bytes)), "host", "slab")
+    dealt = placed.repartition(max(1, -(-total // slab_bytes)), "host", "slab")
+
+    def run(group: pd.DataFrame, runs: pd.DataFrame | None = None) -> pd.DataFrame:
+        repeated = None if runs is None else runs["run"].to_numpy()
+        return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": main_texts([h if isinstance(h, str) else None for h in group["html"]], repeated)})
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": main_texts([h if isinstance(h, str) else None for h in group["html"]])})
+    def with_runs(group: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        return run(group, runs)
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    return dealt.groupBy("host", "slab").applyInPandas(run, f"page_id {kind}, url string, text string")
+    schema = f"page_id {kind}, url string, text string"
+    if not slabs.filter("slabs > 1").isEmpty():
+        runs = materialize(repeated_runs(placed.filter("slabs > 1")), "repeated")
+        if not runs.isEmpty():
+            return dealt.groupBy("host", "slab").cogroup(runs.groupBy("host", "slab")).applyInPandas(with_runs, schema)
+    return dealt.groupBy("host", "slab").applyInPandas(lambda group: run(group), schema)
 
 
 def op2_host_suffix_array(spark, sf_dir: str) -> DataFrame:
