@@ -1,3 +1,11 @@
+import os
+import random
+import re
+
+import numpy as np
+import pytest
+
+from vitrine.llm import html as H
 from vitrine.llm.html import MIN_RUN, blocks_of, covered, extract, main_texts
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
@@ -32,8 +40,6 @@ def naive(streams):
 
 
 def test_covered_is_what_other_pages_have_too():
-    import random
-
     r = random.Random(1)
     for _ in range(60):
         pool = [[r.choice("abc") for _ in range(r.randint(5, 20))] for _ in range(4)]
@@ -82,3 +88,114 @@ def test_slabs_of_a_host_share_their_runs(spark):
     for slab_bytes in (200, 4 << 20):
         got = sorted((r["page_id"], r["text"]) for r in extract(df, slab_bytes).collect())
         assert got == sorted([*enumerate(own), (1, own[1])])
+
+
+def test_suffixes_are_ordered_in_full():
+    r = random.Random(2)
+    for n in (1, 2, 7, 60, 200):
+        ids = np.array([r.randrange(3) for _ in range(n)] * 2, dtype=np.int64)[: n + n // 2]
+        order, common = H.suffix_array(ids)
+        want = sorted(range(len(ids)), key=lambda k: ids[k:].tolist())
+        assert order.tolist() == want
+        for k in range(1, len(want)):
+            a, b = ids[want[k - 1] :].tolist(), ids[want[k] :].tolist()
+            assert common[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def naive_extract(pages):
+    """The texts of (host, html) pages by sets of runs, place by place."""
+    found = [blocks_of(h) for _, h in pages]
+    words = [[w for t, _, _ in b for w in t.split()] for b in found]
+    whole = ["\n".join(t for t, _, _ in b) for b in found]
+    runs = {}
+    for (host, _), w, text in zip(pages, words, whole):
+        for k in range(len(w) - MIN_RUN + 1):
+            runs.setdefault((host, tuple(w[k : k + MIN_RUN])), set()).add(text)
+    marks, places = [], {}
+    for (host, _), w, b in zip(pages, words, found):
+        m = [False] * len(w)
+        for k in range(len(w) - MIN_RUN + 1):
+            if len(runs[host, tuple(w[k : k + MIN_RUN])]) > 1:
+                m[k : k + MIN_RUN] = [True] * MIN_RUN
+        marks.append(m)
+        at = 0
+        for t, kind, place in b:
+            n = len(t.split())
+            if kind != H.ARTICLE:
+                for key in ((host, kind, place), (kind, place)):
+                    seen = places.setdefault(key, [0, 0])
+                    seen[0] += n
+                    seen[1] += sum(m[at : at + n])
+            at += n
+    out = []
+    for (host, _), m, b in zip(pages, marks, found):
+        at, kept = 0, []
+        for t, kind, place in b:
+            w = t.split()
+            own, at = m[at : at + len(w)], at + len(w)
+            if kind == H.ARTICLE:
+                kept.append(t)
+                continue
+            n, c = places[kind, place]
+            prior = (c + 100 * (0.5 if kind == H.FURNITURE else 0)) / (n + 100)
+            n, c = places[host, kind, place]
+            if (c + 100 * prior) / (n + 100) >= (0.05 if kind == H.FURNITURE else 0.5):
+                continue
+            line, rest = "".join("1" if x else "0" for x in own), []
+            for x in re.finditer("0+", line):
+                if len(x[0]) >= MIN_RUN or not any(own):
+                    rest += w[x.start() : x.end()]
+            if rest:
+                kept.append(" ".join(rest))
+        out.append("\n".join(kept))
+    return out
+
+
+def random_pages(r, n):
+    pool = [" ".join(r.choice("abcdefgh") * 3 + str(r.randrange(40)) for _ in range(r.randint(9, 30))) for _ in range(6)]
+    fresh = lambda k: " ".join(f"w{r.randrange(10**6)}" for _ in range(k))
+    often = lambda p: r.choice(pool) if r.random() < p else fresh(r.randint(1, 30))
+    pages = []
+    for _ in range(n):
+        parts = [f"<nav>{often(0.6)}</nav>", f"<div class='ad'>{often(0)}</div>", f"<div class='teaser box'>{often(0.9)}</div>", f"<div id=body>{fresh(20)} {often(0.4)} {fresh(3)} {often(0.4)}</div>"]
+        parts += [f"<article>{often(0.5)}<form>{fresh(2)}</form></article>"] * r.randrange(2) + [f"<footer>{often(0.1)}</footer>"] + [f"<div class=comments>{fresh(9)}</div>"]
+        r.shuffle(parts)
+        pages.append((r.choice(["a.example"] * 5 + ["b.example", "c.example"]), "".join(parts)))
+    return pages + r.sample(pages, 5)
+
+
+def test_extraction_is_that_of_brute_force(spark):
+    for seed, n in ((3, 25), (4, 120)):
+        pages = random_pages(random.Random(seed), n)
+        want = naive_extract(pages)
+        assert main_texts([h for _, h in pages], [host for host, _ in pages]) == want
+        df = spark.createDataFrame([(k, f"http://{host}/{k}", h) for k, (host, h) in enumerate(pages)], "page_id long, url string, html string")
+        for slab_bytes in (900, 4 << 20):
+            got = {r["page_id"]: r["text"] for r in extract(df, slab_bytes).collect()}
+            assert [got[k] for k in range(len(pages))] == want
+    assert any("w" in t for t in want)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_the_array_decides(monkeypatch):
+    """Without the suffix array, most pages of the local tables would have another text; with it they are the article alone."""
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["url", "html"]).to_pylist()
+    pages, hosts = [r["html"] for r in rows], [r["url"].split("/")[2] for r in rows]
+    texts = main_texts(pages, hosts)
+    article = lambda h: "\n".join(t for t, kind, _ in blocks_of(h or "") if kind == H.ARTICLE)
+    assert texts == [article(h) for h in pages]
+    monkeypatch.setattr(H, "covered", lambda streams: [np.zeros(len(s), bool) for s in streams])
+    assert sum(a != b for a, b in zip(texts, main_texts(pages, hosts))) > 0.9 * len(pages)
+
+
+def test_places_follow_what_is_repeated():
+    notice = " ".join(f"notice{i}" for i in range(12))
+    own = [" ".join(f"own{k}x{i}" for i in range(30)) for k in range(40)]
+    # Called a sidebar, but nothing of it is ever repeated: text. Called nothing, but mostly repeated: boilerplate, unique parts too.
+    pages = [f"<div class='sidebar'>{own[k]}</div><div class='strip'>{notice if k else 'only here'}</div>" for k in range(40)]
+    assert main_texts(pages) == own
+    # Reader comments and forms are never text, though never repeated.
+    pages = [f"<p>{own[k]}</p><section id='comments'><p>{own[k][::-1]}</p></section><form>{k}</form>" for k in range(40)]
+    assert main_texts(pages) == own

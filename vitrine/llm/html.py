@@ -1,18 +1,23 @@
 """Main text of web pages: a suffix array over the pages of a host finds boilerplate.
 
-A page becomes blocks of text with the place each was found in: page furniture (menus, headers,
-footers, sidebars, notices, adverts, forms, reader comments, by element, role and class), the
-article, or neither. The token streams of a host's pages are concatenated; suffixes sorted to a
-depth of MIN_RUN tokens show every run of that length that stands on two distinct pages or
-more, and the union of those runs is what is covered. Blocks mostly covered are boilerplate
-and go; unique runs stay. A check of the structure then puts two things right that counting
-alone gets wrong: passages of the article that other pages quote are not boilerplate, and
-furniture is not text though it may be unique.
+A page becomes blocks of text with the place each was found in. The token streams of a host's
+pages are concatenated and their suffixes sorted in full; the longest common prefix of each
+suffix with its nearest neighbours of other pages is the longest substring there that another
+page repeats. Substrings of MIN_RUN tokens or more are covered.
+
+What is covered decides in two ways. Inside a block, covered runs are removed and unique runs
+of MIN_RUN tokens or more stay. And a place (a menu, an advert, a class of elements) of which
+enough is covered, on the host and on all hosts together, is boilerplate: its unique blocks go
+too. Names of elements, roles and classes are only a place's prior, worth PRIOR_TOKENS tokens:
+a place called a footer of which nothing is ever repeated is text, and a place without a name
+of which most is repeated is boilerplate. Two checks of the structure follow: blocks of the
+article are kept although other pages quote them, and what no repetition can show is never
+text: scripts, styles, forms, hidden elements and reader comments.
 
 A host may hold a large part of all pages, so its pages are dealt into slabs of about
-slab_bytes each by a hash; a slab has its own suffix array. Runs of blocks whose place is
-unknown are also looked for on all pages of such a host by their hashes, and those found on two
-distinct pages count as repeated in every slab. Copies of one page count as one page.
+slab_bytes each by a hash; a slab has its own suffix array. Runs outside the article that a
+slab does not repeat are looked for on all pages of such a host by their hashes, and those
+found on two distinct pages count as covered as well. Copies of one page count as one page.
 
 Defined cases: a null html is an empty text; a null url belongs to the host ''; text after an
 unclosed comment, script or style is not text; repeated rows are each returned; an empty table
@@ -26,15 +31,20 @@ from html import unescape
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-#: Tokens that a repeated run has at least; a power of two.
+#: Tokens that a repeated run has at least.
 MIN_RUN = 8
-FURNITURE, ARTICLE, OTHER = 0, 1, 2
+FURNITURE, ARTICLE, OTHER, NEVER = 0, 1, 2, 3
+#: Tokens that a prior is worth, the covered share that a name stands for, and the share from which a place with a name, and one without, is boilerplate.
+PRIOR_TOKENS, NAMED_SHARE = 100.0, 0.5
+MOST_NAMED, MOST_OTHER = 0.05, 0.5
 
 # Element and attribute names of HTML, and words that sites use in class names.
 RAW = "script style textarea title noscript template iframe noembed noframes xmp svg math object canvas select".split()
@@ -43,7 +53,8 @@ BLOCK = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-NOT_TEXT = set("nav footer aside form menu dialog head button label input fieldset".split())
+NAMED = set("nav footer aside menu dialog".split())
+NOT_TEXT = set("form head button label input fieldset".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 CUES = set(
     "nav navbar navigation menu topbar masthead header footer sidebar aside ad ads advert adverts advertisement advertising adsense banner promo promotion "
@@ -63,38 +74,49 @@ _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PART = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 
 
-def is_furniture(tag: str, attrs: str, inside_article: bool) -> bool:
-    """Whether an element is furniture by its name, role, visibility or class names."""
-    if tag in NOT_TEXT or (tag == "header" and not inside_article):
-        return True
+def kind_of(tag: str, attrs: str, inside_article: bool) -> int | None:
+    """NEVER or FURNITURE if an element's name, role, visibility or class names say so."""
+    if tag in NOT_TEXT:
+        return NEVER
+    named = tag in NAMED or (tag == "header" and not inside_article)
     if not attrs.strip() or tag in ("html", "body"):
-        return False
+        return FURNITURE if named else None
     values = {k.lower(): unescape(v.strip("\"'")) for k, v in _ATTR.findall(attrs)}
-    if values.get("role", "").lower() in ROLES or "hidden" in values or values.get("aria-hidden", "").lower() == "true":
-        return True
-    if "display:none" in values.get("style", "").replace(" ", "").lower():
-        return True
-    cues = COMMENTS if tag in ("article", "main") else COMMENTS | CUES
+    if "hidden" in values or values.get("aria-hidden", "").lower() == "true" or "display:none" in values.get("style", "").replace(" ", "").lower():
+        return NEVER
+    role = values.get("role", "").lower()
+    if role == "form":
+        return NEVER
+    named = named or role in ROLES
     for name in f"{values.get('class', '')} {values.get('id', '')}".split():
         parts = [p.lower() for p in _PART.split(name) if p]
-        if parts and parts[0] not in ("has", "with", "no", "without", "is") and cues.intersection(parts):
-            if not (inside_article and IN_ARTICLE.issuperset(cues.intersection(parts))):
-                return True
-    return False
+        if parts and parts[0] not in ("has", "with", "no", "without", "is"):
+            if COMMENTS.intersection(parts):
+                return NEVER
+            cues = CUES.intersection(parts)
+            if cues and tag not in ("article", "main") and not (inside_article and IN_ARTICLE.issuperset(cues)):
+                named = True
+    return FURNITURE if named else None
 
 
-def blocks_of(html: str) -> list[tuple[str, int]]:
-    """Texts of all blocks in page order, with where each stands."""
-    out: list[tuple[str, int]] = []
-    stack: list[tuple[str, int]] = []
+def place_name(tag: str, attrs: str) -> str:
+    """An element's tag, role, classes and id, by which places on different pages are the same."""
+    values = {k.lower(): unescape(v.strip("\"'")) for k, v in _ATTR.findall(attrs)} if attrs.strip() else {}
+    return " ".join(f"{tag} {values.get('role', '')} {values.get('class', '')} {values.get('id', '')}".lower().split())
+
+
+def blocks_of(html: str) -> list[tuple[str, int, str]]:
+    """Texts of all blocks in page order, with the kind and the name of the place where each stands."""
+    out: list[tuple[str, int, str]] = []
+    stack: list[tuple[str, int, str]] = []
     held: list[str] = []
-    place = OTHER
+    kind, place = OTHER, ""
 
     def finish() -> None:
         if held:
             text = " ".join(unescape("".join(held)).split())
-            if text:
-                out.append((text, place))
+            if text and kind != NEVER:
+                out.append((text, kind, place))
             held.clear()
 
     at = 0
@@ -106,14 +128,15 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
         if tag is None:
             continue
         tag = tag.lower()
+        block = tag in BLOCK or tag in NAMED or tag in NOT_TEXT
         if m["end"]:
-            if tag in BLOCK or tag in NOT_TEXT:
+            if block:
                 finish()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     finish()
                     del stack[k:]
-                    place = stack[-1][1] if stack else OTHER
+                    kind, place = stack[-1][1:] if stack else (OTHER, "")
                     break
             continue
         if tag == "br":
@@ -122,18 +145,23 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
             finish()
             if stack and stack[-1][0] == "p" or (tag in ("li", "dd", "dt", "td", "th", "tr", "option") and stack and stack[-1][0] == tag):
                 stack.pop()
-                place = stack[-1][1] if stack else OTHER
+                kind, place = stack[-1][1:] if stack else (OTHER, "")
         if tag in VOID or m["attrs"].endswith("/"):
             continue
-        if tag in BLOCK or tag in NOT_TEXT or m["attrs"]:
-            own = place
-            if place != FURNITURE and is_furniture(tag, m["attrs"], place == ARTICLE):
+        if block or m["attrs"]:
+            own = (kind, place)
+            found = None if kind in (NEVER, FURNITURE) else kind_of(tag, m["attrs"], kind == ARTICLE)
+            if kind == FURNITURE and kind_of(tag, m["attrs"], False) == NEVER:
+                found = NEVER
+            if found is not None:
                 finish()
-                own = FURNITURE
-            elif place == OTHER and tag in ("article", "main"):
-                own = ARTICLE
-            stack.append((tag, own))
-            place = own
+                own = (found, place_name(tag, m["attrs"]))
+            elif kind == OTHER and tag in ("article", "main"):
+                own = (ARTICLE, tag)
+            elif kind == OTHER and m["attrs"].strip() and tag in BLOCK:
+                own = (OTHER, place_name(tag, m["attrs"]))
+            stack.append((tag, *own))
+            kind, place = own
     if at < len(html):
         # An incomplete tag at the end is not text; any other '<' is.
         tail = _OPEN.search(html, at)
@@ -142,6 +170,99 @@ def blocks_of(html: str) -> list[tuple[str, int]]:
     return out
 
 
+def packed(blocks: list[tuple[str, int, str]]) -> bytes:
+    """The blocks of a page in one compressed value: a line with their number, their kinds and places, their texts."""
+    lines = [str(len(blocks)), *(f"{kind}{place}" for _, kind, place in blocks), *(text for text, _, _ in blocks)]
+    return zstandard.compress("\n".join(lines).encode("utf-8", "replace"))
+
+
+def unpacked(data: bytes) -> list[tuple[str, int, str]]:
+    lines = zstandard.decompress(data).decode().split("\n")
+    n = int(lines[0])
+    return [(text, int(p[0]), p[1:]) for p, text in zip(lines[1 : n + 1], lines[n + 1 :])]
+
+
+def tokens_of(blocks: list[tuple[str, int, str]]) -> list[str]:
+    return [w for text, _, _ in blocks for w in text.split(" ")]
+
+
+def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of all suffixes, and the longest common prefix of each with the one before it in that order.
+
+    Prefix doubling: a suffix's rank is how many have a smaller prefix; each round sorts only
+    suffixes that still share their rank. The ranks of all rounds give the prefixes' lengths.
+    """
+    n = len(ids)
+    order = np.argsort(ids, kind="stable")
+    fresh = np.append(True, ids[order[1:]] != ids[order[:-1]])[:n]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    levels, depth = [rank.astype(np.int32)], 1
+    while True:
+        sizes = np.bincount(rank, minlength=n)
+        open_ = np.flatnonzero(sizes[rank] > 1)
+        if not len(open_):
+            break
+        after = np.where(open_ + depth < n, rank[np.minimum(open_ + depth, n - 1)] + 1, 0)
+        by = np.lexsort((after, rank[open_]))
+        own, first, second = open_[by], rank[open_][by], after[by]
+        fresh = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))
+        starts = np.append(True, first[1:] != first[:-1])
+        within = np.arange(len(own)) - np.maximum.accumulate(np.where(starts, np.arange(len(own)), 0))
+        rank = rank.copy()
+        rank[own] = np.maximum.accumulate(np.where(fresh, first + within, 0))
+        levels.append(rank.astype(np.int32))
+        depth *= 2
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
+    common = np.zeros(n, np.int64)
+    a, b = order[:-1], order[1:]
+    for k in range(len(levels) - 1, -1, -1):
+        i, j = a + common[1:], b + common[1:]
+        inside = np.flatnonzero(np.maximum(i, j) < n)
+        same = inside[levels[k][i[inside]] == levels[k][j[inside]]]
+        common[1 + same] += 1 << k
+    return order, common
+
+
+def repeats(ids: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """For each position, the length of the longest substring from there on that another page has too."""
+    order, common = suffix_array(ids)
+    own = page[order]
+    stretch = np.cumsum(np.append(True, own[1:] != own[:-1])[: len(own)])
+    # Neighbours of the same page don't count: what lies between is the least common prefix on the way.
+    before = pd.Series(common).groupby(stretch).cummin().to_numpy()
+    after = pd.Series(np.append(common[1:], 0)[::-1]).groupby(stretch[::-1]).cummin().to_numpy()[::-1]
+    out = np.zeros(len(ids), np.int64)
+    out[order] = np.maximum(before, after)
+    return out
+
+
+def covered(streams: list[list[str]]) -> list[np.ndarray]:
+    """For each page's tokens, which of them are in a substring of MIN_RUN tokens or more that another page has too."""
+    lengths = np.array([len(s) for s in streams])
+    tokens = [t for s in streams for t in (*s, None)]
+    ids = pd.factorize(np.array(tokens, dtype=object))[0].astype(np.int64)
+    stops = np.cumsum(lengths + 1) - 1
+    ids[stops] = ids.max(initial=0) + 1 + np.arange(len(stops))  # no substring crosses the end of a page
+    length = repeats(ids, np.repeat(np.arange(len(streams)), lengths + 1)) if len(ids) else ids
+    at = np.flatnonzero(length >= MIN_RUN)
+    marks = np.zeros(len(ids) + 1, dtype=np.int64)
+    np.add.at(marks, at, 1)
+    np.add.at(marks, at + length[at], -1)
+    inside = np.cumsum(marks)[: len(ids)] > 0
+    return [inside[stop - n : stop] for stop, n in zip(stops.tolist(), lengths.tolist())]
+
+
+def marked(found: list[list[tuple[str, int, str]]]) -> list[np.ndarray]:
+    """Which tokens of each page are covered by what other distinct pages have."""
+    whole = ["\n".join(t for t, _, _ in blocks) for blocks in found]
+    first = {text: k for k, text in reversed(list(enumerate(whole)))}
+    distinct = sorted(first.values())
+    marks = dict(zip(distinct, covered([tokens_of(found[k]) for k in distinct])))
+    return [marks[first[text]] for text in whole]
+
+
 def run_hashes(stream: list[str]) -> np.ndarray:
     """A 64-bit hash of the MIN_RUN tokens from each position on, as signed longs."""
     n = len(stream) - MIN_RUN + 1
@@ -155,91 +276,153 @@ def run_hashes(stream: list[str]) -> np.ndarray:
     return out.view("<i8")
 
 
-def page_runs(html: str, unplaced: bool) -> tuple[np.ndarray, int]:
-    """Hashes of a page's runs, or of those that touch a block of unknown place, and a hash of its whole text."""
-    blocks = blocks_of(html)
-    if unplaced and all(place != OTHER for _, place in blocks):
-        return np.zeros(0, dtype="<i8"), 0
-    stream = [w for t, _ in blocks for w in t.split(" ")]
-    hashes = run_hashes(stream)
-    if unplaced and len(hashes):
-        at = np.cumsum([0] + [place == OTHER for t, place in blocks for _ in range(t.count(" ") + 1)])
-        hashes = hashes[at[MIN_RUN:] > at[:-MIN_RUN]]
-    whole = "\n".join(t for t, _ in blocks).encode("utf-8", "surrogatepass")
-    return np.unique(hashes), int(np.array(xxhash.xxh64_intdigest(whole), dtype="<u8").view("<i8"))
+def open_runs(blocks: list[tuple[str, int, str]], marks: np.ndarray) -> np.ndarray:
+    """Positions of runs that touch a block outside the article and are not covered throughout."""
+    free = np.repeat([kind != ARTICLE for _, kind, _ in blocks], [t.count(" ") + 1 for t, _, _ in blocks]) if blocks else np.zeros(0, bool)
+    sums, bare = np.cumsum(np.append(0, free)), np.cumsum(np.append(0, ~marks))
+    return np.flatnonzero((sums[MIN_RUN:] > sums[:-MIN_RUN]) & (bare[MIN_RUN:] > bare[:-MIN_RUN])) if len(free) >= MIN_RUN else np.zeros(0, int)
 
 
-def covered(streams: list[list[str]], repeated: np.ndarray | None = None) -> list[np.ndarray]:
-    """For each page's tokens, which of them are in a run of MIN_RUN tokens or more that another page has too, or whose hash is among the repeated ones."""
-    lengths = np.array([len(s) for s in streams])
-    tokens = [t for s in streams for t in (*s, None)]
-    ids = pd.factorize(np.array(tokens, dtype=object))[0].astype(np.int64)
-    stops = np.cumsum(lengths + 1) - 1
-    ids[stops] = ids.max(initial=0) + 1 + np.arange(len(stops))  # no run crosses the end of a page
-    page = np.repeat(np.arange(len(streams)), lengths + 1)
-    rank, depth = ids, 1
-    while depth < MIN_RUN:
-        after = np.append(rank[depth:], np.full(min(depth, len(rank)), -1))
-        rank = np.unique(rank * (rank.max(initial=0) + 2) + after + 1, return_inverse=True)[1].astype(np.int64)
-        depth *= 2
-    suffixes = np.argsort(rank, kind="stable")
-    heads = np.flatnonzero(np.append(True, np.diff(rank[suffixes]) != 0)) if len(rank) else np.zeros(0, int)
-    shared = np.zeros(len(rank), dtype=bool)
-    if len(heads):
-        own = page[suffixes]
-        several = np.minimum.reduceat(own, heads) != np.maximum.reduceat(own, heads)
-        shared[suffixes] = np.repeat(several, np.diff(np.append(heads, len(rank))))
-    if repeated is not None and len(repeated):
-        for stream, stop in zip(streams, stops.tolist()):
-            shared[stop - len(stream) + np.flatnonzero(np.isin(run_hashes(stream), repeated))] = True
-    marks = np.zeros(len(rank) + MIN_RUN + 1, dtype=np.int64)
-    at = np.flatnonzero(shared)
-    np.add.at(marks, at, 1)
-    np.add.at(marks, at + MIN_RUN, -1)
-    inside = np.cumsum(marks)[: len(rank)] > 0
-    return [inside[stop - n : stop] for stop, n in zip(stops.tolist(), lengths.tolist())]
+def with_runs(marks: np.ndarray, at: list[int] | None) -> np.ndarray:
+    """Marks with the runs from the given positions on."""
+    if at is None or not len(at):
+        return marks
+    marks = marks.copy()
+    for k in range(MIN_RUN):
+        marks[np.asarray(at) + k] = True
+    return marks
+
+
+def place_counts(blocks: list[tuple[str, int, str]], marks: np.ndarray) -> dict[str, tuple[int, int]]:
+    """Tokens and covered tokens of each place outside the article; a place is known by its kind and name."""
+    sums, at, out = np.cumsum(np.append(0, marks)).tolist(), 0, {}
+    for text, kind, place in blocks:
+        n = text.count(" ") + 1
+        if kind != ARTICLE:
+            seen = out.get(f"{kind}{place}", (0, 0))
+            out[f"{kind}{place}"] = (seen[0] + n, seen[1] + sums[at + n] - sums[at])
+        at += n
+    return out
 
 
-def main_texts(pages: list[str | None], repeated: np.ndarray | None = None) -> list[str]:
-    """The main text of each of the pages of one host; repeated has hashes of runs that other pages of it are known to share."""
-    found = [blocks_of(p or "") for p in pages]
-    whole = ["\n".join(t for t, _ in blocks) for blocks in found]
-    first = {text: k for k, text in reversed(list(enumerate(whole)))}
-    distinct = sorted(first.values())
-    streams = [[w for t, _ in found[k] for w in t.split(" ")] for k in distinct]
-    boilerplate = dict(zip(distinct, covered(streams, repeated)))
-    out = []
-    for blocks, text in zip(found, whole):
-        marks, at, kept = boilerplate[first[text]], 0, []
-        for t, place in blocks:
-            n = t.count(" ") + 1
-            unique = 2 * marks[at : at + n].sum() <= n
-            at += n
-            if place == ARTICLE or (place == OTHER and unique):
-                kept.append(t)
-        out.append("\n".join(kept))
-    return out
+def share(covered_, tokens, prior):
+    """The covered share of a place, given what it was expected to be."""
+    return (covered_ + PRIOR_TOKENS * prior) / (tokens + PRIOR_TOKENS)
+
 
+def unique_runs(words: list[str], marks: np.ndarray) -> str:
+    """A block without its covered runs: its unique runs of MIN_RUN tokens or more, or all of it if nothing is covered."""
+    if not marks.any():
+        return " ".join(words)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], marks, [True]]).astype(np.int8)))
+    return " ".join(" ".join(words[i:j]) for i, j in zip(edges[::2].tolist(), edges[1::2].tolist()) if j - i >= MIN_RUN)
 
-def repeated_runs(rows: DataFrame) -> DataFrame:
-    """host, slab, run: hashes of the runs at blocks of unknown place that two distinct pages of a host have, for rows of host, slab, html. Pages are not moved."""
 
-    def reader(unplaced: bool):
-        def run(frames):
-            for f in frames:
-                for host, slab, html in zip(f["host"], f["slab"], f["html"]):
-                    hashes, page = page_runs(html if isinstance(html, str) else "", unplaced)
-                    if len(hashes):
-                        yield pd.DataFrame({"host": host, "slab": slab, "run": hashes, "page": page})
+def kept_text(blocks: list[tuple[str, int, str]], marks: np.ndarray, flipped: set[str]) -> str:
+    """The main text of a page: blocks of the article, and the unique runs of blocks whose place is not boilerplate.
 
-        return rows.select("host", "slab", "html").mapInPandas(run, "host string, slab int, run long, page long")
+    flipped has the places for which the array says otherwise than their names.
+    """
+    at, kept = 0, []
+    for text, kind, place in blocks:
+        words = text.split(" ")
+        own = marks[at : at + len(words)]
+        at += len(words)
+        if kind == ARTICLE:
+            kept.append(text)
+        elif (kind == FURNITURE) == (f"{kind}{place}" in flipped):
+            kept.append(unique_runs(words, own))
+    return "\n".join(t for t in kept if t)
 
-    asked = materialize(reader(True).select("host", "slab", "run").distinct(), "asked")
-    if asked.isEmpty():
-        return asked
-    found = reader(False).join(asked.select("host", "run").distinct(), ["host", "run"], "left_semi")
+
+def main_texts(pages: list[str | None], hosts: list[str] | None = None) -> list[str]:
+    """The main text of each of the given pages, in memory; without hosts, all are of one."""
+    hosts = hosts or [""] * len(pages)
+    found = [blocks_of(p or "") for p in pages]
+    marks: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
+    total: dict[tuple[str | None, str], np.ndarray] = {}
+    for host in dict.fromkeys(hosts):
+        own = [k for k, h in enumerate(hosts) if h == host]
+        for k, m in zip(own, marked([found[k] for k in own])):
+            marks[k] = m
+            for place, n in place_counts(found[k], m).items():
+                for key in ((host, place), (None, place)):
+                    total[key] = total.get(key, 0) + np.array(n)
+    flipped: dict[str, set[str]] = {host: set() for host in hosts}
+    for (host, place), (n, c) in total.items():
+        if host is not None:
+            named = place.startswith(str(FURNITURE))
+            every_n, every_c = total[None, place]
+            rate = share(c, n, share(every_c, every_n, NAMED_SHARE if named else 0.0))
+            if (rate >= (MOST_NAMED if named else MOST_OTHER)) != named:
+                flipped[host].add(place)
+    return [kept_text(blocks, m, flipped[host]) for blocks, m, host in zip(found, marks, hosts)]
+
+
+def column(b: pa.RecordBatch, name: str) -> list:
+    return b.column(b.schema.get_field_index(name)).to_pylist()
+
+
+def read_pages(b: pa.RecordBatch):
+    """The blocks and marks of each row of a batch with the columns blob, marks and at."""
+    for data, bits, at in zip(column(b, "blob"), column(b, "marks"), column(b, "at")):
+        blocks = unpacked(data)
+        n = sum(t.count(" ") + 1 for t, _, _ in blocks)
+        yield blocks, with_runs(np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool), at)
+
+
+def repeated_elsewhere(pages: DataFrame) -> DataFrame:
+    """host, slab, nth, at: positions of runs of a page that its slab does not repeat, but another distinct page of its host does. Pages are not moved."""
+    def asks(batches):
+        for b in batches:
+            for host, slab, nth, (blocks, marks) in zip(column(b, "host"), column(b, "slab"), column(b, "nth"), read_pages(b)):
+                at = open_runs(blocks, marks)
+                if len(at):
+                    run = run_hashes(tokens_of(blocks))[at]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([host] * len(at)), pa.array([slab] * len(at), pa.int32()), pa.array([nth] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(run)],
+                        names=["host", "slab", "nth", "at", "run"],
+                    )
+
+    def finds(batches):
+        for b in batches:
+            for host, (blocks, _) in zip(column(b, "host"), read_pages(b)):
+                runs = np.unique(run_hashes(tokens_of(blocks)))
+                page = np.array(xxhash.xxh64_intdigest("\n".join(t for t, _, _ in blocks).encode()), dtype="<u8").view("<i8")
+                if len(runs):
+                    yield pa.RecordBatch.from_arrays([pa.array([host] * len(runs)), pa.array(runs), pa.array(np.repeat(page, len(runs)))], names=["host", "run", "page"])
+
+    asked = materialize(pages.mapInArrow(asks, "host string, slab int, nth int, at int, run long"), "asked")
+    runs = materialize(asked.select("host", "run").distinct(), "runs")
+    found = pages.mapInArrow(finds, "host string, run long, page long").join(runs, ["host", "run"], "left_semi")
     shared = found.groupBy("host", "run").agg(F.min("page").alias("low"), F.max("page").alias("high")).filter("low <> high")
-    return asked.join(shared, ["host", "run"], "left_semi").select("host", "slab", "run")
+    positions = asked.join(shared, ["host", "run"], "left_semi").groupBy("host", "slab", "nth").agg(F.collect_list("at").alias("at"))
+    return materialize(positions, "elsewhere")
+
+
+def flipped_places(pages: DataFrame) -> DataFrame:
+    """host, flipped: the places of each host for which the covered share says otherwise than their names.
+
+    A place's share on all hosts, from its name as the prior, is the prior of its share on a host.
+    """
+    def count(batches):
+        for b in batches:
+            total: dict[tuple[str, str], tuple[int, int]] = {}
+            for host, (blocks, marks) in zip(column(b, "host"), read_pages(b)):
+                for place, (n, c) in place_counts(blocks, marks).items():
+                    seen = total.get((host, place), (0, 0))
+                    total[host, place] = (seen[0] + n, seen[1] + c)
+            keys, sums = list(total), list(total.values())
+            columns = [pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)] + [pa.array([s[i] for s in sums], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "place", "tokens", "covered"])
+
+    counts = pages.mapInArrow(count, "host string, place string, tokens long, covered long")
+    by_host = materialize(counts.groupBy("host", "place").agg(F.sum("tokens").alias("tokens"), F.sum("covered").alias("covered")), "places")
+    named = F.col("place").startswith(str(FURNITURE))
+    everywhere = by_host.groupBy("place").agg(share(F.sum("covered"), F.sum("tokens"), F.when(named, NAMED_SHARE).otherwise(0.0)).alias("prior"))
+    rate = share(F.col("covered"), F.col("tokens"), F.col("prior"))
+    other = (rate >= F.when(named, MOST_NAMED).otherwise(MOST_OTHER)) != named
+    return materialize(by_host.join(everywhere, "place").filter(other).groupBy("host").agg(F.collect_set("place").alias("flipped")), "flipped")
 
 
 def extract(df: DataFrame, slab_bytes: int = 4 << 20) -> DataFrame:
@@ -251,23 +434,40 @@ def extract(df: DataFrame, slab_bytes: int = 4 << 20) -> DataFrame:
     slabs = materialize(slabs, "hosts")
     total = slabs.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     placed = rows.join(slabs.drop("bytes"), "host").withColumn("slab", F.pmod(F.xxhash64("page_id", "url"), F.col("slabs")).cast("int"))
-    # As many partitions as slabs, so that a task has a few of them, however large the table.
-    dealt = placed.repartition(max(1, -(-total // slab_bytes)), "host", "slab")
+    kind = rows.schema["page_id"].dataType.simpleString()
 
-    def run(group: pd.DataFrame, runs: pd.DataFrame | None = None) -> pd.DataFrame:
-        repeated = None if runs is None else runs["run"].to_numpy()
-        return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": main_texts([h if isinstance(h, str) else None for h in group["html"]], repeated)})
+    def parse(batches):
+        for b in batches:
+            blobs = [packed(blocks_of(h or "")) for h in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), *b.columns[1:]], names=["blob", *b.schema.names[1:]])
 
-    def with_runs(group: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-        return run(group, runs)
+    def mark(group: pd.DataFrame) -> pd.DataFrame:
+        bits = [np.packbits(m).tobytes() for m in marked([unpacked(b) for b in group["blob"]])]
+        return group.assign(nth=np.arange(len(group), dtype=np.int32), marks=bits)[["page_id", "url", "host", "slab", "slabs", "nth", "blob", "marks"]]
 
-    kind = rows.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {kind}, url string, text string"
+    parsed = placed.select("html", "page_id", "url", "host", "slab", "slabs").mapInArrow(parse, f"blob binary, page_id {kind}, url string, host string, slab int, slabs int")
+    # As many partitions as slabs, so that a task has a few of them, however large the table.
+    dealt = parsed.repartition(max(1, -(-total // slab_bytes)), "host", "slab")
+    pages = dealt.groupBy("host", "slab").applyInPandas(mark, f"page_id {kind}, url string, host string, slab int, slabs int, nth int, blob binary, marks binary")
+    pages = materialize(pages, "marked")
+    at = F.lit(None).cast("array<int>")
     if not slabs.filter("slabs > 1").isEmpty():
-        runs = materialize(repeated_runs(placed.filter("slabs > 1")), "repeated")
-        if not runs.isEmpty():
-            return dealt.groupBy("host", "slab").cogroup(runs.groupBy("host", "slab")).applyInPandas(with_runs, schema)
-    return dealt.groupBy("host", "slab").applyInPandas(lambda group: run(group), schema)
+        elsewhere = repeated_elsewhere(pages.filter("slabs > 1").withColumn("at", at))
+        if not elsewhere.isEmpty():
+            pages = pages.join(elsewhere, ["host", "slab", "nth"], "left")
+    if "at" not in pages.columns:
+        pages = pages.withColumn("at", at)
+    flipped = flipped_places(pages)
+    # A row for each slab, so that no task joins a whole host where there are too many places to broadcast.
+    by_slab = flipped.join(slabs, "host").select("host", "flipped", F.explode(F.sequence(F.lit(0), F.col("slabs") - 1)).alias("slab"))
+    joined = pages.join(by_slab, ["host", "slab"], "left").select("page_id", "url", "blob", "marks", "at", "flipped")
+
+    def keep(batches):
+        for b in batches:
+            texts = [kept_text(blocks, marks, set(f or ())) for (blocks, marks), f in zip(read_pages(b), column(b, "flipped"))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    return joined.mapInArrow(keep, f"page_id {kind}, url string, text string")
 
 
 def op2_host_suffix_array(spark, sf_dir: str) -> DataFrame:
