@@ -1,23 +1,23 @@
 """Main text of web pages: a suffix array over the pages of a host finds boilerplate.
 
-A page becomes blocks of text with the place each was found in. The token streams of a host's
-pages are concatenated and their suffixes sorted in full; the longest common prefix of each
-suffix with its nearest neighbours of other pages is the longest substring there that another
-page repeats. Substrings of MIN_RUN tokens or more are covered.
+A page becomes blocks of text with the place each was found in. Blocks of the article are kept
+although other pages may quote them; the token streams of all else on a host's pages are
+concatenated and their suffixes sorted in full. The longest common prefix of each suffix with
+its nearest neighbours of other pages is the longest substring there that another page repeats.
+Substrings of MIN_RUN tokens or more are covered.
 
 What is covered decides in two ways. Inside a block, covered runs are removed and unique runs
 of MIN_RUN tokens or more stay. And a place (a menu, an advert, a class of elements) of which
 enough is covered, on the host and on all hosts together, is boilerplate: its unique blocks go
 too. Names of elements, roles and classes are only a place's prior, worth PRIOR_TOKENS tokens:
 a place called a footer of which nothing is ever repeated is text, and a place without a name
-of which most is repeated is boilerplate. Two checks of the structure follow: blocks of the
-article are kept although other pages quote them, and what no repetition can show is never
-text: scripts, styles, forms, hidden elements and reader comments.
+of which most is repeated is boilerplate. What no repetition can show is never text: scripts,
+styles, forms, hidden elements and reader comments.
 
 A host may hold a large part of all pages, so its pages are dealt into slabs of about
-slab_bytes each by a hash; a slab has its own suffix array. Runs outside the article that a
-slab does not repeat are looked for on all pages of such a host by their hashes, and those
-found on two distinct pages count as covered as well. Copies of one page count as one page.
+slab_bytes each by a hash; a slab has its own suffix array. Runs that a slab does not repeat are
+looked for on all pages of such a host by their hashes, and those found on two distinct pages
+count as covered as well. Copies of one page count as one page.
 
 Defined cases: a null html is an empty text; a null url belongs to the host ''; text after an
 unclosed comment, script or style is not text; repeated rows are each returned; an empty table
@@ -182,8 +182,16 @@ def unpacked(data: bytes) -> list[tuple[str, int, str]]:
     return [(text, int(p[0]), p[1:]) for p, text in zip(lines[1 : n + 1], lines[n + 1 :])]
 
 
-def tokens_of(blocks: list[tuple[str, int, str]]) -> list[str]:
-    return [w for text, _, _ in blocks for w in text.split(" ")]
+def streams_of(blocks: list[tuple[str, int, str]]) -> list[list[str]]:
+    """The tokens outside the article, a stream for each stretch of blocks without an article between them."""
+    out, inside = [], True
+    for text, kind, _ in blocks:
+        if kind != ARTICLE:
+            if inside:
+                out.append([])
+            out[-1] += text.split(" ")
+        inside = kind == ARTICLE
+    return out
 
 
 def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,49 +246,47 @@ def repeats(ids: np.ndarray, page: np.ndarray) -> np.ndarray:
     return out
 
 
-def covered(streams: list[list[str]]) -> list[np.ndarray]:
-    """For each page's tokens, which of them are in a substring of MIN_RUN tokens or more that another page has too."""
-    lengths = np.array([len(s) for s in streams])
-    tokens = [t for s in streams for t in (*s, None)]
+def covered(pages: list[list[list[str]]]) -> list[np.ndarray]:
+    """For each page, given by its streams, which of its tokens are in a substring of MIN_RUN tokens or more that another page has too."""
+    lengths = np.array([len(s) for streams in pages for s in streams], dtype=np.int64)
+    tokens = [t for streams in pages for s in streams for t in (*s, None)]
     ids = pd.factorize(np.array(tokens, dtype=object))[0].astype(np.int64)
     stops = np.cumsum(lengths + 1) - 1
-    ids[stops] = ids.max(initial=0) + 1 + np.arange(len(stops))  # no substring crosses the end of a page
-    length = repeats(ids, np.repeat(np.arange(len(streams)), lengths + 1)) if len(ids) else ids
+    ids[stops] = ids.max(initial=0) + 1 + np.arange(len(stops))  # no substring crosses the end of a stream
+    page = np.repeat(np.repeat(np.arange(len(pages)), [len(streams) for streams in pages]), lengths + 1)
+    length = repeats(ids, page) if len(ids) else ids
     at = np.flatnonzero(length >= MIN_RUN)
     marks = np.zeros(len(ids) + 1, dtype=np.int64)
     np.add.at(marks, at, 1)
     np.add.at(marks, at + length[at], -1)
-    inside = np.cumsum(marks)[: len(ids)] > 0
-    return [inside[stop - n : stop] for stop, n in zip(stops.tolist(), lengths.tolist())]
+    inside, token = np.cumsum(marks)[: len(ids)] > 0, np.ones(len(ids), bool)
+    token[stops] = False
+    ends = np.cumsum([sum(map(len, streams)) for streams in pages])[:-1]
+    return np.split(inside[token], ends) if pages else []
 
 
 def marked(found: list[list[tuple[str, int, str]]]) -> list[np.ndarray]:
-    """Which tokens of each page are covered by what other distinct pages have."""
+    """Which tokens outside the article of each page are covered by what other distinct pages have."""
     whole = ["\n".join(t for t, _, _ in blocks) for blocks in found]
     first = {text: k for k, text in reversed(list(enumerate(whole)))}
     distinct = sorted(first.values())
-    marks = dict(zip(distinct, covered([tokens_of(found[k]) for k in distinct])))
+    marks = dict(zip(distinct, covered([streams_of(found[k]) for k in distinct])))
     return [marks[first[text]] for text in whole]
 
 
-def run_hashes(stream: list[str]) -> np.ndarray:
-    """A 64-bit hash of the MIN_RUN tokens from each position on, as signed longs."""
-    n = len(stream) - MIN_RUN + 1
-    if n <= 0:
-        return np.zeros(0, dtype="<i8")
-    codes, words = pd.factorize(np.array(stream, dtype=object))
+def run_hashes(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all runs of MIN_RUN tokens of a page, and their 64-bit hashes as signed longs."""
+    codes, words = pd.factorize(np.array([w for s in streams for w in s], dtype=object))
     own = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], dtype="<u8")[codes]
-    out = np.zeros(n, dtype="<u8")
+    at, start = [np.zeros(0, np.int64)], 0
+    for s in streams:
+        at.append(start + np.arange(max(0, len(s) - MIN_RUN + 1)))
+        start += len(s)
+    places = np.concatenate(at)
+    out = np.zeros(len(places), dtype="<u8")
     for k in range(MIN_RUN):
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + own[k : k + n]
-    return out.view("<i8")
-
-
-def open_runs(blocks: list[tuple[str, int, str]], marks: np.ndarray) -> np.ndarray:
-    """Positions of runs that touch a block outside the article and are not covered throughout."""
-    free = np.repeat([kind != ARTICLE for _, kind, _ in blocks], [t.count(" ") + 1 for t, _, _ in blocks]) if blocks else np.zeros(0, bool)
-    sums, bare = np.cumsum(np.append(0, free)), np.cumsum(np.append(0, ~marks))
-    return np.flatnonzero((sums[MIN_RUN:] > sums[:-MIN_RUN]) & (bare[MIN_RUN:] > bare[:-MIN_RUN])) if len(free) >= MIN_RUN else np.zeros(0, int)
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + own[places + k]
+    return places, out.view("<i8")
 
 
 def with_runs(marks: np.ndarray, at: list[int] | None) -> np.ndarray:
@@ -297,11 +303,11 @@ def place_counts(blocks: list[tuple[str, int, str]], marks: np.ndarray) -> dict[
     """Tokens and covered tokens of each place outside the article; a place is known by its kind and name."""
     sums, at, out = np.cumsum(np.append(0, marks)).tolist(), 0, {}
     for text, kind, place in blocks:
-        n = text.count(" ") + 1
         if kind != ARTICLE:
+            n = text.count(" ") + 1
             seen = out.get(f"{kind}{place}", (0, 0))
             out[f"{kind}{place}"] = (seen[0] + n, seen[1] + sums[at + n] - sums[at])
-        at += n
+            at += n
     return out
 
 
@@ -325,12 +331,13 @@ def kept_text(blocks: list[tuple[str, int, str]], marks: np.ndarray, flipped: se
     """
     at, kept = 0, []
     for text, kind, place in blocks:
+        if kind == ARTICLE:
+            kept.append(text)
+            continue
         words = text.split(" ")
         own = marks[at : at + len(words)]
         at += len(words)
-        if kind == ARTICLE:
-            kept.append(text)
-        elif (kind == FURNITURE) == (f"{kind}{place}" in flipped):
+        if (kind == FURNITURE) == (f"{kind}{place}" in flipped):
             kept.append(unique_runs(words, own))
     return "\n".join(t for t in kept if t)
 
@@ -367,7 +374,7 @@ def read_pages(b: pa.RecordBatch):
     """The blocks and marks of each row of a batch with the columns blob, marks and at."""
     for data, bits, at in zip(column(b, "blob"), column(b, "marks"), column(b, "at")):
         blocks = unpacked(data)
-        n = sum(t.count(" ") + 1 for t, _, _ in blocks)
+        n = sum(t.count(" ") + 1 for t, kind, _ in blocks if kind != ARTICLE)
         yield blocks, with_runs(np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool), at)
 
 
@@ -376,9 +383,11 @@ def repeated_elsewhere(pages: DataFrame) -> DataFrame:
     def asks(batches):
         for b in batches:
             for host, slab, nth, (blocks, marks) in zip(column(b, "host"), column(b, "slab"), column(b, "nth"), read_pages(b)):
-                at = open_runs(blocks, marks)
+                at, run = run_hashes(streams_of(blocks))
+                bare = np.cumsum(np.append(0, ~marks))
+                open_ = bare[at + MIN_RUN] > bare[at]
+                at, run = at[open_], run[open_]
                 if len(at):
-                    run = run_hashes(tokens_of(blocks))[at]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([host] * len(at)), pa.array([slab] * len(at), pa.int32()), pa.array([nth] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(run)],
                         names=["host", "slab", "nth", "at", "run"],
@@ -387,7 +396,7 @@ def repeated_elsewhere(pages: DataFrame) -> DataFrame:
     def finds(batches):
         for b in batches:
             for host, (blocks, _) in zip(column(b, "host"), read_pages(b)):
-                runs = np.unique(run_hashes(tokens_of(blocks)))
+                runs = np.unique(run_hashes(streams_of(blocks))[1])
                 page = np.array(xxhash.xxh64_intdigest("\n".join(t for t, _, _ in blocks).encode()), dtype="<u8").view("<i8")
                 if len(runs):
                     yield pa.RecordBatch.from_arrays([pa.array([host] * len(runs)), pa.array(runs), pa.array(np.repeat(page, len(runs)))], names=["host", "run", "page"])
