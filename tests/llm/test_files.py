@@ -72,11 +72,41 @@ def test_a_record_is_read_by_one_frame_and_the_file_is_plain_zstandard(spark, mo
     folder = new_folder(spark, "t")
     w = warc.BundleWriter(folder)
     for k in range(40):
-        w.add(k, warc.record(k, f"http://h.example/{k}", (f"body {k} " * 20_000).encode(), "0" * 40, None, k))
+        w.add(k, f"http://h.example/{k}", (f"body {k} " * 20_000).encode(), "0" * 40, None)
     name = w.close()
     b = warc.Bundle(folder, name)
-    fields, block = warc.parsed(b.record(33))
+    fields, block = warc.parsed(b.page(33, "0" * 40))
     assert fields["X-Page-ID"] == "33" and block.startswith(b"body 33 ") and len(b.offsets) > 3
     data = open_file(folder, name).read()
     plain = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
     assert plain.count(b"WARC/1.1\r\n") == 40 and plain == b"".join(b.frame(k) for k in range(len(b.offsets)))
+
+
+def test_a_revisit_refers_to_its_response_by_identifier(spark):
+    body = "<p>" + "x" * 2000
+    df = spark.createDataFrame([(k, f"http://h.example/{k}", body) for k in range(9)], "page_id long, url string, html string")
+    folder = new_folder(spark, "t")
+    bundles = [warc.Bundle(folder, r["file"]) for r in warc.write_bundles(df, folder).collect()]
+    fields = [warc.parsed(x)[0] for b in bundles for x in b.records()]
+    response = [f["WARC-Record-ID"] for f in fields if f["WARC-Type"] == "response"]
+    assert len(response) == 1 and {f.get("WARC-Refers-To") for f in fields if f["WARC-Type"] == "revisit"} == set(response)
+    assert len({f["WARC-Record-ID"] for f in fields}) == 9
+
+
+def test_one_common_payload_is_no_hot_key(spark):
+    """Half of all pages share a payload, many more are empty: without a broadcast of the marks, every task still has a like share."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        body = "<p>" + "x" * 2000
+        rows = [(k, None, body if k % 2 else "" if k % 4 else f"{k}" * 1000) for k in range(4000)]
+        df = spark.createDataFrame(rows, "page_id long, url string, html string")
+        folder = new_folder(spark, "t")
+        manifest = warc.write_bundles(df, folder)
+        got = warc.read_bundles(manifest, folder)
+        assert got.filter("record_type = 'revisit'").count() == 1999 and got.filter("refers_to = 3999").count() == 1999
+        records = sorted(r["records"] for r in manifest.collect())
+        assert sum(records) == 4000 and records[-1] <= 1500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")

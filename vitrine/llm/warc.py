@@ -1,18 +1,23 @@
 """WARC records in seekable Zstandard bundles.
 
 A bundle is a run of independent zstandard frames, each over a group of whole records, then a
-skippable frame with the record map (identifier, frame, offset within the frame's content,
-length), then the seek table of the seekable format: a skippable frame with each frame's
-compressed and decompressed size. A record is read by its identifier with one seek and one
-frame. The files are plain zstandard files too: any reader decompresses them to a WARC.
+skippable frame with the record map (record identifier, page id, frame, offset within the
+frame's content, length, in the order of the identifiers), then the seek table of the seekable
+format: a skippable frame with each frame's compressed and decompressed size. A record is read
+by its identifier with a binary search, one seek and one frame. The files are plain zstandard
+files too: any reader decompresses them to a WARC.
 
 Of records with equal payloads of at least revisit_bytes, the one with the largest page_id is
-a response and the others are revisits of it. Winners are counted by digest with a partial
-aggregation before any shuffle, and only digests that occur more than once are joined back, so
-payloads are never shuffled.
+a response and the others are revisits of it. Who refers to whom is settled on a slim table of
+digest and page_id: winners are counted by digest with a partial aggregation, and digests with
+very many copies, which can only be few, meet their rows by broadcast. The resulting marks are
+joined to the pages by digest and page_id together, so a common payload is no hot key; pages
+too small for a revisit skip that join. Payloads stay where they are read as long as Spark
+finds the marks small enough to broadcast, and are dealt evenly beyond.
 
 Defined cases: a null payload is empty; null page_ids are written as responses; rows that
-repeat the winning page_id are responses too; an empty table gives no rows; extra columns are
+repeat the winning page_id are responses too; rows that repeat both page_id and payload are one
+record written twice, with one identifier; an empty table gives no rows; extra columns are
 ignored.
 """
 
@@ -22,6 +27,7 @@ import hashlib
 import struct
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -34,22 +40,25 @@ FRAME_BYTES = 1 << 20
 #: Fixed values of the seekable format: magics of the skippable frame and of the seek table's footer.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 MAP_MAGIC = 0x184D2A50
-#: Page id (NO_ID if null), frame, offset within the frame's content, length.
-ENTRY = struct.Struct("<qQII")
+#: An entry of the record map.
+ENTRY = np.dtype([("high", ">u8"), ("low", ">u8"), ("page_id", "<i8"), ("frame", "<u8"), ("at", "<u4"), ("length", "<u4")])
 NO_ID = -(1 << 63)
+#: Shares of all rows from which a digest is hot; there are at most that many such digests.
+HOT_SHARES = 10_000
 
 
-def urn(page_id: int | None, serial: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{serial}')}>"
+def record_id(page_id: int | None, sha1: str, serial: str) -> uuid.UUID:
+    """The identifier of a page's record, which other records can refer to; a page without an id has one that depends on where it is written."""
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"{serial if page_id is None else page_id}/{sha1}")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refers_to: int | None, serial: int) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refers_to: int | None, serial: str = "") -> bytes:
     """One WARC 1.1 record: a response with its payload, or a revisit without."""
     kind = "response" if refers_to is None else "revisit"
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: {urn(page_id, serial)}",
+        f"WARC-Record-ID: <{record_id(page_id, sha1, serial).urn}>",
         f"WARC-Target-URI: {''.join((url or '').split())}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{sha1}",
@@ -57,7 +66,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refe
         f"X-Payload-Length: {len(payload)}",
     ]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: <{record_id(refers_to, sha1, '').urn}>",
+            f"X-Refers-To-Page-ID: {refers_to}",
+        ]
         payload = b""
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}", "", ""]
     return "\r\n".join(head).encode() + payload + b"\r\n\r\n"
@@ -69,12 +82,14 @@ class BundleWriter:
     def __init__(self, folder: str, level: int = 3):
         self.out, self.zip = Upload(folder, ".warc.zst"), zstandard.ZstdCompressor(level=level)
         self.frames: list[tuple[int, int]] = []
-        self.map: list[tuple[int, int, int, int]] = []
+        self.map: list[tuple[int, int, int, int, int, int]] = []
         self.held: list[bytes] = []
         self.size = 0
 
-    def add(self, page_id: int | None, data: bytes) -> None:
-        self.map.append((NO_ID if page_id is None else page_id, len(self.frames), self.size, len(data)))
+    def add(self, page_id: int | None, url: str | None, payload: bytes, sha1: str, refers_to: int | None, serial: str = "") -> None:
+        data = record(page_id, url, payload, sha1, refers_to, serial)
+        own = record_id(page_id, sha1, serial).int
+        self.map.append((own >> 64, own & ((1 << 64) - 1), NO_ID if page_id is None else page_id, len(self.frames), self.size, len(data)))
         self.held.append(data)
         self.size += len(data)
         if self.size >= FRAME_BYTES:
@@ -89,7 +104,7 @@ class BundleWriter:
 
     def close(self) -> str:
         self.flush()
-        body = b"".join(ENTRY.pack(*x) for x in self.map)
+        body = np.array(sorted(self.map), dtype=ENTRY).tobytes()
         self.out.write(struct.pack("<II", MAP_MAGIC, len(body)) + body)
         # The record map is a frame of the seek table too, of no content.
         seek = b"".join(struct.pack("<II", *x) for x in [*self.frames, (len(body) + 8, 0)])
@@ -99,7 +114,7 @@ class BundleWriter:
 
 
 class Bundle:
-    """Random access to a bundle by page id, and a scan frame by frame."""
+    """Random access to a bundle by record identifier, and a scan frame by frame."""
 
     def __init__(self, folder: str, name: str):
         self.file = open_file(folder, name)
@@ -117,25 +132,38 @@ class Bundle:
         body = self.file.read_at(zipped, at)
         if struct.unpack_from("<I", body)[0] != MAP_MAGIC:
             raise ValueError(f"{name} has no record map")
-        self.map = [ENTRY.unpack_from(body, 8 + ENTRY.size * k) for k in range((zipped - 8) // ENTRY.size)]
+        self.map = np.frombuffer(body, ENTRY, offset=8)
+        self.high = self.map["high"].astype(np.uint64)
         self.unzip = zstandard.ZstdDecompressor()
 
     def frame(self, k: int) -> bytes:
         at, zipped = self.offsets[k]
         return self.unzip.decompress(self.file.read_at(zipped, at))
 
-    def record(self, page_id: int) -> bytes:
-        """The first record of a page: one seek, one frame."""
-        frame, at, length = next(x[1:] for x in self.map if x[0] == page_id)
-        return self.frame(frame)[at : at + length]
+    def cut(self, k: int, frame: bytes) -> bytes:
+        at, length = int(self.map["at"][k]), int(self.map["length"][k])
+        return frame[at : at + length]
+
+    def record(self, own: uuid.UUID) -> bytes:
+        """The record with an identifier: a binary search, one seek, one frame."""
+        high, low = np.uint64(own.int >> 64), own.int & ((1 << 64) - 1)
+        for k in range(np.searchsorted(self.high, high), np.searchsorted(self.high, high, side="right")):
+            if self.map["low"][k] == low:
+                return self.cut(k, self.frame(int(self.map["frame"][k])))
+        raise KeyError(own)
+
+    def page(self, page_id: int, sha1: str) -> bytes:
+        """The record of a page with a payload of that digest."""
+        return self.record(record_id(page_id, sha1, ""))
 
     def records(self):
-        """All records in order; each frame is decompressed once."""
+        """All records in the order in which they were written; each frame is decompressed once."""
         held, data = -1, b""
-        for _, frame, at, length in self.map:
+        for k in np.lexsort((self.map["at"], self.map["frame"])).tolist():
+            frame = int(self.map["frame"][k])
             if frame != held:
                 held, data = frame, self.frame(frame)
-            yield data[at : at + length]
+            yield self.cut(k, data)
 
 
 def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -145,27 +173,37 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["Content-Length"])]
 
 
+def revisits(pages: DataFrame) -> DataFrame:
+    """sha1, page_id and refers_to of every page of sha1, page_id that repeats the payload of one with a larger page_id."""
+    counts = materialize(pages.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "winners")
+    most = pages.count() / HOT_SHARES
+    hot, cold = (counts.filter(c).select("sha1", "refers_to") for c in (F.col("copies") > most, F.col("copies") <= most))
+    met = pages.join(F.broadcast(hot), "sha1").unionByName(pages.join(cold, "sha1"))
+    return met.filter(F.col("page_id") != F.col("refers_to")).select("sha1", "page_id", "refers_to").distinct()
+
+
 def write_bundles(df: DataFrame, folder: str, revisit_bytes: int = 1000, file_bytes: int = 256 << 20) -> DataFrame:
     """Writes all rows of page_id, url, html and returns the manifest of bundles: file, records."""
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = df.select("page_id", "url", html.alias("payload"))
+    rows = df.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
-    big = rows.filter((F.octet_length("payload") >= revisit_bytes) & F.col("page_id").isNotNull())
-    winners = big.groupBy("sha1").agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("sha1", "winner")
-    winners = materialize(winners, "winners")
-    marked = rows.join(winners, "sha1", "left") if winners.head(1) else rows.withColumn("winner", F.lit(None).cast("long"))
-    refers = F.when((F.col("winner") != F.col("page_id")) & (F.octet_length("payload") >= revisit_bytes), F.col("winner"))
-    slim = marked.select(F.col("page_id").cast("long"), "url", "payload", "sha1", refers.cast("long").alias("refers_to"))
+    large = (F.octet_length("payload") >= revisit_bytes) & F.col("page_id").isNotNull()
+    marks = materialize(revisits(materialize(rows.filter(large).select("sha1", "page_id"), "digests")), "revisits")
+    # Pages that cannot be revisits have no mark; a random key keeps them from meeting in one task.
+    keyed = rows.withColumn("large", large).withColumn("key", F.when(F.col("large"), F.col("page_id")).otherwise(F.xxhash64(F.rand(7))))
+    own = marks.select(F.col("sha1").alias("digest"), F.col("page_id").alias("page"), "refers_to")
+    met = keyed.join(own, (F.col("sha1") == F.col("digest")) & (F.col("key") == F.col("page")) & F.col("large"), "left")
+    slim = met.select("page_id", "url", "payload", "sha1", "refers_to")
 
     def write(batches):
-        out, done, serial = None, [], 0
+        out, done, serial, own = None, [], 0, uuid.uuid4().hex
         for b in batches:
             for row in zip(*(b.column(k).to_pylist() for k in range(5))):
                 if out is not None and out.out.size >= file_bytes:
                     done.append((out.close(), len(out.map)))
                     out = None
                 out = out or BundleWriter(folder)
-                out.add(row[0], record(*row, serial))
+                out.add(*row, f"{own}/{serial}")
                 serial += 1
         if out is not None:
             done.append((out.close(), len(out.map)))
