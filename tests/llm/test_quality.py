@@ -1,6 +1,8 @@
+import os
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vitrine.llm import quality as Q
@@ -27,11 +29,10 @@ def test_gradient_is_that_of_the_loss():
     texts = [text(r, k % 2 == 0).encode() for k in range(6)]
     y, w = np.array([1, 0, 1, 0, 1, 0], np.float32), np.ones(6, np.float32)
     m = Q.Model()
-    lags = [Q.lag_sums(*Q.laid_out([t])[:2]) for t in texts]
     seen = {}
     t = Q.Trainer(m, 0.0)
     t.apply = seen.update
-    t.step(texts, lags, y, w)
+    t.step(texts, y, w)
 
     def loss():
         p = np.clip(m.scores(texts), 1e-9, 1 - 1e-9)
@@ -71,3 +72,48 @@ def test_held_out_rows_are_never_learned_from(spark, monkeypatch):
     Q.fit(docs, labels)
     out = {f"text {r['doc_id']}".encode() for r in docs.filter(Q.held_out(F.col("doc_id"))).collect()}
     assert seen and not out & set(seen)
+
+
+def naive_score(m, text):
+    """The network's score of one text, filter position by filter position."""
+    p = {k: v.astype(float) for k, v in m.p.items()}
+    n = -(-(len(text) + Q.GUARD) // Q.BLOCK)
+    x = text + bytes(n * Q.BLOCK + Q.KERNEL - len(text))
+    best = np.zeros(Q.DETECTORS)
+    for first in range(max(1, n - 1)):
+        lo, hi = first * Q.BLOCK, min(first + 2, n) * Q.BLOCK
+        total = np.zeros(Q.FILTERS)
+        for at in range(lo, hi, Q.STRIDE):
+            if at < len(text):
+                seen = np.concatenate([p["embed"][c] for c in x[at : at + Q.KERNEL]])
+                total += np.maximum(seen @ p["conv"] + p["conv_b"], 0)
+        mean = total * Q.STRIDE / max(1, min(hi, len(text)) - lo)
+        best = np.maximum(best, mean @ p["hidden"] + p["hidden_b"])
+    return 1 / (1 + np.exp(-(best @ p["out"] + p["out_b"][0])))
+
+
+def test_scores_are_those_of_a_naive_forward_pass():
+    r = random.Random(9)
+    texts = [b"", b"a", b"x" * 127, b"x" * 96, *[text(r, k % 2 == 0).encode() for k in range(4)]]
+    m = Q.train(texts, np.array([0, 1] * 4), np.ones(8), steps=20)
+    assert np.allclose(m.scores(texts), [naive_score(m, t) for t in texts], atol=1e-4)
+
+
+def test_repeated_ids_have_a_defined_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"{c}{k}") for k in range(60) for c in "zbca"], "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] * 2 + [(3, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(Q, "train", lambda texts, y, w: seen.append((texts, y.tolist())) or Q.Model())
+    for _ in range(2):
+        Q.fit(docs, labels)
+    assert seen[0] == seen[1] and all(t.startswith(b"a") for t in seen[0][0]) and b"a3" not in seen[0][0] and len(seen[0][0]) > 30
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+def test_ranks_held_out_rows_of_the_local_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.filter(Q.held_out(F.col("doc_id")) & F.col("quality").isNotNull())
+    rows = Q.score(docs.join(known, "doc_id"), Q.fit(docs, labels), keep=("quality",)).collect()
+    good, bad = ([r["score"] for r in rows if r["quality"] == k] for k in (1, 0))
+    auc = np.mean([(np.array(good) > b).mean() for b in bad])
+    assert len(bad) > 100 and auc > 0.98

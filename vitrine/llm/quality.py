@@ -1,16 +1,15 @@
 """A byte-level convolutional quality classifier in numpy.
 
 A text is its UTF-8 bytes. Learned byte embeddings feed learned filters over KERNEL bytes with
-a rectifier; a fixed set of filters marks bytes that equal the byte p places earlier. Both are
-averaged over overlapping chunks of CHUNK bytes that cover the whole document, a learned layer
-turns each chunk into DETECTORS responses, these are max-pooled over all chunks, and a
-logistic output combines them into one probability. Training is plain back-propagation with
-Adam on a bounded sample of labelled rows.
+a rectifier, which are averaged over overlapping chunks of CHUNK bytes that cover the whole
+document; a learned layer turns each chunk into DETECTORS responses, these are max-pooled over
+all chunks, and a logistic output combines them into one probability. Every weight is learned:
+training is plain back-propagation with Adam on a bounded sample of labelled rows.
 
 Defined cases: a null or empty text is scored as one empty chunk; texts of any length are
-scored whole; rows whose label is null are not learned from; with no labels, or labels of one
-kind only, scores follow their base rate; repeated rows get equal scores; extra columns are
-ignored.
+scored whole; rows whose label is null are not learned from, nor ids with labels of both kinds;
+of an id with several texts the least is learned from; with no labels, or labels of one kind
+only, scores follow their base rate; repeated rows get equal scores; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-BLOCK = 128
+BLOCK = 64
 CHUNK = 2 * BLOCK
 KERNEL, STRIDE = 6, 2
-EMBED, FILTERS, DETECTORS = 8, 16, 12
-LAGS = np.arange(1, 25)
+EMBED, FILTERS, DETECTORS = 8, 24, 48
 #: Zero bytes after each text, so that no filter sees two texts.
 GUARD = 32
 #: Bytes that are scored at once.
@@ -46,16 +44,6 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, np.cumsum(valid[:-1], dtype=np.int8), blocks
 
 
-def lag_sums(x: np.ndarray, valid: np.ndarray) -> np.ndarray:
-    """For each block and lag, the bytes that equal the byte that many places earlier."""
-    out = np.zeros((len(x) // BLOCK, len(LAGS)), dtype=np.float32)
-    for k, p in enumerate(LAGS):
-        same = np.zeros(len(x), dtype=np.uint8)
-        same[p:] = (x[p:] == x[:-p]) & valid[p:].view(bool)
-        out[:, k] = same.reshape(-1, BLOCK).sum(axis=1, dtype=np.uint16)
-    return out
-
-
 def pairs(sums: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of overlapping chunks of two blocks within each text, and the number of chunks of each text."""
     ends = np.cumsum(blocks)
@@ -70,6 +58,10 @@ def pairs(sums: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return both[keep], np.maximum(blocks - 1, 1)
 
 
+def logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
 class Model:
     """The network and its parameters."""
 
@@ -80,7 +72,7 @@ class Model:
             "embed": r.standard_normal((256, EMBED)).astype(np.float32),
             "conv": scale(KERNEL * EMBED, FILTERS),
             "conv_b": np.zeros(FILTERS, np.float32),
-            "hidden": scale(FILTERS + len(LAGS), DETECTORS),
+            "hidden": scale(FILTERS, DETECTORS),
             "hidden_b": np.zeros(DETECTORS, np.float32),
             "out": np.full(DETECTORS, -0.5, np.float32) * r.random(DETECTORS).astype(np.float32),
             "out_b": np.zeros(1, np.float32),
@@ -106,13 +98,13 @@ class Model:
             out[lo // BLOCK : hi // BLOCK] = a.reshape(-1, BLOCK // STRIDE, FILTERS).sum(axis=1)
         return out
 
-    def features(self, x, valid, blocks, lags):
+    def features(self, x: np.ndarray, valid: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mean responses of the filters in each chunk, the chunks of each text, and the bytes of each chunk."""
         counts = valid.reshape(-1, BLOCK).sum(axis=1, dtype=np.float32)[:, None]
         n, chunks = pairs(counts, blocks)
         conv, _ = pairs(self.conv_sums(x, valid), blocks)
-        lag, _ = pairs(lags, blocks)
         n = np.maximum(n, 1)
-        return np.concatenate([conv * (STRIDE / n), lag / n], axis=1), chunks, n
+        return conv * (STRIDE / n), chunks, n
 
     def pooled(self, feats: np.ndarray, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Max-pooled responses of each text, and the chunk that each comes from."""
@@ -131,9 +123,9 @@ class Model:
                 size += len(texts[hi]) + GUARD
                 hi += 1
             x, valid, blocks = laid_out(texts[lo:hi])
-            feats, chunks, _ = self.features(x, valid, blocks, lag_sums(x, valid))
+            feats, chunks, _ = self.features(x, valid, blocks)
             top, _ = self.pooled(feats, chunks)
-            out.append(1 / (1 + np.exp(-(top.astype(float) @ self.p["out"] + self.p["out_b"]))))
+            out.append(logistic(top.astype(float) @ self.p["out"] + self.p["out_b"]))
             lo = hi
         return np.concatenate(out) if out else np.zeros(0)
 
@@ -154,12 +146,12 @@ class Trainer:
             step = self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
             self.model.p[k] = (self.model.p[k] - step).astype(np.float32)
 
-    def step(self, texts: list[bytes], lags: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> None:
+    def step(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> None:
         m, p = self.model, self.model.p
         x, valid, blocks = laid_out(texts)
-        feats, chunks, n = m.features(x, valid, blocks, np.concatenate(lags))
+        feats, chunks, n = m.features(x, valid, blocks)
         top, at = m.pooled(feats, chunks)
-        prob = 1 / (1 + np.exp(-(top @ p["out"] + p["out_b"])))
+        prob = logistic(top @ p["out"] + p["out_b"])
         d = ((prob - y) * weight / weight.sum()).astype(np.float32)
         grads = {"out": top.T @ d + 1e-4 * p["out"], "out_b": np.array([d.sum()], np.float32)}
         d_top = d[:, None] * p["out"][None, :] * (top > 0)
@@ -167,7 +159,7 @@ class Trainer:
         d_h = np.zeros((len(rows), DETECTORS), np.float32)
         np.add.at(d_h, (back.reshape(at.shape), np.arange(DETECTORS)[None, :]), d_top)
         grads["hidden"], grads["hidden_b"] = feats[rows].T @ d_h, d_h.sum(axis=0)
-        d_conv = (d_h @ p["hidden"].T)[:, :FILTERS] * (STRIDE / n[rows])
+        d_conv = (d_h @ p["hidden"].T) * (STRIDE / n[rows])
         # Only the chunks that won a pool have a gradient: their bytes go through the filters once more.
         text_of = np.searchsorted(np.cumsum(chunks), rows, side="right")
         first = (np.cumsum(blocks) - blocks)[text_of] + rows - (np.cumsum(chunks) - chunks)[text_of]
@@ -194,17 +186,13 @@ def train(texts: list[bytes], y: np.ndarray, weight: np.ndarray, steps: int = 36
     if len(np.unique(y)) < 2:
         model.p["out"][:] = 0
         return model
-    lags = []
-    for t in texts:
-        x, valid, _ = laid_out([t])
-        lags.append(lag_sums(x, valid))
     r, trainer, order = np.random.default_rng(seed), Trainer(model, rate), np.zeros(0, int)
     for k in range(steps):
         if len(order) < batch:
             order = np.append(order, r.permutation(len(y)))
         own, order = order[:batch], order[batch:]
         trainer.rate = rate * (1 - k / steps) + rate / 50
-        trainer.step([texts[i] for i in own], [lags[i] for i in own], y[own].astype(np.float32), weight[own].astype(np.float32))
+        trainer.step([texts[i] for i in own], y[own].astype(np.float32), weight[own].astype(np.float32))
     return model
 
 
@@ -219,14 +207,15 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 700, most_bytes: in
     agree. Held-out rows are never drawn. Row weights undo the unequal sampling of the kinds,
     so that scores are probabilities on the table's own mixture.
     """
-    usable = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).select("doc_id", "quality")
+    usable = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
+    usable = usable.filter(F.col("quality") == F.col("most")).select("doc_id", "quality")
     counts = {r[0]: r[1] for r in usable.groupBy("quality").count().collect()}
     chosen = None
     for kind in (0, 1):
         own = usable.filter(F.col("quality") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
         chosen = own if chosen is None else chosen.union(own)
     slim = docs.select("doc_id", "text").filter(F.octet_length("text") <= most_bytes)
-    rows = slim.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "quality").collect()
+    rows = slim.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     y = np.array([r["quality"] for r in rows], dtype=int)
     kinds = np.bincount(y, minlength=2)
