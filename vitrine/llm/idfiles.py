@@ -8,8 +8,10 @@ SHA-256 of the dictionary. Any document is read by one seek and one small frame.
 dictionary is trained on the serialized ids of a bounded sample and stored beside the files
 under the name of its hash; a reader refuses a file whose dictionary hash differs.
 
-Documents are written in ascending order of their ids. Encoding and compressing come first and
-only the small frames are shuffled: range boundaries come from a scan of the id column alone.
+Documents are written in ascending order of their ids. Encoding and compressing come first;
+the small frames are stored once, and Spark's own range partitioner deals them by id to as many
+shards as their number and bytes ask for, a shard to a partition. A random second key divides
+an id (or null) that very many documents share.
 
 Defined cases: a null or empty text is its end id alone; null ids come first; repeated ids are
 all kept, next to each other; an empty table gives no rows; extra columns are ignored; texts
@@ -26,6 +28,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +39,6 @@ from .tokens import encoded
 MAGIC = b"VTIDZ1\n\0"
 FOOTER = struct.Struct("<QQI32s8s")
 ENTRY = np.dtype([("has_id", "<u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("count", "<u8")])
-NO_ID = -(1 << 63)
 LEVEL = 3
 
 
@@ -66,12 +68,6 @@ def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdCompressor(level=LEVEL)
 
 
-def boundaries(docs: DataFrame, shards: int) -> list[int]:
-    """Boundaries of shards of about equal documents, from the id column."""
-    got = docs.select(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 100 * shards).alias("q")).first() if shards > 1 else None
-    return sorted(set(got["q"])) if got and got["q"] else []
-
-
 def write_id_files(
     df: DataFrame,
     folder: str,
@@ -81,6 +77,7 @@ def write_id_files(
     text_col: str = "text",
     width: int = 2,
     shard_rows: int = 20_000,
+    shard_bytes: int = 64 << 20,
     file_bytes: int = 64 << 20,
     sample_rows: int = 1500,
     sample_bytes: int = 20_000,
@@ -88,9 +85,6 @@ def write_id_files(
 ) -> DataFrame:
     """Writes the files and returns their manifest: shard, part (files of a shard in order), file, documents, ids, start (ids before it)."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = docs.count()
-    shards = max(1, -(-n // shard_rows))
-    bounds = np.array(boundaries(docs, shards), dtype=np.int64)
     dictionary = train_dictionary(docs, tokenizer, end_id, width, sample_rows, sample_bytes, dictionary_size)
     digest = hashlib.sha256(dictionary).digest()
     if dictionary:
@@ -104,11 +98,11 @@ def write_id_files(
             for x in encoded(b.column(1).to_pylist(), tokenizer, width):
                 zipped.append(pack.compress(x + end))
                 counts.append(len(x) // width + 1)
-            shard = np.searchsorted(bounds, ids.fill_null(NO_ID).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array(counts, pa.int64()), pa.array(zipped, pa.binary())], names=["shard", "doc_id", "n", "frame"])
+            size = pa.array([len(z) for z in zipped], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), size, pa.array(zipped, pa.binary())], names=["doc_id", "n", "size", "frame"])
 
     def write(batches):
-        out, shard, part, index = None, None, 0, []
+        out, shard, part, index = None, TaskContext.get().partitionId(), -1, []
         done: list[tuple] = []
 
         def finish():
@@ -121,12 +115,11 @@ def write_id_files(
             out, index = None, []
 
         for b in batches:
-            for s, i, c, f in zip(*(b.column(k).to_pylist() for k in range(4))):
-                if s != shard or (out is not None and out.size >= file_bytes):
+            for i, c, f in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if out is not None and out.size >= file_bytes:
                     finish()
-                    shard, part = s, part + 1 if s == shard else 0
                 if out is None:
-                    out = Upload(folder, ".ids")
+                    out, part = Upload(folder, ".ids"), part + 1
                     out.write(MAGIC)
                 index.append((i is not None, i or 0, out.write(f), c))
         finish()
@@ -135,8 +128,11 @@ def write_id_files(
             columns = [pa.array(c, t) for c, t in zip(zip(*done), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    cut = docs.mapInArrow(frames, "shard int, doc_id long, n long, frame binary")
-    dealt = cut.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first())
+    cut = materialize(docs.mapInArrow(frames, "doc_id long, n long, size long, frame binary").withColumn("tie", F.rand(41)), "frames")
+    rows, size = cut.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    shards = max(1, -(-rows // shard_rows), -(-size // shard_bytes))
+    order = (F.col("doc_id").asc_nulls_first(), F.col("tie"))
+    dealt = cut.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "n", "frame")
     manifest = materialize(dealt.mapInArrow(write, "shard int, part int, file string, documents long, ids long"), "manifest")
     order = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, 0)
     return manifest.withColumn("start", F.sum("ids").over(order) - F.col("ids"))

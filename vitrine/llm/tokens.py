@@ -20,6 +20,8 @@ _GAP = re.compile(r"(?<=\S) (?=\S)")
 _ODD = "\x1c\x1d\x1e\x1f\x85"
 #: Marks that end a word and form one piece of their own; an apostrophe may start a contraction.
 _MARKS = string.punctuation.replace("'", "")
+#: Characters of the longest chunk that is cached.
+LONGEST = 100
 
 
 def byte_letters() -> list[str]:
@@ -40,12 +42,17 @@ class _Adjoining(Exception):
 
 
 class _Cache(dict):
-    """What `make` returns, in two generations: when the new one is full, it becomes the old one, and what the old one held and nobody used again is forgotten."""
+    """What `make` returns, in two generations: when the new one is full, it becomes the old one, and what the old one held and nobody used again is forgotten.
+
+    Keys of more than LONGEST characters are made anew each time, so its bytes are bounded too.
+    """
 
     def __init__(self, make, size: int):
         self.make, self.left, self.size, self.old = make, size, size, {}
 
     def __missing__(self, key: str) -> bytes:
+        if len(key) > LONGEST:
+            return self.make(key)
         ids = self.old.get(key)
         if ids is None:
             ids = self.make(key)
