@@ -24,6 +24,8 @@ from .common import materialize, table, uniform
 #: over all boundaries.
 CELL_BITS = 12
 KEY = ("k1", "k2", "tie")
+#: Most ranges before overfull ones are subdivided, which bounds samples and what is broadcast.
+MOST_RANGES = 100_000
 
 
 def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
@@ -43,8 +45,8 @@ def sample_splitters(records: DataFrame, weight, total: float, ranges: int, per_
     """About `ranges` boundaries at the weighted quantiles of a sample of ranges * per_range keys.
 
     A record is drawn with a probability in proportion to its weight; one that would be drawn
-    for certain stands for its own weight. The sample's size is bounded by the parameters, not
-    by the data, and so one task orders it.
+    for certain stands for its own weight. The sample has about ranges * per_range keys, and
+    ranges is at most MOST_RANGES, so one task orders it.
     """
     step = total / (ranges * per_range)
     p = F.least(F.lit(1.0), weight / F.lit(step))
@@ -58,7 +60,8 @@ def with_range(records: DataFrame, splitters: DataFrame) -> DataFrame:
     """Adds `range`: the number of boundaries at or below the record's key.
 
     Boundaries are looked up by cell: how many lie in lower cells, and a short list of those
-    in the cell itself. The broadcast holds 2^CELL_BITS cells and the boundaries.
+    in the cell itself. The broadcast holds 2^CELL_BITS cells and the boundaries, of which
+    there are a few times MOST_RANGES at most (some 20 MB).
     """
     spark = records.sparkSession
     half = 1 << (CELL_BITS - 1)
@@ -94,24 +97,29 @@ def assign_shards(
 ) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every record.
 
-    The number of ranges grows with the rows (range_rows each), so that no task orders more
-    than a few million slim records at any scale.
+    The number of ranges grows with the rows (range_rows each) up to MOST_RANGES, so that tasks
+    order about range_rows slim records each up to 10^11 records, and more beyond.
     """
     records = materialize(keyed(df, id_col, text_col, overhead), "keys")
     total, n = records.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    ranges = max(least_ranges, -(-n // range_rows))
+    ranges = max(least_ranges, min(MOST_RANGES, -(-n // range_rows)))
     splitters = sample_splitters(records, F.col("size").cast("double"), max(total, 1), ranges, per_range, seed=3)
     splitters = materialize(splitters, "splitters")
-    sums = with_range(records, splitters).groupBy("range").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
-    over = (F.col("rows") > 4 * max(n / ranges, 64)) | (F.col("bytes") > 4 * max(total / ranges, 1))
-    overfull = materialize(sums.filter(over).select("range"), "overfull")
-    if overfull.head(1):
-        crowded = with_range(records, splitters).join(F.broadcast(overfull), "range", "left_semi")
+    for seed in (5, 7, 9):
+        placed = with_range(records, splitters)
+        sums = materialize(placed.groupBy("range").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes")), "sums")
+        over = (F.col("rows") > 4 * max(n / ranges, 64)) | (F.col("bytes") > 4 * max(total / ranges, 1))
+        # A range of one record cannot be subdivided.
+        overfull = sums.filter(over & (F.col("rows") > 1)).select("range")
+        if overfull.isEmpty():
+            break
+        crowded = placed.join(F.broadcast(overfull), "range", "left_semi")
         share = F.col("size") / F.lit(2.0 * max(total, 1)) + F.lit(0.5 / max(n, 1))
-        finer = sample_splitters(crowded, share, 1.0, 2 * ranges, per_range, seed=5)
+        finer = sample_splitters(crowded, share, 1.0, 2 * ranges, per_range, seed)
         splitters = materialize(splitters.union(finer).distinct(), "splitters")
-    placed = with_range(records, splitters)
-    sums = placed.groupBy("range").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
+    else:
+        placed = with_range(records, splitters)
+        sums = materialize(placed.groupBy("range").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes")), "sums")
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
     offsets = sums.select(
         "range",
