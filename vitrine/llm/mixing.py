@@ -2,10 +2,10 @@
 
 Every document gets a hash-random key; within a source, documents in the order of their keys
 are taken until the source's budget is used up exactly: whole epochs first, then a part of
-one. The order is never sorted as a whole. Key space is cut into SPANS ranges of equal width
-(hash-random keys fill them evenly), sums of the ranges give each source's prefix sums, and
-only the one range where a source's budget ends is ordered, to find the document that is cut
-and how many of its words are still taken.
+one. The order is never sorted as a whole. Key space is cut into ranges of equal width (spans,
+which hash-random keys fill evenly, about span_rows documents each), sums of the spans give
+each source's prefix sums, and only the one span where a source's budget ends is ordered, to
+find the document that is cut and how many of its words are still taken.
 
 Defined cases: a null text has size 0 and is never short of its zero words; null sources form
 one source, last in the order of weights; sources of size 0 get nothing; an empty table gives
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize, table
 
-SPANS = 4096
+#: Bits of a span's number: at least, and at most.
+LEAST_BITS, MOST_BITS = 12, 26
 #: Names for working columns that no table has.
 P = "__mix_"
 
@@ -63,14 +64,16 @@ def mix(
     weights: tuple[int, ...] = (1, 2, 3),
     most_epochs: int = 3,
     seed: int = 11,
+    span_rows: int = 20_000,
 ) -> DataFrame:
     """df's rows with __mix_size, __mix_source_size, __mix_target, __mix_epochs (times the whole text is taken), __mix_part (words of it taken once more) and __mix_taken.
 
     size: a column of words per row; by default the words of `text`.
     """
     size = word_count("text") if size is None else size
+    bits = min(MOST_BITS, max(LEAST_BITS, (df.count() // span_rows).bit_length()))
     rows = df.withColumn(P + "key", F.xxhash64(F.col(id_col), F.lit(seed))).withColumn(P + "size", size)
-    rows = rows.withColumn(P + "span", (F.shiftright(P + "key", 52) + F.lit(SPANS // 2)).cast("int")).withColumn(P + "source", F.col(source_col))
+    rows = rows.withColumn(P + "span", (F.shiftright(P + "key", 64 - bits) + F.lit(1 << (bits - 1))).cast("int")).withColumn(P + "source", F.col(source_col))
     spans = materialize(rows.groupBy(P + "source", P + "span").agg(F.sum(P + "size").alias("words")), "spans")
     sizes = targets(spans.groupBy(P + "source").agg(F.sum("words").alias(P + "source_size")), weights, most_epochs)
     budget = F.least(F.round("target").cast("long"), F.lit(most_epochs) * F.col(P + "source_size"))
