@@ -116,12 +116,13 @@ def test_wider_radius_links_similar_texts_only(spark):
             texts.append(" ".join(copy))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     fps = [S.fingerprint(t) for t in texts]
+    words = [S.fingerprint(t, 1, True) for t in texts]
     sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
     label = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
-            d, shared = (fps[i] ^ fps[j]).bit_count(), len(sets[i] & sets[j])
-            if d <= 3 or (d <= 7 and shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared)):
+            d, w, shared = (fps[i] ^ fps[j]).bit_count(), (words[i] ^ words[j]).bit_count(), len(sets[i] & sets[j])
+            if d <= 3 or (w <= 7 and shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared)):
                 a, b = label[i], label[j]
                 label = [min(a, b) if x in (a, b) else x for x in label]
     got = {x["doc_id"]: x["component_id"] for x in S.near_duplicates(df, wide=7).collect()}
@@ -132,8 +133,9 @@ def test_wider_radius_lists_all_pairs_of_different_roots(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK", 8)
     fps = sorted({f - 2**64 if f >> 63 else f for f in clustered(5, 250)} | {k * 5 for k in range(60)})
     root = {f: f if f % 3 else 7 for f in fps}
-    want = {(a, b) for a in fps for b in fps if a < b and root[a] != root[b] and ((a ^ b) & (2**64 - 1)).bit_count() <= 7}
-    df = spark.createDataFrame(list(root.items()), "fp long, root long")
+    rows = sorted(root.items()) + [(f, f + 1) for f in fps[:20]]
+    want = {(a, ra, b, rb) for a, ra in rows for b, rb in rows if (a, ra) < (b, rb) and ra != rb and ((a ^ b) & (2**64 - 1)).bit_count() <= 7}
+    df = spark.createDataFrame(rows, "fp long, root long")
     for hot in (0, 12):
         got = {tuple(r) for r in S.fingerprint_links(df, 7, hot_from=hot).distinct().collect()}
         assert got == want and len(want) > 500
@@ -147,8 +149,25 @@ def test_similar_pairs_of_a_dense_value_are_all_compared(spark, monkeypatch):
     fake = {t: (0b111 << 4 * (i % 8)) ^ (0b1111 << 32 if i >= 8 else 0) for i, t in enumerate(texts)}
     fake[texts[1]], fake[texts[9]] = fake[texts[0]], fake[texts[0]] ^ (0b11111 << 40)
     rows = spark.createDataFrame([(None, t, fake[t], n) for n, t in enumerate(texts)], "doc_id long, text string, fp long, n int")
-    docs = rows.select("fp", F.xxhash64("text").alias("text_hash"), *S.row_key(rows))
-    rooted = rows.select("fp", F.col("fp").alias("root")).distinct()
+    docs = rows.select("fp", F.col("fp").alias("root"), F.xxhash64("text").alias("text_hash"), *S.row_key(rows))
     monkeypatch.setattr(S, "WIDE_HOT", 0)
-    got = {tuple(r) for r in S.similar_links(rows, docs, rooted, 7, 5, 0.8, "text").collect()}
+    got = {tuple(r) for r in S.similar_links(rows, docs, 7, 5, 0.8, "text").collect()}
     assert got == {tuple(sorted((fake[texts[k]], fake[texts[k + 8]]))) for k in range(8)}
+
+
+def test_near_copies_are_found_by_their_words(spark):
+    """Nearly all pairs that share 0.8 of their five-word shingles, brute force over all pairs."""
+    r = random.Random(12)
+    vocabulary = ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9))) for _ in range(2000)]
+    texts = []
+    for _ in range(120):
+        words = [vocabulary[int(2000 * r.random() ** 3)] for _ in range(r.choice([60, 120, 300]))]
+        copy = list(words)
+        for k in r.sample(range(len(copy)), len(copy) // 60):
+            copy[k] = r.choice(vocabulary)
+        texts += [" ".join(words), " ".join(copy)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    alike = [(i, j) for j in range(len(texts)) for i in range(j) if (n := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - n)]
+    got = {x["doc_id"]: x["component_id"] for x in S.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), wide=7).collect()}
+    assert len(alike) > 80 and sum(got[i] == got[j] for i, j in alike) >= 0.95 * len(alike)
+    assert all(got[i] == got[j] or i // 2 != j // 2 for i, j in alike if (S.fingerprint(texts[i], 1, True) ^ S.fingerprint(texts[j], 1, True)).bit_count() <= 7)

@@ -17,10 +17,13 @@ held by more than HOT fingerprints goes another way, in blocks of bounded size:
 block, a breadth-first walk over exact distances returns a spanning forest of its links, not
 its pairs. Both ways together lose no link, so the components are exact.
 
-A wider radius with a similarity needs more: a forest's links may fail the similarity where
-other pairs meet it. So all pairs within that radius are listed, in blocks as well, but for
-those that the narrow radius has already joined; bitmaps of the shingle sets bound the
-similarity from above and leave out most others, and the rest are compared exactly.
+Near copies that differ in more bits are searched for by a second fingerprint, over the set of
+words of a text: a changed word touches several shingles but is one word of the set, so texts
+that share 0.8 of their shingles lie within a few bits there, and others hardly ever do. A
+similarity needs more than links, though: a forest's links may fail it where other pairs meet
+it. So all pairs within that wider radius are listed, in blocks as well, but for those that the
+narrow radius has already joined; bitmaps of the shingle sets bound the similarity from above
+and leave out most others, and the rest are compared exactly.
 
 Defined cases: a null or empty text has no shingles and the fingerprint zero, which links
 like any other; fewer words than a shingle form one shorter shingle; repeated rows and copies
@@ -62,12 +65,13 @@ LAYOUTS = {2: (4, 4), 3: (3, 3, 2), 4: (2, 2, 2, 2)}
 PROBE_COST = 1.0
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The SimHash of a whole text."""
+def fingerprint(text: str | None, shingle: int = 3, distinct: bool = False) -> int:
+    """The SimHash of a whole text, over all its word shingles or over the distinct ones."""
     words = (text or "").encode().lower().split()
     if not words:
         return 0
     parts = [b" ".join(w) for w in zip(*(words[i:] for i in range(shingle)))] if len(words) >= shingle else [b" ".join(words)]
+    parts = list(set(parts)) if distinct else parts
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(p, 42) for p in parts], dtype="<u8")
     ones = np.zeros(64, dtype=np.int64)
@@ -82,16 +86,17 @@ def row_key(df: DataFrame) -> list[Column]:
     return [F.xxhash64(F.lit(k), *values).alias(f"k{k}") for k in (1, 2)]
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: tuple[Column, ...] = ()) -> DataFrame:
-    """id, the fingerprint as a signed long and the columns to keep of every row."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: tuple[Column, ...] = (), words: bool = False) -> DataFrame:
+    """id, the fingerprint as a signed long and the columns to keep of every row; with words also wfp, the fingerprint of the set of words."""
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype="<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
+            texts = b.column(1).to_pylist()
+            fps = [pa.array(np.array([fingerprint(t, *how) for t in texts], dtype="<u8").view("<i8")) for how in [(shingle,)] + [(1, True)] * words]
+            yield pa.RecordBatch.from_arrays([b.column(0), *fps, *b.columns[2:]], names=["doc_id", "fp"] + ["wfp"] * words + b.schema.names[2:])
 
     slim = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
-    kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[2:])
+    kept = ", wfp long" * words + "".join(f", {f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[2:])
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp long{kept}")
 
 
@@ -218,18 +223,17 @@ def spanning_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def unjoined_pairs(group: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """a, b of all pairs a < b of a probe and an index entry within the radius that have different roots."""
+    """a, ra, b, rb of all pairs (a, ra) < (b, rb) of a probe and an index entry within the radius that have different roots."""
     is_probe = group["probe"].to_numpy().astype(bool)
     fp, root = (group[c].to_numpy().astype("<i8") for c in ("fp", "root"))
     a, ra, b, rb = fp[is_probe], root[is_probe], fp[~is_probe], root[~is_probe]
-    found = [np.zeros((2, 0), dtype="<i8")]
+    found = [np.zeros((4, 0), dtype="<i8")]
     for lo in range(0, len(a), 256):
-        own = a[lo : lo + 256, None]
+        own, ro = a[lo : lo + 256, None], ra[lo : lo + 256, None]
         near = np.bitwise_count(own.view("<u8") ^ b.view("<u8")[None, :]) <= radius
-        i, j = np.nonzero(near & (own < b[None, :]) & (ra[lo : lo + 256, None] != rb[None, :]))
-        found.append(np.stack([a[lo + i], b[j]]))
-    ends = np.concatenate(found, axis=1)
-    return pd.DataFrame({"a": ends[0], "b": ends[1]})
+        i, j = np.nonzero(near & (ro != rb[None, :]) & ((own < b[None, :]) | ((own == b[None, :]) & (ro < rb[None, :]))))
+        found.append(np.stack([a[lo + i], ra[lo + i], b[j], rb[j]]))
+    return pd.DataFrame(np.concatenate(found, axis=1).T, columns=["a", "ra", "b", "rb"])
 
 
 def links_in_blocks(entries: DataFrame, sizes: DataFrame, radius: int) -> DataFrame:
@@ -249,13 +253,14 @@ def links_in_blocks(entries: DataFrame, sizes: DataFrame, radius: int) -> DataFr
         ends = np.array(links, dtype="<u8").reshape(-1, 2).view("<i8")
         return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
 
-    return dealt.groupBy("key", "x", "q").applyInPandas(walk, "a long, b long")
+    return dealt.groupBy("key", "x", "q").applyInPandas(walk, "a long, ra long, b long, rb long" if rooted else "a long, b long")
 
 
 def fingerprint_links(fps: DataFrame, radius: int = 3, hot_from: int | None = None) -> DataFrame:
     """Links a, b between distinct fingerprints that join all that lie within the radius into the same components.
 
-    If fps has a column root, they are instead all pairs within the radius whose roots differ, some of them repeated.
+    If fps has a column root, they are instead all pairs a, ra, b, rb of rows (fp, root) within the
+    radius whose roots differ, some of them repeated.
     """
     n = fps.count()
     sample = [r[0] for r in fps.filter(uniform(F.col("fp"), seed=31) < SAMPLE / max(n, 1)).select("fp").limit(2 * SAMPLE).collect()]
@@ -282,15 +287,18 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, hot_from: int | None = No
     ends = [c for c in ("fp", "root") if c in fps.columns]
     index = entries.filter(~F.col("probe")).select("key", *(F.col(c).alias(n) for c, n in zip(ends, ("b", "rb"))))
     probes = entries.filter("probe").select("key", *(F.col(c).alias(n) for c, n in zip(ends, ("a", "ra"))))
-    near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius) & (F.col("a") < F.col("b"))
+    near, out = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius, ["a", "b"]
     if "root" in ends:
-        near &= F.col("ra") != F.col("rb")
-    cold = probes.join(index.join(hot.select("key"), "key", "left_anti"), "key").filter(near).select("a", "b")
+        near &= (F.col("ra") != F.col("rb")) & (F.struct("a", "ra") < F.struct("b", "rb"))
+        out = ["a", "ra", "b", "rb"]
+    else:
+        near &= F.col("a") < F.col("b")
+    cold = probes.join(index.join(hot.select("key"), "key", "left_anti"), "key").filter(near).select(*out)
     return cold.union(links_in_blocks(entries, hot, radius))
 
 
 def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
-    """fp, text_hash, the sorted distinct hashes of the word shingles, their number and a bitmap of a table of fp, text_hash, text.
+    """fp, root, text_hash, the sorted distinct hashes of the word shingles, their number and a bitmap of a table of fp, root, text_hash, text.
 
     A bit of the bitmap is the parity of the hashes that fall on it, so two sets differ in at
     least as many members as their bitmaps in bits.
@@ -299,7 +307,7 @@ def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
     def run(batches):
         for b in batches:
             sets, maps = [], []
-            for text in b.column(2).to_pylist():
+            for text in b.column(3).to_pylist():
                 words = (text or "").encode().lower().split()
                 n = max(1, len(words) - shingle + 1)
                 own = np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(n)], dtype="<u8"))
@@ -307,33 +315,36 @@ def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
                 parity = np.bincount((own % BITMAP).astype(int), minlength=BITMAP) & 1
                 maps.append(np.packbits(parity.astype(bool), bitorder="little").view("<i8"))
             columns = [pa.array(sets, pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int32()), pa.array(maps, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["fp", "text_hash", "set", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns], names=["fp", "root", "text_hash", "set", "n", "bits"])
 
-    return df.select("fp", "text_hash", "text").mapInArrow(run, "fp long, text_hash long, set array<long>, n int, bits array<long>")
+    return df.select("fp", "root", "text_hash", "text").mapInArrow(run, "fp long, root long, text_hash long, set array<long>, n int, bits array<long>")
 
 
-def similar_links(df: DataFrame, docs: DataFrame, rooted: DataFrame, radius: int, shingle: int, similarity: float, text_col: str) -> DataFrame:
-    """Links between fingerprints of different roots within a wider radius of which two texts share enough of their word shingles (exact Jaccard similarity).
+def similar_links(df: DataFrame, docs: DataFrame, radius: int, shingle: int, similarity: float, text_col: str) -> DataFrame:
+    """Links a, b between roots of which two texts lie within a wider radius and share enough of their word shingles (exact Jaccard similarity).
 
-    docs has fp, text_hash and the row key of every row of df; every distinct text of a
-    fingerprint is compared.
+    docs has fp (the fingerprint for this search), root, text_hash and the row key of every row
+    of df; every distinct text of a fingerprint and root is compared.
     """
-    pairs = materialize(fingerprint_links(rooted, radius, hot_from=WIDE_HOT).distinct(), "wide")
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = docs.join(ends, "fp", "left_semi").groupBy("fp", "text_hash").agg(F.min(F.struct("k1", "k2")).alias("k")).select("fp", "text_hash", "k.k1", "k.k2")
+    nodes = materialize(docs.select("fp", "root").distinct(), "nodes")
+    pairs = materialize(fingerprint_links(nodes, radius, hot_from=WIDE_HOT).distinct(), "wide")
+    ends = pairs.select(F.col("a").alias("fp"), F.col("ra").alias("root")).union(pairs.select("b", "rb")).distinct()
+    wanted = docs.join(ends, ["fp", "root"], "left_semi").groupBy("fp", "root", "text_hash").agg(F.min(F.struct("k1", "k2")).alias("k"))
+    wanted = wanted.select("fp", "root", "text_hash", "k.k1", "k.k2")
     key = row_key(df)
     texts = df.select(F.col(text_col).alias("text"), *key).join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     sets = materialize(shingle_sets(texts, shingle), "shingles")
 
     def side(end: str, *cols: str) -> DataFrame:
-        return sets.select(F.col("fp").alias(end), F.col("text_hash").alias(f"t{end}"), *(F.col(c).alias(c + end) for c in cols))
+        return sets.select(F.col("fp").alias(end), F.col("root").alias(f"r{end}"), F.col("text_hash").alias(f"t{end}"), *(F.col(c).alias(c + end) for c in cols))
 
     apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     most = (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-    close = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").filter(apart <= most).select("a", "ta", "b", "tb")
-    both = materialize(close, "close").join(side("a", "set"), ["a", "ta"]).join(side("b", "set"), ["b", "tb"])
+    close = pairs.join(side("a", "n", "bits"), ["a", "ra"]).join(side("b", "n", "bits"), ["b", "rb"]).filter(apart <= most).select("a", "ra", "ta", "b", "rb", "tb")
+    both = materialize(close, "close").join(side("a", "set"), ["a", "ra", "ta"]).join(side("b", "set"), ["b", "rb", "tb"])
     shared = F.size(F.array_intersect("seta", "setb"))
-    return both.filter(shared >= similarity * (F.size("seta") + F.size("setb") - shared)).select("a", "b").distinct()
+    alike = both.filter(shared >= similarity * (F.size("seta") + F.size("setb") - shared))
+    return alike.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
 
 
 def classes(
@@ -342,14 +353,15 @@ def classes(
     """doc_id, fp and the columns to keep of every row; fp, first (its smallest id) and root (its component) of every fingerprint."""
     if wide is not None:
         keep = (F.xxhash64(text_col).alias("text_hash"), *row_key(df))
-    docs = materialize(fingerprints(df, id_col, text_col, shingle, keep), "fingerprints")
+    docs = materialize(fingerprints(df, id_col, text_col, shingle, keep, words=wide is not None), "fingerprints")
     firsts = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = materialize(components(fingerprint_links(firsts, radius), "a", "b"), "roots")
     rooted = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     if wide is None:
         return docs, rooted
     rooted = materialize(rooted, "rooted")
-    links = similar_links(df, docs, rooted, wide, wide_shingle, similarity, text_col).union(roots.select("node", "root"))
+    searched = docs.join(rooted, "fp").select(F.col("wfp").alias("fp"), "root", "text_hash", "k1", "k2")
+    links = similar_links(df, searched, wide, wide_shingle, similarity, text_col).union(roots.select("node", "root"))
     roots = materialize(components(links, "a", "b"), "roots")
     return docs, rooted.drop("root").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
@@ -359,8 +371,9 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, fp and component_id (the smallest id reachable by links) of every row.
 
-    Fingerprints within the radius link. With `wide`, so do those within that larger radius whose
-    texts have the given similarity on shingles of wide_shingle words.
+    Fingerprints within the radius link. With `wide`, so do texts whose sets of words have
+    fingerprints within that larger radius and which have the given similarity on shingles of
+    wide_shingle words.
     """
     docs, rooted = classes(df, id_col, text_col, shingle, radius, wide, wide_shingle, similarity)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
