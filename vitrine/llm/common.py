@@ -20,17 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what the session names in spark.checkpoint.dir. Where that is unset, as in tests
-    on one machine, a temporary folder is made and set as the checkpoint folder.
+    It is what the session names in spark.checkpoint.dir. Where that is unset and everything runs
+    in one process, as in tests, a temporary folder is made and set as the checkpoint folder; on
+    a cluster a folder of one machine would not do.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if own is None:
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not named:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vitrine-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
@@ -38,7 +38,7 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/vitrine-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
+def materialize(df: DataFrame, what: str, **options: str) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back.
 
     This cuts the lineage: a lost executor costs no more than reading files again. Unlike
@@ -46,7 +46,7 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, what)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

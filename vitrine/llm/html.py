@@ -171,13 +171,13 @@ def blocks_of(html: str) -> list[tuple[str, int, str]]:
 
 
 def packed(blocks: list[tuple[str, int, str]]) -> bytes:
-    """The blocks of a page in one compressed value: a line with their number, their kinds and places, their texts."""
+    """The blocks of a page in one value: a line with their number, their kinds and places, their texts."""
     lines = [str(len(blocks)), *(f"{kind}{place}" for _, kind, place in blocks), *(text for text, _, _ in blocks)]
-    return zstandard.compress("\n".join(lines).encode("utf-8", "replace"))
+    return "\n".join(lines).encode("utf-8", "replace")
 
 
 def unpacked(data: bytes) -> list[tuple[str, int, str]]:
-    lines = zstandard.decompress(data).decode().split("\n")
+    lines = data.decode().split("\n")
     n = int(lines[0])
     return [(text, int(p[0]), p[1:]) for p, text in zip(lines[1 : n + 1], lines[n + 1 :])]
 
@@ -447,18 +447,19 @@ def extract(df: DataFrame, slab_bytes: int = 4 << 20) -> DataFrame:
 
     def parse(batches):
         for b in batches:
-            blobs = [packed(blocks_of(h or "")) for h in b.column(0).to_pylist()]
+            blobs = [zstandard.compress(packed(blocks_of(h or ""))) for h in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), *b.columns[1:]], names=["blob", *b.schema.names[1:]])
 
     def mark(group: pd.DataFrame) -> pd.DataFrame:
-        bits = [np.packbits(m).tobytes() for m in marked([unpacked(b) for b in group["blob"]])]
-        return group.assign(nth=np.arange(len(group), dtype=np.int32), marks=bits)[["page_id", "url", "host", "slab", "slabs", "nth", "blob", "marks"]]
+        blobs = [zstandard.decompress(b) for b in group["blob"]]
+        bits = [np.packbits(m).tobytes() for m in marked([unpacked(b) for b in blobs])]
+        return group.assign(nth=np.arange(len(group), dtype=np.int32), blob=blobs, marks=bits)[["page_id", "url", "host", "slab", "slabs", "nth", "blob", "marks"]]
 
     parsed = placed.select("html", "page_id", "url", "host", "slab", "slabs").mapInArrow(parse, f"blob binary, page_id {kind}, url string, host string, slab int, slabs int")
     # As many partitions as slabs, so that a task has a few of them, however large the table.
     dealt = parsed.repartition(max(1, -(-total // slab_bytes)), "host", "slab")
     pages = dealt.groupBy("host", "slab").applyInPandas(mark, f"page_id {kind}, url string, host string, slab int, slabs int, nth int, blob binary, marks binary")
-    pages = materialize(pages, "marked")
+    pages = materialize(pages, "marked", compression="zstd")
     at = F.lit(None).cast("array<int>")
     if not slabs.filter("slabs > 1").isEmpty():
         elsewhere = repeated_elsewhere(pages.filter("slabs > 1").withColumn("at", at))
