@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where the setting is absent, as in tests on one machine, a temporary one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir; where the setting is absent and one process runs all, as in tests, a temporary one is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vitrine-"))
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vitrine-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
 
