@@ -12,21 +12,35 @@ from vitrine.sources import html as H
 from vitrine.sources import sinks
 
 
+def sequential(pairs):
+    taken, used = [], set()
+    for d, p, r, x in sorted(set(pairs), key=lambda x: (x[0], x[3] is None, -(x[3] or 0), x[1] or 0, x[2])):
+        if p is not None and not {(d, "p", p), (d, "r", r)} & used:
+            taken.append((d, p, r, x))
+            used |= {(d, "p", p), (d, "r", r)}
+    return sorted(taken, key=lambda x: x[:3])
+
+
 def test_greedy_is_the_sequential_pass(spark):
-    r = random.Random(1)
-    pairs = [(d, r.randrange(12), 100 + r.randrange(12), r.choice([0.5, 0.6, 0.7, None])) for d in ("a", "b") for _ in range(60)] + [("a", None, 3, 0.9)]
-    got = A.greedy_assignment(spark.createDataFrame(pairs, "domain string, primary_id long, rival_id long, score double")).collect()
-    want = []
-    for d in ("a", "b"):
-        p, q = set(), set()
-        for x in sorted({x for x in pairs if x[0] == d and x[1] is not None}, key=lambda x: (x[3] is None, -(x[3] or 0), x[1], x[2])):
-            if x[1] not in p and x[2] not in q:
-                want.append(x)
-                p.add(x[1])
-                q.add(x[2])
-    key = lambda x: (x[0], x[1], x[2])
-    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
-    assert A.greedy_assignment(spark.createDataFrame([], "domain string, primary_id long, rival_id long, score double")).collect() == []
+    schema = "domain string, primary_id long, rival_id long, score double"
+    for seed in (1, 2, 3):
+        r = random.Random(seed)
+        # Ties of all shapes: single pairs, blocks, blocks that share a side, and missing pairs in blocks.
+        pairs = [(d, r.randrange(12), 100 + r.randrange(12), r.choice([0.5, 0.6, 0.7, None])) for d in ("a", "b") for _ in range(60)] + [("a", None, 3, 0.9)]
+        pairs += [("c", p, q, 0.8 if (p < 5) == (q < 7) else 0.4) for p in range(12) for q in range(12)] + [("d", p, q, 0.5) for p in range(9) for q in range(6) if r.random() < 0.8]
+        df = spark.createDataFrame(pairs, schema)
+        want = sequential(pairs)
+        for most in (0, 40, 2_000_000):
+            assert sorted(map(tuple, A.greedy_assignment(df, most_pairs=most).collect()), key=lambda x: x[:3]) == want
+    assert A.greedy_assignment(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_greedy_takes_blocks_of_ties_at_once(spark):
+    n = 500
+    ties = spark.range(n).select(F.col("id").alias("primary_id")).join(spark.range(n).select((F.col("id") * 3).alias("rival_id")), F.lit(True)).selectExpr("'a' AS domain", "primary_id", "rival_id", "0.7D AS score")
+    for most in (2_000_000, 1000):
+        got = A.greedy_assignment(ties, most_pairs=most).collect()
+        assert sorted((r["primary_id"], r["rival_id"]) for r in got) == [(k, 3 * k) for k in range(n)]
 
 
 def test_best_benefit_is_the_best():
@@ -51,6 +65,18 @@ def test_component_assignment_ignores_order(spark):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) == 4 and all(r["exact"] for r in a)
 
 
+def test_component_assignment_cuts_lose_nothing(spark):
+    """The benefit of a run is that of solving all its edges, though ranks cut most of them away."""
+    r = random.Random(8)
+    edges = {(row, c): (run, row, c, int(r.random() < 0.3), round(r.random(), 2)) for run in (1, 2) for row in range(run * 100, run * 100 + 30) for c in range(40) if r.random() < 0.6}
+    df = spark.createDataFrame(list(edges.values()), "run long, row long, component long, exact int, score double")
+    got = A.component_assignment(df, target=3, per_row=40).collect()
+    for run in (1, 2):
+        own = [(e[1], e[2], e[3] * 4 + e[4]) for e in edges.values() if e[0] == run]
+        want = sum(own[k][2] for k in A.best_benefit(own, 3))
+        assert abs(sum(x["exact"] * 4 + x["score"] for x in got if x["run"] == run) - want) < 1e-9
+
+
 def test_identity_classes_follow_chains(spark):
     keys = [(i, f"k{i // 2}") for i in range(40)] + [(i, f"j{(i + 1) // 2}") for i in range(40)] + [(100, "z"), (None, "z")]
     got = {r["id"]: r["component"] for r in A.identity_classes(spark.createDataFrame(keys, "id long, key string")).collect()}

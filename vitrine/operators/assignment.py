@@ -1,42 +1,79 @@
 """One-to-one assignment of products.
 
-Greedy assignment in the order of scores gives the same pairs as taking, again and again, every
-pair that is the first choice of both its sides: with a total order, no earlier pair can take
-either of them. So it runs as rounds of two aggregations over all groups at once, and no group
-is ever gathered into one task.
+Greedy assignment takes pairs in the order of score, primary and rival. A group with a bounded
+number of pairs, as one company's catalog against another's, is passed through in a task of its
+own. Larger groups shrink first, in rounds over all of them at once that settle what no earlier
+pair can touch: pairs that are the first choice of both sides, and whole blocks of ties, in
+which the n-th primary takes the n-th rival. Both ways give the pairs of the sequential pass.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
 
 
-def greedy_assignment(pairs: DataFrame, group: str = "domain", most_rounds: int = 200) -> DataFrame:
+def _sequential(pairs: pd.DataFrame) -> pd.DataFrame:
+    """The greedy pass over one group of g, p, r, s."""
+    pairs = pairs.sort_values(["s", "p", "r"])
+    p_used, r_used, keep = set(), set(), []
+    for k, (p, r) in enumerate(zip(pairs["p"].tolist(), pairs["r"].tolist())):
+        if p not in p_used and r not in r_used:
+            keep.append(k)
+            p_used.add(p)
+            r_used.add(r)
+    return pairs.iloc[keep]
+
+
+def _set_of(c: str) -> Column:
+    """A value that two groups share if, but for chance, they have the same set of ids."""
+    return F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(c)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), c)).alias("y"))
+
+
+def _settled(left: DataFrame) -> DataFrame:
+    """g, s, p, r of pairs that the greedy pass is sure to take, at least one of each group."""
+    choice = F.min(F.struct("s", "p", "r")).alias("c")
+    first_p, first_r = (left.groupBy("g", c).agg(choice).select("g", "c.s", "c.p", "c.r") for c in ("p", "r"))
+    mutual = first_p.join(first_r, ["g", "s", "p", "r"], "left_semi")
+    # Blocks: primaries with the same best rivals, all of which have these primaries as their best, form a complete block of ties.
+    best_p, best_r = (left.groupBy("g", c).agg(F.min("s").alias(f"s{c}")) for c in ("p", "r"))
+    level = stored(left.join(best_p, ["g", "p"]).join(best_r, ["g", "r"]), "levels")
+    of_p = level.filter("s = sp").groupBy("g", "s", "p").agg(_set_of("r").alias("rivals"))
+    members = of_p.groupBy("g", "s", "rivals").agg(_set_of("p").alias("primaries"))
+    of_r = level.filter("s = sr").groupBy("g", "s", "r").agg(_set_of("p").alias("primaries"))
+    edges = level.filter("s = sp AND s = sr").select("g", "s", "p", "r").join(of_p, ["g", "s", "p"]).join(of_r, ["g", "s", "r"])
+    met = edges.join(members, ["g", "s", "rivals", "primaries"], "left_semi")
+    whole = met.groupBy("g", "s", "rivals", "p").agg(F.count(F.lit(1)).alias("n")).filter("n = rivals.n").select("g", "s", "rivals", "p")
+    block = Window.partitionBy("g", "s", "rivals")
+    nth_p = whole.withColumn("nth", F.row_number().over(block.orderBy("p")))
+    nth_r = met.join(whole, ["g", "s", "rivals", "p"], "left_semi").select("g", "s", "rivals", "r").distinct().withColumn("nth", F.row_number().over(block.orderBy("r")))
+    ranked = nth_p.join(nth_r, ["g", "s", "rivals", "nth"]).select("g", "s", "p", "r")
+    return mutual.union(ranked).distinct()
+
+
+def greedy_assignment(pairs: DataFrame, group: str = "domain", most_pairs: int = 2_000_000) -> DataFrame:
     """The pairs that a greedy pass over score desc, primary_id, rival_id takes in each group.
 
     pairs has group, primary_id, rival_id, score; ids are used once in a group. Repeated pairs
-    count once; null scores come last; null ids are never taken.
+    count once; null scores come last; null ids are never taken. Groups of more than most_pairs
+    pairs shrink in rounds until they have no more; the result does not depend on it.
     """
-    choice = F.struct(F.coalesce(-F.col("score"), F.lit(float("inf"))).alias("s"), F.col("primary_id").alias("p"), F.col("rival_id").alias("r"))
-    left = stored(pairs.filter("primary_id IS NOT NULL AND rival_id IS NOT NULL").select(F.col(group).alias("g"), "primary_id", "rival_id", "score").distinct(), "pairs")
-    taken = None
-    for _ in range(most_rounds):
-        best_p = left.groupBy("g", "primary_id").agg(F.min(choice).alias("c")).select("g", F.col("c.s").alias("s"), F.col("c.p").alias("p"), F.col("c.r").alias("r"))
-        best_r = left.groupBy("g", "rival_id").agg(F.min(choice).alias("c")).select("g", F.col("c.s").alias("s"), F.col("c.p").alias("p"), F.col("c.r").alias("r"))
-        both = stored(best_p.join(best_r, ["g", "s", "p", "r"], "left_semi"), "taken")
-        if not both.head(1):
+    s = F.coalesce(-F.col("score").cast("double"), F.lit(float("inf"))).alias("s")
+    left = pairs.filter("primary_id IS NOT NULL AND rival_id IS NOT NULL").select(F.col(group).alias("g"), s, F.col("primary_id").alias("p"), F.col("rival_id").alias("r"))
+    left = stored(left.distinct(), "pairs")
+    schema, taken = left.schema, None
+    while True:
+        large = stored(left.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most_pairs).select("g"), "large")
+        if large.isEmpty():
             break
+        both = stored(_settled(left.join(large, "g", "left_semi")), "taken")
         taken = both if taken is None else taken.unionByName(both)
-        left = left.join(both.select("g", F.col("p").alias("primary_id")), ["g", "primary_id"], "left_anti")
-        left = stored(left.join(both.select("g", F.col("r").alias("rival_id")), ["g", "rival_id"], "left_anti"), "pairs")
-    else:
-        raise RuntimeError(f"pairs are left after {most_rounds} rounds")
-    if taken is None:
-        return left.select(F.col("g").alias(group), "primary_id", "rival_id", "score")
+        left = stored(left.join(both.select("g", "p"), ["g", "p"], "left_anti").join(both.select("g", "r"), ["g", "r"], "left_anti").select("g", "s", "p", "r"), "pairs")
+    rest = left.groupBy("g").applyInPandas(_sequential, schema)
+    taken = rest if taken is None else taken.select("g", "s", "p", "r").union(rest)
     score = F.when(F.col("s") == float("inf"), F.lit(None)).otherwise(-F.col("s"))
     return taken.select(F.col("g").alias(group), F.col("p").alias("primary_id"), F.col("r").alias("rival_id"), score.alias("score"))
 
@@ -104,18 +141,25 @@ def best_benefit(edges: list[tuple[int, int, float]], size: int) -> list[int]:
 def component_assignment(edges: DataFrame, target: int = 20, per_row: int = 20) -> DataFrame:
     """Per run, the published pairs of greatest total benefit: run, row, component, exact, score.
 
-    A row keeps its best edge of each component and at most per_row edges, and a run asks for at
-    most `target` rows, so a run's group is bounded: rows beyond target * per_row best ones by
-    benefit cannot be in a best choice of `target` edges and are cut by rank first.
+    A row keeps its best edge of each component and at most per_row edges. The best choice of at
+    most `target` edges then needs no more than each component's `target` best rows and, of
+    these, the target * target * per_row best edges of a run: an edge outside could be exchanged
+    for a better one whose row and component are free. So what one task solves is bounded. Ranks
+    are taken within salted parts of a run first, so no task orders a whole run either.
     """
-    from pyspark.sql import Window
-
     order = [F.col("exact").desc(), F.col("score").desc(), F.col("component")]
     one = edges.withColumn("n", F.row_number().over(Window.partitionBy("run", "row", "component").orderBy(*order))).filter("n = 1")
     few = one.withColumn("n", F.row_number().over(Window.partitionBy("run", "row").orderBy(*order))).filter(F.col("n") <= per_row)
-    # A best choice of `target` edges only needs each component's `target` best rows.
-    few = few.withColumn("m", F.row_number().over(Window.partitionBy("run", "component").orderBy(*order[:2], "row"))).filter(F.col("m") <= target)
-    few = few.withColumn("q", F.dense_rank().over(Window.partitionBy("run").orderBy(*order[:2], "row", "component"))).filter(F.col("q") <= target * target * per_row)
+
+    def best(df: DataFrame, keys: list[str], by: list, most: int) -> DataFrame:
+        """The `most` first rows of each key, parts of a key first."""
+        part = df.withColumn("part", F.pmod(F.xxhash64("row", "component"), F.lit(64)))
+        for window in (Window.partitionBy(*keys, "part"), Window.partitionBy(*keys)):
+            part = part.withColumn("m", F.row_number().over(window.orderBy(*by))).filter(F.col("m") <= most)
+        return part.drop("part", "m")
+
+    few = best(few, ["run", "component"], [*order[:2], F.col("row")], target)
+    few = best(few, ["run"], [*order[:2], F.col("row"), F.col("component")], target * target * per_row)
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["row", "component"]).reset_index(drop=True)

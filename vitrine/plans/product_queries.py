@@ -86,7 +86,13 @@ def pair_score_eligible(spark, sf_dir):
     return scored_pairs(spark, sf_dir).select("primary_id", "rival_id", F.col("s.score").alias("score"), F.col("s.eligible").alias("eligible"))
 
 
-@query()
+# The greedy pass itself: one pair of each domain after the other, in order, with the ids used so far.
+@query(f"""WITH RECURSIVE {_SCORED}, o AS (SELECT domain, primary_id, rival_id, score, row_number() OVER (PARTITION BY domain ORDER BY score DESC, primary_id, rival_id) AS n FROM sc WHERE score >= 0.32),
+walk AS (SELECT domain, 0::BIGINT AS n, []::BIGINT[] AS ps, []::BIGINT[] AS rs, false AS took, NULL::BIGINT AS primary_id, NULL::BIGINT AS rival_id, NULL::DOUBLE AS score FROM o GROUP BY domain
+UNION ALL SELECT w.domain, o.n, CASE WHEN list_contains(w.ps, o.primary_id) OR list_contains(w.rs, o.rival_id) THEN w.ps ELSE list_append(w.ps, o.primary_id) END,
+CASE WHEN list_contains(w.ps, o.primary_id) OR list_contains(w.rs, o.rival_id) THEN w.rs ELSE list_append(w.rs, o.rival_id) END,
+NOT (list_contains(w.ps, o.primary_id) OR list_contains(w.rs, o.rival_id)), o.primary_id, o.rival_id, o.score FROM walk w JOIN o ON o.domain = w.domain AND o.n = w.n + 1)
+SELECT domain, primary_id, rival_id, score FROM walk WHERE took""")
 def greedy_assignment(spark, sf_dir):
     """One-to-one pairs per rival domain by score."""
     pairs = scored_pairs(spark, sf_dir).filter("s.eligible").select(F.col("r.domain").alias("domain"), "primary_id", "rival_id", F.col("s.score").alias("score"))
@@ -95,11 +101,12 @@ def greedy_assignment(spark, sf_dir):
 
 @query()
 def component_assignment(spark, sf_dir):
-    """The best publishable set of pairs per run, components of rivals taken once."""
+    """The best publishable set of pairs per run (a size of the primary products), components of rivals taken once."""
     pairs = scored_pairs(spark, sf_dir).filter("s.eligible")
+    runs = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("primary_id"), F.col("p_size").cast("long").alias("run"))
     classes = A.identity_classes(catalog(spark, sf_dir).select("id", F.concat_ws("|", "domain", "name").alias("key")))
-    edges = pairs.join(classes, pairs["rival_id"] == classes["id"]).select(
-        F.lit(1).cast("long").alias("run"), F.col("primary_id").alias("row"), "component", (F.col("s.score") >= 0.7).cast("int").alias("exact"), F.col("s.score").alias("score")
+    edges = pairs.join(runs, "primary_id").join(classes, pairs["rival_id"] == classes["id"]).select(
+        "run", F.col("primary_id").alias("row"), "component", (F.col("s.score") >= 0.7).cast("int").alias("exact"), F.col("s.score").alias("score")
     )
     return A.component_assignment(edges)
 
