@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from vitrine.functions.codes import countries, currencies
 from vitrine.functions import identifiers as I
 from vitrine.functions import numbers as N
 from vitrine.functions import prices as P
@@ -90,11 +91,23 @@ def test_identifiers(spark):
         ("CA$ 5 per user per month", None, ("CAD", 5.0, "month")), ("5 USD", None, ("USD", 5.0, None)), ("−5", None, None), ("0 USD", None, ("USD", 0.0, None)),
     ],
 )
-def test_price_signal(text, currency, want):
-    got = P.price_signal(text, currency)
+def test_price_signal(spark, text, currency, want):
+    got = P.price_signal(text, currency, currencies())
     assert (got and got[1:]) == want
 
 
+def test_codes(spark):
+    assert len(countries()) == 249 and {"HM", "MO", "GI", "PR", "KY", "SS"} <= countries() and not {"UK", "EU", "AN"} & countries()
+    assert {"JPY", "SEK", "TRY", "KRW", "AED"} <= currencies() and "XXX" not in currencies()
+    assert over(spark, P.is_supported_currency, ["jpy", " SEK ", "ABC", None]) == [True, True, False, False]
+
+
+def test_listings_in_many_languages(spark):
+    yes = ["https://s.com/collections/tea/products/x", "https://s.com/suche/tee", "https://s.com/tienda/busqueda-te", "https://s.com/a/b%C3%BAsqueda", "https://s.com/x/page/2", "https://s.com/products/all", "https://s.com/p?sort=up", "https://s.com/検索", "not a url", None]
+    no = ["https://s.com/products/blue-tea", "https://s.com/produkte/tee?variant=3&sku=1", "https://s.com/tea/alle", "https://s.com/"]
+    assert over(spark, U.is_listing_url, yes + no) == [True] * len(yes) + [False] * len(no)
+
+
 def test_offers(spark):
     kind = "array<struct<label:string,valid_until:timestamp,currency:string,low:double,high:double,price:double>>"
     old, new = datetime(2020, 1, 1), datetime(2030, 1, 1)
@@ -146,7 +159,10 @@ def test_urls(spark):
         ("https://shop.com/products/x?country=US", ("US", "", True, False, "country:US")), ("https://shop.com/en-gb/products/x", ("GB", "", True, False, "country:GB")), ("https://shop.de/x", ("DE", "", False, False, "country:DE")),
         ("https://shop.de/products/x?country=US", ("", "", True, True, "conflict")), ("https://shop.com/en/products/x", ("", "", False, False, "")), ("https://shop.com/?currency=EUR", ("", "EUR", True, False, "currency:EUR")),
         ("https://shop.io/x", ("", "", False, False, "")), ("https://shop.com/?currency=XXX", ("", "", True, False, "currency:?")), (None, ("", "", False, False, "")), ("http://[bad", ("", "", False, False, "")), ("https://a.co.uk/", ("GB", "", False, False, "country:GB")),
+        ("https://shop.com/products/x?country_code=hm&currencycode=SEK", ("HM", "SEK", True, False, "country:HM|currency:SEK")), ("https://shop.com/products/x?market=EU", ("", "", False, False, "")), ("https://shop.com/products/x?locale=en", ("", "", True, False, "country:?")),
+        ("https://shop.com/de/shop/x", ("", "", False, False, "")), ("https://shop.com/no/shop/x", ("NO", "", True, False, "country:NO")), ("https://shop.com/en-uk/products/x", ("", "", True, False, "country:?")), ("https://shop.com/au/products/x?currency=AUD&currency=NZD", ("", "", True, True, "conflict")),
+        ("https://shop.com/ja/products/x", ("", "", False, False, "")), ("https://shop.nu/x", ("", "", False, False, "")), ("https://shop.ky/x", ("KY", "", False, False, "country:KY")),
     ],
 )
-def test_markets(url, want):
-    assert U.market_of(url) == want
+def test_markets(spark, url, want):
+    assert U.market_of(url, countries(), currencies()) == want

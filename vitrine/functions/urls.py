@@ -10,7 +10,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .constants import COUNTRIES, CURRENCIES, GENERIC_TLDS, LANGUAGES, LISTING_ROUTES, PRODUCT_ROUTES
+from .codes import countries, currencies
+from .constants import (
+    CONTAINER_SEGMENT_PATTERN,
+    GENERIC_TAIL_PATTERN,
+    GENERIC_TLDS,
+    LANGUAGES,
+    LISTING_ROUTES,
+    LISTING_SEGMENT_PATTERN,
+    PAGE_SEGMENT_PATTERN,
+    PATH_LANGUAGES,
+    PRODUCT_QUERY_PATTERN,
+    PRODUCT_ROUTES,
+    RESULT_SEGMENT_PATTERN,
+    SHOP_ROUTES,
+)
 from .numbers import col
 
 
@@ -61,9 +75,13 @@ def path_segments(c: Column | str) -> Column:
 
 
 def product_path(c: Column | str) -> Column:
-    """What follows the product route in a path; null if there is no such route or nothing follows."""
+    """What follows the product route in a path, or else a shop's; null if there is no such route or nothing follows."""
     segments = path_segments(c)
-    at = F.array_min(F.array_compact(F.array(*(F.nullif(F.array_position(segments, F.lit(r)), F.lit(0)) for r in PRODUCT_ROUTES))))
+
+    def first(routes: list[str]) -> Column:
+        return F.array_min(F.array_compact(F.array(*(F.nullif(F.array_position(segments, F.lit(r)), F.lit(0)) for r in routes))))
+
+    at = F.coalesce(first(PRODUCT_ROUTES), first(SHOP_ROUTES))
     rest = F.slice(segments, at.cast("int") + 1, F.size(segments))
     return F.when(F.size(rest) > 0, F.array_join(rest, "/"))
 
@@ -73,6 +91,22 @@ def is_listing_route(c: Column | str) -> Column:
     return F.coalesce(F.arrays_overlap(path_segments(c), F.array(*map(F.lit, LISTING_ROUTES))) & product_path(c).isNull(), F.lit(False))
 
 
+def is_listing_url(c: Column | str) -> Column:
+    """Whether a URL lists products, by its query and by words of several languages in its path; what is no http URL counts as a listing."""
+    url = F.coalesce(col(c), F.lit(""))
+    keys = F.regexp_extract_all(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit(r"(?:^|&)([^=&]+)"), 1)
+    segments = F.filter(F.split(F.coalesce(F.try_url_decode(url_path(url)), url_path(url)), "/"), lambda s: s != "")
+    plain = lambda s: F.translate(F.lower(s), "áàâäãåéèêëíìîïóòôöõúùûüñç", "aaaaaaeeeeiiiiooooouuuunc")
+
+    def lists(s: Column, i: Column) -> Column:
+        contained = F.coalesce(F.get(segments, i - 1).rlike(CONTAINER_SEGMENT_PATTERN), F.lit(False))
+        listed = s.rlike(LISTING_SEGMENT_PATTERN) & ((i == 0) | contained | ~s.rlike(GENERIC_TAIL_PATTERN))
+        return plain(s).rlike(RESULT_SEGMENT_PATTERN) | s.rlike(PAGE_SEGMENT_PATTERN) | listed
+
+    found = F.exists(F.transform(segments, lists), lambda x: x)
+    return (page_host(url) == "") | F.exists(keys, lambda k: ~k.rlike(PRODUCT_QUERY_PATTERN)) | found
+
+
 def product_path_priority(c: Column | str) -> Column:
     """0 for product pages, 1 for listings, 2 for all else."""
     return F.when(product_path(c).isNotNull(), 0).when(is_listing_route(c), 1).otherwise(2)
@@ -84,19 +118,25 @@ def locale_neutral_url(c: Column | str) -> Column:
     return F.concat(canonical_host(page_host(c)), F.when(F.regexp_replace(path, "/+$", "") == "", F.lit("/")).otherwise(F.regexp_replace(path, "/+$", "")))
 
 
-def country_code(value: str) -> str:
+def country_code(value: str, known: frozenset[str]) -> str:
     """An ISO country from a code or a locale; '' if it is none."""
     v = (value or "").strip().replace("_", "-").upper()
     v = v if re.fullmatch("[A-Z]{2}", v) else (m[1] if (m := re.fullmatch("[A-Z]{2}-([A-Z]{2})", v)) else "")
     v = "GB" if v == "UK" else v
-    return v if v in COUNTRIES else ""
+    return v if v in known else ""
 
 
 MARKET = T.StructType().add("country", "string").add("currency", "string").add("explicit", "boolean").add("conflict", "boolean").add("context", "string")
+#: Query keys that select a country, and those that select a currency.
+COUNTRY_KEYS = {"country", "country_code", "countrycode", "market", "region", "locale"}
+CURRENCY_KEYS = {"currency", "currency_code", "currencycode"}
+
 
+def market_of(url: str | None, known: frozenset[str], money: frozenset[str]) -> tuple[str, str, bool, bool, str]:
+    """Country and currency that a URL selects: by query, by the segments before a product route, by the country domain. Several of a kind are a conflict and select nothing.
 
-def market_of(url: str | None) -> tuple[str, str, bool, bool, str]:
-    """Country and currency that a URL selects: by query, by the segments before a product route, by the country domain. Several of a kind are a conflict and select nothing."""
+    known and money are the codes of all countries and currencies.
+    """
     try:
         u = urlsplit(url or "")
         host = (u.hostname or "").removeprefix("www.")
@@ -105,59 +145,61 @@ def market_of(url: str | None) -> tuple[str, str, bool, bool, str]:
         return "", "", False, False, ""
     if not host:
         return "", "", False, False, ""
-    countries: dict[str, None] = {}
-    currencies: dict[str, None] = {}
+    chosen: dict[str, None] = {}
+    paid: dict[str, None] = {}
     explicit = vague_country = vague_currency = False
 
-    def select(token: str, into_vague: bool = True) -> None:
+    def select(token: str) -> None:
         nonlocal explicit, vague_country
         explicit = True
-        code = country_code(token)
+        code = country_code(token, known)
         if code:
-            countries[code] = None
-        elif into_vague:
+            chosen[code] = None
+        else:
             vague_country = True
 
     for k, v in query:
-        if k in ("country", "market", "region", "locale") and not re.fullmatch("(?i)(?:[a-z]{2}[-_])?EU", v):
-            if k == "locale" and not re.fullmatch("(?i)[a-z]{2}[-_][a-z]{2}", v):
-                explicit = vague_country = True
-            else:
-                select(v)
-        elif k == "currency":
+        if k in COUNTRY_KEYS and not re.fullmatch("(?i)(?:[a-z]{2}[-_])?EU", v):
+            # A locale selects a country only if it names one.
+            select("" if k == "locale" and not re.fullmatch("(?i)[a-z]{2}[-_][a-z]{2}", v) else v)
+        elif k in CURRENCY_KEYS:
             explicit = True
-            if v.upper() in CURRENCIES:
-                currencies[v.upper()] = None
+            if v.upper() in money:
+                paid[v.upper()] = None
             else:
                 vague_currency = True
     segments = [s for s in u.path.split("/") if s]
-    at = next((i for i, s in enumerate(segments) if s.lower() in PRODUCT_ROUTES), min(len(segments), 1))
+    routes = [i for kind in (PRODUCT_ROUTES, SHOP_ROUTES) for i, s in enumerate(segments) if s.lower() in kind]
+    at = routes[0] if routes else min(len(segments), 1)
     for s in segments[:at]:
-        s = s.replace("_", "-").upper()
+        s = s.strip().replace("_", "-").upper()
         if m := re.fullmatch("([A-Z]{2})-([A-Z]{2})", s):
             if m[2] != "EU":
                 token = m[2] if m[1] in LANGUAGES else m[1]
                 select("" if token == "UK" else token)
-        elif re.fullmatch("[A-Z]{2}", s) and s not in LANGUAGES:
-            select(s)
-        elif s == "UK":
-            select("")
-    tld = "GB" if re.search(r"\.(?:co\.)?uk$", host) else country_code(host.rpartition(".")[2])
-    if tld and tld not in GENERIC_TLDS:
-        countries[tld] = None
-    conflict = len(countries) > 1 or len(currencies) > 1
-    if conflict:
+        elif re.fullmatch("[A-Z]{2}", s) and s not in PATH_LANGUAGES and not (s in LANGUAGES and not country_code(s, known)):
+            select("" if s == "UK" else s)
+    tld = re.search(r"\.([a-z]{2})$", host)
+    domain = "GB" if re.search(r"\.(?:co\.)?uk$", host) else country_code(tld[1], known) if tld else ""
+    if domain and domain not in GENERIC_TLDS:
+        chosen[domain] = None
+    if len(chosen) > 1 or len(paid) > 1:
         return "", "", explicit, True, "conflict"
-    country, currency = next(iter(countries), ""), next(iter(currencies), "")
+    country, currency = next(iter(chosen), ""), next(iter(paid), "")
     parts = [f"country:{country}" if country else "country:?" * vague_country, f"currency:{currency}" if currency else "currency:?" * vague_currency]
     return country, currency, explicit, False, "|".join(p for p in parts if p)
 
 
-@F.pandas_udf(MARKET)
-def market_context(s: pd.Series) -> pd.DataFrame:
+def market_context(url: Column | str) -> Column:
     """country, currency, explicit, conflict and context of a URL column."""
-    distinct = {u: market_of(u) for u in s.unique()}
-    return pd.DataFrame([distinct[u] for u in s], columns=["country", "currency", "explicit", "conflict", "context"])
+    known, money = countries(), currencies()
+
+    @F.pandas_udf(MARKET)
+    def contexts(s: pd.Series) -> pd.DataFrame:
+        distinct = {u: market_of(u, known, money) for u in s.unique()}
+        return pd.DataFrame([distinct[u] for u in s], columns=["country", "currency", "explicit", "conflict", "context"])
+
+    return contexts(col(url))
 
 
 def source_key(domain: Column | str, url: Column | str, context: Column) -> Column:

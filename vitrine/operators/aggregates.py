@@ -50,21 +50,23 @@ def information_score(*present: Column) -> Column:
 
 
 def region_votes(signals: DataFrame) -> DataFrame:
-    """region and confidence of each domain from signals of domain, country, kind, value.
+    """region and confidence of each domain from signals of domain, country, kind, value and optionally weight.
 
     Equal signals count once. A country wins with 4 points or more and a lead of 3; if none
     does, GLOBAL with 4 points or more.
     """
     weight = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in REGION_WEIGHTS.items() for x in kv)), F.col("kind")), F.lit(0))
-    s = signals.withColumn("value", F.lower(F.translate("value", "_", "-"))).select("domain", "country", "kind", "value").distinct()
-    sums = s.groupBy("domain", "country").agg(F.sum(weight).alias("w"))
+    weight = F.col("weight") if "weight" in signals.columns else weight
+    s = signals.select("domain", "country", "kind", F.lower(F.translate("value", "_", "-")).alias("value"), weight.alias("weight"))
+    s = s.groupBy("domain", "country", "kind", "value").agg(F.max("weight").alias("weight"))
+    sums = s.groupBy("domain", "country").agg(F.sum("weight").alias("w"))
     order = Window.partitionBy("domain").orderBy((F.col("country") == "GLOBAL"), F.col("w").desc(), "country")
     ranked = sums.withColumn("rn", F.row_number().over(order)).withColumn("second", F.lead(F.when(F.col("country") != "GLOBAL", F.col("w"))).over(order))
     globally = F.max(F.when(F.col("country") == "GLOBAL", F.col("w"))).over(Window.partitionBy("domain"))
     top = ranked.withColumn("g", globally).filter("rn = 1")
     wins = (F.col("country") != "GLOBAL") & (F.col("w") >= 4) & (F.col("w") - F.coalesce("second", F.lit(0)) >= 3)
     region = F.when(wins, F.col("country")).when(F.col("g") >= 4, "GLOBAL").otherwise("Unknown")
-    confidence = F.when(wins & (F.col("w") >= 7), "High").when(wins | (F.col("g") >= 4), "Medium").otherwise("Low")
+    confidence = F.when(wins, F.when(F.col("w") >= 7, "High").otherwise("Medium")).when(F.col("g") >= 7, "High").when(F.col("g") >= 4, "Medium").otherwise("Low")
     return top.select("domain", region.alias("region"), confidence.alias("confidence"))
 
 

@@ -92,17 +92,27 @@ def redirect_retry(requested: Column, fetched: Column, country: Column) -> Colum
 
 
 def parking_provider(host: Column) -> Column:
+    """The parking service that a host belongs to; '' if to none."""
     h = U.canonical_host(host)
-    hit = None
-    for name, domain in PARKING.items():
-        test = (h == domain) | F.endswith(h, F.lit(f".{domain}"))
-        hit = F.when(test, name) if hit is None else hit.when(test, name)
+    hit = F.when(F.lit(False), "")
+    for name, domains in PARKING.items():
+        hit = hit.when(F.array_contains(U.host_suffixes(h), domains[0]) if len(domains) == 1 else F.arrays_overlap(U.host_suffixes(h), F.array(*map(F.lit, domains))), name)
     return hit.otherwise("")
 
 
-def static_redirect(html: Column) -> Column:
-    """Where a page sends its reader at once: by script or by a refresh element; '' if nowhere."""
-    return F.coalesce(*(F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in REDIRECT_PATTERNS), F.lit(""))
+def static_redirect(html: Column, url: Column) -> Column:
+    """Where a page sends its reader at once, by script or by a refresh element, as a full URL without fragment; '' if nowhere, to another site or not over http."""
+    to = F.coalesce(*(F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in REDIRECT_PATTERNS), F.lit(""))
+    scheme = F.regexp_extract(url, "(?i)^(https?):", 1)
+    folder = F.regexp_extract(F.regexp_replace(url, "[?#].*$", ""), "(?i)^(https?://[^/]*(?:/.*)?)/", 1)
+    full = (
+        F.when(to.rlike("(?i)^[a-z][a-z0-9+.-]*:"), to)
+        .when(F.startswith(to, F.lit("//")), F.concat(scheme, F.lit(":"), to))
+        .when(F.startswith(to, F.lit("/")), F.concat(F.regexp_extract(url, "(?i)^(https?://[^/?#]*)", 1), to))
+        .otherwise(F.concat(F.when(folder == "", url).otherwise(folder), F.lit("/"), to))
+    )
+    same = U.canonical_host(U.page_host(full)) == U.canonical_host(U.page_host(url))
+    return F.when((to != "") & (U.page_host(full) != "") & same, F.regexp_replace(full, "#.*$", "")).otherwise("")
 
 
 def safe_destination(url: Column) -> Column:

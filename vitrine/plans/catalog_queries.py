@@ -64,15 +64,6 @@ def market_retries(spark, sf_dir):
     return load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), C.redirect_retry(requested, fetched, F.lit("SA")).alias("retry"))
 
 
-@query("""SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'sedo' WHEN 1 THEN 'dan' ELSE '' END AS provider, CASE s_suppkey % 3 WHEN 0 THEN '/a' || s_suppkey WHEN 1 THEN '/b' || s_suppkey ELSE '' END AS redirect FROM supplier""")
-def parked_domains(spark, sf_dir):
-    """Parking services and static redirects."""
-    k, n = F.col("s_suppkey") % 3, F.col("s_suppkey").cast("string")
-    host = F.when(k == 0, "www.sedoparking.com").when(k == 1, "x.dan.com").otherwise("notdan.com")
-    html = F.when(k == 0, F.concat(F.lit("<script>window.location.href = '/a"), n, F.lit("'</script>"))).when(k == 1, F.concat(F.lit('<meta http-equiv="refresh" content="0; url=/b'), n, F.lit('">'))).otherwise("location")
-    return load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), C.parking_provider(host).alias("provider"), C.static_redirect(html).alias("redirect"))
-
-
 @query("""SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'https://shop.com/' || s_suppkey WHEN 1 THEN 'https://shop.com/x?y=' || s_suppkey ELSE '' END AS destination FROM supplier""")
 def ad_destinations(spark, sf_dir):
     """Destinations of adverts that are safe to show."""

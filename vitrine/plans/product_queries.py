@@ -293,13 +293,6 @@ def page_domain_language(spark, sf_dir):
     return p.select("page_id", U.page_host("url").alias("host"), F.regexp_extract("url", "^https?://[^/?#]*/([a-z]{2})(/|$|[?#])", 1).alias("language"))
 
 
-@query()
-def page_markets(spark, sf_dir):
-    """Markets that page URLs select."""
-    p = load(spark, sf_dir, "pages").withColumn("m", U.market_context("url"))
-    return p.select("page_id", "m.country", "m.currency", "m.explicit", "m.conflict", "m.context")
-
-
 @query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS links, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages""")
 def page_headings_links(spark, sf_dir):
     """Titles, links and paragraphs of pages."""
