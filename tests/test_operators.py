@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from vitrine.operators import assignment as A
@@ -110,7 +111,7 @@ def test_pair_scores(spark):
 
 
 def test_region_votes(spark):
-    rows = [("a", "US", "tld", "us"), ("a", "US", "language", "en_us"), ("a", "US", "language", "EN-US"), ("b", "US", "language", "en"), ("b", "DE", "language", "de"), ("c", "GLOBAL", "global", "x"), ("c", "FR", "phone", "+33"), ("d", "FR", "address", "Paris")]
+    rows = [("a", "US", "tld", "us"), ("a", "US", "language", "en_us"), ("a", "US", "language", "EN-US"), ("b", "US", "language", "en"), ("b", "DE", "language", "de"), ("c", "GLOBAL", "global-market", "x"), ("c", "FR", "phone", "+33"), ("d", "FR", "structured-address", "Paris")]
     got = {r["domain"]: (r["region"], r["confidence"]) for r in region_votes(spark.createDataFrame(rows, "domain string, country string, kind string, value string")).collect()}
     assert got == {"a": ("US", "High"), "b": ("Unknown", "Low"), "c": ("GLOBAL", "Medium"), "d": ("FR", "Medium")}
 
@@ -174,3 +175,53 @@ def test_judge_batches_lose_no_pair(spark):
     want = [(run, k, *x) for run in range(6) for k, x in enumerate(packed([n for q, _, n in rows if q == run], 25, 6))]
     got = sorted(map(tuple, R.batches(spark.createDataFrame(rows, "run long, ord long, pairs long"), 25, 6).collect()))
     assert got == want and sum(x[3] for x in got) == sum(n for _, _, n in rows)
+
+
+def test_running_sums_of_hot_keys(spark):
+    from vitrine.operators.ordered import exact_percentiles, running_sum
+
+    r = random.Random(4)
+    rows = [(None if i % 7 == 0 else "hot" if i % 3 else f"k{i % 5}", i, r.randint(1, 9)) for i in range(800)]
+    df = spark.createDataFrame(rows, "key string, id int, v int").repartition(5)
+    got = {x["id"]: x["s"] for x in running_sum(df, ["key"], ["id"], F.col("v"), "s", parts=16).collect()}
+    total = {}
+    for key, i, v in rows:
+        total[key] = total.get(key, 0) + v
+        assert got[i] == total[key]
+    p = {x["key"]: x for x in exact_percentiles(df, "key", "v", [0.5, 0.95]).collect()}
+    for key in {x[0] for x in rows}:
+        own = [v for k, _, v in rows if k == key]
+        assert p[key]["n"] == len(own) and abs(p[key]["p0"] - np.quantile(own, 0.5)) < 1e-9 and abs(p[key]["p1"] - np.quantile(own, 0.95)) < 1e-9
+    assert running_sum(df.filter("1 = 0"), ["key"], ["id"], F.col("v"), "s").collect() == []
+
+
+def test_vectors_meet_in_blocks(spark):
+    r = random.Random(6)
+    vectors = [[r.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)] for _ in range(60)] + [None, [], [1.0], [0.0] * 4]
+    rows = [(i, v, None if i % 5 == 0 else f"d{i % 3}") for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, domain string")
+
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b) or not any(a) or not any(b):
+            return 0.0
+        a, b = np.array(a), np.array(b)
+        return np.floor(a / np.linalg.norm(a) @ (b / np.linalg.norm(b)) * 1e6 + 0.5) / 1e6
+
+    want = set()
+    for i, v, _ in rows[:20]:
+        for d in {x[2] for x in rows}:
+            own = sorted((-cosine(v, w), j) for j, w, e in rows if e == d and j != i)[:3]
+            want |= {(i, d, j, n + 1) for n, (_, j) in enumerate(own)}
+    for blocks in ((1024, 8192), (7, 11)):
+        got = S.vector_top_k(df.filter("id < 20"), df, 3, "domain", *blocks).collect()
+        assert {(x["primary_id"], x["domain"], x["rival_id"], x["rank"]) for x in got} == want
+
+
+def test_a_frequent_token_sends_no_pairs_of_its_own(spark):
+    r = random.Random(7)
+    names = [["common", *{r.choice("abcdefghijklmnop") * 4 for _ in range(r.randint(0, 4))}] for _ in range(80)]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id long, name_tokens array<string>")
+    p, q = df.filter("id < 30"), df.filter("id >= 30")
+    got = {(x["primary_id"], x["rival_id"]): x["hits"] for x in S.candidate_pairs(p, q).collect()}
+    hits = {(i, j): len(set(names[i]) & set(names[j])) for i in range(30) for j in range(30, 80)}
+    assert got == {k: n for k, n in hits.items() if n >= 2}

@@ -7,13 +7,16 @@ two name tokens or an identifier become candidates.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.constants import ACCESSORY_GROUPS
 from ..functions.identifiers import conflicting_gtins, quantities_conflict, shared_gtin
-from ..functions.numbers import bound, cosine, rounded
+from ..functions.numbers import bound, rounded
+from ..sources.shared import stored
 
 
 def near_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -23,14 +26,25 @@ def near_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "signature").filter(X.within_one_edit(F.col("a"), F.col("b"))).select("a", "b").distinct()
 
 
-def token_hits(primary: DataFrame, rivals: DataFrame) -> DataFrame:
-    """pk, rk and hits of two tables of token sets (k, tokens): how many tokens of the first have a near one in the second."""
+def token_hits(primary: DataFrame, rivals: DataFrame, least_hits: int) -> DataFrame:
+    """pk, rk and hits of pairs of two tables of distinct token sets (k, tokens): how many tokens of the first have a near one in the second, if at least least_hits.
+
+    A pair with that many hits has one outside the least_hits - 1 most frequent tokens of its
+    first set, so those never join: a word that many names share sends no pairs of its own. The
+    pairs found are counted exactly.
+    """
     p = primary.select(F.col("k").alias("pk"), F.explode("tokens").alias("token"))
     r = rivals.select(F.col("k").alias("rk"), F.explode("tokens").alias("token"))
     near = near_tokens(p, r)
     # A rival's token becomes the primary tokens near it first, so a pair and token meet once.
-    reached = r.join(near, r["token"] == near["b"]).select("rk", F.col("a").alias("token")).distinct()
-    return p.join(reached, "token").groupBy("pk", "rk").agg(F.count(F.lit(1)).alias("hits"))
+    reached = stored(r.join(near, r["token"] == near["b"]).select("rk", F.col("a").alias("token")).distinct(), "reached")
+    often = reached.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("pk").orderBy(F.col("n").desc(), "token"))
+    rare = p.join(often, "token").withColumn("rank", rank).filter(F.col("rank") >= least_hits)
+    pairs = rare.join(reached, "token").select("pk", "rk").distinct()
+    sets = reached.groupBy("rk").agg(F.collect_set("token").alias("near"))
+    met = pairs.join(primary.select(F.col("k").alias("pk"), "tokens"), "pk").join(sets, "rk")
+    return met.select("pk", "rk", F.size(F.array_intersect("tokens", "near")).cast("long").alias("hits")).filter(F.col("hits") >= least_hits)
 
 
 def candidate_pairs(primary: DataFrame, rivals: DataFrame, least_hits: int = 2) -> DataFrame:
@@ -43,9 +57,11 @@ def candidate_pairs(primary: DataFrame, rivals: DataFrame, least_hits: int = 2)
     sets = [df.withColumn("k", F.xxhash64(F.array_sort("name_tokens"))) for df in (primary, rivals)]
     p = sets[0].select(F.col("id").alias("primary_id"), F.col("k").alias("pk"))
     r = sets[1].select(F.col("id").alias("rival_id"), F.col("k").alias("rk"))
-    hits = token_hits(*(df.groupBy("k").agg(F.first("name_tokens").alias("tokens")) for df in sets))
+    numbered = "gtins" in primary.columns and "gtins" in rivals.columns
+    names = [df.groupBy("k").agg(F.first("name_tokens").alias("tokens")) for df in sets]
+    hits = token_hits(*names, 1 if numbered else least_hits)
     pairs = hits.filter(F.col("hits") >= least_hits).join(p, "pk").join(r, "rk").select("primary_id", "rival_id", "hits")
-    if "gtins" not in primary.columns or "gtins" not in rivals.columns:
+    if not numbered:
         return pairs
     pg = sets[0].select(F.col("id").alias("primary_id"), F.col("k").alias("pk"), F.explode("gtins").alias("gtin"))
     rg = sets[1].select(F.col("id").alias("rival_id"), F.col("k").alias("rk"), F.explode("gtins").alias("gtin"))
@@ -105,17 +121,55 @@ def _scored(x: Column) -> Column:
     return F.struct(rounded(score, 4).alias("score"), shared.alias("shared"), out.alias("vetoes"), ((same_number | same_tier | ordinary) & (F.size(out) == 0)).alias("eligible"))
 
 
-def vector_top_k(primary: DataFrame, rivals: DataFrame, k: int, group: str = "domain") -> DataFrame:
-    """The k most similar rivals of each domain for each primary: id, v against id, v, domain.
+def vector_top_k(primary: DataFrame, rivals: DataFrame, k: int, group: str = "domain", primary_block: int = 1024, rival_block: int = 8192) -> DataFrame:
+    """The k most similar rivals of each domain for each primary, with similarity (six digits) and rank: id, v against id, v, domain.
 
-    The primaries are one company's catalog and bounded by its size; they are broadcast only if
-    Spark's own estimate allows it. Ranks use a group limit, so each task keeps k rows a group.
+    Blocks of bounded size meet in matrix products, and each keeps k rivals of a primary and
+    domain. Vectors of different lengths, zero vectors and nulls have similarity 0; a primary
+    is no rival of its own. Ties go to the smaller id; a domain may be null.
     """
-    p = primary.select(F.col("id").alias("primary_id"), F.col("v").alias("pv"))
-    r = rivals.select(F.col("id").alias("rival_id"), F.col("v").alias("rv"), F.col(group))
-    scored = p.join(r, F.col("primary_id") != F.col("rival_id")).select("primary_id", "rival_id", group, rounded(cosine("pv", "rv"), 6).alias("similarity"))
+    n_p, n_r = (max(1, -(-df.count() // size)) for df, size in ((primary, primary_block), (rivals, rival_block)))
+    mix = F.xxhash64("id")
+    v = F.col("v").cast("array<double>")
+    p = primary.select("id", v.alias("v"), F.pmod(mix, F.lit(n_p)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).alias("b"))
+    r = rivals.select("id", v.alias("v"), group, F.pmod(mix, F.lit(n_r)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))).alias("a"))
+
+    def units(vectors: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Positions and unit vectors by length; zero vectors stay zero."""
+        lists = [() if x is None else x for x in vectors]
+        out = {}
+        for n in {len(x) for x in lists}:
+            at = np.array([i for i, x in enumerate(lists) if len(x) == n])
+            rows = np.array([lists[i] for i in at], dtype=np.float64).reshape(len(at), n)
+            norm = np.linalg.norm(rows, axis=1, keepdims=True)
+            out[n] = at, np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
+        return out
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("id").reset_index(drop=True)
+        scores = np.zeros((len(left), len(right)))
+        of_right = units(right["v"])
+        for n, (i, x) in units(left["v"]).items():
+            if n in of_right:
+                j, y = of_right[n]
+                scores[np.ix_(i, j)] = x @ y.T
+        scores = np.floor(scores * 1e6 + 0.5) / 1e6
+        scores[left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]] = -np.inf
+        found = []
+        for value, at in right.groupby(group, dropna=False, sort=False).indices.items():
+            # Rivals are in the order of their ids, so a stable sort keeps the smaller id of a tie.
+            best = np.argsort(-scores[:, at], axis=1, kind="stable")[:, :k]
+            i, j = np.repeat(np.arange(len(left)), best.shape[1]), at[best.ravel()]
+            some = scores[i, j] > -np.inf
+            i, j = i[some], j[some]
+            found.append(pd.DataFrame({"primary_id": left["id"].to_numpy()[i], "rival_id": right["id"].to_numpy()[j], group: right[group].to_numpy()[j], "similarity": scores[i, j]}))
+        return pd.concat(found) if found else pd.DataFrame({"primary_id": [], "rival_id": [], group: [], "similarity": []})
+
+    kinds = {f.name: f.dataType.simpleString() for f in rivals.schema.fields}
+    schema = f"primary_id {primary.schema['id'].dataType.simpleString()}, rival_id {kinds['id']}, {group} {kinds[group]}, similarity double"
+    best = p.groupBy("a", "b").cogroup(r.groupBy("a", "b")).applyInPandas(meet, schema)
     order = Window.partitionBy("primary_id", group).orderBy(F.col("similarity").desc(), "rival_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def retrieval_score(lexical: Column, semantic: Column, same_number: Column, same_code: Column, same_quantity: Column) -> Column:

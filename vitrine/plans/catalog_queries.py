@@ -149,8 +149,10 @@ def quantity_agreement(spark, sf_dir):
     return p.select("id", F.when(I.quantities_conflict("a", "b"), "conflict").when(I.quantities_equal("a", "b"), "equal").otherwise("unknown").alias("quantities"))
 
 
-@query("""SELECT doc_id, CASE WHEN lang = 'en' THEN 'Latin' ELSE 'Latin' END AS script FROM documents WHERE regexp_matches(text, '[A-Za-z]')""")
+@query("""SELECT doc_id, array_to_string(list_sort([s FOR s IN [CASE doc_id % 4 WHEN 1 THEN 'Arabic' WHEN 2 THEN 'Cyrillic' END, CASE WHEN regexp_matches(text, '\\p{Latin}') THEN 'Latin' END] IF s IS NOT NULL]), ',') AS script FROM documents""")
 def document_scripts(spark, sf_dir):
     """Writing systems of texts."""
-    d = load(spark, sf_dir, "documents").filter(F.col("text").rlike("[A-Za-z]"))
-    return d.select("doc_id", F.array_join(X.writing_systems("text"), ",").alias("script"))
+    k = F.col("doc_id") % 4
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(k == 1, " شاي").when(k == 2, " чай").otherwise(""))
+    d = load(spark, sf_dir, "documents")
+    return d.select("doc_id", F.array_join(F.array_sort(X.writing_systems(text)), ",").alias("script"))

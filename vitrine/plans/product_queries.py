@@ -25,14 +25,20 @@ from .registry import query
 def catalog(spark, sf_dir) -> DataFrame:
     """Products as structs of tokens."""
     p = load(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism)
-    words = X.tokens("p_name", ascii_only=True)
+    plain = F.coalesce(F.concat("p_name", "p_type").rlike(r"^\p{ASCII}*$"), F.lit(False))
+    # Names in ASCII need no Unicode normalization.
+    return products(p.filter(plain), True).unionByName(products(p.filter(~plain), False))
+
+
+def products(p: DataFrame, ascii_only: bool) -> DataFrame:
+    words = X.tokens("p_name", ascii_only=ascii_only)
     return p.select(
         F.col("p_partkey").alias("id"),
         F.col("p_brand").alias("domain"),
         F.col("p_name").alias("name"),
         words.alias("name_tokens"),
-        X.tokens(X.family_name("p_name"), ascii_only=True).alias("family_tokens"),
-        X.tokens("p_type", ascii_only=True).alias("category_tokens"),
+        X.tokens(X.family_name("p_name"), ascii_only=ascii_only).alias("family_tokens"),
+        X.tokens("p_type", ascii_only=ascii_only).alias("category_tokens"),
         F.array().cast("array<string>").alias("description_tokens"),
         F.lit(None).cast("array<string>").alias("image_tokens"),
         F.array().cast("array<string>").alias("gtins"),
@@ -251,14 +257,14 @@ def plan_tiers(spark, sf_dir):
 # Texts
 
 
-@query("""SELECT token, count(*) AS documents FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS token FROM documents WHERE lang = 'en') WHERE length(token) > 1
+@query("""SELECT token, count(*) AS documents FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '\\p{L}+'))) AS token FROM documents) WHERE length(token) > 1
 AND token NOT IN ('a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','our','the','their','this','to','with','your') GROUP BY token HAVING count(*) > 1""")
 def tokens_recurrence(spark, sf_dir):
     """In how many documents each word occurs, without stopwords; a word counts once a document before the shuffle."""
     from ..functions.constants import STOPWORDS
 
-    d = load(spark, sf_dir, "documents").filter("lang = 'en'")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1))
+    d = load(spark, sf_dir, "documents")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))
     w = d.select(F.explode(words).alias("token")).filter((F.length("token") > 1) & ~F.col("token").isin(*STOPWORDS))
     return w.groupBy("token").agg(F.count(F.lit(1)).alias("documents")).filter("documents > 1")
 

@@ -134,10 +134,13 @@ def seeded_paths(spark, sf_dir):
     return g.select("host", F.when(F.col("n") >= 3, "catalog").when(F.col("n") == 2, "pair").otherwise("single").alias("kind"), "n")
 
 
-@query("""SELECT event_id, strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS iso, true AS strict FROM events WHERE event_id % 3 = 0""")
+@query("""SELECT event_id, CASE event_id % 5 WHEN 4 THEN strftime(date_trunc('millisecond', ts), '%Y-%m-%d %H:%M:%S') WHEN 3 THEN strftime(date_trunc('millisecond', ts), '%Y-02-31T%H:%M:%S.%gZ') ELSE strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%gZ') END AS iso, event_id % 5 < 3 AS strict FROM events""")
 def strict_timestamps(spark, sf_dir):
     """Times in the one strict form, and that they survive parsing."""
-    e = load(spark, sf_dir, "events").filter("event_id % 3 = 0").withColumn("iso", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    k = F.col("event_id") % 5
+    form = lambda f: F.date_format("ts", f)
+    iso = F.when(k == 4, form("yyyy-MM-dd HH:mm:ss")).when(k == 3, form("yyyy-'02-31T'HH:mm:ss.SSS'Z'")).otherwise(form("yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    e = load(spark, sf_dir, "events").withColumn("iso", iso)
     return e.select("event_id", "iso", R.is_strict_iso("iso").alias("strict"))
 
 
@@ -167,10 +170,10 @@ def compaction_level(spark, sf_dir):
 
 
 @query("""SELECT user_id, CASE WHEN c THEN 1 WHEN a AND l THEN 2 WHEN a THEN 3 WHEN l THEN 2 END AS steps, CASE WHEN a OR l OR c THEN (p::INT * 20 + a::INT * 35 + l::INT * 20 + c::INT * 25) END AS score FROM
-(SELECT user_id, bool_or(event_type = 'view') AS p, bool_or(event_type = 'click') AS a, bool_or(event_type = 'signup') AS l, bool_or(event_type = 'purchase') AS c FROM events WHERE event_id < 300 GROUP BY 1)""")
+(SELECT user_id, bool_or(event_type = 'view') AS p, bool_or(event_type = 'click') AS a, bool_or(event_type = 'signup') AS l, bool_or(event_type = 'purchase') AS c FROM events GROUP BY 1)""")
 def purchase_paths(spark, sf_dir):
     """Score and least steps of the way to a purchase."""
-    e = load(spark, sf_dir, "events").filter("event_id < 300").groupBy("user_id").agg(*(F.max(F.col("event_type") == k).alias(k) for k in ("view", "click", "signup", "purchase")))
+    e = load(spark, sf_dir, "events").groupBy("user_id").agg(*(F.max(F.col("event_type") == k).alias(k) for k in ("view", "click", "signup", "purchase")))
     return e.withColumn("s", purchase_path(F.col("view"), F.col("click"), F.col("signup"), F.col("purchase"))).select("user_id", "s.steps", F.col("s.score").cast("int").alias("score"))
 
 
@@ -219,17 +222,19 @@ def stand_against_market(spark, sf_dir):
     return j.select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") > F.col("mean") * 1.2, "ahead").when(F.col("c_acctbal") < F.col("mean") * 0.8, "behind").otherwise("level").alias("stand"))
 
 
-@query("""SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'error') * 3 > count(*) THEN 'reject' WHEN count(*) FILTER (event_type = 'purchase') = 0 THEN 'ungrounded' ELSE 'accept' END AS verdict FROM events WHERE event_id < 900 GROUP BY 1""")
+@query("""SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'error') * 3 > count(*) THEN 'reject' WHEN count(*) FILTER (event_type = 'purchase') = 0 THEN 'ungrounded' ELSE 'accept' END AS verdict FROM events GROUP BY 1""")
 def draft_verdicts(spark, sf_dir):
     """Whether a draft is accepted; the first reason wins."""
-    e = load(spark, sf_dir, "events").filter("event_id < 900").groupBy("user_id").agg(F.count(F.when(F.col("event_type") == "error", 1)).alias("e"), F.count(F.when(F.col("event_type") == "purchase", 1)).alias("p"), F.count(F.lit(1)).alias("n"))
+    e = load(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.when(F.col("event_type") == "error", 1)).alias("e"), F.count(F.when(F.col("event_type") == "purchase", 1)).alias("p"), F.count(F.lit(1)).alias("n"))
     return e.select("user_id", F.when(F.col("e") * 3 > F.col("n"), "reject").when(F.col("p") == 0, "ungrounded").otherwise("accept").alias("verdict"))
 
 
-@query("""SELECT sha256(string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey)) AS anchor_hash, p_brand AS domain FROM part GROUP BY p_brand""")
+@query("""SELECT sha256(string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey)) AS anchor_hash, p_brand AS domain FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part) WHERE n <= 1000 GROUP BY p_brand""")
 def anchor_hashes(spark, sf_dir):
-    """A hash of the sorted anchors of each domain."""
-    g = load(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("domain")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: x.cast("string")), ",").alias("ids"))
+    """A hash of the sorted anchors of each domain; a catalog searches for at most 1000."""
+    first = Window.partitionBy("p_brand").orderBy("p_partkey")
+    p = load(spark, sf_dir, "part").select("p_brand", "p_partkey").withColumn("n", F.row_number().over(first)).filter("n <= 1000")
+    g = p.groupBy(F.col("p_brand").alias("domain")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: x.cast("string")), ",").alias("ids"))
     return g.select(F.sha2("ids", 256).alias("anchor_hash"), "domain")
 
 

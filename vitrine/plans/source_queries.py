@@ -92,7 +92,9 @@ def ad_concepts(spark, sf_dir):
 def append_new_rows(spark, sf_dir):
     """Rows to append to a sink that stores each key once."""
     e = load(spark, sf_dir, "events").withColumn("ord", F.col("event_id"))
-    stored = load(spark, sf_dir, "customer").filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("user_id")).join(e.select("event_type").distinct())
+    kinds = e.agg(F.collect_set("event_type").alias("kinds"))
+    stored = load(spark, sf_dir, "customer").filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("user_id"))
+    stored = stored.join(F.broadcast(kinds)).select("user_id", F.explode("kinds").alias("event_type"))
     return sinks.new_rows(e, stored, "user_id", "event_type").select("user_id", "event_type", "event_id")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import exact_percentiles, running_sum
 from ..sources.tables import load
 from .registry import query
 
@@ -344,8 +345,8 @@ def most_frequent_category(spark, sf_dir):
 @query("""SELECT l_returnflag AS flag, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, count(*) AS n FROM lineitem GROUP BY 1""")
 def panel_percentiles(spark, sf_dir):
     """Interpolated percentiles of a panel."""
-    l = t(spark, sf_dir, "lineitem")
-    return l.groupBy(F.col("l_returnflag").alias("flag")).agg(F.round(F.expr("percentile(l_extendedprice, 0.5)"), 4).alias("p50"), F.round(F.expr("percentile(l_extendedprice, 0.95)"), 4).alias("p95"), F.count(F.lit(1)).alias("n"))
+    l = t(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    return exact_percentiles(l, "flag", "l_extendedprice", [0.5, 0.95]).select("flag", F.round("p0", 4).alias("p50"), F.round("p1", 4).alias("p95"), "n")
 
 
 @query("""SELECT o_custkey AS workspace_id, round(sum(o_totalprice), 2) AS total, max(o_totalprice) AS most, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS phases FROM orders GROUP BY o_custkey""")
@@ -403,7 +404,8 @@ ORDER BY rn > 1, p_retailprice DESC, p_partkey LIMIT 12""")
 def diverse_then_fill(spark, sf_dir):
     """One product of each category first, then the best of the rest."""
     order = Window.partitionBy("p_type").orderBy(F.col("p_retailprice").desc(), "p_partkey")
-    p = t(spark, sf_dir, "part").withColumn("rn", F.row_number().over(order))
+    # No more of one category can be among the first twelve: tasks keep twelve of each before the shuffle.
+    p = t(spark, sf_dir, "part").withColumn("rn", F.row_number().over(order)).filter("rn <= 12")
     return p.orderBy(F.col("rn") > 1, F.col("p_retailprice").desc(), "p_partkey").limit(12).select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("category"))
 
 
@@ -569,16 +571,17 @@ def watchdog_states(spark, sf_dir):
 SELECT o_orderkey AS run_id, used <= 5000000 AS granted FROM d""")
 def budget_reservation(spark, sf_dir):
     """Reservations in order of arrival while the period's budget lasts."""
-    w = Window.partitionBy(F.date_trunc("month", "o_orderdate")).orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    return t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), (F.sum("o_totalprice").over(w) <= 5000000).alias("granted"))
+    o = t(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.date_trunc("month", "o_orderdate").alias("month"), "o_totalprice")
+    used = running_sum(o, ["month"], ["o_orderdate", "o_orderkey"], F.col("o_totalprice"), "used")
+    return used.select(F.col("o_orderkey").alias("run_id"), (F.col("used") <= 5000000).alias("granted"))
 
 
 @query("""WITH r AS (SELECT user_id, event_id, event_id - row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS g, event_type FROM events)
 SELECT event_type, min(event_id) AS range_start, max(event_id) + 1 AS range_end, count(*) AS n FROM r GROUP BY event_type, g HAVING count(*) > 1""")
 def contiguous_ranges(spark, sf_dir):
     """Runs of batches in which each starts where the one before it ended."""
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    e = t(spark, sf_dir, "events").withColumn("g", F.col("event_id") - F.row_number().over(w))
+    e = running_sum(t(spark, sf_dir, "events").select("event_type", "event_id"), ["event_type"], ["event_id"], F.lit(1), "nth")
+    e = e.withColumn("g", F.col("event_id") - F.col("nth"))
     return e.groupBy("event_type", "g").agg(F.min("event_id").alias("range_start"), (F.max("event_id") + 1).alias("range_end"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("g")
 
 
@@ -606,10 +609,10 @@ def identity_bound_rows(spark, sf_dir):
     return p.join(p.filter("p_size > 40").select("identity").distinct(), "identity", "left_semi").select(F.col("p_partkey").alias("id"), "identity")
 
 
-@query("""SELECT user_id, CASE WHEN bool_or(event_type = 'error') AND bool_or(event_type = 'purchase') THEN 'partial' WHEN bool_or(event_type = 'purchase') THEN 'complete' ELSE 'none' END AS coverage FROM events WHERE event_id < 600 GROUP BY user_id""")
+@query("""SELECT user_id, CASE WHEN bool_or(event_type = 'error') AND bool_or(event_type = 'purchase') THEN 'partial' WHEN bool_or(event_type = 'purchase') THEN 'complete' ELSE 'none' END AS coverage FROM events GROUP BY user_id""")
 def coverage_label(spark, sf_dir):
     """How far a run came, by flags over its events."""
-    e = t(spark, sf_dir, "events").filter("event_id < 600").groupBy("user_id").agg(F.max(F.col("event_type") == "error").alias("e"), F.max(F.col("event_type") == "purchase").alias("p"))
+    e = t(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.col("event_type") == "error").alias("e"), F.max(F.col("event_type") == "purchase").alias("p"))
     return e.select("user_id", F.when(F.col("e") & F.col("p"), "partial").when(F.col("p"), "complete").otherwise("none").alias("coverage"))
 
 

@@ -190,11 +190,12 @@ def ad_concepts(records: DataFrame) -> DataFrame:
     plain = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
     last = records.filter("id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct("page", "message", "headline", "cta", "destination", "start", "stop", "media", "platforms", "ord"), "ord").alias("r")).select("id", "r.*")
     key = F.concat_ws("|", *(plain(c) for c in ("page", "message", "headline", "cta")), F.regexp_extract(F.coalesce("destination", F.lit("")), r"^https?://([^?#]*)", 1))
-    g = last.withColumn("key", key).groupBy("key").agg(
+    keyed = last.withColumn("key", key)
+    shown = keyed.select("key", F.explode("platforms").alias("platform")).filter("platform IS NOT NULL").groupBy("key").agg(F.slice(F.array_sort(F.collect_set("platform")), 1, 6).alias("platforms"))
+    g = keyed.groupBy("key").agg(
         F.count(F.lit(1)).alias("placements"),
         F.min("start").alias("start"),
         F.max("stop").alias("stop"),
-        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("platforms")))), 1, 6).alias("platforms"),
         F.min_by("media", F.when(F.coalesce("media", F.lit("")) != "", F.col("ord"))).alias("media"),
     )
-    return g.orderBy(F.col("placements").desc(), F.col("start").desc(), "key")
+    return g.join(shown, "key", "left")
