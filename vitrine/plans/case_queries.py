@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..operators import catalog as C
+from ..operators import evaluations as E
 from ..operators import regions as R
+from ..operators import verification as V
 from ..sources.tables import load
 from .registry import query
 
@@ -127,3 +129,160 @@ LISTINGS = [
 def listing_urls(spark, sf_dir):
     """URLs that list products, in several languages."""
     return load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), U.is_listing_url(picked("s_suppkey", LISTINGS, 0)[0]).alias("listing"))
+
+
+FACTS = [("primary.name", "Blue Tea"), ("rival.domain", "sold at rival.com"), ("decision.priceVerdict", "primary costs 12.50 USD, tea price شاي")]
+GOOD = dict(pair="k", action_en="Highlight the tea at 12.50", action_ar="أبرز شاي", rationale_en="Show rival.com tea", rationale_ar="شاي 12.50", lever="positioning", evidence="primary.name,decision.priceVerdict", comparable=True)
+DRAFTS = [
+    (GOOD, None),
+    (GOOD | {"pair": None}, "invalid-object"),
+    (GOOD | {"pair": "other"}, "pair-key-mismatch"),
+    (GOOD | {"action_en": " "}, "text-fields"),
+    (GOOD | {"rationale_en": "tea " * 60}, "text-fields"),
+    (GOOD | {"action_ar": "tea"}, "arabic-missing"),
+    (GOOD | {"lever": "magic"}, "lever"),
+    (GOOD | {"evidence": "primary.name"}, "evidence-keys"),
+    (GOOD | {"evidence": "primary.name,unknown.key"}, "evidence-keys"),
+    (GOOD | {"evidence": "primary.name,rival.domain"}, "evidence-specificity"),
+    (GOOD | {"action_en": "Highlight the tea at 13"}, "unsupported-number"),
+    (GOOD | {"rationale_en": "Show other.com tea"}, "unsupported-domain"),
+    (GOOD | {"action_en": "Highlight the Darjeeling tea"}, "proper-noun"),
+    (GOOD | {"action_en": "Highlight the cheaper tea", "comparable": False}, "price-direction"),
+    (GOOD | {"action_ar": "أبرز شاي أرخص", "comparable": False}, "price-direction"),
+    (GOOD | {"action_en": "Improve it", "rationale_en": "Keep your lead"}, "grounding-overlap-en"),
+    (GOOD | {"action_ar": "أبرز المنتج", "rationale_ar": "دليل محفوظ"}, "grounding-overlap-ar"),
+]
+DRAFT_ROWS = [(d["pair"], d["action_en"], d["action_ar"], d["rationale_en"], d["rationale_ar"], d["lever"], d["evidence"], d["comparable"], reason) for d, reason in DRAFTS]
+
+
+@query(expected("supplier", "s_suppkey", DRAFT_ROWS, range(8, 9), "reason"))
+def draft_verdicts(spark, sf_dir):
+    """The first of thirteen reasons to refuse a drafted action, over drafts that reach each."""
+    names = ("pair_key", "action_en", "action_ar", "rationale_en", "rationale_ar", "lever", "evidence", "comparable_price")
+    values = dict(zip(names, picked("s_suppkey", DRAFT_ROWS, *range(8))))
+    values["evidence"] = F.split(values["evidence"], ",")
+    facts = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(t).alias("text")) for k, t in FACTS))
+    draft = F.struct(*(v.alias(n) for n, v in values.items()), F.lit("k").alias("own_key"), facts.alias("facts"))
+    return load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), V.draft_rejection(draft).alias("reason"))
+
+
+FAILURES = [
+    ("report-dispatch-failed", "queued", "dispatch"),
+    ("crawl-timeout", "brief", "crawl"),
+    ("edge-503", "brief", "crawl"),
+    ("primary-page-unavailable", "brief", "crawl"),
+    ("other", "crawl", "crawl"),
+    ("worker-lost", "brief", "worker"),
+    ("", "persistence", "persistence"),
+    (None, None, "orchestration"),
+    ("odd", "ads", "orchestration"),
+]
+
+
+@query(expected("orders", "o_orderkey", FAILURES, range(2, 3), "stage"))
+def run_failures(spark, sf_dir):
+    """Where failed runs failed."""
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), V.failure_stage(*picked("o_orderkey", FAILURES, 0, 1)).alias("stage"))
+
+
+#: core_overlap, discovery_overlap, accessory, pair_score, locale_bridge, exact_confidence, mentions, evidence, direct, primary_region, region, require_overlap, then score, accepted, confidence, basis.
+VERIFIED = [
+    (5, 0, False, 0.5, False, None, 3, 1, True, "GB", "GB", True, 99, True, "High", "observed-core"),
+    (2, 0, False, None, False, None, 1, 0, False, "", "US", False, 50, True, "Low", "observed-core"),
+    (2, 0, False, None, False, None, 1, 0, False, "", "US", True, 50, False, "Low", "observed-core"),
+    (2, 4, False, 0.32, False, None, 9, 9, True, "US", "DE", False, 78, False, "High", "observed-core"),
+    (1, 2, False, 0.4, True, None, 2, 0, False, "US", "GLOBAL", False, 77, True, "Medium", "observed-locale-pair"),
+    (0, 3, False, None, True, None, 0, 0, True, "US", "US", False, 27, False, "Low", "none"),
+    (0, 1, False, 0.2, False, 0.9, 1, 2, True, "US", "", False, 76, True, "Medium", "verified-exact-product-pair"),
+    (1, 0, True, 0.9, True, 0.95, 1, 1, True, "US", "US", False, 47, False, "Low", "verified-exact-product-pair"),
+    (0, 9, False, None, False, 0.5, 0, 1, False, "US", "US", False, 41, False, "Low", "none"),
+]
+
+
+@query(expected("customer", "c_custkey", VERIFIED, range(12, 16), "score, accepted, confidence, basis"))
+def competitor_verification(spark, sf_dir):
+    """Verification of candidates by category, product, evidence, relation and region."""
+    names = ("core_overlap", "discovery_overlap", "accessory", "pair_score", "locale_bridge", "exact_confidence", "mentions", "evidence", "direct", "primary_region", "region", "require_overlap")
+    x = F.struct(*(c.alias(n) for n, c in zip(names, picked("c_custkey", VERIFIED, *range(12)))))
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), V.verification(x).alias("v"))
+    return c.select("id", "v.*")
+
+
+#: status, then events as key:phase:status:message:limited:upstream, then the reason.
+COVERAGE = [
+    ("complete", "crawl-limited:crawl:limited:::", "ready"),
+    ("limited", "crawl-limited:crawl:limited:::", "site-unavailable"),
+    ("limited", "ads-skipped:ads:skipped::true:crawl", "site-unavailable"),
+    ("limited", "ads-limited:ads:limited:::;facts-limited:persistence:limited:::", "facts-incomplete"),
+    ("limited", "matching-complete:matching:complete::true:", "matching-stopped"),
+    ("limited", "matching-complete:matching:complete:::;matching-limited:matching:limited:::", "matching-unavailable"),
+    ("limited", "e:enrichment:done:a Coverage Limitation::", "details-missing"),
+    ("limited", "b:brief:limited:::", "discovery-partial"),
+    ("limited", "a:ads:limited:::", "ads-partial"),
+    ("limited", "a:ads:complete:::", "unknown"),
+    ("limited", None, "unknown"),
+]
+
+
+@query(expected("customer", "c_custkey", COVERAGE, range(2, 3), "coverage"))
+def coverage_label(spark, sf_dir):
+    """What a limited report could not cover, the gravest first."""
+    status, events = picked("c_custkey", COVERAGE, 0, 1)
+    part = lambda e, k: F.nullif(F.split_part(e, F.lit(":"), F.lit(k)), F.lit(""))
+    names = ("key", "phase", "status", "message")
+    event = lambda e: F.struct(*(part(e, k + 1).alias(n) for k, n in enumerate(names)), part(e, 5).cast("boolean").alias("limited"), part(e, 6).alias("upstream"))
+    found = F.transform(F.split(events, ";"), event)
+    return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), V.coverage_reason(status, found).alias("coverage"))
+
+
+#: status, attempts, owner, request, by, attempt, outcome, then the new status, attempts, owner and the reply.
+STEPS = [
+    ("deterministic", 0, None, "dispatch", None, None, None, "dispatching", 1, None, "applied"),
+    ("dispatch_failed", 2, None, "dispatch", None, None, None, "dispatching", 3, None, "applied"),
+    ("dispatch_failed", 3, None, "dispatch", None, None, None, "dispatch_failed", 3, None, "ineligible"),
+    ("complete", 1, "w", "dispatch", None, None, None, "complete", 1, "w", "ineligible"),
+    ("dispatching", 1, None, "fail", None, 1, None, "dispatch_failed", 1, None, "applied"),
+    ("dispatching", 3, None, "fail", None, 3, None, "failed", 3, None, "applied"),
+    ("dispatching", 2, None, "fail", None, 1, None, "dispatching", 2, None, "stale_attempt"),
+    ("dispatching", 2, None, "reserve", "w", 2, None, "reserved", 2, "w", "applied"),
+    ("reserved", 2, "w", "reserve", "v", 2, None, "reserved", 2, "w", "ineligible"),
+    ("reserved", 2, "w", "callback", "w", 2, "complete", "complete", 2, "w", "applied"),
+    ("reserved", 2, "w", "callback", "v", 2, "complete", "reserved", 2, "w", "binding_conflict"),
+    ("reserved", 2, "w", "callback", "w", 2, "odd", "reserved", 2, "w", "binding_conflict"),
+    ("complete", 2, "w", "callback", "w", 2, "agent_rejected", "complete", 2, "w", "ineligible"),
+    ("dispatching", 1, None, None, None, None, None, "dispatching", 1, None, None),
+]
+
+
+@query(expected("orders", "o_orderkey", STEPS, range(7, 11), "status, attempts, owner, reply"))
+def evaluation_steps(spark, sf_dir):
+    """States of evaluations after a request each: dispatch, failure, reservation, callback, replays and stale attempts."""
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), *(c.alias(n) for n, c in zip(("status", "attempts", "holder", "request", "by", "attempt", "outcome"), picked("o_orderkey", STEPS, *range(7)))))
+    states = o.select("id", "status", F.col("attempts").cast("int").alias("attempts"), F.col("holder").alias("owner"))
+    asked = o.filter("request IS NOT NULL").select("id", F.lit(1).alias("ord"), "request", F.col("by").alias("owner"), F.col("attempt").cast("int").alias("attempt"), "outcome")
+    # The same request comes twice; the second must change nothing.
+    return E.applied(states, asked.unionByName(asked.withColumn("ord", F.lit(2))))
+
+
+#: status, attempts, minutes in it, dispatched, then the state after the watchdog and the queue's clock.
+CLOCKS = [
+    ("dispatching", 1, 4, True, "dispatching"),
+    ("dispatching", 1, 6, True, "dispatch_failed"),
+    ("dispatching", 3, 6, True, "failed"),
+    ("reserved", 1, 9, True, "reserved"),
+    ("reserved", 1, 11, True, "call_outcome_unknown"),
+    ("queued", 0, 59, True, "queued"),
+    ("queued", 0, 61, True, "failed"),
+    ("queued", 0, 999, False, "queued"),
+    ("complete", 1, 999, True, "complete"),
+]
+
+
+@query(expected("orders", "o_orderkey", CLOCKS, range(4, 5), "next_state"))
+def watchdog_states(spark, sf_dir):
+    """What a clock does to evaluations and queued runs that wait."""
+    status, attempts, minutes, sent = picked("o_orderkey", CLOCKS, 0, 1, 2, 3)
+    now = F.to_timestamp(F.lit("2024-01-30 12:00:00"))
+    since = now - F.make_dt_interval(F.lit(0), F.lit(0), minutes.cast("int"))
+    after = E.expired(status, attempts, since, now)
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), E.queued_timeout(after, F.when(sent, since), now).alias("next_state"))

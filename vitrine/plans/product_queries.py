@@ -378,17 +378,6 @@ def search_recall(spark, sf_dir):
     return l.select("rival", percent_of("c", "n").alias("recall"))
 
 
-@query("""WITH p AS (SELECT p_brand AS domain, p_type AS category, p_partkey AS id FROM part), b AS (SELECT domain, list_sort(list_distinct(list(category))) AS cs, count(*) AS n FROM p GROUP BY 1)
-SELECT domain, least(45, 30 + 4 * len(list_intersect(cs, (SELECT cs FROM b WHERE domain = 'Brand#1'))))::BIGINT + least(25, 14)::BIGINT + least(12, 4 * n)::BIGINT + 3 + 5 AS score FROM b WHERE domain <> 'Brand#1'""")
-def competitor_verification(spark, sf_dir):
-    """How well a company is confirmed as a competitor: category, product, evidence, relationship and region."""
-    c = load(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("domain")).agg(F.collect_set("p_type").alias("cs"), F.count(F.lit(1)).alias("n"))
-    own = c.filter("domain = 'Brand#1'").select(F.col("cs").alias("own"))
-    j = c.filter("domain <> 'Brand#1'").join(F.broadcast(own))
-    category = F.least(F.lit(45), 30 + 4 * F.size(F.array_intersect("cs", "own")))
-    return j.select("domain", (category + 14 + F.least(F.lit(12), 4 * F.col("n")) + 3 + 5).cast("long").alias("score"))
-
-
 @query("""WITH e AS (SELECT user_id, event_type, value, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events)
 SELECT user_id, count(*) AS placements, min(ts) AS started, max(ts) AS stopped, string_agg(event_type, ',' ORDER BY event_type) AS concepts FROM e WHERE rn = 1 GROUP BY user_id""")
 def concept_grouping(spark, sf_dir):

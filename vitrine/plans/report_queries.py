@@ -206,13 +206,6 @@ def evidence_catalog(spark, sf_dir):
     return o.withColumn("rn", F.row_number().over(turn)).orderBy("rn", F.col("o_totalprice").desc(), "o_orderkey").limit(48).select(F.col("o_orderkey").alias("id"))
 
 
-@query("""SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus = 'F' THEN 'none' WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'timeout' WHEN o_totalprice < 10000 THEN 'empty' ELSE 'interrupted' END AS failure FROM orders""")
-def run_failures(spark, sf_dir):
-    """Why runs failed."""
-    f = F.when(F.col("o_orderstatus") == "F", "none").when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "timeout").when(F.col("o_totalprice") < 10000, "empty").otherwise("interrupted")
-    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), f.alias("failure"))
-
-
 @query("""WITH p AS (SELECT c_nationkey AS market, avg(c_acctbal) AS mean FROM customer GROUP BY 1) SELECT c_custkey AS id, CASE WHEN c_acctbal > mean * 1.2 THEN 'ahead' WHEN c_acctbal < mean * 0.8 THEN 'behind' ELSE 'level' END AS stand FROM customer JOIN p ON market = c_nationkey""")
 def stand_against_market(spark, sf_dir):
     """Where a company stands against the mean of its market."""
@@ -222,13 +215,6 @@ def stand_against_market(spark, sf_dir):
     return j.select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") > F.col("mean") * 1.2, "ahead").when(F.col("c_acctbal") < F.col("mean") * 0.8, "behind").otherwise("level").alias("stand"))
 
 
-@query("""SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'error') * 3 > count(*) THEN 'reject' WHEN count(*) FILTER (event_type = 'purchase') = 0 THEN 'ungrounded' ELSE 'accept' END AS verdict FROM events GROUP BY 1""")
-def draft_verdicts(spark, sf_dir):
-    """Whether a draft is accepted; the first reason wins."""
-    e = load(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.when(F.col("event_type") == "error", 1)).alias("e"), F.count(F.when(F.col("event_type") == "purchase", 1)).alias("p"), F.count(F.lit(1)).alias("n"))
-    return e.select("user_id", F.when(F.col("e") * 3 > F.col("n"), "reject").when(F.col("p") == 0, "ungrounded").otherwise("accept").alias("verdict"))
-
-
 @query("""SELECT sha256(string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey)) AS anchor_hash, p_brand AS domain FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part) WHERE n <= 1000 GROUP BY p_brand""")
 def anchor_hashes(spark, sf_dir):
     """A hash of the sorted anchors of each domain; a catalog searches for at most 1000."""

@@ -557,16 +557,6 @@ def stale_runs_as_of(spark, sf_dir):
     return e.withColumn("interrupted", (at(EVENTS_AS_OF) - F.col("heartbeat")) > F.expr("INTERVAL 42 MINUTES"))
 
 
-@query("""SELECT o_orderkey AS run_id, CASE WHEN age > INTERVAL 10 DAY AND tries >= 3 THEN 'failed' WHEN age > INTERVAL 10 DAY THEN 'retry' ELSE 'waiting' END AS next_state FROM
-(SELECT o_orderkey, TIMESTAMP '2001-08-01 00:00:00' - o_orderdate AS age, o_orderkey % 5 AS tries FROM orders WHERE o_orderstatus = 'P')""")
-def watchdog_states(spark, sf_dir):
-    """What a watchdog does with runs that are waiting: by age and attempts."""
-    age = at("2001-08-01 00:00:00") - F.col("o_orderdate")
-    late = age > F.expr("INTERVAL 10 DAYS")
-    state = F.when(late & (F.col("o_orderkey") % 5 >= 3), "failed").when(late, "retry").otherwise("waiting")
-    return t(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("run_id"), state.alias("next_state"))
-
-
 @query("""WITH d AS (SELECT o_orderkey, date_trunc('month', o_orderdate) AS day, sum(o_totalprice) OVER (PARTITION BY date_trunc('month', o_orderdate) ORDER BY o_orderdate, o_orderkey) AS used FROM orders)
 SELECT o_orderkey AS run_id, used <= 5000000 AS granted FROM d""")
 def budget_reservation(spark, sf_dir):
@@ -609,13 +599,6 @@ def identity_bound_rows(spark, sf_dir):
     return p.join(p.filter("p_size > 40").select("identity").distinct(), "identity", "left_semi").select(F.col("p_partkey").alias("id"), "identity")
 
 
-@query("""SELECT user_id, CASE WHEN bool_or(event_type = 'error') AND bool_or(event_type = 'purchase') THEN 'partial' WHEN bool_or(event_type = 'purchase') THEN 'complete' ELSE 'none' END AS coverage FROM events GROUP BY user_id""")
-def coverage_label(spark, sf_dir):
-    """How far a run came, by flags over its events."""
-    e = t(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.col("event_type") == "error").alias("e"), F.max(F.col("event_type") == "purchase").alias("p"))
-    return e.select("user_id", F.when(F.col("e") & F.col("p"), "partial").when(F.col("p"), "complete").otherwise("none").alias("coverage"))
-
-
 @query("""SELECT c_custkey AS workspace_id, coalesce(CASE c_mktsegment WHEN 'MACHINERY' THEN 'enterprise' WHEN 'FURNITURE' THEN 'team' END, 'free') AS plan FROM customer""")
 def entitlement(spark, sf_dir):
     """The plan of each workspace by a small table of plans, with a default."""
