@@ -129,16 +129,24 @@ def test_wider_radius_links_similar_texts_only(spark):
     assert [got[i] for i in range(len(texts))] == label and len(set(label)) < len(texts)
 
 
-def test_wider_radius_lists_all_pairs_of_different_roots(spark, monkeypatch):
-    monkeypatch.setattr(S, "BLOCK", 8)
+def test_neighbours_are_all_pairs_of_different_roots(spark, monkeypatch):
     fps = sorted({f - 2**64 if f >> 63 else f for f in clustered(5, 250)} | {k * 5 for k in range(60)})
     root = {f: f if f % 3 else 7 for f in fps}
     rows = sorted(root.items()) + [(f, f + 1) for f in fps[:20]]
-    want = {(a, ra, b, rb) for a, ra in rows for b, rb in rows if (a, ra) < (b, rb) and ra != rb and ((a ^ b) & (2**64 - 1)).bit_count() <= 7}
-    df = spark.createDataFrame(rows, "fp long, root long")
-    for hot in (0, 12):
-        got = {tuple(r) for r in S.fingerprint_links(df, 7, hot_from=hot).distinct().collect()}
-        assert got == want and len(want) > 500
+    near = {(a, ra, b, rb) for a, ra in rows for b, rb in rows if ra != rb and ((a ^ b) & (2**64 - 1)).bit_count() <= 7}
+    want = {x for x in near if x[:2] < x[2:]}
+    entries = S.postings(spark.createDataFrame(rows, "fp long, root long"), S.planned(spark.createDataFrame(rows, "fp long, root long"), 7)).persist()
+    for block, at_once in ((2048, 1 << 21), (8, 50)):
+        monkeypatch.setattr(S, "BLOCK", block)
+        monkeypatch.setattr(S, "AT_ONCE", at_once)
+        got = S.unordered(S.neighbours(entries, 7, None), "", "r").collect()
+        assert {(r["a"], r["ra"], r["b"], r["rb"]) for r in got} == want and len(want) > 500
+        few = S.neighbours(entries, 7, 2).collect()
+        assert {(r["a"], r["ra"], r["b"], r["rb"]) for r in few} <= near
+        # Who names fewer than it has says so; all pairs with an end that doesn't are there.
+        done = {x[:2] for x in near} - {(r["a"], r["ra"]) for r in few if r["k"] > 2}
+        named = {(r["a"], r["ra"], r["b"], r["rb"]) for r in few}
+        assert {x for x in near if x[:2] in done} <= named and len(done) > 20
 
 
 def test_similar_pairs_of_a_dense_value_are_all_compared(spark, monkeypatch):
@@ -150,9 +158,10 @@ def test_similar_pairs_of_a_dense_value_are_all_compared(spark, monkeypatch):
     fake[texts[1]], fake[texts[9]] = fake[texts[0]], fake[texts[0]] ^ (0b11111 << 40)
     rows = spark.createDataFrame([(None, t, fake[t], n) for n, t in enumerate(texts)], "doc_id long, text string, fp long, n int")
     docs = rows.select("fp", F.col("fp").alias("root"), F.xxhash64("text").alias("text_hash"), *S.row_key(rows))
-    monkeypatch.setattr(S, "WIDE_HOT", 0)
-    got = {tuple(r) for r in S.similar_links(rows, docs, 7, 5, 0.8, "text").collect()}
-    assert got == {tuple(sorted((fake[texts[k]], fake[texts[k + 8]]))) for k in range(8)}
+    for named in (1, 3, 40):
+        monkeypatch.setattr(S, "NAMED", named)
+        got = {tuple(sorted((r["a"], r["b"]))) for r in S.similar_links(rows, docs, 7, 5, 0.8, "text").collect()}
+        assert got == {tuple(sorted((fake[texts[k]], fake[texts[k + 8]]))) for k in range(8)}
 
 
 def test_near_copies_are_found_by_their_words(spark):
@@ -171,3 +180,35 @@ def test_near_copies_are_found_by_their_words(spark):
     got = {x["doc_id"]: x["component_id"] for x in S.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), wide=7).collect()}
     assert len(alike) > 80 and sum(got[i] == got[j] for i, j in alike) >= 0.95 * len(alike)
     assert all(got[i] == got[j] or i // 2 != j // 2 for i, j in alike if (S.fingerprint(texts[i], 1, True) ^ S.fingerprint(texts[j], 1, True)).bit_count() <= 7)
+
+
+def test_a_dense_group_is_joined_by_few_comparisons(spark, monkeypatch):
+    """Hundreds of texts within a few bits of each other, of which some pairs are similar: the classes of brute force, from few compared pairs."""
+    r = random.Random(14)
+    base = [f"w{r.randrange(10**6)}" for _ in range(70)]
+    texts = []
+    for _ in range(260):
+        words = list(base)
+        for k in r.sample(range(len(words)), r.choice([1, 2, 3, 5, 6])):
+            words[k] = f"v{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    fps, wide = [S.fingerprint(t) for t in texts], [S.fingerprint(t, 1, True) for t in texts]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(66)} for t in texts]
+    compared = []
+    listed = S.unordered
+    monkeypatch.setattr(S, "unordered", lambda pairs, *cols: compared.append(S.materialize(listed(pairs, *cols), "t")) or compared[-1])
+    got = {x["doc_id"]: x["component_id"] for x in S.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), wide=7).collect()}
+    near7 = [(i, j) for i in range(len(texts)) for j in range(i) if (wide[i] ^ wide[j]).bit_count() <= 7]
+    want = list(range(len(texts)))
+    for i, j in near7:
+        shared = len(sets[i] & sets[j])
+        if shared >= 0.8 * (132 - shared):
+            a, b = want[i], want[j]
+            want = [min(a, b) if x in (a, b) else x for x in want]
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                a, b = want[i], want[j]
+                want = [min(a, b) if x in (a, b) else x for x in want]
+    assert [got[i] for i in range(len(texts))] == want
+    assert len(near7) > 10_000 and sum(c.count() for c in compared) < len(near7) / 3

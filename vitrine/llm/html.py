@@ -469,7 +469,7 @@ def extract(df: DataFrame, slab_bytes: int = 4 << 20) -> DataFrame:
         pages = pages.withColumn("at", at)
     flipped = flipped_places(pages)
     # A row for each slab, so that no task joins a whole host where there are too many places to broadcast.
-    by_slab = flipped.join(slabs, "host").select("host", "flipped", F.explode(F.sequence(F.lit(0), F.col("slabs") - 1)).alias("slab"))
+    by_slab = materialize(flipped.join(slabs, "host").select("host", "flipped", F.explode(F.sequence(F.lit(0), F.col("slabs") - 1)).alias("slab")), "by_slab")
     joined = pages.join(by_slab, ["host", "slab"], "left").select("page_id", "url", "blob", "marks", "at", "flipped")
 
     def keep(batches):

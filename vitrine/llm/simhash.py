@@ -21,9 +21,14 @@ Near copies that differ in more bits are searched for by a second fingerprint, o
 words of a text: a changed word touches several shingles but is one word of the set, so texts
 that share 0.8 of their shingles lie within a few bits there, and others hardly ever do. A
 similarity needs more than links, though: a forest's links may fail it where other pairs meet
-it. So all pairs within that wider radius are listed, in blocks as well, but for those that the
-narrow radius has already joined; bitmaps of the shingle sets bound the similarity from above
-and leave out most others, and the rest are compared exactly.
+it, and a large group of near copies has far too many pairs to compare. So the wider search
+goes in steps. First every probe names its few nearest neighbours of other components; those
+pairs are compared exactly, and what is similar is joined. A text with no more neighbours than
+that in any partition is done. The others, which are the members of dense groups, are searched
+again, among themselves, with bitmaps of their shingle sets, which bound the similarity from
+above: once for the few best neighbours, and then for all pairs of components that are still
+apart and that the bound doesn't rule out. So all pairs are either compared, ruled out or
+already joined, and in a dense group nearly all are the last.
 
 Defined cases: a null or empty text has no shingles and the fingerprint zero, which links
 like any other; fewer words than a shingle form one shorter shingle; repeated rows and copies
@@ -35,6 +40,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -50,10 +56,12 @@ from .components import components
 SAMPLE = 8192
 #: Index entries of one partition value above which its candidates are walked, not joined.
 HOT = 64
-#: The same where a wider radius sends more probes.
-WIDE_HOT = 12
 #: Most index entries and probes that meet in one block of a hot value.
 BLOCK = 2048
+#: Neighbours that a probe names at once in the wider search.
+NAMED = 3
+#: Entries of a task, and candidates that are looked at at once, in the wider search.
+TASK_ENTRIES, AT_ONCE = 300_000, 1 << 21
 BLOCKS = 8
 #: Bits of the bitmap of a set of shingles.
 BITMAP = 512
@@ -177,31 +185,42 @@ def allocate(fp: np.ndarray, layout: tuple[int, ...], shares: np.ndarray, n: int
     return thresholds, cost
 
 
-def postings(fps: DataFrame, order: list[int], layout: tuple[int, ...], shares: np.ndarray, n: int, radius: int) -> DataFrame:
-    """key, fp, probe: one index entry a partition, and the probes within the thresholds. The key is partition and value. A root goes along."""
-    rooted = "root" in fps.columns
-    names = ["key", "fp", "probe"] + ["root"] * rooted
+@dataclass
+class Plan:
+    """How fingerprints are partitioned and probed: the order of bits, blocks of each partition, shares of all fingerprints by block, value and distance, their number, and the radius."""
+
+    order: list[int]
+    layout: tuple[int, ...]
+    shares: np.ndarray
+    n: int
+    radius: int
+
+
+def postings(fps: DataFrame, plan: Plan) -> DataFrame:
+    """key, fp, probe: one index entry a partition, and the probes within the thresholds. The key is partition and value. Other columns of fps go along."""
+    more = [c for c in fps.columns if c != "fp"]
+    names = ["key", "fp", "probe", *more]
 
     def run(batches):
         for b in batches:
-            root = b.column(1).to_numpy(zero_copy_only=False) if rooted else None
             raw = b.column(0).to_numpy(zero_copy_only=False).astype("<i8")
-            fp = permuted(raw.view("<u8"), order)
-            t, _ = allocate(fp, layout, shares, n, radius)
+            fp = permuted(raw.view("<u8"), plan.order)
+            t, _ = allocate(fp, plan.layout, plan.shares, plan.n, plan.radius)
             start = 0
-            for i, width in enumerate(layout):
+            for i, width in enumerate(plan.layout):
                 value = ((fp >> np.uint64(8 * start)) & np.uint64((1 << 8 * width) - 1)).astype(np.int64) | (np.int64(i) << np.int64(40))
                 start += width
-                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(raw), pa.array(np.zeros(len(raw), bool)), *([pa.array(root)] if rooted else [])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(raw), pa.array(np.zeros(len(raw), bool)), *b.columns[1:]], names=names)
                 for e in range(int(t[:, i].max(initial=-1)) + 1):
                     who = np.flatnonzero(t[:, i] >= e)
                     masks = np.array([sum(1 << k for k in c) for c in itertools.combinations(range(8 * width), e)], dtype=np.int64)
                     for part in np.array_split(who, max(1, len(who) * len(masks) // 200_000)) if len(who) else []:
                         keys = (value[part][:, None] ^ masks[None, :]).ravel()
-                        own = [pa.array(np.repeat(c[part], len(masks))) for c in ((raw, root) if rooted else (raw,))]
-                        yield pa.RecordBatch.from_arrays([pa.array(keys), own[0], pa.array(np.ones(len(keys), bool)), *own[1:]], names=names)
+                        own = pa.array(np.repeat(part, len(masks)))
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), *(c.take(own) for c in b.columns[:1]), pa.array(np.ones(len(keys), bool)), *(c.take(own) for c in b.columns[1:])], names=names)
 
-    return fps.select("fp", *["root"] * rooted).mapInArrow(run, "key long, fp long, probe boolean" + ", root long" * rooted)
+    kinds = "".join(f", {c} {fps.schema[c].dataType.simpleString()}" for c in more)
+    return fps.select("fp", *more).mapInArrow(run, f"key long, fp long, probe boolean{kinds}")
 
 
 def spanning_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -222,46 +241,29 @@ def spanning_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def unjoined_pairs(group: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """a, ra, b, rb of all pairs (a, ra) < (b, rb) of a probe and an index entry within the radius that have different roots."""
-    is_probe = group["probe"].to_numpy().astype(bool)
-    fp, root = (group[c].to_numpy().astype("<i8") for c in ("fp", "root"))
-    a, ra, b, rb = fp[is_probe], root[is_probe], fp[~is_probe], root[~is_probe]
-    found = [np.zeros((4, 0), dtype="<i8")]
-    for lo in range(0, len(a), 256):
-        own, ro = a[lo : lo + 256, None], ra[lo : lo + 256, None]
-        near = np.bitwise_count(own.view("<u8") ^ b.view("<u8")[None, :]) <= radius
-        i, j = np.nonzero(near & (ro != rb[None, :]) & ((own < b[None, :]) | ((own == b[None, :]) & (ro < rb[None, :]))))
-        found.append(np.stack([a[lo + i], ra[lo + i], b[j], rb[j]]))
-    return pd.DataFrame(np.concatenate(found, axis=1).T, columns=["a", "ra", "b", "rb"])
+def in_blocks(entries: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Adds x and q, by which index entries and probes of partition values (key, xs, qs) meet in blocks of bounded size; other values are left out."""
+    both = entries.join(sizes, "key")
+    n_x, n_q = (F.greatest(F.ceil(F.col(c) / F.lit(BLOCK)).cast("int"), F.lit(1)) for c in ("xs", "qs"))
+    mix = F.xxhash64("fp")
+    x = F.when(F.col("probe"), F.sequence(F.lit(0), n_x - 1)).otherwise(F.array(F.pmod(mix, n_x).cast("int")))
+    q = F.when(~F.col("probe"), F.sequence(F.lit(0), n_q - 1)).otherwise(F.array(F.pmod(mix, n_q).cast("int")))
+    return both.withColumn("x", F.explode(x)).withColumn("q", F.explode(q)).select("x", "q", *entries.columns)
 
 
 def links_in_blocks(entries: DataFrame, sizes: DataFrame, radius: int) -> DataFrame:
-    """Spanning links of the hot partition values, or all pairs with different roots if entries have roots: index entries and probes meet in blocks of bounded size."""
-    both = entries.join(sizes, "key")
-    n_x, n_q = (F.ceil(F.col(c) / F.lit(BLOCK)).cast("int") for c in ("xs", "qs"))
-    mix = F.xxhash64("fp")
-    x = F.when(F.col("probe"), F.sequence(F.lit(0), F.greatest(n_x, F.lit(1)) - 1)).otherwise(F.array(F.pmod(mix, n_x).cast("int")))
-    q = F.when(~F.col("probe"), F.sequence(F.lit(0), F.greatest(n_q, F.lit(1)) - 1)).otherwise(F.array(F.pmod(mix, F.greatest(n_q, F.lit(1))).cast("int")))
-    dealt = both.withColumn("x", F.explode(x)).withColumn("q", F.explode(q)).select("x", "q", *entries.columns)
-    rooted = "root" in entries.columns
+    """Spanning links of the hot partition values."""
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
-        if rooted:
-            return unjoined_pairs(group, radius)
         links = spanning_links(group["fp"].to_numpy().astype("<i8").view("<u8"), radius)
         ends = np.array(links, dtype="<u8").reshape(-1, 2).view("<i8")
         return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
 
-    return dealt.groupBy("key", "x", "q").applyInPandas(walk, "a long, ra long, b long, rb long" if rooted else "a long, b long")
-
+    return in_blocks(entries, sizes).groupBy("key", "x", "q").applyInPandas(walk, "a long, b long")
 
-def fingerprint_links(fps: DataFrame, radius: int = 3, hot_from: int | None = None) -> DataFrame:
-    """Links a, b between distinct fingerprints that join all that lie within the radius into the same components.
 
-    If fps has a column root, they are instead all pairs a, ra, b, rb of rows (fp, root) within the
-    radius whose roots differ, some of them repeated.
-    """
+def planned(fps: DataFrame, radius: int) -> Plan:
+    """The plan with the least expected cost for a table of fp."""
     n = fps.count()
     sample = [r[0] for r in fps.filter(uniform(F.col("fp"), seed=31) < SAMPLE / max(n, 1)).select("fp").limit(2 * SAMPLE).collect()]
     order = correlated_order(np.array(sample or [0], dtype="<i8").view("<u8"))
@@ -281,22 +283,98 @@ def fingerprint_links(fps: DataFrame, radius: int = 3, hot_from: int | None = No
     shares = distance_shares(counts.reshape(BLOCKS, 256))
     some = permuted(np.array(sample or [0], dtype="<i8").view("<u8"), order)
     layout = min(LAYOUTS.values(), key=lambda x: allocate(some, x, shares, n, radius)[1].mean())
-    entries = materialize(postings(fps, order, layout, shares, n, radius), "postings")
-    sizes = entries.groupBy("key").agg(F.count(F.when(~F.col("probe"), 1)).alias("xs"), F.count(F.when(F.col("probe"), 1)).alias("qs"))
-    hot = materialize(sizes.filter(F.col("xs") > (HOT if hot_from is None else hot_from)), "hot")
-    ends = [c for c in ("fp", "root") if c in fps.columns]
-    index = entries.filter(~F.col("probe")).select("key", *(F.col(c).alias(n) for c, n in zip(ends, ("b", "rb"))))
-    probes = entries.filter("probe").select("key", *(F.col(c).alias(n) for c, n in zip(ends, ("a", "ra"))))
-    near, out = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius, ["a", "b"]
-    if "root" in ends:
-        near &= (F.col("ra") != F.col("rb")) & (F.struct("a", "ra") < F.struct("b", "rb"))
-        out = ["a", "ra", "b", "rb"]
-    else:
-        near &= F.col("a") < F.col("b")
-    cold = probes.join(index.join(hot.select("key"), "key", "left_anti"), "key").filter(near).select(*out)
+    return Plan(order, layout, shares, n, radius)
+
+
+def value_sizes(entries: DataFrame) -> DataFrame:
+    """key, xs, qs: the index entries and the probes of each partition value."""
+    return entries.groupBy("key").agg(F.count(F.when(~F.col("probe"), 1)).alias("xs"), F.count(F.when(F.col("probe"), 1)).alias("qs"))
+
+
+def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
+    """Links a, b between distinct fingerprints that join all that lie within the radius into the same components."""
+    entries = materialize(postings(fps.select("fp"), planned(fps, radius)), "postings")
+    hot = materialize(value_sizes(entries).filter(F.col("xs") > HOT), "hot")
+    index = entries.filter(~F.col("probe")).select("key", F.col("fp").alias("b"))
+    probes = entries.filter("probe").select("key", F.col("fp").alias("a"))
+    near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius) & (F.col("a") < F.col("b"))
+    cold = probes.join(index.join(hot.select("key"), "key", "left_anti"), "key").filter(near).select("a", "b")
     return cold.union(links_in_blocks(entries, hot, radius))
 
 
+def meetings(group: np.ndarray, probe: np.ndarray):
+    """Positions of the probe and the index entry of all pairs of a group, all of one probe at once; group is sorted."""
+    index, probes = np.flatnonzero(~probe), np.flatnonzero(probe)
+    low = np.searchsorted(group[index], group[probes], side="left")
+    n = np.searchsorted(group[index], group[probes], side="right") - low
+    probes, low, n = probes[n > 0], low[n > 0], n[n > 0]
+    part = np.cumsum(n) // AT_ONCE
+    for cut in np.split(np.arange(len(n)), np.flatnonzero(np.diff(part)) + 1):
+        if len(cut):
+            size = n[cut]
+            within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            yield np.repeat(probes[cut], size), index[np.repeat(low[cut], size) + within]
+
+
+def neighbours(entries: DataFrame, radius: int, named: int | None, similarity: float = 0.0) -> DataFrame:
+    """ra, a, ta, rb, b, tb, k: for each probe its nearest index entries within the radius and with another root, `named` of them or all; k is how many there are.
+
+    entries has key, fp, probe, root and, with a similarity, t, n, bits of a text: pairs of texts
+    that cannot be so similar are left out, and the nearest are those that may be most similar.
+    """
+    large = materialize(value_sizes(entries).filter((F.col("xs") > BLOCK) | (F.col("qs") > BLOCK)), "large")
+    small = entries if large.isEmpty() else entries.join(large.select("key"), "key", "left_anti")
+    names = [c for c in entries.columns if c not in ("key", "probe")]
+    dealt = small.select("key", F.lit(0).alias("x"), F.lit(0).alias("q"), "probe", *names)
+    if not large.isEmpty():
+        dealt = dealt.unionByName(in_blocks(entries, large).select("key", "x", "q", "probe", *names))
+    parts = max(1, -(-entries.count() // TASK_ENTRIES))
+    dealt = dealt.repartition(parts, "key", "x", "q").sortWithinPartitions("key", "x", "q")
+    with_texts = "bits" in names
+
+    def run(batches):
+        held = list(batches)
+        if not held:
+            return
+        col = lambda name: np.concatenate([b.column(b.schema.get_field_index(name)).to_numpy(zero_copy_only=False) for b in held])
+        key, x, q, probe, fp, root = (col(c) for c in ("key", "x", "q", "probe", "fp", "root"))
+        group = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (q[1:] != q[:-1])))
+        raw = fp.astype("<i8").view("<u8")
+        if with_texts:
+            t, n = col("t"), col("n").astype(np.int64)
+            bits = np.concatenate([b.column(b.schema.get_field_index("bits")).flatten().to_numpy(zero_copy_only=False) for b in held]).reshape(len(key), -1)
+        for i, j in meetings(group, probe.astype(bool)):
+            d = np.bitwise_count(raw[i] ^ raw[j]).astype(np.int64)
+            near = np.flatnonzero((d <= radius) & (root[i] != root[j]))
+            i, j, d = i[near], j[near], d[near]
+            if with_texts:
+                most = np.floor((n[i] + n[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6).astype(np.int64)
+                apart = np.concatenate([np.bitwise_count(bits[i[lo : lo + 65536]] ^ bits[j[lo : lo + 65536]]).sum(axis=1, dtype=np.int64) for lo in range(0, len(i), 65536)] or [np.zeros(0, np.int64)])
+                may = np.flatnonzero(apart <= most)
+                i, j, d = i[may], j[may], (apart - most)[may]
+            if not len(i):
+                continue
+            by = np.lexsort((raw[j], d, i))
+            i, j = i[by], j[by]
+            first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+            sizes = np.diff(np.append(first, len(i)))
+            k = np.repeat(sizes, sizes)
+            if named is not None:
+                keep = np.flatnonzero(np.arange(len(i)) - np.repeat(first, sizes) < named)
+                i, j, k = i[keep], j[keep], k[keep]
+            ends = [root[i], fp[i], t[i] if with_texts else np.zeros(len(i), np.int64), root[j], fp[j], t[j] if with_texts else np.zeros(len(i), np.int64), k]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in ends], names=["ra", "a", "ta", "rb", "b", "tb", "k"])
+
+    return dealt.mapInArrow(run, "ra long, a long, ta long, rb long, b long, tb long, k long")
+
+
+def unordered(pairs: DataFrame, *cols: str) -> DataFrame:
+    """Distinct pairs of structs of the columns that end in a and b, the lesser end first: columns ..a and ..b."""
+    one, two = (F.struct(*(F.col(c + end if c else end).alias(c or "fp") for c in cols)) for end in "ab")
+    both = pairs.select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two")).distinct()
+    return both.select(*(F.col(f"{side}.{c or 'fp'}").alias(c + end if c else end) for side, end in (("one", "a"), ("two", "b")) for c in cols))
+
+
 def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
     """fp, root, text_hash, the sorted distinct hashes of the word shingles, their number and a bitmap of a table of fp, root, text_hash, text.
 
@@ -320,31 +398,59 @@ def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
     return df.select("fp", "root", "text_hash", "text").mapInArrow(run, "fp long, root long, text_hash long, set array<long>, n int, bits array<long>")
 
 
+def relabelled(df: DataFrame, links: DataFrame) -> DataFrame:
+    """df with the roots that links between roots lead to."""
+    found = materialize(components(links, "a", "b"), "relabelled")
+    return df.withColumnRenamed("root", "old").join(found, F.col("old") == F.col("node"), "left").withColumn("root", F.coalesce("root", "old")).drop("old", "node")
+
+
 def similar_links(df: DataFrame, docs: DataFrame, radius: int, shingle: int, similarity: float, text_col: str) -> DataFrame:
-    """Links a, b between roots of which two texts lie within a wider radius and share enough of their word shingles (exact Jaccard similarity).
+    """Links a, b between roots that join all roots of which two texts lie within a wider radius and share enough of their word shingles (exact Jaccard similarity).
 
     docs has fp (the fingerprint for this search), root, text_hash and the row key of every row
-    of df; every distinct text of a fingerprint and root is compared.
+    of df; every distinct text of a fingerprint and root counts.
     """
     nodes = materialize(docs.select("fp", "root").distinct(), "nodes")
-    pairs = materialize(fingerprint_links(nodes, radius, hot_from=WIDE_HOT).distinct(), "wide")
+    plan = planned(nodes, radius)
+    named = materialize(neighbours(materialize(postings(nodes, plan), "wide"), radius, NAMED), "named")
+    pairs = materialize(unordered(named, "", "r"), "pairs")
     ends = pairs.select(F.col("a").alias("fp"), F.col("ra").alias("root")).union(pairs.select("b", "rb")).distinct()
     wanted = docs.join(ends, ["fp", "root"], "left_semi").groupBy("fp", "root", "text_hash").agg(F.min(F.struct("k1", "k2")).alias("k"))
     wanted = wanted.select("fp", "root", "text_hash", "k.k1", "k.k2")
     key = row_key(df)
-    texts = df.select(F.col(text_col).alias("text"), *key).join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    texts = df.select(F.col(text_col).alias("text"), *key).join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2", "fp", "root", "text_hash"])
     sets = materialize(shingle_sets(texts, shingle), "shingles")
 
     def side(end: str, *cols: str) -> DataFrame:
         return sets.select(F.col("fp").alias(end), F.col("root").alias(f"r{end}"), F.col("text_hash").alias(f"t{end}"), *(F.col(c).alias(c + end) for c in cols))
 
-    apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    most = (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-    close = pairs.join(side("a", "n", "bits"), ["a", "ra"]).join(side("b", "n", "bits"), ["b", "rb"]).filter(apart <= most).select("a", "ra", "ta", "b", "rb", "tb")
-    both = materialize(close, "close").join(side("a", "set"), ["a", "ra", "ta"]).join(side("b", "set"), ["b", "rb", "tb"])
-    shared = F.size(F.array_intersect("seta", "setb"))
-    alike = both.filter(shared >= similarity * (F.size("seta") + F.size("setb") - shared))
-    return alike.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+    def alike(pairs: DataFrame, keys: list[str]) -> DataFrame:
+        """Links between the roots of pairs of which some texts are similar enough: the bitmaps' bound comes first, the sets decide."""
+        a, b = ([f"{k}{end}" for k in keys] for end in "ab")
+        apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        most = (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        close = pairs.join(side("a", "n", "bits"), a).join(side("b", "n", "bits"), b).filter(apart <= most).select("a", "ra", "ta", "b", "rb", "tb")
+        met = materialize(close, "close").join(side("a", "set"), ["a", "ra", "ta"]).join(side("b", "set"), ["b", "rb", "tb"])
+        shared = F.size(F.array_intersect("seta", "setb"))
+        enough = met.filter(shared >= similarity * (F.size("seta") + F.size("setb") - shared))
+        return materialize(enough.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "alike")
+
+    links = alike(pairs, ["", "r"])
+    crowded = materialize(named.filter(F.col("k") > NAMED).select(F.col("a").alias("fp"), F.col("ra").alias("root")).distinct(), "crowded")
+    if crowded.isEmpty():
+        return links
+    dense = materialize(sets.join(crowded, ["fp", "root"], "left_semi").select("fp", "root", F.col("root").alias("was"), F.col("text_hash").alias("t"), "n", "bits"), "dense")
+    for most in (NAMED, None):
+        # Pairs are found by the roots of now, and compared and linked by those of before.
+        now = materialize(relabelled(dense.drop("root").withColumnRenamed("was", "root").withColumn("was", F.col("root")), links), "now")
+        was = now.select("fp", "t", "root", "was")
+        entries = materialize(postings(now.select("fp", "root", "t", "n", "bits"), plan), "dense")
+        found = unordered(neighbours(entries, radius, most, similarity), "", "r", "t")
+        for end in "ab":
+            own = was.select(F.col("fp").alias(end), F.col("t").alias(f"t{end}"), F.col("root").alias(f"r{end}"), F.col("was").alias(f"was{end}"))
+            found = found.join(own, [end, f"t{end}", f"r{end}"]).drop(f"r{end}").withColumnRenamed(f"was{end}", f"r{end}")
+        links = materialize(links.union(alike(found, ["", "r", "t"])), "links")
+    return links
 
 
 def classes(
