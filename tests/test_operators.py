@@ -225,3 +225,18 @@ def test_a_frequent_token_sends_no_pairs_of_its_own(spark):
     got = {(x["primary_id"], x["rival_id"]): x["hits"] for x in S.candidate_pairs(p, q).collect()}
     hits = {(i, j): len(set(names[i]) & set(names[j])) for i in range(30) for j in range(30, 80)}
     assert got == {k: n for k, n in hits.items() if n >= 2}
+
+
+def test_a_timer_tells_of_silent_runs(spark, tmp_path):
+    """Files come one after the other: a run is told when the watermark passes its silence, once, and only if it isn't over."""
+    from vitrine.streaming import events as V
+
+    minute = lambda m: f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00"
+    files = [[(1, 0, 1, "view"), (2, 0, 2, "view"), (3, 5, 3, "view")], [(4, 30, 1, "view"), (5, 31, 2, "purchase")], [(6, 200, 4, "view"), (7, 201, 1, "view")], [(8, 300, 5, "view")]]
+    for n, rows in enumerate(files):
+        df = spark.createDataFrame([(i, minute(m), u, k) for i, m, u, k in rows], "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.to_timestamp("ts"))
+        df.coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    schema = "event_id long, ts timestamp, user_id long, event_type string"
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = [(r["user_id"], str(r["heartbeat"])) for r in V.finished(V.interrupted_runs(stream), "append").collect()]
+    assert sorted(got) == [(1, minute(30)), (3, minute(5)), (4, minute(200))]

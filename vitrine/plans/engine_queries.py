@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import compaction as P
 from ..operators import evaluations as E
 from ..operators import matching as M
 from ..operators import rubric as B
@@ -178,3 +179,21 @@ def challenge_samples(spark, sf_dir):
     """The known URLs that a search challenge asks for, and the hash of its input."""
     k = load(spark, sf_dir, "pages").select((F.col("page_id") % 25).alias("run"), "url")
     return E.challenge_sample(k).select("run", F.array_join("urls", " ").alias("urls"), "input_hash")
+
+
+@query("""WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), '. ') AS parts FROM documents),
+e AS (SELECT doc_id AS doc, unnest(parts) AS text, unnest(range(len(parts))) AS ord FROM s),
+b AS (SELECT doc, ord, CASE ord % 4 WHEN 0 THEN 'evidence' WHEN 1 THEN 'gap' WHEN 2 THEN 'product-catalog' ELSE 'summary' END AS type, text AS whole, [CASE WHEN ord % 4 = 2 THEN text END, 'item', 'x'] AS items FROM e),
+c AS (SELECT doc, ord, type, substring(whole, 1, CASE type WHEN 'evidence' THEN 500 WHEN 'gap' THEN 1000 WHEN 'summary' THEN 4000 ELSE 1000000000 END) AS text, items, row_number() OVER (PARTITION BY doc, type ORDER BY ord) AS nth FROM b),
+l AS (SELECT * FROM (VALUES (0, 12, 12, 30), (1, 6, 6, 15), (2, 3, 0, 8), (3, 1, 0, 4)) AS v(level, catalog, evidence, gap)),
+k AS (SELECT c.*, level, CASE WHEN type = 'product-catalog' THEN items[:catalog] ELSE items END AS kept FROM c CROSS JOIN l WHERE (type <> 'evidence' OR nth <= evidence) AND (type <> 'gap' OR nth <= gap)),
+z AS (SELECT doc, min(level) AS level FROM (SELECT doc, level, sum(strlen(text) + list_sum([coalesce(strlen(x), 0) FOR x IN kept]) + 10) AS bytes FROM k GROUP BY ALL) WHERE bytes <= 1500 GROUP BY doc)
+SELECT k.doc, k.ord, k.type, strlen(k.text)::INT AS bytes, len(kept)::INT AS items, len(k.items)::INT AS total_items, k.level FROM k JOIN z ON k.doc = z.doc AND k.level = z.level""")
+def compacted_documents(spark, sf_dir):
+    """Blocks of documents at the first of four reduction levels that fits a budget."""
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\. ")).alias("ord", "text"))
+    k = F.col("ord") % 4
+    kinds = F.when(k == 0, "evidence").when(k == 1, "gap").when(k == 2, "product-catalog").otherwise("summary")
+    items = F.array(F.when(k == 2, F.col("text")), F.lit("item"), F.lit("x"))
+    found = P.compacted(d.select("doc", F.col("ord").cast("long").alias("ord"), kinds.alias("type"), "text", items.alias("items")), 1500, 10)
+    return found.select("doc", "ord", "type", F.octet_length("text").alias("bytes"), F.size("items").alias("items"), "total_items", "level")

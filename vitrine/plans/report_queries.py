@@ -159,13 +159,6 @@ def claim_copy(spark, sf_dir):
     return load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), claim.alias("claim"))
 
 
-@query("""SELECT doc_id, CASE WHEN length(text) <= 400 THEN 0 WHEN length(text) <= 1600 THEN 1 ELSE 2 END AS level FROM documents""")
-def compaction_level(spark, sf_dir):
-    """The first reduction level under which a document fits its budget."""
-    n = F.length("text")
-    return load(spark, sf_dir, "documents").select("doc_id", F.when(n <= 400, 0).when(n <= 1600, 1).otherwise(2).alias("level"))
-
-
 # Scores and verdicts
 
 

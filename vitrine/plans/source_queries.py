@@ -141,3 +141,12 @@ def stream_run_states(spark, sf_dir):
     """The state machine of runs over the stream of events."""
     out = E.finished(E.run_states(E.source(spark, sf_dir)), "update")
     return out.groupBy("user_id").agg(F.max_by(F.struct("state", "applied", "rejected"), "batch").alias("s")).select("user_id", "s.*")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts, event_type, lead(ts) OVER w AS next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+d AS (SELECT user_id, min(ts) AS done FROM e WHERE event_type = 'purchase' GROUP BY user_id), m AS (SELECT max(ts) - INTERVAL 1 MINUTE AS now FROM events),
+g AS (SELECT e.user_id, min(ts) AS heartbeat FROM e, m WHERE event_type <> 'purchase' AND ((next IS NOT NULL AND next - ts > INTERVAL 42 MINUTE) OR (next IS NULL AND now - ts > INTERVAL 42 MINUTE)) GROUP BY e.user_id)
+SELECT user_id, heartbeat FROM g LEFT JOIN d USING (user_id) WHERE done IS NULL OR heartbeat < done""")
+def stream_interrupted_runs(spark, sf_dir):
+    """Runs that fell silent, by a timer of event time or by a gap."""
+    return E.finished(E.interrupted_runs(E.source(spark, sf_dir)), "append").select("user_id", F.col("heartbeat").cast("timestamp_ntz").alias("heartbeat"))

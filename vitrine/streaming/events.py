@@ -73,6 +73,44 @@ def run_states(events: DataFrame) -> DataFrame:
     )
 
 
+def interrupted_runs(events: DataFrame, late: str = "1 minute", minutes: int = STALE_MINUTES) -> DataFrame:
+    """user_id, heartbeat: runs whose next event did not come within `minutes` of the one at `heartbeat`.
+
+    A timer of event time tells of runs that fall silent; a gap between two events tells of
+    those that spoke again too late, whose later events are of no effect. Each run is told
+    once, and a terminal event ends it without.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, closed = state.get if state.exists else (0, False)
+        wait, told = minutes * 60_000_000, None
+        if state.hasTimedOut:
+            told, closed = last, True
+        elif not closed:
+            rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+            for at, kind in zip(rows["at"].tolist(), rows["event_type"].tolist()):
+                if closed:
+                    break
+                if last and at - last > wait:
+                    told, closed = last, True
+                elif kind == TERMINAL:
+                    closed = True
+                else:
+                    last = max(last, at)
+        state.update((last, closed))
+        if not closed:
+            state.setTimeoutTimestamp(max((last + wait) // 1000, state.getCurrentWatermarkMs() + 1))
+        if told is not None:
+            yield pd.DataFrame({"user_id": [key[0]], "heartbeat": pd.to_datetime([told], unit="us")})
+
+    return (
+        events.withWatermark("ts", late)
+        .select("user_id", "event_id", "event_type", "ts", F.unix_micros("ts").alias("at"))
+        .groupBy("user_id")
+        .applyInPandasWithState(step, "user_id long, heartbeat timestamp", "last long, closed boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    )
+
+
 def finished(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over all that is there and returns its rows.
 
