@@ -240,3 +240,11 @@ def test_a_timer_tells_of_silent_runs(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = [(r["user_id"], str(r["heartbeat"])) for r in V.finished(V.interrupted_runs(stream), "append").collect()]
     assert sorted(got) == [(1, minute(30)), (3, minute(5)), (4, minute(200))]
+
+
+def test_bounded_documents_keep_head_tail_and_structured_data():
+    block = '<script type="application/ld+json">{"name": "é"}</script>'
+    html = "<p>" + "é" * 3000 + block + "ü" * 3000 + "</p>"
+    short = H.bounded_document(html, 2000)
+    assert len(short.encode()) <= 2000 and short.startswith("<p>é") and short.endswith("ü</p>") and block in short and "�" not in short
+    assert H.bounded_document(html, 10**6) == html and len(H.bounded_document("x" * 5000, 5)) <= 1024

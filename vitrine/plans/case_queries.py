@@ -13,7 +13,9 @@ from ..functions import urls as U
 from ..operators import catalog as C
 from ..operators import evaluations as E
 from ..operators import regions as R
+from ..operators import similarity as S
 from ..operators import verification as V
+from ..sources import html as H
 from ..sources.tables import load
 from .registry import query
 
@@ -286,3 +288,59 @@ def watchdog_states(spark, sf_dir):
     since = now - F.make_dt_interval(F.lit(0), F.lit(0), minutes.cast("int"))
     after = E.expired(status, attempts, since, now)
     return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), E.queued_timeout(after, F.when(sent, since), now).alias("next_state"))
+
+
+#: The pair's names, numbers, amounts, kinds, tiers, categories, descriptions and images, then score, vetoes and eligibility.
+PAIRS = [
+    ("alpha one", "beta two", "4006381333931", "4006381333931", None, None, "Product", "Product", None, None, "", "", "", "", None, None, 0.0, "", True),
+    ("blue tea", "blue tea", "4006381333931", "0012345678905", None, None, "Product", "Product", None, None, "", "", "", "", None, None, 0.58, "gtin", False),
+    ("blue tea", "blue tea", "", "", 100.0, 200.0, "Product", "Product", None, None, "", "", "", "", None, None, 0.58, "quantity", False),
+    ("blue pot", "green fan", "", "", None, None, "Product", "Service", None, None, "", "", "", "", None, None, 0.0, "product-service", False),
+    ("alpha", "beta", "", "", None, None, "Service", "Service", "entry", "entry", "", "", "", "", None, None, 0.72, "", True),
+    ("blue tea mug", "blue tea", "", "", None, None, "Product", "Product", None, None, "", "", "", "", None, None, 0.3867, "group", False),
+    ("blue tea leaf", "blue tea pot", "", "", None, None, "Product", "Product", None, None, "tea", "tea", "", "", None, None, 0.47, "", True),
+    ("blue tea leaf", "blue tea pot", "", "", 100.0, 100.0, "Product", "Product", None, None, "tea", "tea", "fresh leaf", "fresh", "x y", "x y", 0.64, "", True),
+    ("blue tea", "blue tea pot large", "", "", None, None, "Product", "Product", None, None, "", "", "", "", "x", None, 0.58, "", True),
+    ("matcha powder", "matchaa powders", "", "", None, None, "Product", "Product", None, None, "", "", "", "", None, None, 0.0, "", False),
+    ("blue tea", "blue tea", "", "", None, None, "Service", "Service", "entry", None, "", "", "", "", None, None, 0.58, "", False),
+]
+
+
+@query(expected("part", "p_partkey", PAIRS, range(16, 19), "score, vetoes, eligible"))
+def pair_rules(spark, sf_dir):
+    """Scores, vetoes and eligibility of pairs: identifiers, quantities, kinds, tiers, groups, images, containment."""
+    c = picked("p_partkey", PAIRS, *range(16))
+    words = lambda x: F.filter(F.split(x, " "), lambda w: w != "")
+
+    def side(k: int):
+        amount = F.when(c[4 + k].isNotNull(), F.struct(F.lit("mass").alias("kind"), c[4 + k].cast("double").alias("amount"), F.lit("g").alias("unit")))
+        names = words(c[k])
+        return F.struct(
+            names.alias("name_tokens"), names.alias("family_tokens"), words(c[10 + k]).alias("category_tokens"), words(c[12 + k]).alias("description_tokens"), words(c[14 + k]).alias("image_tokens"),
+            words(c[2 + k]).alias("gtins"), amount.alias("quantity"), c[6 + k].alias("kind"), c[8 + k].cast("string").alias("tier"),
+        )
+
+    s = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), S.pair_score(side(0), side(1)).alias("s"))
+    return s.select("id", "s.score", F.array_join("s.vetoes", ",").alias("vetoes"), "s.eligible")
+
+
+#: requested handle, currency, body, then name, amounts, image, sku and gap.
+STORE = [
+    ("tea", "USD", '{"title": "Tea", "handle": "tea", "type": "Drinks", "images": ["//cdn.com/a.jpg"], "variants": [{"price": 1250, "sku": "T1"}]}', "Tea", "12.5", "https://cdn.com/a.jpg", "T1", ""),
+    ("tea", "USD", '{"title": "Tea", "handle": "tea", "variants": [{"price": 1250, "sku": "T1"}, {"price": 900}, {"price": 1250}]}', "Tea", "12.5,9.0", "", None, ""),
+    ("tea", "USD", '{"title": "Tea", "handle": "tea", "variants": [{"price": 1250}, {"price": 0}]}', "Tea", "", "", None, "incomplete-prices"),
+    ("tea", "", '{"title": "Tea", "handle": "tea", "featured_image": "https://cdn.com/b.jpg", "variants": [{"price": "100", "sku": " "}]}', "Tea", "", "https://cdn.com/b.jpg", None, "no-currency"),
+    ("tea", "USD", '{"title": "Tea", "handle": "coffee", "variants": [{"price": 1}]}', None, None, None, None, "different-handle"),
+    ("grüner tee", "EUR", '{"title": "Tee", "handle": "gr%C3%BCner%20tee", "variants": [{"price": 5, "featured_image": {"src": "https://cdn.com/c.jpg"}}]}', "Tee", "0.05", "https://cdn.com/c.jpg", None, ""),
+    ("tea", "USD", '{"title": " ", "handle": "tea"}', None, None, None, None, "invalid-payload"),
+    ("tea", "USD", "no json", None, None, None, None, "invalid-payload"),
+    ("tea", "USD", '{"title": "Tea", "handle": "tea", "variants": []}', "Tea", "", "", None, "incomplete-prices"),
+]
+
+
+@query(expected("part", "p_partkey", STORE, range(3, 8), "name, amounts, image, sku, gap"))
+def storefront_product(spark, sf_dir):
+    """The product of a storefront's single-product payload, or what is missing."""
+    names = ("requested", "currency", "body")
+    p = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *(c.alias(n) for n, c in zip(names, picked("p_partkey", STORE, 0, 1, 2))))
+    return H.storefront_product(p).select("id", "name", F.array_join(F.transform("amounts", lambda a: a.cast("string")), ",").alias("amounts"), "image", "sku", "gap")

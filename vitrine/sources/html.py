@@ -14,6 +14,7 @@ from ..functions.urls import canonical_host, page_host
 _INERT = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|svg)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(.*?)(?:</\1\s*>|\Z)", re.S | re.I
 )
+_LD = re.compile(r"<script\b[^>]*application/ld\+json[^>]*>.*?</script\s*>", re.I | re.S)
 _META = re.compile(r"<meta\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
 _ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 #: Fixed value: the schema.org types that are products here.
@@ -176,6 +177,56 @@ def storefront_products(payloads: DataFrame) -> DataFrame:
     )
 
 
+def storefront_product(payloads: DataFrame) -> DataFrame:
+    """The product of a storefront's single-product JSON, or why there is none or no price: key columns, name, category, amounts, image, sku, gap.
+
+    payloads has requested (the handle asked for), currency ('' if the page names none), body.
+    Prices are whole smallest units of two digits; they count only if every variant has a
+    positive one. A variant's number and image count only if it is the only variant.
+    """
+    schema = "title STRING, handle STRING, type STRING, featured_image STRING, images ARRAY<STRING>, variants ARRAY<STRUCT<price: STRING, title: STRING, sku: STRING, featured_image: STRUCT<src: STRING>>>"
+    keys = [c for c in payloads.columns if c not in ("requested", "currency", "body")]
+    p = payloads.withColumn("p", F.from_json("body", schema))
+    variants = F.filter(F.coalesce("p.variants", F.from_json(F.lit("[]"), "ARRAY<STRUCT<price: STRING, title: STRING, sku: STRING, featured_image: STRUCT<src: STRING>>>")), lambda v: v.isNotNull())
+    p = p.withColumn("v", variants).withColumn("units", F.transform("v", lambda v: F.when(v["price"].rlike(r"^\d+$"), v["price"].try_cast("long"))))
+    name, handle = F.trim(F.coalesce("p.title", F.lit(""))), F.coalesce(F.try_url_decode(F.trim(F.coalesce("p.handle", F.lit("")))), F.lit(""))
+    priced = (F.size("v") > 0) & F.forall("units", lambda u: F.coalesce(u > 0, F.lit(False)))
+    named = F.coalesce("currency", F.lit("")) != ""
+    sound = (name != "") & (handle != "") & (handle == F.col("requested"))
+    gap = (
+        F.when((name == "") | (handle == ""), "invalid-payload")
+        .when(handle != F.col("requested"), "different-handle")
+        .when(~priced, "incomplete-prices")
+        .when(~named, "no-currency")
+        .otherwise("")
+    )
+    only = F.when(F.size("v") == 1, F.col("v")[0])
+    images = F.concat(F.array(only["featured_image"]["src"], F.col("p.featured_image")), F.coalesce("p.images", F.array().cast("array<string>")))
+    image = F.get(F.filter(F.transform(images, lambda u: F.when(F.startswith(u, F.lit("//")), F.concat(F.lit("https:"), u)).otherwise(u)), lambda u: F.coalesce(F.startswith(F.lower(u), F.lit("https://")), F.lit(False))), 0)
+    amounts = F.when(priced & named, F.array_distinct(F.transform("units", lambda u: u / 100))).otherwise(F.array().cast("array<double>"))
+    kept = lambda c: F.when(sound, c)
+    return p.select(
+        *keys, kept(name).alias("name"), kept(F.col("p.type")).alias("category"), kept(amounts).alias("amounts"), kept(F.coalesce(image, F.lit(""))).alias("image"), kept(F.nullif(F.trim(only["sku"]), F.lit(""))).alias("sku"), gap.alias("gap")
+    )
+
+
+def bounded_document(html: str, limit: int) -> str:
+    """A document of at most `limit` bytes (1024 at least): three parts of its head, one of its tail, and between them the structured data that would be lost, up to 0.4 of the limit."""
+    limit, raw = max(1024, limit), html.encode()
+    if len(raw) <= limit:
+        return html
+    kept, used = [], 0
+    for block in _LD.findall(html):
+        size = len(block.encode()) + 1
+        if used + size <= limit * 0.4:
+            kept.append(block)
+            used += size
+    middle = "\n<!-- omitted -->\n" + "".join(f"{block}\n" for block in kept)
+    room = max(0, limit - len(middle.encode()))
+    head = room * 3 // 4
+    return raw[:head].decode(errors="ignore") + middle + raw[len(raw) - (room - head) :].decode(errors="ignore")
+
+
 def search_results(payloads: DataFrame) -> DataFrame:
     """url, title, query of nested search payloads, the first of each url."""
     schema = "queries ARRAY<STRUCT<query: STRING, results: ARRAY<STRUCT<url: STRING, title: STRING>>>>"
