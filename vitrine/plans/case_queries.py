@@ -14,6 +14,7 @@ from ..operators import catalog as C
 from ..operators import evaluations as E
 from ..operators import regions as R
 from ..operators import similarity as S
+from ..operators import upkeep as K
 from ..operators import verification as V
 from ..sources import html as H
 from ..sources.tables import load
@@ -344,3 +345,89 @@ def storefront_product(spark, sf_dir):
     names = ("requested", "currency", "body")
     p = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *(c.alias(n) for n, c in zip(names, picked("p_partkey", STORE, 0, 1, 2))))
     return H.storefront_product(p).select("id", "name", F.array_join(F.transform("amounts", lambda a: a.cast("string")), ",").alias("amounts"), "image", "sku", "gap")
+
+
+#: plan, status, start, end (days from now), analysis limit as given, then the active plan, limit, milliseconds and concurrency.
+PLANS = [
+    ("team", "active", -1, 1, "500", "team", 500, 360000, 6),
+    ("team", "trialing", 0, 1, "1000", "team", 1000, 720000, 12),
+    ("team", "active", -2, 0, "50", None, 50, 90000, 3),
+    ("team", "past_due", -1, 1, "abc", None, 20, 90000, 3),
+    ("team", "active", None, 1, "70", None, 20, 90000, 3),
+    (None, "active", -1, 1, None, None, 20, 90000, 3),
+]
+
+
+@query(expected("customer", "c_custkey", PLANS, range(5, 9), "plan, analysis_limit, budget_ms, concurrency"))
+def active_plans(spark, sf_dir):
+    """Plans of subscriptions that are active, and what a plan lets a run analyse."""
+    plan, status, start, end, given = picked("c_custkey", PLANS, *range(5))
+    now = F.to_timestamp(F.lit("2024-01-30 12:00:00"))
+    day = lambda d: now + F.make_dt_interval(d.cast("int"))
+    limit = K.analysis_limit(given)
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), K.active_plan(plan, status, day(start), day(end), now).alias("plan"), limit.alias("analysis_limit"), K.analysis_effort(limit).alias("e"))
+    return c.select("id", "plan", "analysis_limit", "e.*")
+
+
+#: html, then the currency with structured data and without.
+MONEY = [
+    ('<meta property="product:price:currency" content="usd">', "USD", "USD"),
+    ('<meta property="product:price:amount" content="5"><meta property="og:price:currency" content="EUR">"priceCurrency":"GBP"', "GBP", ""),
+    ('<meta property="og:price:currency" content="EUR"><meta itemprop="priceCurrency" content="USD">', "EUR", "EUR"),
+    ('<meta itemprop="priceCurrency" content="SEK"><meta itemprop="priceCurrency" content="NOK">', "", ""),
+    ('{"priceCurrency": "JPY", "offers": {"priceCurrency": "jpy"}}', "JPY", ""),
+    ('{"priceCurrency": "JPY", "offers": {"priceCurrency": "KRW"}}', "", ""),
+    ("nothing", "", ""),
+    (None, "", ""),
+]
+
+
+@query(expected("part", "p_partkey", MONEY, range(1, 3), "currency, direct"))
+def confirmed_currencies(spark, sf_dir):
+    """The currency that a page confirms for its product."""
+    html = picked("p_partkey", MONEY, 0)[0]
+    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), K.confirmed_currency(html).alias("currency"), K.confirmed_currency(html, False).alias("direct"))
+
+
+#: destination, caption, page name, slug, domain, brand, then support and the domain's brand.
+ADS = [
+    ("https://www.tea-shop.com/x", None, "Tea Shop", "teashop", "tea-shop.com", "Tea", True, "tea"),
+    ("https://eu.tea.co.uk/x", None, "Other", "tea", "tea.co.uk", "Tea House", False, "tea"),
+    ("https://other.com", "see TEA.COM today", "The tea people", "x", "www.tea.com", "tea", True, "tea"),
+    ("https://other.com", "see us", "tea", "tea", "tea.com", "tea", False, "tea"),
+    (None, "tea.com", "!!!", "tea", "tea.com", "Leaf", False, "tea"),
+    ("https://nottea.com", None, "tea", "tea", "tea.com", "tea", False, "tea"),
+    ("https://official-store.com", None, "Official Store", "official-store", "official-store.com", "x", True, "store"),
+    ("https://my-blue-tea-online.de/", None, "Blue", "myblueteaonline", "my-blue-tea-online.de", "", True, "mybluetea"),
+]
+
+
+@query(expected("part", "p_partkey", ADS, range(6, 8), "supported, brand"))
+def ad_identities(spark, sf_dir):
+    """Whether ad records speak for a company, and the brand that its domain names."""
+    destination, caption, page, slug, domain, brand = picked("p_partkey", ADS, *range(6))
+    supported = K.ad_supports_identity(destination, F.array_compact(F.array(caption)), page, slug, domain, brand)
+    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), supported.alias("supported"), K.domain_brand(domain).alias("brand"))
+
+
+#: kinds and urls of two attempts, then the endpoint; flags of a discovery batch, then its completeness.
+ATTEMPTS = [
+    ("network", "https://a.com/x", "network", "https://A.com/y", True, 5, 5, True, True, True, 9, 9, "https://A.com/y", False, True, True),
+    ("network", "https://a.com/x", "http", "https://a.com/y", True, 6, 5, True, True, True, 9, 9, None, True, False, False),
+    ("network", "http://a.com/x", "network", "http://a.com/x", True, 5, 5, False, True, True, 9, 9, None, False, False, False),
+    ("network", "https://a.com/", "network", "https://www.a.com/", True, 5, 5, True, True, False, 9, 9, None, False, True, False),
+    (None, None, "network", "https://a.com", False, 0, 0, True, True, True, 9, 9, None, False, False, False),
+    ("network", "https://a.com", "network", "https://a.com", True, 1, 2, True, False, True, 10, 9, "https://a.com", False, False, False),
+    ("network", "https://a.com:1", "network", "https://a.com:2", True, 1, 2, True, True, True, 8, 9, None, False, True, False),
+]
+
+
+@query(expected("part", "p_partkey", ATTEMPTS, range(12, 16), "endpoint, truncated, batch_complete, complete"))
+def unavailable_endpoints(spark, sf_dir):
+    """Endpoints that two attempts prove unavailable, and how complete a discovery batch was."""
+    v = picked("p_partkey", ATTEMPTS, *range(12))
+    attempt = lambda k, u: F.struct(k.alias("kind"), u.alias("url"))
+    names = ("searches_complete", "found", "investigated", "verified", "stored", "prior_complete", "end_index", "eligible")
+    c = K.discovery_coverage(F.struct(*(x.alias(n) for n, x in zip(names, v[4:]))))
+    p = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), K.unavailable_state(attempt(v[0], v[1]), attempt(v[2], v[3])).alias("endpoint"), c.alias("c"))
+    return p.select("id", "endpoint", "c.*")

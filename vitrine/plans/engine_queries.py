@@ -13,6 +13,7 @@ from ..operators import compaction as P
 from ..operators import evaluations as E
 from ..operators import matching as M
 from ..operators import rubric as B
+from ..operators import upkeep as K
 from ..sources.shared import stored
 from ..sources.tables import load
 from .registry import query
@@ -197,3 +198,61 @@ def compacted_documents(spark, sf_dir):
     items = F.array(F.when(k == 2, F.col("text")), F.lit("item"), F.lit("x"))
     found = P.compacted(d.select("doc", F.col("ord").cast("long").alias("ord"), kinds.alias("type"), "text", items.alias("items")), 1500, 10)
     return found.select("doc", "ord", "type", F.octet_length("text").alias("bytes"), F.size("items").alias("items"), "total_items", "level")
+
+
+@query("""WITH p AS (SELECT l_orderkey % 200 AS request, l_partkey AS primary_id, 'd' || l_linenumber || '.com' AS domain, l_suppkey AS rival_id FROM lineitem WHERE l_orderkey % 10 < 2 AND l_linenumber < 3),
+s AS (SELECT request, count(*) AS n, min(CASE WHEN primary_id % 97 <> 5 AND rival_id % 53 <> 7 THEN 1 ELSE 0 END) AS known FROM p GROUP BY request), o AS (SELECT DISTINCT * FROM p),
+x AS (SELECT request FROM o GROUP BY request, primary_id, domain HAVING count(*) > 1 UNION SELECT request FROM o GROUP BY request, domain, rival_id HAVING count(*) > 1)
+SELECT o.request, primary_id, domain, rival_id FROM o JOIN s ON s.request = o.request WHERE known = 1 AND n <= 6 AND o.request NOT IN (SELECT request FROM x)""")
+def pinned_pairs(spark, sf_dir):
+    """Pinned pairs of the requests that are valid as a whole."""
+    l = load(spark, sf_dir, "lineitem").filter("l_orderkey % 10 < 2 AND l_linenumber < 3")
+    pins = l.select((F.col("l_orderkey") % 200).alias("request"), F.col("l_partkey").alias("primary_id"), F.concat(F.lit("https://www."), kind(), F.lit(".com/")).alias("domain"), F.col("l_suppkey").alias("rival_id"))
+    own = pins.filter("primary_id % 97 <> 5").select("request", F.lit("own.com").alias("domain"), F.col("primary_id").alias("id"), F.lit(True).alias("is_primary"))
+    rivals = pins.filter("rival_id % 53 <> 7").select("request", "domain", F.col("rival_id").alias("id"), F.lit(False).alias("is_primary"))
+    return K.pinned_pairs(pins, own.unionByName(rivals), 6)
+
+
+@query("""SELECT o_orderkey AS run, greatest(least(o_orderdate::TIMESTAMP, TIMESTAMP '1997-01-01'), coalesce(s.seen, TIMESTAMP '1900-01-01')) AS reference FROM orders LEFT JOIN
+(SELECT l_orderkey, max(l_shipdate)::TIMESTAMP AS seen FROM lineitem WHERE l_shipdate <= DATE '1997-01-01' GROUP BY 1) s ON l_orderkey = o_orderkey""")
+def reference_times(spark, sf_dir):
+    """The time by which a run's evidence is judged."""
+    o, l = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
+    runs = o.select(F.col("o_orderkey").alias("run"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+    times = K.reference_times(runs, l.select(F.col("l_orderkey").alias("run"), F.col("l_shipdate").cast("timestamp").alias("observed_at")), F.to_timestamp(F.lit("1997-01-01 00:00:00")))
+    return times.withColumn("reference", F.col("reference").cast("timestamp_ntz"))
+
+
+@query("""WITH c AS (SELECT l_orderkey % 100 AS run, l_linenumber AS batch, l_partkey AS key, max(l_suppkey) AS product FROM lineitem GROUP BY ALL), t AS (SELECT DISTINCT o_orderkey % 100 AS run, o_custkey AS key FROM orders)
+SELECT run, key, max(batch) AS batch, arg_max(product, batch) AS product FROM c SEMI JOIN t USING (run, key) GROUP BY ALL""")
+def recovered_products(spark, sf_dir):
+    """Products of earlier checkpoints that a run still asks for."""
+    l, o = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "orders")
+    c = l.groupBy((F.col("l_orderkey") % 100).alias("run"), F.col("l_linenumber").alias("batch"), F.col("l_partkey").alias("key")).agg(F.max("l_suppkey").alias("product"))
+    return K.recovered_products(c, o.select((F.col("o_orderkey") % 100).alias("run"), F.col("o_custkey").alias("key")))
+
+
+@query("""WITH r AS (SELECT DISTINCT event_id AS id FROM events), e AS (SELECT o_orderkey AS id, o_orderstatus AS status FROM orders)
+SELECT r.id, CASE WHEN status IS NULL THEN 'unknown' WHEN status IN ('O', 'P') THEN 'recoverable' ELSE 'settled' END AS scope FROM r LEFT JOIN e ON e.id = r.id""")
+def recovery_scope(spark, sf_dir):
+    """Which of the requested evaluations can be recovered."""
+    e = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    return K.recovery_scope(load(spark, sf_dir, "events").select(F.col("event_id").alias("id")), e, ["O", "P"])
+
+
+@query("""SELECT l_orderkey AS run, count(*) AS n FROM lineitem WHERE l_quantity > 5 AND l_returnflag = 'N' GROUP BY 1""")
+def ungated_matches(spark, sf_dir):
+    """Matches of old reports that no publication gate has decided on."""
+    gate = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag") == "A")
+    return K.ungated_matches(load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), (F.col("l_quantity") > 5).alias("has_product"), gate.alias("price_eligible")))
+
+
+@query("""SELECT doc_id, substring(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), 1, 240) AS explanation, length(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) > 0 AS kept,
+sha256('Previous sitemap identity: ' || substring(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), 1, 180) || ' (u)') AS audit FROM documents""")
+def feedback_projections(spark, sf_dir):
+    """Items of feedback with bounded texts, and the mark of a replaced record."""
+    text = F.coalesce("text", F.lit(""))
+    item = F.struct(F.lit("code").alias("issue_code"), F.lit("report").alias("subject_kind"), F.lit("x").alias("subject_id"), F.col("text").alias("explanation"), F.array(F.lit(" a "), F.lit("")).alias("evidence_ids"))
+    d = load(spark, sf_dir, "documents").select("doc_id", K.feedback_items(F.array(item)).alias("items"), K.replacement_attribute(text, F.lit("u")).alias("audit"))
+    kept = F.size("items") > 0
+    return d.select("doc_id", F.when(kept, F.col("items")[0]["explanation"]).otherwise("").alias("explanation"), kept.alias("kept"), F.sha2(F.when(K.is_replaced(F.array("audit")), F.col("audit")), 256).alias("audit"))
