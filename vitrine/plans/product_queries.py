@@ -283,7 +283,8 @@ def slugs_and_hashes(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("id"), X.slug("p_name", ascii_only=True).alias("slug"), F.sha2(F.concat_ws("|", F.lower("p_name"), "p_brand"), 256).alias("content_hash"))
 
 
-@query()
+@query("""WITH h AS (SELECT p_partkey AS id, list_reduce(list_prepend(2166136261::UBIGINT, [ord(c)::UBIGINT FOR c IN string_split(p_name, '')]), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS h FROM part)
+SELECT id, substring(coalesce(nullif(ltrim(list_aggregate([substring('0123456789abcdefghijklmnopqrstuvwxyz', (h // (36 ** k)::UBIGINT % 36)::BIGINT + 1, 1) FOR k IN [6, 5, 4, 3, 2, 1, 0]], 'string_agg', ''), '0'), ''), '0'), 1, 6) AS short_id FROM h""")
 def short_ids(spark, sf_dir):
     """Short ids of names."""
     return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.short_id("p_name").alias("short_id"))
@@ -395,12 +396,16 @@ def position_order(spark, sf_dir):
     return load(spark, sf_dir, "orders").withColumn("rank", rank).orderBy("rank", "o_totalprice", "o_orderkey").limit(40).select(F.col("o_orderkey").alias("id"), "rank")
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT concat_ws('/', source, doc_id % 64) AS run, coalesce(strlen(text), 0) AS bytes, row_number() OVER (PARTITION BY concat_ws('/', source, doc_id % 64) ORDER BY doc_id) AS i FROM documents),
+walk AS (SELECT run, 0::BIGINT AS i, 0::INT AS chunk, 0::INT AS items, 0::BIGINT AS bytes FROM f GROUP BY run
+UNION ALL SELECT w.run, f.i, w.chunk + (w.items > 0 AND (w.items >= 50 OR w.bytes + f.bytes > 250000))::INT, CASE WHEN w.items >= 50 OR w.bytes + f.bytes > 250000 THEN 1 ELSE w.items + 1 END,
+CASE WHEN w.items >= 50 OR w.bytes + f.bytes > 250000 THEN f.bytes ELSE w.bytes + f.bytes END FROM walk w JOIN f ON f.run = w.run AND f.i = w.i + 1)
+SELECT run, chunk, max(items) AS items, max(bytes) AS bytes FROM walk WHERE i > 0 GROUP BY run, chunk""")
 def byte_bounded_chunks(spark, sf_dir):
     """Facts of a kind in chunks of at most 50 items and 250 kB."""
     from ..operators.chunks import bounded_chunks
 
-    d = load(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.pmod(F.xxhash64("doc_id"), F.lit(64))).alias("run"), F.col("doc_id").alias("ord"), F.octet_length("text").cast("long").alias("bytes"))
+    d = load(spark, sf_dir, "documents").select(F.concat_ws("/", "source", (F.col("doc_id") % 64).cast("string")).alias("run"), F.col("doc_id").alias("ord"), F.octet_length("text").cast("long").alias("bytes"))
     return bounded_chunks(d, 50, 250_000)
 
 

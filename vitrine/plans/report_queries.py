@@ -71,14 +71,24 @@ def stable_sample(spark, sf_dir):
     return load(spark, sf_dir, "part").withColumn("rn", F.row_number().over(order)).filter("rn <= 4").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("domain"))
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT l_partkey % 50 AS run, row_number() OVER (PARTITION BY l_partkey % 50 ORDER BY l_partkey) AS i, count(*) AS pairs FROM lineitem GROUP BY l_partkey),
+walk AS (SELECT run, 0::BIGINT AS i, 0::BIGINT AS rest, 0::INT AS batch, 0::BIGINT AS n, 0::BIGINT AS total, 0::BIGINT AS take FROM g GROUP BY run
+UNION ALL SELECT run, i, rest - take, batch, n + 1, total + take, take FROM (SELECT *, least(rest, 25 - total) AS take FROM (SELECT w.run, g.i, CASE WHEN w.rest = 0 THEN g.pairs ELSE w.rest END AS rest,
+w.batch + (w.total >= 25 OR w.n >= 6)::INT AS batch, CASE WHEN w.total >= 25 OR w.n >= 6 THEN 0 ELSE w.n END AS n, CASE WHEN w.total >= 25 OR w.n >= 6 THEN 0 ELSE w.total END AS total
+FROM walk w JOIN g ON g.run = w.run AND g.i = CASE WHEN w.rest = 0 THEN w.i + 1 ELSE w.i END)))
+SELECT run, batch, count(*)::INT AS groups, sum(take)::BIGINT AS pairs FROM walk WHERE take > 0 GROUP BY run, batch""")
 def judge_batches(spark, sf_dir):
     """Candidate groups of a run packed into batches of at most 25 pairs and 6 groups."""
     g = load(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 50).alias("run"), F.col("l_partkey").alias("ord")).agg(F.count(F.lit(1)).alias("pairs"))
     return R.batches(g, 25, 6)
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT l_orderkey % 20 AS run, l_partkey::VARCHAR AS a, 's' || l_suppkey AS b, row_number() OVER (PARTITION BY l_orderkey % 20 ORDER BY -l_extendedprice, l_orderkey, l_linenumber) AS i
+FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 48),
+walk AS (SELECT run, 0::BIGINT AS i, []::VARCHAR[] AS chosen, []::VARCHAR[] AS added FROM p GROUP BY run
+UNION ALL SELECT run, i, CASE WHEN len(chosen) + len(fresh) <= 30 THEN list_concat(chosen, fresh) ELSE chosen END, CASE WHEN len(chosen) + len(fresh) <= 30 THEN fresh ELSE [] END
+FROM (SELECT w.run, p.i, w.chosen, [x FOR x IN [p.a, p.b] IF NOT list_contains(w.chosen, x)] AS fresh FROM walk w JOIN p ON p.run = w.run AND p.i = w.i + 1))
+SELECT run, unnest(added) AS page FROM walk""")
 def enrichment_targets(spark, sf_dir):
     """Pages to fetch within a budget: both sides of a pair or neither, a page is paid for once."""
     l = load(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 48")
