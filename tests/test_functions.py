@@ -108,6 +108,12 @@ def test_listings_in_many_languages(spark):
     assert over(spark, U.is_listing_url, yes + no) == [True] * len(yes) + [False] * len(no)
 
 
+def test_detail_pages(spark):
+    yes = ["https://s.com/p/tea", "https://s.com/en-gb/products/tea/", "https://s.com/de/tee.html", "https://s.com/منتج/شاي", "https://s.com/store/%E8%8C%B6"]
+    no = ["https://s.com/products", "https://s.com/products/tea/reviews", "https://s.com/shop-all/p/tea", "https://s.com/blog/p/tea", "https://s.com/about", "https://s.com/", "x", None]
+    assert over(spark, U.is_detail_url, yes + no) == [True] * len(yes) + [False] * len(no)
+
+
 def test_offers(spark):
     kind = "array<struct<label:string,valid_until:timestamp,currency:string,low:double,high:double,price:double>>"
     old, new = datetime(2020, 1, 1), datetime(2030, 1, 1)

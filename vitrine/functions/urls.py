@@ -13,15 +13,19 @@ from pyspark.sql import types as T
 from .codes import countries, currencies
 from .constants import (
     CONTAINER_SEGMENT_PATTERN,
+    DETAIL_CONTAINER_PATTERN,
+    DETAIL_ENDING_PATTERN,
     GENERIC_TAIL_PATTERN,
     GENERIC_TLDS,
     LANGUAGES,
     LISTING_ROUTES,
     LISTING_SEGMENT_PATTERN,
+    LOCALE_SEGMENT_PATTERN,
     PAGE_SEGMENT_PATTERN,
     PATH_LANGUAGES,
     PRODUCT_QUERY_PATTERN,
     PRODUCT_ROUTES,
+    PUBLISHER_PATTERN,
     RESULT_SEGMENT_PATTERN,
     SHOP_ROUTES,
 )
@@ -107,6 +111,18 @@ def is_listing_url(c: Column | str) -> Column:
     return (page_host(url) == "") | F.exists(keys, lambda k: ~k.rlike(PRODUCT_QUERY_PATTERN)) | found
 
 
+def is_detail_url(c: Column | str) -> Column:
+    """Whether a URL is one product's page: the last segment after a product container, or a page file, with nothing but languages before; pages of publishers are none."""
+    path = F.regexp_replace(F.coalesce(F.try_url_decode(url_path(c)), url_path(c)), "/+$", "")
+    segments = F.filter(F.split(path, "/"), lambda s: s != "")
+    n = F.size(segments)
+    container = F.array_position(F.transform(segments, lambda s: s.rlike(DETAIL_CONTAINER_PATTERN)), F.lit(True)).cast("int")
+    languages = lambda upto: F.forall(F.slice(segments, F.lit(1), F.greatest(upto, F.lit(0))), lambda s: s.rlike(LOCALE_SEGMENT_PATTERN))
+    inside = (container > 0) & (container == n - 1) & languages(container - 1)
+    ending = F.coalesce(F.element_at(segments, -1).rlike(DETAIL_ENDING_PATTERN), F.lit(False)) & languages(n - 1)
+    return F.coalesce((n > 0) & ~path.rlike(PUBLISHER_PATTERN) & (inside | ending), F.lit(False))
+
+
 def product_path_priority(c: Column | str) -> Column:
     """0 for product pages, 1 for listings, 2 for all else."""
     return F.when(product_path(c).isNotNull(), 0).when(is_listing_route(c), 1).otherwise(2)

@@ -24,7 +24,7 @@ def admission(candidate_domain: Column, primary_domain: Column, evidence_url: Co
         .when(U.is_listing_route(evidence_url), "listing-evidence")
         .when(there & (U.canonical_host(U.page_host(product_url)) != own), "foreign-product-page")
         .when(product_lane & ~there, "no-product-page")
-        .when(product_lane & U.product_path(product_url).isNull(), "no-product-detail")
+        .when(product_lane & ~U.is_detail_url(product_url), "no-product-detail")
     )
 
 
