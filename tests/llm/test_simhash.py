@@ -135,13 +135,17 @@ def test_neighbours_are_all_pairs_of_different_roots(spark, monkeypatch):
     rows = sorted(root.items()) + [(f, f + 1) for f in fps[:20]]
     near = {(a, ra, b, rb) for a, ra in rows for b, rb in rows if ra != rb and ((a ^ b) & (2**64 - 1)).bit_count() <= 7}
     want = {x for x in near if x[:2] < x[2:]}
-    entries = S.postings(spark.createDataFrame(rows, "fp long, root long"), S.planned(spark.createDataFrame(rows, "fp long, root long"), 7)).persist()
+    nodes = spark.createDataFrame(rows, "fp long, root long")
+    plan = S.planned(nodes, 7)
+    entries = S.postings(nodes, plan).persist()
     for block, at_once in ((2048, 1 << 21), (8, 50)):
         monkeypatch.setattr(S, "BLOCK", block)
         monkeypatch.setattr(S, "AT_ONCE", at_once)
-        got = S.unordered(S.neighbours(entries, 7, None), "", "r").collect()
+        every = S.neighbours(entries, plan, None)
+        assert every.count() == every.select("a", "ra", "b", "rb").distinct().count() == len(near)
+        got = S.unordered(every, "", "r").collect()
         assert {(r["a"], r["ra"], r["b"], r["rb"]) for r in got} == want and len(want) > 500
-        few = S.neighbours(entries, 7, 2).collect()
+        few = S.neighbours(entries, plan, 2).collect()
         assert {(r["a"], r["ra"], r["b"], r["rb"]) for r in few} <= near
         # Who names fewer than it has says so; all pairs with an end that doesn't are there.
         done = {x[:2] for x in near} - {(r["a"], r["ra"]) for r in few if r["k"] > 2}

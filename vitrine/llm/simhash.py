@@ -316,9 +316,25 @@ def meetings(group: np.ndarray, probe: np.ndarray):
             yield np.repeat(probes[cut], size), index[np.repeat(low[cut], size) + within]
 
 
-def neighbours(entries: DataFrame, radius: int, named: int | None, similarity: float = 0.0) -> DataFrame:
+def met_before(a: np.ndarray, b: np.ndarray, part: np.ndarray, plan: Plan) -> np.ndarray:
+    """Which pairs of a probing and an indexed fingerprint, given the partition in which they meet, also meet in an earlier one."""
+    own, back = np.unique(a, return_inverse=True)
+    own = permuted(own, plan.order)
+    t, _ = allocate(own, plan.layout, plan.shares, plan.n, plan.radius)
+    apart = own[back] ^ permuted(b, plan.order)
+    before, start = np.zeros(len(a), dtype=bool), 0
+    for i, width in enumerate(plan.layout):
+        d = np.bitwise_count((apart >> np.uint64(8 * start)) & np.uint64((1 << 8 * width) - 1))
+        before |= (i < part) & (d <= t[back, i])
+        start += width
+    return before
+
+
+def neighbours(entries: DataFrame, plan: Plan, named: int | None, similarity: float = 0.0) -> DataFrame:
     """ra, a, ta, rb, b, tb, k: for each probe its nearest index entries within the radius and with another root, `named` of them or all; k is how many there are.
 
+    A pair counts in the first partition in which the probe meets it.
+
     entries has key, fp, probe, root and, with a similarity, t, n, bits of a text: pairs of texts
     that cannot be so similar are left out, and the nearest are those that may be most similar.
     """
@@ -345,8 +361,10 @@ def neighbours(entries: DataFrame, radius: int, named: int | None, similarity: f
             bits = np.concatenate([b.column(b.schema.get_field_index("bits")).flatten().to_numpy(zero_copy_only=False) for b in held]).reshape(len(key), -1)
         for i, j in meetings(group, probe.astype(bool)):
             d = np.bitwise_count(raw[i] ^ raw[j]).astype(np.int64)
-            near = np.flatnonzero((d <= radius) & (root[i] != root[j]))
+            near = np.flatnonzero((d <= plan.radius) & (root[i] != root[j]))
             i, j, d = i[near], j[near], d[near]
+            fresh = np.flatnonzero(~met_before(raw[i], raw[j], key[i] >> 40, plan)) if len(i) else np.zeros(0, np.int64)
+            i, j, d = i[fresh], j[fresh], d[fresh]
             if with_texts:
                 most = np.floor((n[i] + n[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6).astype(np.int64)
                 apart = np.concatenate([np.bitwise_count(bits[i[lo : lo + 65536]] ^ bits[j[lo : lo + 65536]]).sum(axis=1, dtype=np.int64) for lo in range(0, len(i), 65536)] or [np.zeros(0, np.int64)])
@@ -412,7 +430,7 @@ def similar_links(df: DataFrame, docs: DataFrame, radius: int, shingle: int, sim
     """
     nodes = materialize(docs.select("fp", "root").distinct(), "nodes")
     plan = planned(nodes, radius)
-    named = materialize(neighbours(materialize(postings(nodes, plan), "wide"), radius, NAMED), "named")
+    named = materialize(neighbours(materialize(postings(nodes, plan), "wide"), plan, NAMED), "named")
     pairs = materialize(unordered(named, "", "r"), "pairs")
     ends = pairs.select(F.col("a").alias("fp"), F.col("ra").alias("root")).union(pairs.select("b", "rb")).distinct()
     wanted = docs.join(ends, ["fp", "root"], "left_semi").groupBy("fp", "root", "text_hash").agg(F.min(F.struct("k1", "k2")).alias("k"))
@@ -445,7 +463,7 @@ def similar_links(df: DataFrame, docs: DataFrame, radius: int, shingle: int, sim
         now = materialize(relabelled(dense.drop("root").withColumnRenamed("was", "root").withColumn("was", F.col("root")), links), "now")
         was = now.select("fp", "t", "root", "was")
         entries = materialize(postings(now.select("fp", "root", "t", "n", "bits"), plan), "dense")
-        found = unordered(neighbours(entries, radius, most, similarity), "", "r", "t")
+        found = unordered(neighbours(entries, plan, most, similarity), "", "r", "t")
         for end in "ab":
             own = was.select(F.col("fp").alias(end), F.col("t").alias(f"t{end}"), F.col("root").alias(f"r{end}"), F.col("was").alias(f"was{end}"))
             found = found.join(own, [end, f"t{end}", f"r{end}"]).drop(f"r{end}").withColumnRenamed(f"was{end}", f"r{end}")
