@@ -16,3 +16,8 @@ def test_works_without_the_training_data_folder():
 
 def test_imports_without_a_session():
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries(); e.oracle_sql()"], check=True)
+
+
+def test_other_missing_modules_are_errors():
+    code = "import sys; sys.modules['zstandard'] = None\ntry:\n    import __spark_entry__\nexcept ImportError as e:\n    assert e.name == 'zstandard'\nelse:\n    assert not __import__('importlib').util.find_spec('vitrine.llm')"
+    subprocess.run([sys.executable, "-c", code], check=True)
