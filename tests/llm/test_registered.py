@@ -32,7 +32,7 @@ def named(number):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "pages", "embeddings", "labels"):
+    for table in ("documents", "pages", "embeddings", "labels", "conversations"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SOME}/{table}.parquet'")
     want = duck.execute(queries.ORACLE_SQL[name]).df()
     got = queries.QUERIES[name](spark, SOME).toPandas()[list(want.columns)]

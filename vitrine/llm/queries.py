@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP12_SQL, op12_reply_paths
 from .embeddings import OP6_SQL, op6_hyperplane_tables
 from .html import op2_host_suffix_array
 from .idfiles import op5_dictionary_id_files
@@ -26,6 +27,7 @@ QUERIES = {
         op8_prefix_sum_mix,
         op9_term_at_a_time,
         op10_byte_cnn,
+        op12_reply_paths,
     )
 }
 
@@ -33,4 +35,5 @@ ORACLE_SQL = {
     op6_hyperplane_tables.__name__: OP6_SQL,
     op7_seekable_bundles.__name__: OP7_SQL,
     op9_term_at_a_time.__name__: OP9_SQL,
+    op12_reply_paths.__name__: OP12_SQL,
 }
