@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 
-def quantized(df: DataFrame, scale: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id and floor(scale * x) of every component x, of the sound vectors."""
+def quantized(df: DataFrame, scale: int, id_col: str = "vec_id", vector_col: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
+    """vec_id and floor(scale * x) of every component x, of the sound vectors; and the columns of keep."""
     v = F.col(vector_col).cast("array<double>")
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
     sound = F.col(vector_col).isNotNull() & ~F.coalesce(F.exists(v, odd), F.lit(True)) & F.col(id_col).isNotNull()
-    return df.filter(sound).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("w"))
+    return df.filter(sound).select(*keep, F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("w"))
 
 
 def accumulate(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
