@@ -5,7 +5,7 @@ the reply table double its reach round by round (a parent, 2, 4, 8, ... messages
 branch of n messages takes log2(n) joins on message keys, however long it is, and no tree is ever
 gathered in one task. The jumps, largest first, take every leaf to its root and add up the
 scores on the way; branches are ranked by the mean score of their messages, and the best of each
-tree are walked again, smallest jump first, which lists every message of a branch exactly once.
+tree are walked again, largest jump first, which lists every message of a branch exactly once.
 Only a chosen branch is put together as one text, as that is the record asked for.
 
 The template is ``<|im_start|>role\\ntext<|im_end|>\\n`` a message. Inside a text, ``<`` with any
@@ -114,8 +114,9 @@ def branches(messages: DataFrame, most_paths: int = 1) -> DataFrame:
     order = Window.partitionBy("tree").orderBy(F.col("score").desc(), F.col("depth").desc(), F.col("id").asc_nulls_last(), "path")
     best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most_paths)
     walk = materialize(best.select("path", "tree", "rank", "score", F.col("path").alias("node"), F.lit(0).alias("back")), "best")
-    for k, j in enumerate(found):
-        j = j.select(F.col("node").alias("from"), F.col("up").alias("to"))
+    for k in reversed(range(len(found))):
+        # Largest first: all rows of all rounds are no more than twice the messages, and one a branch and round.
+        j = found[k].select(F.col("node").alias("from"), F.col("up").alias("to"))
         here = F.struct("node", "back")
         above = F.struct(F.col("to").alias("node"), (F.col("back") + (1 << k)).alias("back"))
         walk = walk.join(j, F.col("node") == F.col("from"), "left")
