@@ -138,3 +138,25 @@ def test_live_classes_are_the_sequential_ones_without_conflicts(spark, most_part
 
 def test_no_rows(spark):
     assert L.live_classes(spark.createDataFrame([], "id long, market string, name string, gtins array<string>, quantity string")).collect() == []
+
+
+def test_every_target_has_one_outcome(spark):
+    from vitrine.operators import enrichment as E
+
+    target = lambda i, path, score=1.0, **k: (i, "shop.example", f"https://shop.example{path}" if path.startswith("/") else path, f"n{i}", score, "SA", "", k.get("swap", False))
+    page = lambda path, final="", name=None, amount=None, currency="USD", endpoint="", robots="allowed", status=200, market="", image=None: (
+        f"https://shop.example{path}", f"https://shop.example{final}" if final else "", robots, status, market, name, amount, currency, image, f"https://shop.example{endpoint}" if endpoint else "",
+    )
+    targets = [target(1, "/p/1"), target(2, "/p/2"), target(3, "/p/3"), target(4, "/p/4"), target(5, "/p/5"), target(6, "/p/6", 0.5), target(7, "https://else.example/p"), target(8, "/p/1?utm_x=1"), target(9, "/p/9"), target(10, "/p/10", 0.1)]
+    pages = [page("/p/1", name="n1", amount=2.0, image="https://i/1"), page("/p/2", "/p/2b"), page("/p/2b", "/p/2c"), page("/p/2c", "/p/2d"), page("/p/2d", "/p/2e"), page("/p/3", "/p/3b"), page("/p/3b", "/p/3")]
+    pages += [page("/p/4", name="n4", amount=1.0, currency="USD", endpoint="/a/4"), page("/a/4", name="n4", amount=1.0, currency="EUR", image="https://i/4"), page("/p/5", name="n5", amount=-1.0, endpoint="/a/5"), page("/a/5", name="n5", amount=3.0)]
+    pages += [page("/p/9", name="n9", amount=4.0, endpoint="/p/9", image="http://i"), page("/p/6", name="n6", amount=1.0), page("/p/1", name="zz", amount=9.0)]
+    t = spark.createDataFrame(targets, "target_id long, domain string, url string, name string, score double, country string, market string, replaceable boolean")
+    p = spark.createDataFrame(pages, "url string, final_url string, robots string, status int, market string, product_name string, amount double, currency string, image string, endpoint string")
+    found, ledger = E.enriched(t, p, lambda a, b: a == b, most_pages=7, most_rounds=4)
+    said = {r["target_id"]: (r["round"], r["reason"]) for r in ledger.collect()}
+    assert ledger.count() == len(targets) == len(said)
+    assert said == {1: (1, "enriched"), 2: (4, "out_of_rounds"), 3: (2, "redirect_loop"), 4: (2, "price_conflict"), 5: (2, "enriched"), 6: (1, "enriched"), 7: (0, "bad_url"), 8: (1, "identity_mismatch"), 9: (1, "enriched"), 10: (0, "over_budget")}
+    products = {r["target_id"]: tuple(r)[1:] for r in found.collect()}
+    assert products[4] == ("n4", 1.0, "USD", "https://i/4", E.CONFLICTS["currency"]) and products[5][:3] == ("n5", 3.0, "USD") and set(products) == {1, 4, 5, 6, 9}
+    assert E.enriched(t.filter("1 = 0"), p, lambda a, b: a == b)[1].collect() == []

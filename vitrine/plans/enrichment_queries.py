@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import enrichment as E
 from ..operators import live_identity as L
 from ..operators import page_identity as I
 from ..sources.tables import load
@@ -101,3 +102,73 @@ def live_identities(spark, sf_dir):
     gtins = F.when(size % 4 == 1, F.array().cast("array<string>")).when(size % 3 == 0, F.array(one, two)).otherwise(F.array(one))
     p = load(spark, sf_dir, "part").select(k.alias("id"), F.col("p_brand").alias("market"), F.col("p_name").alias("name"), gtins.alias("gtins"), F.when(size % 5 > 0, F.concat(F.lit("q"), size % 2)).alias("quantity"))
     return L.live_classes(p)
+
+
+def shop_pages(spark, sf_dir):
+    """Targets and fetched pages of shops: the products of part, with redirects, market copies and endpoints by size and key."""
+    p = load(spark, sf_dir, "part")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    shop = F.concat(F.lower(F.regexp_replace("p_brand", "#", "")), F.lit(".example"))
+    at = lambda tail: F.concat(F.lit("https://"), shop, tail)
+    slug = F.concat(F.lit("/products/x"), k.cast("string"))
+    targets = p.select(
+        k.alias("target_id"),
+        shop.alias("domain"),
+        at(F.concat(slug, F.when(size == 50, "?country=sa").otherwise("/?utm_source=a"))).alias("url"),
+        F.col("p_name").alias("name"),
+        F.col("p_retailprice").alias("score"),
+        F.lit("SA").alias("country"),
+        F.when(size == 50, "SA").otherwise("").alias("market"),
+        (k % 2 == 0).alias("replaceable"),
+    )
+    no = F.lit("")
+    name = F.when(size % 10 == 3, F.concat(F.lit("other "), F.col("p_name"))).when(size % 10 != 4, F.col("p_name"))
+    price = F.when(size % 10 != 5, F.col("p_retailprice"))
+    row = lambda url, final, robots, status, market, name, amount, currency, endpoint, secure=k % 3 == 0: p.select(
+        url.alias("url"), final.alias("final_url"), robots.alias("robots"), status.alias("status"), market.alias("market"), name.alias("product_name"), amount.alias("amount"), currency.alias("currency"),
+        F.when(secure, "https://img.example/x").otherwise("http://img.example/x").alias("image"), endpoint.alias("endpoint"), size.alias("size"), k.alias("k"),
+    )
+    ok, usd = F.lit("allowed"), F.lit("USD")
+    robots = F.when(size == 41, "unreachable").when(size == 42, "disallowed").otherwise("allowed")
+    final = F.when(size.isin(11, 21), at(F.concat(F.lit("/products/y"), k))).when(size == 31, F.concat(F.lit("https://else.example"), slug)).when(size == 12, at(F.concat(F.lit("/en-us"), slug))).otherwise("")
+    end = F.when((size % 10 == 5) | (size == 7), at(F.concat(F.lit("/api/"), k))).otherwise("")
+    first = row(at(F.concat(slug, F.when(size == 50, "?country=sa").otherwise(""))), final, robots, F.when(size == 43, 404).otherwise(200), F.when((size == 50) & (k % 4 == 0), "SA").otherwise(""), name, price, usd, end).filter("size <> 44")
+    moved = row(at(F.concat(F.lit("/products/y"), k)), F.when(size == 21, at(slug)).otherwise(""), ok, F.lit(200), no, name, price, usd, no).filter("size IN (11, 21)")
+    foreign = row(at(F.concat(F.lit("/en-us"), slug)), no, ok, F.lit(200), no, name, price, usd, no).filter("size = 12")
+    local = row(at(F.concat(F.lit("/en-sa"), slug)), no, ok, F.lit(200), no, name, price + 1, usd, no).filter("size = 12 AND k % 2 = 0")
+    api = row(at(F.concat(F.lit("/api/"), k)), no, ok, F.when(size == 25, 500).otherwise(200), no, F.when(size == 35, "no such thing").otherwise(F.col("p_name")), F.col("p_retailprice") + F.when(size == 7, k % 2).otherwise(0), F.when(size == 45, "XXZ").when((size == 7) & (k % 5 == 0), "EUR").otherwise("USD"), no, (k % 3 == 0) | (size == 7))
+    api = api.filter("size = 7 OR size % 10 = 5 AND size <> 15")
+    pages = first.union(moved).union(foreign).union(local).union(api).drop("size", "k")
+    return targets, pages.union(pages.filter("status = 200"))
+
+
+_SHOP = """ranked AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS n FROM part),
+s0 AS (SELECT p_partkey AS id, p_size AS z, p_name, p_retailprice AS price, p_partkey % 2 = 0 AS swap, p_partkey % 4 = 0 AS kept, n FROM ranked),
+step AS (SELECT id, z, p_name, price, swap, kept, 0 AS round, CASE WHEN n > 60 THEN 'over_budget' ELSE 'page' END AS spot FROM s0
+UNION ALL SELECT id, z, p_name, price, swap, kept, round + 1, CASE
+  WHEN spot = 'page' AND z = 44 THEN 'not_fetched' WHEN spot = 'page' AND z = 41 THEN 'robots_unreachable' WHEN spot = 'page' AND z = 42 THEN 'robots_disallowed' WHEN spot = 'page' AND z = 43 THEN 'fetch_failed'
+  WHEN spot = 'page' AND z = 31 THEN 'other_host' WHEN spot = 'page' AND z IN (11, 21) THEN 'moved' WHEN spot = 'page' AND z = 12 THEN 'foreign'
+  WHEN spot = 'moved' AND z = 21 THEN 'redirect_loop' WHEN spot = 'foreign' THEN 'local' WHEN spot = 'local' AND NOT swap THEN 'kept'
+  WHEN spot = 'page' AND z = 50 AND NOT kept THEN 'market_mismatch'
+  WHEN spot <> 'api' AND z % 10 = 4 THEN 'no_product' WHEN spot <> 'api' AND z % 10 = 3 AND swap THEN 'replaced' WHEN spot <> 'api' AND z % 10 = 3 THEN 'identity_mismatch'
+  WHEN spot <> 'api' AND z % 10 = 5 THEN 'api' WHEN spot = 'api' AND z IN (15, 25) THEN 'endpoint_limited' WHEN spot = 'api' AND z = 35 THEN 'endpoint_mismatch' WHEN spot = 'api' AND z = 45 THEN 'no_price'
+  WHEN spot <> 'api' AND z = 7 AND id % 3 > 0 THEN 'api' WHEN spot = 'api' AND z = 7 AND (id % 2 = 1 OR id % 5 = 0) THEN 'price_conflict'
+  ELSE 'enriched' END FROM step WHERE spot IN ('page', 'moved', 'foreign', 'local', 'kept', 'api')),
+fin AS (SELECT * FROM step WHERE spot NOT IN ('page', 'moved', 'foreign', 'local', 'kept', 'api'))"""
+
+
+@query(f"""WITH RECURSIVE {_SHOP} SELECT id AS target_id, round, CASE WHEN spot IN ('enriched', 'replaced', 'price_conflict', 'endpoint_limited', 'endpoint_mismatch', 'no_price') THEN 'product' ELSE 'gap' END AS outcome, spot AS reason FROM fin""")
+def enrichment_ledger(spark, sf_dir):
+    """What became of every selected product page, in which round, and why."""
+    targets, pages = shop_pages(spark, sf_dir)
+    return E.enriched(targets, pages, lambda a, b: a == b, most_pages=60)[1]
+
+
+@query(f"""WITH RECURSIVE {_SHOP} SELECT id AS target_id, CASE WHEN spot = 'replaced' THEN 'other ' || p_name ELSE p_name END AS name, CASE WHEN spot IN ('endpoint_limited', 'endpoint_mismatch', 'no_price') THEN NULL WHEN z = 12 AND swap THEN price + 1 ELSE price END AS amount,
+CASE WHEN spot IN ('endpoint_limited', 'endpoint_mismatch', 'no_price') THEN NULL ELSE 'USD' END AS currency, CASE WHEN id % 3 = 0 OR z = 7 THEN 'https://img.example/x' END AS image,
+CASE WHEN spot = 'replaced' THEN 'Catalog replacement: ' || p_name WHEN spot = 'price_conflict' THEN 'Price evidence conflict: page and endpoint ' || CASE WHEN id % 5 = 0 THEN 'currencies' ELSE 'amounts' END || ' disagree' END AS audit
+FROM fin WHERE spot IN ('enriched', 'replaced', 'price_conflict', 'endpoint_limited', 'endpoint_mismatch', 'no_price')""")
+def enriched_products(spark, sf_dir):
+    """Products with the evidence of their pages and endpoints."""
+    targets, pages = shop_pages(spark, sf_dir)
+    return E.enriched(targets, pages, lambda a, b: a == b, most_pages=60)[0]
