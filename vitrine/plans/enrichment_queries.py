@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import enrichment as E
 from ..operators import live_identity as L
 from ..operators import page_identity as I
+from ..sources import structured as S
 from ..sources.tables import load
 from .registry import query
 
@@ -172,3 +173,104 @@ def enriched_products(spark, sf_dir):
     """Products with the evidence of their pages and endpoints."""
     targets, pages = shop_pages(spark, sf_dir)
     return E.enriched(targets, pages, lambda a, b: a == b, most_pages=60)[0]
+
+
+def _ld(node):
+    return F.concat(F.lit('<script type="application/ld+json">'), F.to_json(node), F.lit("</script>"))
+
+
+def _meta(ns, amount, currency):
+    return F.concat(F.lit(f'<meta property="{ns}:amount" content="'), amount, F.lit(f'"><meta content={currency} name="{ns}:currency">'))
+
+
+def product_pages(spark, sf_dir):
+    """A page for each part, of eleven kinds by size."""
+    p = load(spark, sf_dir, "part")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    price = F.col("p_retailprice").cast("string")
+    offer = F.struct(price.alias("price"), F.lit("usd").alias("priceCurrency"))
+    node = lambda offers: F.struct(F.lit("Product").alias("@type"), F.concat(F.lit("<b>"), "p_name", F.lit("</b>")).alias("name"), F.col("p_type").alias("category"), offers.alias("offers"))
+    aggregate = lambda inner: F.struct(F.lit("AggregateOffer").alias("@type"), inner.alias("offers"))
+    plain = _ld(node(offer))
+    graph = _ld(F.struct(F.array(F.struct(F.lit("WebPage").alias("@type"), F.array(node(F.array(offer))).alias("mainEntity"))).alias("@graph")))
+    nested = _ld(node(aggregate(F.array(offer, F.struct(F.lit("1").alias("price"), F.lit(None).cast("string").alias("priceCurrency"))))))
+    dated = _ld(node(F.array(F.struct(price.alias("price"), F.lit("USD").alias("priceCurrency"), F.when(k % 2 == 0, "2020-01-01").otherwise("2030-01-01").alias("priceValidUntil")))))
+    listed = _ld(node(F.array(F.struct(F.lit("9").alias("price"), F.lit("USD").alias("priceCurrency"), F.lit("ListPrice").alias("priceType")), F.struct(price.alias("price"), F.lit("EUR").alias("priceCurrency"), F.lit(None).cast("string").alias("priceType")))))
+    ranged = _ld(node(F.struct(F.lit(5).alias("lowPrice"), F.when(k % 2 == 0, 7).otherwise(3).alias("highPrice"), F.lit("USD").alias("priceCurrency"))))
+    unpriced = _ld(node(F.lit(None).cast("string")))
+    plans = F.concat(F.lit("<h2>Pro <i>popular</i></h2><p>$12 per user per month, billed annually</p><h2>Enterprise</h2>Contact sales<h3>"), "p_name", F.lit("</h3>$1 USD"))
+    signal = F.concat(F.lit("<title>"), "p_name", F.lit(" | Shop</title><h1>"), "p_name", F.lit("</h1><!--<h1>no</h1>-->"), _meta("og:price", price, "usd"))
+    kind = size % 11
+    html = (
+        F.when(kind == 0, F.concat(plain, F.lit('<script type="application/ld+json">{bad</script>')))
+        .when(kind == 1, graph)
+        .when(kind == 2, nested)
+        .when(kind == 3, dated)
+        .when(kind == 4, listed)
+        .when(kind == 5, ranged)
+        .when(kind == 6, F.concat(unpriced, _meta("og:price", F.lit("1"), "EUR"), _meta("product:price", price, "USD")))
+        .when(kind == 7, F.concat(plain, _meta("product:price", F.when(k % 2 == 0, price).otherwise("1"), "USD")))
+        .when(kind == 8, F.concat(plain, _meta("product:price", price, "EUR"), _meta("product:price", price, "USD")))
+        .when(kind == 9, plans)
+        .otherwise(signal)
+    )
+    path = F.when(kind == 9, "/pricing").when(k % 3 == 0, "/blog/").otherwise("/products/")
+    return p.select(k.alias("page_id"), F.concat(F.lit("https://shop.example"), path, F.when(kind == 9, "").otherwise(k.cast("string"))).alias("url"), html.alias("html"))
+
+
+@query("""WITH x AS (SELECT p_partkey AS id, p_name, p_type, p_retailprice AS price, p_size % 11 AS k, p_partkey % 2 = 0 AS even FROM part)
+SELECT id AS page_id, 'json-ld' AS source, 'Product' AS kind, p_name AS name, p_type AS category, CASE WHEN k = 5 OR k = 8 OR k = 3 AND even OR k = 7 AND NOT even THEN NULL ELSE price END AS amount,
+CASE WHEN k = 8 OR k = 3 AND even OR k = 7 AND NOT even OR k = 5 AND NOT even THEN NULL WHEN k = 4 THEN 'EUR' ELSE 'USD' END AS currency,
+CASE WHEN k = 8 OR k = 3 AND even OR k = 7 AND NOT even OR k = 5 AND NOT even THEN NULL WHEN k = 5 THEN 5 ELSE price END AS low, CASE WHEN k = 8 OR k = 3 AND even OR k = 7 AND NOT even OR k = 5 AND NOT even THEN NULL WHEN k = 5 THEN 7 ELSE price END AS high,
+CASE WHEN k = 8 THEN 'contradictory direct metadata namespace' WHEN k = 7 AND NOT even THEN 'direct metadata contradicts structured amount' END AS audit FROM x WHERE k < 9
+UNION ALL SELECT id, 'plan', 'Service', v.n, 'saas-plan ' || v.t, v.a, v.c, v.a, v.a, NULL FROM x, (VALUES ('Pro', 'team', 12.0, 'USD'), ('Enterprise', 'enterprise', NULL, NULL)) AS v(n, t, a, c) WHERE k = 9
+UNION ALL SELECT id, 'page-signal', 'PageSignal', p_name, 'products', price, 'USD', price, price, NULL FROM x WHERE k = 10 AND id % 3 > 0""")
+def structured_products(spark, sf_dir):
+    """All products of pages: nested records and offers, plan cards, page signals, metadata that fills in or contradicts."""
+    return S.page_products(product_pages(spark, sf_dir), F.lit("2025-06-01").cast("timestamp"))
+
+
+@query("""WITH x AS (SELECT p_partkey AS id, p_retailprice AS price, p_size % 9 AS k FROM part)
+SELECT id AS page_id, CASE WHEN k = 2 THEN 'og' ELSE 'product' END AS scope, CASE WHEN k IN (0, 1, 2, 7) THEN CASE WHEN k = 0 THEN 1250.5 ELSE price END END AS amount, CASE WHEN k IN (0, 1, 7) THEN 'USD' WHEN k = 2 THEN 'EUR' END AS currency,
+CASE WHEN k = 3 THEN 'several' WHEN k IN (4, 5, 6) THEN 'conflict' WHEN k = 8 THEN 'incomplete' ELSE 'offer' END AS state FROM x""")
+def metadata_offers(spark, sf_dir):
+    """The price that a page's metadata states, by the first namespace that states any."""
+    p = load(spark, sf_dir, "part")
+    k, price = F.col("p_size") % 9, F.col("p_retailprice").cast("string")
+    both = lambda ns, a, c: F.array(F.struct(F.lit(f"{ns}:amount").alias("key"), F.lit(a).alias("content") if isinstance(a, str) else a.alias("content")), F.struct(F.lit(f"{ns}:currency").alias("key"), F.lit(c).alias("content")))
+    rows = (
+        F.when(k == 0, F.concat(both("product:sale_price", "1,250.50", "usd"), both("product:price", "9", "EUR")))
+        .when(k == 1, F.concat(both("product:price", price, "USD"), both("product:price", price, "usd"), both("og:price", "x", "EUR")))
+        .when(k == 2, both("og:price", price, "EUR"))
+        .when(k == 3, F.concat(both("product:price", "1", "USD"), both("product:price", "2", "USD")))
+        .when(k == 4, F.concat(both("product:price", "1", "USD"), both("product:price", "2", "USD"), both("product:price", "3", "USD")))
+        .when(k == 5, F.concat(both("product:price", "1", "USD"), both("product:price", "1", "EUR")))
+        .when(k == 6, F.concat(both("product:sale_price", "free", "USD"), both("product:price", "1", "USD")))
+        .when(k == 7, F.concat(both("product:price", F.concat(F.lit("$ "), price), "USD"), both("og:price", "4", "XXQ")))
+        .otherwise(F.concat(F.slice(both("product:sale_price", "1", "USD"), 1, 1), both("product:price", "1", "USD")))
+    )
+    rows = p.select(F.col("p_partkey").alias("page_id"), F.explode(rows).alias("m")).select("page_id", "m.*").repartition(7, "content")
+    return S.namespace_offers(rows).select("page_id", "scope", "amount", "currency", "state")
+
+
+@query("""SELECT l_orderkey AS orderkey, l_linenumber AS line, NOT (l_quantity % 7 = 0 OR l_tax > 0.07 OR l_discount > 0.09 OR (l_linestatus = 'O' AND l_returnflag = 'A') OR l_suppkey % 5 = 0) AS sound FROM lineitem""")
+def price_integrity(spark, sf_dir):
+    """Which stored prices still say what they were parsed from, in one currency that the URL agrees with."""
+    l = load(spark, sf_dir, "lineitem")
+    amount = F.col("l_extendedprice")
+    raw = F.concat(F.when(F.col("l_quantity") % 7 == 0, F.lit("from 3 to ")).otherwise(""), amount.cast("decimal(18,2)").cast("string"), F.lit(" USD"))
+    one = F.struct(raw.alias("raw"), (amount + F.when(F.col("l_tax") > 0.07, 0.01).otherwise(0.0)).alias("amount"), F.lit("USD").alias("currency"))
+    two = F.struct(F.lit("€5").alias("raw"), F.lit(5.0).alias("amount"), F.lit("EUR").alias("currency"))
+    signals = F.when(F.col("l_discount") > 0.09, F.array(one, two)).when(F.col("l_suppkey") % 5 == 0, F.array().cast("array<struct<raw:string,amount:double,currency:string>>")).otherwise(F.array(one, one))
+    selector = F.when((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "A"), "SAR").when(F.col("l_linenumber") == 1, "usd").otherwise("")
+    return l.select(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("line"), S.integrity(signals, selector).alias("sound"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'x|k' || json_extract_string(props, '$.k') ELSE 'y' END AS texts FROM events WHERE event_id % 4 < 3""")
+def deep_texts(spark, sf_dir):
+    """Lists under a key, wherever they are in a document down to eight containers; deeper ones are not read."""
+    e = load(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    body = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"urls":["x","k'), k, F.lit('","x",""],"more":{"urls":["no"]}}'))).otherwise('[[{"a":{"urls":["y"]}}]]')
+    deep = F.when(F.col("event_id") % 4 == 3, F.concat(F.lit('{"a":' * 9), body, F.lit("}" * 9))).otherwise(F.concat(F.lit('{"a":[{"b":{"urls":"text","c":['), body, F.lit("]}}]}")))
+    return S.find_texts(e.select("event_id", F.parse_json(deep).alias("v")), "v", "urls").select("event_id", F.array_join("texts", "|").alias("texts"))
