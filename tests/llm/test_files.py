@@ -110,3 +110,15 @@ def test_one_common_payload_is_no_hot_key(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_sql_agrees_on_pages_without_an_id(spark, tmp_path):
+    import duckdb
+
+    body = "<p>" + "x" * 2000
+    rows = [(1, "http://h.example/1", body), (5, "http://h.example/5", body), (None, "http://h.example/n", body), (None, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = duck.execute(warc.OP7_SQL).fetchall()
+    assert sorted(map(str, map(tuple, warc.op7_seekable_bundles(spark, str(tmp_path)).collect()))) == sorted(map(str, want))

@@ -67,3 +67,32 @@ def test_mixed_rows_hold_the_words_taken(odd_docs):
     for r in mixed_rows(odd_docs).collect():
         got[r["doc_id"]] += words(r["text"])
     assert {k: v for k, v in want.items() if v} == {k: v for k, v in got.items() if v}
+
+
+def test_rows_without_an_id_or_with_a_common_one_are_divided_and_reruns_agree(spark, monkeypatch):
+    """A third of the rows have no id and a third share one: no task orders more than a few, and other partitions give the same texts."""
+    from vitrine.llm import mixing
+
+    k = F.col("id")
+    df = spark.range(6000).select(
+        F.when(k % 3 == 0, None).when(k % 3 == 1, 7).otherwise(k).alias("doc_id"), F.lit("one").alias("source"), F.concat(F.repeat(F.lit("w "), (k % 50).cast("int")), (k % 500).cast("string")).alias("text"), F.create_map(F.lit("a"), k).alias("m")
+    ).union(spark.range(600).selectExpr("id + 10000", "'two'", "concat('t ', id)", "map('a', id)"))
+    monkeypatch.setattr(mixing, "LEAST_BITS", 1)
+    monkeypatch.setattr(mixing, "MOST_BITS", 1)
+    a = Counter(r["text"] for r in mixed_rows(df.drop("m")).collect())
+    for n in (1, 5):
+        assert Counter(r["text"] for r in mixed_rows(df.drop("m").repartition(n)).collect()) == a
+    check(mix(df).collect())
+    widths = []
+    real = mixing.running_sum
+
+    def watched(rows, *args, **options):
+        out = real(rows, *args, parts=16, **options)
+        order = [args[0][0], *args[1]]
+        parts = rows.repartitionByRange(16, *order).groupBy(F.spark_partition_id()).count().collect()
+        widths.extend(r["count"] for r in parts)
+        return out
+
+    monkeypatch.setattr(mixing, "running_sum", watched)
+    mix(df.drop("m")).collect()
+    assert len(widths) > 8 and max(widths) < 0.25 * sum(widths)

@@ -117,3 +117,10 @@ def test_ranks_held_out_rows_of_the_local_tables(spark):
     good, bad = ([r["score"] for r in rows if r["quality"] == k] for k in (1, 0))
     auc = np.mean([(np.array(good) > b).mean() for b in bad])
     assert len(bad) > 100 and auc > 0.98
+
+
+def test_rows_without_an_id_are_not_held_out(spark):
+    rows = spark.createDataFrame([(None,), (0,), (1,), (5,)], "doc_id long").select("doc_id", Q.held_out(F.col("doc_id")).alias("h")).collect()
+    import zlib
+
+    assert [r["h"] for r in rows] == [False] + [zlib.crc32(str(i).encode()) % 5 == 0 for i in (0, 1, 5)]

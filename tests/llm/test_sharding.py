@@ -46,3 +46,12 @@ def test_write_shards(spark, tmp_path):
     write_shards(df, str(tmp_path / "out"), 5)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert {r["doc_id"] for r in back.collect()} == set(range(50)) and back.select("shard").distinct().count() == 5
+
+
+def test_write_shards_keeps_rows_without_an_id_and_repeated_ones(spark, tmp_path):
+    rows = [(None, "a"), (None, "b"), (3, "c"), (3, "d"), (5, None), (6, "a"), (6, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("clash")).withColumn("size", F.lit(1))
+    assigned = write_shards(df, str(tmp_path / "out"), 3)
+    back = [(r["doc_id"], r["text"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(back, key=str) == sorted(rows, key=str)
+    assert sorted((str(r["doc_id"]) for r in assigned.collect())) == sorted(str(i) for i, _ in rows)

@@ -72,3 +72,10 @@ def test_top_k(spark):
     assert T.top_k(q.filter("1 = 0"), q, 5).collect() == [] and T.top_k(q, q.filter("1 = 0"), 5).collect() == []
     few = q.filter("vec_id IN (10, 20, 30)")
     assert len(T.top_k(few, few, 5).collect()) == 6
+
+
+def test_top_k_ranks_repeated_queries_apart(spark):
+    rows = [(50, [1.0, 0.0], 0), (50, [0.0, 1.0], 0), (1, [1.0, 0.0], 0), (2, [0.5, 0.0], 0), (3, [0.0, 1.0], 0)]
+    q = T.quantized(frame(spark, rows), 256)
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in T.top_k(q.filter("vec_id = 50"), q, 5).collect())
+    assert got == sorted([(1, 1, 65536), (2, 2, 32768), (3, 3, 0), (1, 3, 65536), (2, 1, 0), (3, 2, 0)])

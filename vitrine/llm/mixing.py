@@ -5,12 +5,16 @@ are taken until the source's budget is used up exactly: whole epochs first, then
 one. The order is never sorted as a whole. Key space is cut into ranges of equal width (spans,
 which hash-random keys fill evenly, about span_rows documents each), sums of the spans give
 each source's prefix sums, and only the one span where a source's budget ends is ordered, to
-find the document that is cut and how many of its words are still taken.
+find the document that is cut and how many of its words are still taken. That span is ordered by
+key, then by a hash of the whole row, over Spark's range partitions: rows that share a key, such as
+those without an id or with one common id, are divided like any others, and a rerun on other
+partitions takes the same texts.
 
 Defined cases: a null text has size 0 and is never short of its zero words; null sources form
 one source, last in the order of weights; sources of size 0 get nothing; an empty table gives
-no rows; repeated rows share a key and are taken one after the other; extra columns pass
-through.
+no rows; rows that repeat an id, or have none, share a key and are taken one after the other in the
+order of their contents; extra columns pass through (those of type map don't count as content). The
+targets are computed over one row a source in one task, which holds some millions of sources.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import running_sum
 from .common import WORD, materialize, table
 
 #: Bits of a span's number: at least, and at most.
@@ -102,14 +107,16 @@ def mix(
     whole = rows.filter(cut.isNull() | (span != cut))
     whole = whole.withColumn(P + "epochs", F.col(P + "full") + F.when(span < cut, 1).otherwise(0)).withColumn(P + "part", F.lit(0).cast("long"))
     # Only the span in which a source's budget ends is ordered.
-    inside = Window.partitionBy(P + "source").orderBy(P + "key", P + "size").rowsBetween(Window.unboundedPreceding, 0)
-    before = F.col(P + "begin") + F.sum(P + "size").over(inside) - F.col(P + "size")
-    last = rows.filter(span == cut).withColumn(P + "got", F.greatest(F.lit(0), F.least(F.col(P + "size"), F.col(P + "rest") - before)))
+    content = [F.struct(F.col(f.name)) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    last = rows.filter(span == cut).withColumn(P + "tie", F.xxhash64(F.to_json(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(content)))))).withColumn(P + "row", F.monotonically_increasing_id())
+    last = running_sum(last, [P + "source"], [P + "key", P + "tie", P + "row"], F.col(P + "size"), P + "sum").drop(P + "tie", P + "row")
+    before = F.col(P + "begin") + F.col(P + "sum") - F.col(P + "size")
+    last = last.withColumn(P + "got", F.greatest(F.lit(0), F.least(F.col(P + "size"), F.col(P + "rest") - before)))
     all_of_it = (F.col(P + "got") == F.col(P + "size")) & (F.col(P + "size") > 0)
     last = (
         last.withColumn(P + "epochs", F.col(P + "full") + F.when(all_of_it, 1).otherwise(0))
         .withColumn(P + "part", F.when(all_of_it, F.lit(0)).otherwise(F.col(P + "got")).cast("long"))
-        .drop(P + "got")
+        .drop(P + "got", P + "sum")
     )
     taken = F.col(P + "epochs") * F.col(P + "size") + F.col(P + "part")
     out = whole.unionByName(last).withColumn(P + "taken", taken)

@@ -8,7 +8,8 @@ training is plain back-propagation with Adam on a bounded sample of labelled row
 
 Defined cases: a null or empty text is scored as one empty chunk; texts of any length are
 scored whole; rows whose label is null are not learned from, nor ids with labels of both kinds;
-of an id with several texts the least is learned from; with no labels, or labels of one kind
+of an id with several texts the least is learned from; rows without an id are scored, never
+learned from and not held out; with no labels, or labels of one kind
 only, scores follow their base rate; repeated rows get equal scores; extra columns are ignored.
 """
 
@@ -197,7 +198,8 @@ def train(texts: list[bytes], y: np.ndarray, weight: np.ndarray, steps: int = 36
 
 
 def held_out(col):
-    return F.crc32(col.cast("string")) % 5 == 0
+    """If a row is held out; without an id it is not, and no label names it either."""
+    return F.coalesce(F.crc32(col.cast("string")) % 5 == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 700, most_bytes: int = 50_000) -> Model:

@@ -144,12 +144,14 @@ def assign_shards(
 def write_shards(df: DataFrame, path: str, n_shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the records, with all their columns, to one folder per shard, and returns the assignment.
 
-    ids must be unique here, since the assignment is joined back by id.
+    Every row is written once, whatever its id: rows are numbered, and the numbers stand for ids until
+    the shards are known. A column named shard takes the assignment.
     """
-    assigned = assign_shards(df, n_shards, id_col, text_col)
-    rows = df.join(assigned.select(F.col("doc_id").alias(id_col), "shard"), id_col)
-    rows.write.partitionBy("shard").parquet(path)
-    return assigned
+    rows = materialize(df.drop("shard").withColumn("__row", F.monotonically_increasing_id()), "records")
+    assigned = materialize(assign_shards(rows, n_shards, "__row", text_col).withColumnRenamed("doc_id", "__row"), "assigned")
+    met = rows.join(assigned.select("__row", "shard"), "__row")
+    met.drop("__row").write.partitionBy("shard").parquet(path)
+    return assigned.join(rows.select("__row", F.col(id_col).alias("doc_id")), "__row").select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def op1_sampled_splitters(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ block, ties by the smaller id, and a window merges the blocks. Scores are exact
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; a
 vector without components scores zero with all; missing dimensions count as zero; rows that
-repeat an id are candidates of their own, but not for the query of that id; an empty table
+repeat an id are candidates of their own, but not for the query of that id; a query row that
+repeats an id is a query of its own, with its own ranks; an empty table
 gives no rows; extra columns are ignored.
 """
 
@@ -44,7 +45,7 @@ def accumulate(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.Da
     postings = [(at := np.flatnonzero(row), row[at]) for row in dense]
     full = [len(at) == len(ids) for at, _ in postings]
     out = []
-    for query, w in zip(queries["vec_id"].tolist(), queries["w"]):
+    for asked, query, w in zip(queries["asked"].tolist(), queries["vec_id"].tolist(), queries["w"]):
         scores = np.zeros(len(ids), dtype=np.int64)
         for term in np.flatnonzero(w).tolist():
             at, values = postings[term]
@@ -61,8 +62,8 @@ def accumulate(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.Da
             keep = np.concatenate([above, level])
         else:
             keep = np.arange(len(own))
-        out.append(pd.DataFrame({"query_id": query, "vec_id": ids[own[keep]], "score": scores[keep]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        out.append(pd.DataFrame({"asked": asked, "query_id": query, "vec_id": ids[own[keep]], "score": scores[keep]}))
+    return pd.concat(out) if out else pd.DataFrame({"asked": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
 
 
 def top_k(
@@ -71,14 +72,15 @@ def top_k(
     """query_id, rank, vec_id, score from two tables of vec_id, w (array of long)."""
     n_q, n_c = (max(1, math.ceil(df.count() / size)) for df, size in ((queries, query_block), (candidates, candidate_block)))
     mix = F.xxhash64("vec_id", "w")
+    queries = materialize(queries.withColumn("asked", F.monotonically_increasing_id()), "queries")
     q = queries.withColumn("q", F.pmod(mix, F.lit(n_q)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
     c = candidates.withColumn("c", F.pmod(mix, F.lit(n_c)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return accumulate(left, right, k)
 
-    best = q.groupBy("q", "c").cogroup(c.groupBy("q", "c")).applyInPandas(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = q.groupBy("q", "c").cogroup(c.groupBy("q", "c")).applyInPandas(meet, "asked long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("asked").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

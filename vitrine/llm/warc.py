@@ -253,7 +253,7 @@ WITH p AS (
   SELECT payload_digest, max(page_id) AS winner FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
 )
 SELECT p.page_id, p.payload_bytes, p.payload_digest,
-       CASE WHEN w.winner IS NULL OR w.winner = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN w.winner IS NULL OR p.page_id IS NULL OR w.winner = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN w.winner <> p.page_id THEN w.winner END AS refers_to
 FROM p LEFT JOIN w ON p.payload_digest = w.payload_digest AND p.payload_bytes >= 1000
 """
