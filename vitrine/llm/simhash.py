@@ -338,8 +338,12 @@ def neighbours(entries: DataFrame, plan: Plan, named: int | None, similarity: fl
     entries has key, fp, probe, root and, with a similarity, t, n, bits of a text: pairs of texts
     that cannot be so similar are left out, and the nearest are those that may be most similar.
     """
-    large = materialize(value_sizes(entries).filter((F.col("xs") > BLOCK) | (F.col("qs") > BLOCK)), "large")
-    small = entries if large.isEmpty() else entries.join(large.select("key"), "key", "left_anti")
+    # Values where no probe meets an entry of another root give no pair, and most don't: they go before anything is dealt.
+    sizes = entries.groupBy("key").agg(F.count(F.when(~F.col("probe"), 1)).alias("xs"), F.count(F.when(F.col("probe"), 1)).alias("qs"), F.min("root").alias("least"), F.max("root").alias("most"))
+    sizes = materialize(sizes.filter((F.col("xs") > 0) & (F.col("qs") > 0) & (F.col("least") != F.col("most"))).select("key", "xs", "qs"), "sizes")
+    fits = (F.col("xs") <= BLOCK) & (F.col("qs") <= BLOCK)
+    large = sizes.filter(~fits)
+    small = entries.join(sizes.filter(fits).select("key"), "key", "left_semi")
     names = [c for c in entries.columns if c not in ("key", "probe")]
     dealt = small.select("key", F.lit(0).alias("x"), F.lit(0).alias("q"), "probe", *names)
     if not large.isEmpty():
