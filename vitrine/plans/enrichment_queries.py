@@ -1,4 +1,4 @@
-"""Queries of page identities, live identities, enrichment and product extraction."""
+"""Queries of page identities, live identities, enrichment, product extraction and parallel state machines."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import enrichment as E
 from ..operators import live_identity as L
 from ..operators import page_identity as I
+from ..operators import transitions as T
 from ..sources import structured as S
 from ..sources.tables import load
 from .registry import query
@@ -274,3 +275,50 @@ def deep_texts(spark, sf_dir):
     body = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"urls":["x","k'), k, F.lit('","x",""],"more":{"urls":["no"]}}'))).otherwise('[[{"a":{"urls":["y"]}}]]')
     deep = F.when(F.col("event_id") % 4 == 3, F.concat(F.lit('{"a":' * 9), body, F.lit("}" * 9))).otherwise(F.concat(F.lit('{"a":[{"b":{"urls":"text","c":['), body, F.lit("]}}]}")))
     return S.find_texts(e.select("event_id", F.parse_json(deep).alias("v")), "v", "urls").select("event_id", F.array_join("texts", "|").alias("texts"))
+
+
+def _requests(spark, sf_dir, outcomes):
+    """Requests of users for their evaluations, a third of all for one user, from the events in order."""
+    e = load(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    id_ = F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id") % 50).cast("long")
+    kind = F.when(F.col("event_type") == "signup", "dispatch").when(k < 30, "fail").when(k < 45, "reserve").otherwise("callback")
+    outcome = F.element_at(F.array(*map(F.lit, outcomes)), (k % len(outcomes) + 1).cast("int"))
+    requests = e.select(id_.alias("id"), F.col("event_id").alias("ord"), kind.alias("request"), F.concat(F.lit("w"), k % 3).alias("owner"), (k % 4).alias("attempt"), outcome.alias("outcome"), (F.col("value") * 10_000).cast("long").alias("cost"))
+    states = requests.select("id").distinct().filter("id <> 7").select("id", F.when(F.col("id") % 5 == 4, "insufficient_facts").otherwise("deterministic").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("owner"))
+    return states, requests
+
+
+def _machine_sql(outcomes: tuple[str, ...], limit: int | None, named: bool, reply: bool) -> str:
+    """Each id's requests one after the other, as recursive SQL."""
+    listed = "[" + ", ".join(f"'{o}'" for o in outcomes) + "]"
+    valid = "('complete', 'agent_rejected', 'needs_human_review', 'call_outcome_unknown')" if limit is None else "('complete', 'agent_rejected', 'call_outcome_unknown')"
+    closed = "outcome" if limit is None else f"CASE WHEN cost > {limit} THEN 'agent_rejected' ELSE outcome END"
+    refused = f"WHEN what = 'reserve' AND status <> 'dispatching' THEN CASE WHEN status = 'reserved' THEN 'already_reserved' WHEN status IN ('failed', 'insufficient_facts', 'complete', 'agent_rejected', 'call_outcome_unknown') THEN 'terminal' ELSE 'ineligible' END" if named else ""
+    can = "status IN ('deterministic', 'dispatch_failed') AND tries < 3"
+    last = "SELECT id, status, tries AS attempts, owner FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i DESC) AS z FROM w) WHERE z = 1" if not reply else "SELECT w.id, r.ord, w.reply FROM w JOIN r ON r.id = w.id AND r.i = w.i UNION ALL SELECT id, ord, 'unknown' FROM r WHERE id = 7"
+    return f"""WITH RECURSIVE e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+r AS (SELECT CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id % 50 END AS id, event_id AS ord, CASE WHEN event_type = 'signup' THEN 'dispatch' WHEN k < 30 THEN 'fail' WHEN k < 45 THEN 'reserve' ELSE 'callback' END AS what, 'w' || k % 3 AS by_, k % 4 AS attempt,
+{listed}[k % {len(outcomes)} + 1] AS outcome, trunc(value * 10000)::BIGINT AS cost, row_number() OVER (PARTITION BY CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id % 50 END ORDER BY event_id) AS i FROM e),
+w AS (SELECT DISTINCT id, 0::BIGINT AS i, CASE WHEN id % 5 = 4 THEN 'insufficient_facts' ELSE 'deterministic' END AS status, 0 AS tries, NULL::VARCHAR AS owner, NULL::VARCHAR AS reply FROM r WHERE id <> 7
+UNION ALL SELECT id, i, CASE reply WHEN 'dispatched' THEN 'dispatching' WHEN 'failed' THEN CASE WHEN tries >= 3 THEN 'failed' ELSE 'dispatch_failed' END WHEN 'taken' THEN 'reserved' WHEN 'closed' THEN {closed} ELSE status END,
+CASE reply WHEN 'dispatched' THEN tries + 1 ELSE tries END, CASE WHEN reply IN ('dispatched', 'failed') THEN NULL WHEN reply = 'taken' THEN by_ ELSE owner END, reply
+FROM (SELECT w.id, r.i, w.status, w.tries, w.owner, r.by_, r.outcome, r.cost, CASE WHEN what = 'dispatch' THEN CASE WHEN {can} THEN 'dispatched' ELSE 'ineligible' END {refused} WHEN attempt <> tries THEN 'stale_attempt' WHEN what = 'fail' AND status = 'dispatching' THEN 'failed'
+WHEN what = 'reserve' AND status = 'dispatching' THEN 'taken' WHEN what = 'callback' AND status = 'reserved' THEN CASE WHEN w.owner = by_ AND outcome IN {valid} THEN 'closed' ELSE 'binding_conflict' END ELSE 'ineligible' END AS reply
+FROM w JOIN r ON r.id = w.id AND r.i = w.i + 1))
+{last.replace("w.reply", "CASE WHEN w.reply IN ('dispatched', 'failed', 'taken', 'closed') THEN 'applied' ELSE w.reply END AS reply")}"""
+
+
+_OUTCOMES = ("complete", "nonsense", "needs_human_review", "agent_rejected", "call_outcome_unknown")
+
+
+@query(_machine_sql(_OUTCOMES, None, False, False))
+def evaluations_after_requests(spark, sf_dir):
+    """Evaluations after all their requests, many of them for one."""
+    return T.answered(*_requests(spark, sf_dir, _OUTCOMES), T.EVALUATION)[0]
+
+
+@query(_machine_sql(_OUTCOMES, 250_000, True, True))
+def challenge_replies(spark, sf_dir):
+    """What every request for a search challenge is told."""
+    return T.answered(*_requests(spark, sf_dir, _OUTCOMES), T.CHALLENGE)[1]
