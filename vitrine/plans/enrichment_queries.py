@@ -1,4 +1,4 @@
-"""Queries of page identities, live identities, enrichment, product extraction and parallel state machines."""
+"""Queries of page identities, live identities, enrichment, product extraction parallel state machines and triggers."""
 
 from __future__ import annotations
 
@@ -9,7 +9,10 @@ from ..operators import live_identity as L
 from ..operators import page_identity as I
 from ..operators import transitions as T
 from ..sources import structured as S
+from ..sources.shared import new_shared
 from ..sources.tables import load
+from ..streaming import events as V
+from ..streaming import triggers as G
 from .registry import query
 
 
@@ -322,3 +325,29 @@ def evaluations_after_requests(spark, sf_dir):
 def challenge_replies(spark, sf_dir):
     """What every request for a search challenge is told."""
     return T.answered(*_requests(spark, sf_dir, _OUTCOMES), T.CHALLENGE)[1]
+
+
+_CHANGES = """c AS (SELECT event_id // 10 AS id, event_id AS seq, event_id % 10 AS i, CASE WHEN event_id % 10 IN (0, 5) THEN 'insert' WHEN event_id % 10 IN (1, 2, 3, 6) THEN 'update' ELSE 'receipt' END AS change,
+['deterministic', 'complete', 'dispatching', 'failed', 'reserved', 'dispatching'][CAST(json_extract_string(props, '$.k') AS INTEGER) % 6 + 1] AS status, 'r' || user_id % 3 AS receipt, date_trunc('millisecond', ts::TIMESTAMP) AS ms FROM events)"""
+
+
+@query(f"""WITH RECURSIVE {_CHANGES}, w AS (SELECT DISTINCT id, -1::BIGINT AS i, NULL::VARCHAR AS status, '' AS feedback, NULL::BIGINT AS since, []::VARCHAR[] AS seen, NULL::VARCHAR AS effect, NULL::VARCHAR AS detail, false AS opened FROM c
+UNION ALL SELECT id, i, CASE WHEN effect = 'applied' THEN new ELSE status END, CASE WHEN effect = 'applied' AND closes AND feedback = '' THEN 'pending' WHEN effect = 'acknowledged' THEN 'done' ELSE feedback END,
+CASE WHEN effect = 'applied' AND closes AND feedback = '' THEN seq ELSE since END, CASE WHEN effect = 'acknowledged' THEN list_append(seen, receipt) ELSE seen END, effect, detail, effect = 'applied' AND closes AND feedback = ''
+FROM (SELECT *, new IN ('complete', 'failed') AS closes, CASE WHEN change = 'receipt' THEN CASE WHEN list_contains(seen, receipt) OR feedback <> 'pending' THEN 'refused' ELSE 'acknowledged' END
+WHEN change = 'insert' AND status IS NOT NULL OR change = 'update' AND (status IS NULL OR status IN ('complete', 'failed')) THEN 'refused' ELSE 'applied' END AS effect,
+CASE WHEN change = 'receipt' THEN CASE WHEN list_contains(seen, receipt) THEN 'repeated receipt' WHEN feedback <> 'pending' THEN 'nothing pending' ELSE receipt END WHEN change = 'insert' AND status IS NOT NULL THEN 'exists' WHEN change = 'update' AND status IS NULL THEN 'unknown'
+WHEN change = 'update' AND status IN ('complete', 'failed') THEN 'immutable' ELSE new END AS detail FROM (SELECT w.id, c.i, c.seq, w.status, w.feedback, w.since, w.seen, c.change, c.status AS new, c.receipt FROM w JOIN c ON c.id = w.id AND c.i = w.i + 1))),
+z AS (SELECT id, status, since, feedback FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i DESC) AS n FROM w) WHERE n = 1)
+SELECT w.id, c.seq, w.effect, w.detail, c.ms AS "at" FROM w JOIN c ON c.id = w.id AND c.i = w.i UNION ALL SELECT w.id, c.seq, 'outbox', w.detail, c.ms FROM w JOIN c ON c.id = w.id AND c.i = w.i WHERE w.opened
+UNION ALL SELECT z.id, c.seq, 'overdue', z.status, c.ms + INTERVAL 60 MINUTES FROM z JOIN c ON c.id = z.id AND c.seq = z.since WHERE z.feedback = 'pending' AND c.ms + INTERVAL 60 MINUTES <= (SELECT date_trunc('millisecond', max(ts)::TIMESTAMP) - INTERVAL 1 MINUTE FROM events)""")
+def trigger_effects(spark, sf_dir):
+    """What a store's triggers do on a stream of changes: refused updates, outbox rows, receipts, overdue feedback."""
+    e = V.source(spark, sf_dir)
+    i, k = F.col("event_id") % 10, F.get_json_object("props", "$.k").cast("int")
+    states = F.array(*map(F.lit, ["deterministic", "complete", "dispatching", "failed", "reserved", "dispatching"]))
+    changes = e.select(
+        F.floor(F.col("event_id") / 10).alias("id"), F.col("event_id").alias("seq"), F.when(i.isin(0, 5), "insert").when(i.isin(1, 2, 3, 6), "update").otherwise("receipt").alias("change"),
+        F.element_at(states, k % 6 + 1).alias("status"), F.concat(F.lit("r"), F.col("user_id") % 3).alias("receipt"), F.col("ts").alias("at"),
+    )
+    return G.run(changes, new_shared(spark, "triggers")).drop("batch")

@@ -19,11 +19,16 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def new_shared(spark: SparkSession, what: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/vitrine-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back.
 
     Iterations cut their lineage this way; a lost executor costs reading files again.
     """
-    path = f"{shared_folder(df.sparkSession)}/vitrine-{df.sparkSession.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+    path = new_shared(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
