@@ -1,4 +1,4 @@
-"""Queries of page identities, live identities, enrichment, product extraction parallel state machines and triggers."""
+"""Queries of page identities, live identities, enrichment, product extraction parallel state machines, triggers and contracts."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from ..operators import enrichment as E
 from ..operators import live_identity as L
 from ..operators import page_identity as I
 from ..operators import transitions as T
+from ..sources import contracts as K
 from ..sources import structured as S
 from ..sources.shared import new_shared
 from ..sources.tables import load
@@ -351,3 +352,24 @@ def trigger_effects(spark, sf_dir):
         F.element_at(states, k % 6 + 1).alias("status"), F.concat(F.lit("r"), F.col("user_id") % 3).alias("receipt"), F.col("ts").alias("at"),
     )
     return G.run(changes, new_shared(spark, "triggers")).drop("batch")
+
+
+@query("""WITH x AS (SELECT o_orderkey AS id, o_orderkey % 12 AS k, o_custkey % 5 AS c FROM orders)
+SELECT id, '' AS path, 'type' AS keyword FROM x WHERE k = 0 UNION ALL SELECT id, '/crawl', 'required' FROM x WHERE k = 1 UNION ALL SELECT id, '/results', 'minItems' FROM x WHERE k = 2 UNION ALL SELECT id, '/results/' || c || '/role', 'enum' FROM x WHERE k = 3
+UNION ALL SELECT id, '/results/' || i || '/coverage/maxPages', 'minimum' FROM x, unnest(range(c + 1)) AS r(i) WHERE k = 4 UNION ALL SELECT id, '/document/blocks/0/claimType', 'required' FROM x WHERE k = 5 UNION ALL SELECT id, '/document/blocks/0/sourceUrl', 'format' FROM x WHERE k = 5
+UNION ALL SELECT id, '/document/extra', 'additionalProperties' FROM x WHERE k = 6 UNION ALL SELECT id, '/ok', 'const' FROM x WHERE k = 7 UNION ALL SELECT id, '/crawl/generatedAt', 'format' FROM x WHERE k = 8 AND c = 2""")
+def contract_violations(spark, sf_dir):
+    """Where report documents break their contract, and by which rule."""
+    o = load(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey") % 12, F.col("o_custkey") % 5
+    one = lambda i: F.concat(
+        F.lit('{"domain":"d","role":"'), F.when((k == 3) & (i == c), "boss").otherwise("primary"), F.lit('","pages":[],"products":[],"gaps":[],"coverage":{"pagesRequested":1,"pagesFetched":1,"maxPages":'),
+        F.when(k == 4, "0").otherwise("4"), F.lit(',"robotsChecked":true},"fetchedAt":"2024-01-01T00:00:00Z"}'),
+    )
+    results = F.when(k == 2, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), c), one), ","))
+    block = F.when(k == 5, '{"type":"evidence","id":"e","sourceUrl":"no uri","observedAt":"2024-01-01T00:00:00Z","confidence":"Low"}').otherwise('{"type":"gap","id":"g","domain":"d","reason":"r","observedAt":""}')
+    day = F.when((k == 8) & (c == 2), "2024-13-01").otherwise("2024-12-01")
+    crawl = F.when(k == 1, F.lit("")).otherwise(F.concat(F.lit(',"crawl":{"maxPagesPerDomain":3,"robotsAware":true,"generatedAt":"'), day, F.lit('T00:00:00Z"}')))
+    whole = F.concat(F.lit('{"ok":'), F.when(k == 7, "1").otherwise("true"), F.lit(',"live":true,"primaryDomain":"p","results":['), results, F.lit('],"document":{"version":"1","generatedAt":"2024-01-01T00:00:00Z",'), F.when(k == 6, '"extra":1,').otherwise(""), F.lit('"blocks":['), block, F.lit("]}"), crawl, F.lit("}"))
+    document = F.parse_json(F.when(k == 0, "[]").otherwise(whole))
+    return o.select(F.col("o_orderkey").alias("id"), F.explode(K.violations(document, K.REPORT)).alias("v")).select("id", "v.*")
