@@ -1,10 +1,11 @@
-"""Queries of page identities, live identities, enrichment, product extraction parallel state machines, triggers and contracts."""
+"""Queries of page identities, live identities, enrichment, product extraction parallel state machines, triggers, contracts and evidence budgets."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import enrichment as E
+from ..operators import evidence as B
 from ..operators import live_identity as L
 from ..operators import page_identity as I
 from ..operators import transitions as T
@@ -373,3 +374,43 @@ def contract_violations(spark, sf_dir):
     whole = F.concat(F.lit('{"ok":'), F.when(k == 7, "1").otherwise("true"), F.lit(',"live":true,"primaryDomain":"p","results":['), results, F.lit('],"document":{"version":"1","generatedAt":"2024-01-01T00:00:00Z",'), F.when(k == 6, '"extra":1,').otherwise(""), F.lit('"blocks":['), block, F.lit("]}"), crawl, F.lit("}"))
     document = F.parse_json(F.when(k == 0, "[]").otherwise(whole))
     return o.select(F.col("o_orderkey").alias("id"), F.explode(K.violations(document, K.REPORT)).alias("v")).select("id", "v.*")
+
+
+def _evidence(spark, sf_dir):
+    """Priced matches of runs of a hundred orders; a third of all lines is one run."""
+    l = load(spark, sf_dir, "lineitem")
+    key = F.col("l_orderkey")
+    run = F.when(key % 3 == 0, F.lit(-1)).otherwise(F.floor(key / 100)).cast("long")
+    text = lambda c: F.lit(None).cast("string").alias(c)
+    product = lambda id_, domain, name, prices: F.struct(
+        id_.alias("id"), domain.alias("domain"), name.alias("name"), F.lit("mug").alias("category"), F.lit("u").alias("source_url"), F.lit("t").alias("observed_at"), F.lit(None).cast("array<string>").alias("gtins"),
+        text("sku"), text("mpn"), text("brand"), prices.alias("prices"),
+    )
+    price = F.array(F.struct(F.concat(F.lit(" €  "), F.round(F.col("l_extendedprice") * 100).cast("long")).alias("raw"), F.lit("EUR").alias("currency"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("amount"), F.lit("").alias("period")))
+    rows = l.select(
+        run.alias("run"), F.col("l_partkey").alias("primary_id"), F.concat(F.lit("d"), "l_linenumber").alias("domain"), F.concat(key, F.lit("-"), "l_suppkey", F.lit("-"), F.round(F.col("l_extendedprice") * 100).cast("long")).alias("rival_id"), F.round(F.col("l_discount") * 100).cast("long").alias("score"),
+        (F.col("l_linestatus") == "F").alias("exact"), (F.col("l_tax") < 0.07).alias("eligible"),
+        product(F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("d"), "l_linenumber"), F.repeat(F.lit("ñ "), F.col("l_quantity").cast("int") * 2), price).alias("product"),
+    )
+    primaries = rows.select("run", "primary_id").distinct().withColumn("product", product(F.concat(F.lit("p"), "primary_id"), F.lit("own"), F.lit("n"), F.lit(None).cast("array<struct<raw:string,currency:string,amount:bigint,period:string>>")))
+    return B.evidence_rows(primaries, rows, most_matches=3)
+
+
+_EVIDENCE = """x AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN -1 ELSE l_orderkey // 100 END AS run, l_partkey AS primary_id, 'd' || l_linenumber AS domain, l_orderkey || '-' || l_suppkey || '-' || round(l_extendedprice * 100)::BIGINT AS rival_id, round(l_discount * 100)::BIGINT AS score,
+l_linestatus = 'F' AS exact, l_tax < 0.07 AS eligible, l_suppkey, round(l_extendedprice * 100)::BIGINT AS cents, l_quantity::INTEGER AS n FROM lineitem),
+m AS (SELECT *, '{"domain":"' || domain || '","product":{"id":"s' || l_suppkey || '","domain":"' || domain || '","name":"' || left(rtrim(repeat('ñ ', n * 2)), 120) || '","prices":[{"raw":"€ ' || cents || '","currency":"EUR","amount":' || cents || '}],"source_url":"u","observed_at":"t"},"score":' || score || CASE WHEN exact THEN '' ELSE ',"verdict":"close_substitute"' END || '}' AS j,
+row_number() OVER (PARTITION BY run, primary_id ORDER BY exact DESC, score DESC, domain, rival_id) AS k FROM x WHERE eligible),
+g AS (SELECT run, primary_id, string_agg(j, ',' ORDER BY k) AS j FROM m WHERE k <= 3 GROUP BY ALL),
+r AS (SELECT run, primary_id, strlen('{"primary":{"id":"p' || primary_id || '","domain":"own","name":"n","source_url":"u","observed_at":"t"},"matches":[' || coalesce(j, '') || ']}') AS bytes FROM (SELECT DISTINCT run, primary_id FROM x) LEFT JOIN g USING (run, primary_id))"""
+
+
+@query(f"WITH {_EVIDENCE} SELECT run, count(*) AS rows, (sum(bytes) + count(*) + 1)::BIGINT AS bytes, sum(bytes) + count(*) + 1 <= 60000 AS kept FROM r GROUP BY run")
+def evidence_budgets(spark, sf_dir):
+    """Bytes of each run's published evidence, and which runs keep to their budget."""
+    return B.run_budgets(_evidence(spark, sf_dir), 60_000)
+
+
+@query(f"""WITH {_EVIDENCE} SELECT run, primary_id, "end", "end" <= 50000 AS kept FROM (SELECT run, primary_id, (sum(bytes + 1) OVER (PARTITION BY run ORDER BY bytes, primary_id) + 1)::BIGINT AS "end" FROM r)""")
+def evidence_envelopes(spark, sf_dir):
+    """Which rows of a run's evidence fit into an envelope, the shortest first."""
+    return B.envelope(_evidence(spark, sf_dir), ["bytes", "primary_id"], 50_000).select("run", "primary_id", "end", "kept")
