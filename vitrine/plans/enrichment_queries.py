@@ -373,7 +373,8 @@ def contract_violations(spark, sf_dir):
     crawl = F.when(k == 1, F.lit("")).otherwise(F.concat(F.lit(',"crawl":{"maxPagesPerDomain":3,"robotsAware":true,"generatedAt":"'), day, F.lit('T00:00:00Z"}')))
     whole = F.concat(F.lit('{"ok":'), F.when(k == 7, "1").otherwise("true"), F.lit(',"live":true,"primaryDomain":"p","results":['), results, F.lit('],"document":{"version":"1","generatedAt":"2024-01-01T00:00:00Z",'), F.when(k == 6, '"extra":1,').otherwise(""), F.lit('"blocks":['), block, F.lit("]}"), crawl, F.lit("}"))
     document = F.parse_json(F.when(k == 0, "[]").otherwise(whole))
-    return o.select(F.col("o_orderkey").alias("id"), F.explode(K.violations(document, K.REPORT)).alias("v")).select("id", "v.*")
+    rows = o.select(F.col("o_orderkey").alias("id"), document.alias("document")).repartition(2 * spark.sparkContext.defaultParallelism)
+    return rows.select("id", F.explode(K.violations(F.col("document"), K.REPORT)).alias("v")).select("id", "v.*")
 
 
 def _evidence(spark, sf_dir):

@@ -10,11 +10,10 @@ skipped silently otherwise. A recursive $ref is one, too.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.numbers import bound
 from .structured import at, items
 
 #: Says nothing about values.
@@ -92,45 +91,38 @@ REPORT = {
 }
 
 
-def is_object(v: Column) -> Column:
-    return v.try_cast("map<string,variant>").isNotNull()
-
-
-def is_array(v: Column) -> Column:
-    return items(v).isNotNull()
-
-
-def scalar(v: Column) -> Column:
-    """Kind of a value that is no object or array: STRING, BOOLEAN, VOID or a number's type; '' for the others."""
-    return F.when(is_object(v) | is_array(v), "").otherwise(F.coalesce(F.schema_of_variant(v), F.lit("")))
-
+def kind_of(v: Column) -> Column:
+    """OBJECT, ARRAY, STRING, BOOLEAN, VOID or a number's type; null for an absent value."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
-def is_number(v: Column) -> Column:
-    return scalar(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
 
-
-def is_text(v: Column) -> Column:
-    return scalar(v) == "STRING"
+def is_number(k: Column) -> Column:
+    return k.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
 
 
+#: What a value (v, of kind k) must be for each type.
 KINDS = {
-    "object": is_object,
-    "array": is_array,
-    "string": is_text,
-    "boolean": lambda v: scalar(v) == "BOOLEAN",
-    "null": F.is_variant_null,
-    "number": is_number,
-    "integer": lambda v: is_number(v) & F.coalesce(at(v, "$", "double") == F.floor(at(v, "$", "double")), F.lit(False)),
+    "object": lambda v, k: k == "OBJECT",
+    "array": lambda v, k: k == "ARRAY",
+    "string": lambda v, k: k == "STRING",
+    "boolean": lambda v, k: k == "BOOLEAN",
+    "null": lambda v, k: k == "VOID",
+    "number": lambda v, k: is_number(k),
+    "integer": lambda v, k: is_number(k) & F.coalesce(at(v, "$", "double") == F.floor(at(v, "$", "double")), F.lit(False)),
 }
 
 
-def same(v: Column, value) -> Column:
+def same(v: Column, k: Column, value) -> Column:
     """If a value is a constant of the schema."""
     if isinstance(value, (dict, list)):
         raise NotImplementedError("constants that are objects or lists")
-    if isinstance(value, bool) or value is None or isinstance(value, str):
-        return F.coalesce((scalar(v) == {bool: "BOOLEAN", str: "STRING"}.get(type(value), "VOID")) & (F.to_json(v) == json.dumps(value, ensure_ascii=False)), F.lit(False))
-    return F.coalesce(is_number(v) & (at(v, "$", "double") == float(value)), F.lit(False))
+    if isinstance(value, bool):
+        ok = (k == "BOOLEAN") & (at(v, "$", "boolean") == F.lit(value))
+    elif isinstance(value, str):
+        ok = (k == "STRING") & (at(v, "$", "string") == F.lit(value))
+    else:
+        ok = k == "VOID" if value is None else is_number(k) & (at(v, "$", "double") == float(value))
+    return F.coalesce(ok, F.lit(False))
 
 
 def violations(v: Column, schema: dict | bool, path: Column | None = None, root: dict | None = None, seen: tuple[str, ...] = ()) -> Column:
@@ -141,53 +133,61 @@ def violations(v: Column, schema: dict | bool, path: Column | None = None, root:
     if isinstance(schema, bool):
         return none if schema else F.when(v.isNotNull(), at_path(path, "false")).otherwise(none)
     root = schema if root is None else root
+    told = bound(v, lambda x: F.when(x.isNotNull(), bound(kind_of(x), lambda k: _broken(x, k, schema, path, root, seen))))
+    return F.coalesce(told, none)
+
+
+def _broken(v: Column, k: Column, schema: dict, path: Column, root: dict, seen: tuple[str, ...]) -> Column:
+    """What a value that is there violates; its kind is worked out once."""
+    none = F.array().cast(VIOLATIONS)
+    at_path = lambda p, word: F.array(F.struct(p.alias("path"), F.lit(word).alias("keyword")))
     inner = lambda x, s, p=path: violations(x, s, p, root, seen)
     found: list[Column] = []
-    refuse = lambda bad, word, p=path: found.append(F.when(v.isNotNull() & F.coalesce(bad, F.lit(False)), at_path(p, word)).otherwise(none))
+    refuse = lambda bad, word, p=path: found.append(F.when(F.coalesce(bad, F.lit(False)), at_path(p, word)).otherwise(none))
     good = lambda s: F.size(inner(v, s)) == 0
     for word, value in schema.items():
         if word == "type":
             kinds = value if isinstance(value, list) else [value]
             ok = F.lit(False)
-            for k in kinds:
-                ok |= F.coalesce(KINDS[k](v), F.lit(False))
+            for kind in kinds:
+                ok |= F.coalesce(KINDS[kind](v, k), F.lit(False))
             refuse(~ok, word)
         elif word == "const":
-            refuse(~same(v, value), word)
+            refuse(~same(v, k, value), word)
         elif word == "enum":
             ok = F.lit(False)
             for x in value:
-                ok |= same(v, x)
+                ok |= same(v, k, x)
             refuse(~ok, word)
         elif word == "required":
             for key in value:
-                refuse(is_object(v) & at(v, f"$['{key}']").isNull(), word, F.concat(path, F.lit(f"/{key}")))
+                refuse((k == "OBJECT") & at(v, f"$['{key}']").isNull(), word, F.concat(path, F.lit(f"/{key}")))
         elif word == "properties":
             found += [inner(at(v, f"$['{key}']"), s, F.concat(path, F.lit(f"/{key}"))) for key, s in value.items()]
         elif word == "additionalProperties":
             if value is not True:
-                known = [F.lit(k) for k in schema.get("properties", {})]
+                known = [F.lit(x) for x in schema.get("properties", {})]
                 rest = F.filter(F.map_entries(v.try_cast("map<string,variant>")), lambda e: ~e["key"].isin(*known) if known else F.lit(True))
                 found.append(F.coalesce(F.flatten(F.transform(rest, lambda e: F.concat(none, at_path(F.concat(path, F.lit("/"), e["key"]), word)) if value is False else inner(e["value"], value, F.concat(path, F.lit("/"), e["key"])))), none))
         elif word == "items":
             found.append(F.coalesce(F.flatten(F.transform(items(v), lambda x, i: inner(x, value, F.concat(path, F.lit("/"), i.cast("string"))))), none))
         elif word in ("minItems", "maxItems"):
             n = F.size(items(v))
-            refuse(is_array(v) & (n < value if word == "minItems" else n > value), word)
+            refuse((k == "ARRAY") & (n < value if word == "minItems" else n > value), word)
         elif word in ("minLength", "maxLength"):
             n = F.length(at(v, "$", "string"))
-            refuse(is_text(v) & (n < value if word == "minLength" else n > value), word)
+            refuse((k == "STRING") & (n < value if word == "minLength" else n > value), word)
         elif word in ("minimum", "maximum"):
             x = at(v, "$", "double")
-            refuse(is_number(v) & (x < value if word == "minimum" else x > value), word)
+            refuse(is_number(k) & (x < value if word == "minimum" else x > value), word)
         elif word == "pattern":
-            refuse(is_text(v) & ~at(v, "$", "string").rlike(value), word)
+            refuse((k == "STRING") & ~at(v, "$", "string").rlike(value), word)
         elif word == "format":
             text = at(v, "$", "string")
             if value not in ("date-time", "uri"):
                 raise NotImplementedError(f"format {value}")
             ok = text.rlike(DATE_TIME) & F.try_to_timestamp(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")).isNotNull() if value == "date-time" else text.rlike(URI)
-            refuse(is_text(v) & ~F.coalesce(ok, F.lit(False)), word)
+            refuse((k == "STRING") & ~F.coalesce(ok, F.lit(False)), word)
         elif word == "allOf":
             found += [inner(v, s) for s in value]
         elif word == "anyOf":
@@ -200,8 +200,8 @@ def violations(v: Column, schema: dict | bool, path: Column | None = None, root:
         elif word == "not":
             refuse(good(value), word)
         elif word == "if":
-            yes, no = (inner(v, schema[k]) if k in schema else none for k in ("then", "else"))
-            found.append(F.when(v.isNotNull(), F.when(good(value), yes).otherwise(no)).otherwise(none))
+            yes, no = (inner(v, schema[x]) if x in schema else none for x in ("then", "else"))
+            found.append(F.when(good(value), yes).otherwise(no))
         elif word == "$ref":
             if value in seen or not value.startswith("#"):
                 raise NotImplementedError(f"$ref {value}")
