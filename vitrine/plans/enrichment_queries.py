@@ -9,6 +9,7 @@ from ..operators import evidence as B
 from ..operators import live_identity as L
 from ..operators import page_identity as I
 from ..operators import transitions as T
+from ..sources import checkpoints as P
 from ..sources import contracts as K
 from ..sources import structured as S
 from ..sources.shared import new_shared
@@ -415,3 +416,21 @@ def evidence_budgets(spark, sf_dir):
 def evidence_envelopes(spark, sf_dir):
     """Which rows of a run's evidence fit into an envelope, the shortest first."""
     return B.envelope(_evidence(spark, sf_dir), ["bytes", "primary_id"], 50_000).select("run", "primary_id", "end", "kept")
+
+
+@query("""WITH c AS (SELECT 'r' || l_orderkey % 97 AS run, l_linenumber AS attempt, l_orderkey * 100000 + l_partkey * 10 + l_quantity::BIGINT % 10 AS batch, l_returnflag || l_shipdate::DATE AS payload, l_orderkey % 97 AS k FROM lineitem),
+n AS (SELECT run, attempt, batch, payload, row_number() OVER (PARTITION BY run ORDER BY attempt DESC, batch) AS n, count(*) OVER (PARTITION BY run) > 20 AS more FROM c WHERE k % 5 > 0 AND (k % 5 = 1 OR attempt < k % 7 + 1 OR attempt = k % 7 + 1 AND batch > 100000000))
+SELECT run, attempt, batch, min(payload) AS payload, more FROM n WHERE n <= 20 GROUP BY run, attempt, batch, more HAVING count(*) = 1""")
+def checkpoint_pages(spark, sf_dir):
+    """A page of stored checkpoints for each run that asks, from its cursor on."""
+    l = load(spark, sf_dir, "lineitem")
+    run = F.concat(F.lit("r"), F.col("l_orderkey") % 97)
+    batch = F.col("l_orderkey") * 100_000 + F.col("l_partkey") * 10 + F.col("l_quantity").cast("long") % 10
+    rows = l.select(run.alias("run"), F.col("l_linenumber").alias("attempt"), batch.alias("batch"), F.concat("l_returnflag", F.date_format("l_shipdate", "yyyy-MM-dd")).alias("payload"))
+    path = new_shared(spark, "checkpoints")
+    P.write_checkpoints(rows, path)
+    k = F.col("l_orderkey") % 97
+    first = k % 5 == 1
+    cursors = l.filter(k % 5 > 0).select(run.alias("run"), F.when(~first, (k % 7 + 1).cast("int")).alias("attempt"), F.when(~first, F.lit(100_000_000)).cast("long").alias("batch")).distinct()
+    found = P.pages(P.read_checkpoints(spark, path), cursors, 20)
+    return found.groupBy("run", "attempt", "batch", "more").agg(F.min("payload").alias("payload"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
