@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .assignment import greedy_assignment
 from .ordered import running_sum
 from .similarity import assessed_score, sanitized_verdict
@@ -78,9 +79,10 @@ def hybrid_matches(candidates: DataFrame, primaries: DataFrame, verdicts: DataFr
 
     candidates has what candidate_groups, judge_groups and judged ask for.
     """
-    groups = candidate_groups(candidates, per_domain, per_primary)
+    # Both are read several times, and cost windows and joins to make.
+    groups = stored(candidate_groups(candidates, per_domain, per_primary), "groups")
     pairs = bounded_pairs(groups, judge_groups(groups, primaries, most_primaries), most_pairs)
-    found = judged(pairs, verdicts).select("run", "domain", "primary_id", "rival_id", "verdict", "score")
+    found = stored(judged(pairs, verdicts).select("run", "domain", "primary_id", "rival_id", "verdict", "score"), "found")
     keyed = found.withColumn("group", F.struct("run", "domain"))
     taken = greedy_assignment(keyed.select("group", "primary_id", "rival_id", "score"), "group").select("group.run", "group.domain", "primary_id", "rival_id")
     return found.join(taken, ["run", "domain", "primary_id", "rival_id"], "left_semi")
