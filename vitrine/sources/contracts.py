@@ -93,7 +93,7 @@ REPORT = {
 
 def kind_of(v: Column) -> Column:
     """OBJECT, ARRAY, STRING, BOOLEAN, VOID or a number's type; null for an absent value."""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
 
 
 def is_number(k: Column) -> Column:
