@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,13 +183,14 @@ def replayed(pairs: DataFrame, verdicts: DataFrame, *fields: str) -> DataFrame:
 
 
 def followed(pages: DataFrame, most: int = 1000) -> DataFrame:
-    """Rows of cursor pages (cursor, next_cursor, rows) in the order in which cursors lead from '' on; a cursor that comes again ends the walk."""
-    pages.createOrReplaceTempView("__cursor_pages")
+    """Rows of cursor pages (cursor, next_cursor, rows) in the order in which cursors lead from '' on; a cursor that comes again ends the walk, as do `most` pages."""
+    view = f"cursor_pages_{uuid.uuid4().hex}"  # of its own, so that two walks at once don't meet
+    pages.createOrReplaceTempView(view)
     chain = pages.sparkSession.sql(f"""
         WITH RECURSIVE walk(step, cursor, next_cursor, seen) MAX RECURSION LEVEL {most} AS (
-          SELECT 0, cursor, next_cursor, array(cursor) FROM __cursor_pages WHERE cursor = ''
+          SELECT 0, cursor, next_cursor, array(cursor) FROM {view} WHERE cursor = ''
           UNION ALL
-          SELECT w.step + 1, p.cursor, p.next_cursor, array_append(w.seen, p.cursor) FROM walk w JOIN __cursor_pages p ON p.cursor = w.next_cursor
+          SELECT w.step + 1, p.cursor, p.next_cursor, array_append(w.seen, p.cursor) FROM walk w JOIN {view} p ON p.cursor = w.next_cursor
           WHERE NOT array_contains(w.seen, p.cursor) AND w.step < {most - 2})
         SELECT step, cursor FROM walk""")
     return chain.join(pages.select("cursor", "rows"), "cursor").select("step", F.posexplode("rows").alias("position", "row"))
