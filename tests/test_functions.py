@@ -9,6 +9,7 @@ from vitrine.functions import numbers as N
 from vitrine.functions import prices as P
 from vitrine.functions import text as X
 from vitrine.functions import urls as U
+from vitrine.operators.aggregates import information_score
 
 
 def one(spark, *columns):
@@ -31,6 +32,14 @@ def test_numbers(spark):
     assert list(r) == [1.0, 0.0, 0.0]
 
 
+def test_percent_rounds_an_exact_half_up(spark):
+    # 29 / 200 * 100 is 14.499999999999998 in doubles, 29 * 100 / 200 is 14.5; 57 of 200 likewise.
+    r = one(spark, N.percent_of(F.lit(29), F.lit(200)), N.percent_of(F.lit(57), F.lit(200)), N.percent_of(F.lit(28), F.lit(200)))
+    assert tuple(r) == (15, 29, 14)
+    rows = spark.range(200).select((F.col("id") < 29).alias("has"))
+    assert rows.agg(information_score(F.col("has")).alias("s")).collect()[0]["s"] == 15
+
+
 def test_bilingual_normalize(spark):
     values = ["  Crème  BRÛLÉE!", "١٢٫٥ كجم", "1,5 L", "أحمد إيمان آلة", "مـــد َ", "v1.2.x a.b .5", "ﬁne Ａ", None, "1٬000"]
     want = ["crème brûlée", "12.5 كجم", "1.5 l", "احمد ايمان اله", "مد", "v1.2 x a b 5", "fine a", "", "1000"]

@@ -46,7 +46,7 @@ def purchase_path(product: Column, cart_button: Column, cart_link: Column, check
 def information_score(*present: Column) -> Column:
     """Completed fields as a share of all fields of all products."""
     filled = sum((F.sum(p.cast("int")) for p in present), F.lit(0))
-    return F.when(F.count(F.lit(1)) > 0, clamp100(filled / (F.count(F.lit(1)) * len(present)) * 100))
+    return F.when(F.count(F.lit(1)) > 0, clamp100(filled * F.lit(100.0) / (F.count(F.lit(1)) * len(present))))
 
 
 def region_votes(signals: DataFrame) -> DataFrame:
