@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from vitrine.operators import assignment as A
+from vitrine.operators import catalog as C
 from vitrine.operators import reports as R
 from vitrine.operators import similarity as S
 from vitrine.operators.aggregates import benchmark_row, region_votes
@@ -276,3 +277,13 @@ def test_classes_expand_to_every_pair_once(spark):
     got = sorted(map(tuple, S.expanded(pairs, primary, rivals, primary_block=7, rival_block=5).collect()))
     hits = {("a", 0): 2, ("a", 1): 3, ("b", 1): 4}
     assert got == sorted((p, 100 + r, hits[k, r % 3]) for p in range(50) for r in range(70) if (k := "a" if p < 30 else "b", r % 3) in hits)
+
+
+def test_key_pairs_come_once_without_a_distinct(spark):
+    p = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, "b"), (3, None), (None, "a")], "id long, key string")
+    r = spark.createDataFrame([(10, "a"), (10, "b"), (10, "c"), (11, "b"), (11, "b"), (12, "z"), (13, None)], "id long, key string")
+    got = C.key_pairs(p, r)
+    assert sorted(map(tuple, got.collect())) == [(1, 10), (1, 11), (2, 10), (2, 11)]
+    # Aggregations are of products by their id alone, never of pairs.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [id#") == plan.count("Aggregate [") == 2

@@ -31,7 +31,7 @@ def exact_key_blocking(spark, sf_dir):
         F.col("p_partkey").alias("id"), "p_brand", F.array().cast("array<string>").alias("gtins"), F.col("p_type").alias("brand"), F.concat(F.lit("S"), F.col("p_partkey") % 500).alias("sku"), F.lit(None).cast("string").alias("mpn")
     )
     a, b = C.exact_keys(p.filter("p_brand = 'Brand#1'")), C.exact_keys(p.filter("p_brand <> 'Brand#1'"))
-    return a.select(F.col("id").alias("primary_id"), "key").join(b.select(F.col("id").alias("rival_id"), "key"), "key").filter("primary_id < rival_id").select("primary_id", "rival_id").distinct()
+    return C.key_pairs(a, b).filter("primary_id < rival_id")
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 2 ELSE 1 END AS aligned FROM part WHERE length(split_part(p_name, ' ', 1)) >= 4 AND length(split_part(p_name, ' ', 2)) >= 4 AND split_part(p_name, ' ', 1) <> split_part(p_name, ' ', 2)""")
