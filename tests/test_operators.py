@@ -287,3 +287,21 @@ def test_key_pairs_come_once_without_a_distinct(spark):
     # Aggregations are of products by their id alone, never of pairs.
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [id#") == plan.count("Aggregate [") == 2
+
+
+def test_component_edges_are_the_best_of_all_pairs(spark):
+    """Each row's best edge of a component by (exact, score), and per_row of these, whether made by class or by pair."""
+    r = random.Random(5)
+    scores = [(f"p{a}", f"r{b}", r.randint(0, 1), r.choice([0.3, 0.5, 0.8])) for a in range(4) for b in range(8) if r.random() < 0.7]
+    rows = [(i % 2, i, f"p{r.randrange(4)}") for i in range(20)]
+    rivals = [(r.randrange(5), f"r{r.randrange(8)}") for _ in range(40)]
+    got = A.component_edges(spark.createDataFrame(scores, "pk string, rk string, exact int, score double"), spark.createDataFrame(rows, "run long, row long, pk string"), spark.createDataFrame(rivals, "component long, rk string"), per_row=3)
+    want = []
+    for run, row, pk in rows:
+        best = {}
+        for a, rk, exact, score in scores:
+            for c, k in rivals:
+                if a == pk and k == rk:
+                    best[c] = max(best.get(c, (-1, 0.0)), (exact, score))
+        want += [(run, row, c, *e) for c, e in sorted(best.items(), key=lambda x: (-x[1][0], -x[1][1], x[0]))[:3]]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
