@@ -17,7 +17,7 @@ from ..operators import similarity as S
 from ..operators import upkeep as K
 from ..operators import verification as V
 from ..sources import html as H
-from ..sources.tables import load
+from ..sources.tables import dealt, load
 from .registry import query
 
 
@@ -65,7 +65,7 @@ MARKETS = [
 @query(expected("pages", "page_id", MARKETS, range(1, 6), "country, currency, explicit, conflict, context"))
 def page_markets(spark, sf_dir):
     """Markets that URLs select: query keys, path segments, country domains and conflicts."""
-    p = load(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), U.market_context(picked("page_id", MARKETS, 0)[0]).alias("m"))
+    p = dealt(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), U.market_context(picked("page_id", MARKETS, 0)[0]).alias("m"))
     return p.select("id", "m.country", "m.currency", "m.explicit", "m.conflict", "m.context")
 
 
@@ -86,7 +86,7 @@ PARKED = [
 def parked_domains(spark, sf_dir):
     """Parking services, and static redirects within a site."""
     host, html, url = picked("s_suppkey", PARKED, 0, 1, 2)
-    return load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), C.parking_provider(host).alias("provider"), C.static_redirect(html, url).alias("redirect"))
+    return dealt(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), C.parking_provider(host).alias("provider"), C.static_redirect(html, url).alias("redirect"))
 
 
 #: domain, language, document, text, prices, then the signals as country:kind:weight in order.
@@ -109,7 +109,7 @@ def region_signals(spark, sf_dir):
     """Signals of the market that a page serves, of every kind."""
     signals = R.region_signals(*picked("s_suppkey", REGIONS, 0, 1, 2, 3, 4))
     shown = F.array_sort(F.transform(signals, lambda s: F.concat_ws(":", s["country"], s["kind"], s["weight"].cast("string"))))
-    return load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.array_join(shown, ",").alias("signals"))
+    return dealt(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.array_join(shown, ",").alias("signals"))
 
 
 LISTINGS = [
@@ -131,7 +131,7 @@ LISTINGS = [
 @query(expected("supplier", "s_suppkey", LISTINGS, range(1, 2), "listing"))
 def listing_urls(spark, sf_dir):
     """URLs that list products, in several languages."""
-    return load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), U.is_listing_url(picked("s_suppkey", LISTINGS, 0)[0]).alias("listing"))
+    return dealt(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), U.is_listing_url(picked("s_suppkey", LISTINGS, 0)[0]).alias("listing"))
 
 
 FACTS = [("primary.name", "Blue Tea"), ("rival.domain", "sold at rival.com"), ("decision.priceVerdict", "primary costs 12.50 USD, tea price شاي")]
@@ -166,7 +166,7 @@ def draft_verdicts(spark, sf_dir):
     values["evidence"] = F.split(values["evidence"], ",")
     facts = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(t).alias("text")) for k, t in FACTS))
     draft = F.struct(*(v.alias(n) for n, v in values.items()), F.lit("k").alias("own_key"), facts.alias("facts"))
-    return load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), V.draft_rejection(draft).alias("reason"))
+    return dealt(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), V.draft_rejection(draft).alias("reason"))
 
 
 FAILURES = [
@@ -207,7 +207,7 @@ def competitor_verification(spark, sf_dir):
     """Verification of candidates by category, product, evidence, relation and region."""
     names = ("core_overlap", "discovery_overlap", "accessory", "pair_score", "locale_bridge", "exact_confidence", "mentions", "evidence", "direct", "primary_region", "region", "require_overlap")
     x = F.struct(*(c.alias(n) for n, c in zip(names, picked("c_custkey", VERIFIED, *range(12)))))
-    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), V.verification(x).alias("v"))
+    c = dealt(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), V.verification(x).alias("v"))
     return c.select("id", "v.*")
 
 
@@ -235,7 +235,7 @@ def coverage_label(spark, sf_dir):
     names = ("key", "phase", "status", "message")
     event = lambda e: F.struct(*(part(e, k + 1).alias(n) for k, n in enumerate(names)), part(e, 5).cast("boolean").alias("limited"), part(e, 6).alias("upstream"))
     found = F.transform(F.split(events, ";"), event)
-    return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), V.coverage_reason(status, found).alias("coverage"))
+    return dealt(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), V.coverage_reason(status, found).alias("coverage"))
 
 
 #: status, attempts, owner, request, by, attempt, outcome, then the new status, attempts, owner and the reply.
@@ -321,7 +321,7 @@ def pair_rules(spark, sf_dir):
             words(c[2 + k]).alias("gtins"), amount.alias("quantity"), c[6 + k].alias("kind"), c[8 + k].cast("string").alias("tier"),
         )
 
-    s = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), S.pair_score(side(0), side(1)).alias("s"))
+    s = dealt(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), S.pair_score(side(0), side(1)).alias("s"))
     return s.select("id", "s.score", F.array_join("s.vetoes", ",").alias("vetoes"), "s.eligible")
 
 
@@ -343,7 +343,7 @@ STORE = [
 def storefront_product(spark, sf_dir):
     """The product of a storefront's single-product payload, or what is missing."""
     names = ("requested", "currency", "body")
-    p = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *(c.alias(n) for n, c in zip(names, picked("p_partkey", STORE, 0, 1, 2))))
+    p = dealt(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *(c.alias(n) for n, c in zip(names, picked("p_partkey", STORE, 0, 1, 2))))
     return H.storefront_product(p).select("id", "name", F.array_join(F.transform("amounts", lambda a: a.cast("string")), ",").alias("amounts"), "image", "sku", "gap")
 
 
@@ -365,7 +365,7 @@ def active_plans(spark, sf_dir):
     now = F.to_timestamp(F.lit("2024-01-30 12:00:00"))
     day = lambda d: now + F.make_dt_interval(d.cast("int"))
     limit = K.analysis_limit(given)
-    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), K.active_plan(plan, status, day(start), day(end), now).alias("plan"), limit.alias("analysis_limit"), K.analysis_effort(limit).alias("e"))
+    c = dealt(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), K.active_plan(plan, status, day(start), day(end), now).alias("plan"), limit.alias("analysis_limit"), K.analysis_effort(limit).alias("e"))
     return c.select("id", "plan", "analysis_limit", "e.*")
 
 
@@ -386,7 +386,7 @@ MONEY = [
 def confirmed_currencies(spark, sf_dir):
     """The currency that a page confirms for its product."""
     html = picked("p_partkey", MONEY, 0)[0]
-    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), K.confirmed_currency(html).alias("currency"), K.confirmed_currency(html, False).alias("direct"))
+    return dealt(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), K.confirmed_currency(html).alias("currency"), K.confirmed_currency(html, False).alias("direct"))
 
 
 #: destination, caption, page name, slug, domain, brand, then support and the domain's brand.
@@ -407,7 +407,7 @@ def ad_identities(spark, sf_dir):
     """Whether ad records speak for a company, and the brand that its domain names."""
     destination, caption, page, slug, domain, brand = picked("p_partkey", ADS, *range(6))
     supported = K.ad_supports_identity(destination, F.array_compact(F.array(caption)), page, slug, domain, brand)
-    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), supported.alias("supported"), K.domain_brand(domain).alias("brand"))
+    return dealt(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), supported.alias("supported"), K.domain_brand(domain).alias("brand"))
 
 
 #: kinds and urls of two attempts, then the endpoint; flags of a discovery batch, then its completeness.
@@ -429,5 +429,5 @@ def unavailable_endpoints(spark, sf_dir):
     attempt = lambda k, u: F.struct(k.alias("kind"), u.alias("url"))
     names = ("searches_complete", "found", "investigated", "verified", "stored", "prior_complete", "end_index", "eligible")
     c = K.discovery_coverage(F.struct(*(x.alias(n) for n, x in zip(names, v[4:]))))
-    p = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), K.unavailable_state(attempt(v[0], v[1]), attempt(v[2], v[3])).alias("endpoint"), c.alias("c"))
+    p = dealt(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), K.unavailable_state(attempt(v[0], v[1]), attempt(v[2], v[3])).alias("endpoint"), c.alias("c"))
     return p.select("id", "endpoint", "c.*")
