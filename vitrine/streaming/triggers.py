@@ -5,8 +5,9 @@ order of their numbers: an insert of a known id is refused; an evaluation that w
 be updated; the change that closes one writes its outbox row and a pending row, once; a receipt
 takes the pending row away, once, and is refused without one. A pending row that no receipt
 took within `overdue` of event time is told of once, by a timer. All state is of one
-evaluation, so changes of different ones run in parallel; receipts are kept in a map by
-their idempotency key, so a replayed receipt is no second one.
+evaluation, so changes of different ones run in parallel; feedback is
+pending once at most, so the one receipt that took it is kept by its idempotency key, and a
+replayed receipt is no second one.
 
 `written` keeps the effects of each micro-batch in a folder named by its number: a batch that is
 run again after a failure replaces its own rows and changes nothing else.
@@ -16,8 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,36 +28,35 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 class Triggers(StatefulProcessor):
+    """Takes rows, not pandas: an evaluation has few changes at once, and a frame for each costs more than they do."""
+
     def __init__(self, overdue_minutes: int):
         self.wait = overdue_minutes * 60_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        #: status, number of the last change, state of the feedback ('', pending, done), and the change that made it pending.
-        self.row = handle.getValueState("row", "status string, last long, feedback string, since long")
-        self.receipts = handle.getMapState("receipts", "key string", "seq long")
+        #: status, number of the last change, state of the feedback ('', pending, done), the change that made it pending, and the receipt that took it.
+        self.row = handle.getValueState("row", "status string, last long, feedback string, since long, taken string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, last, feedback, since = self.row.get() if self.row.exists() else (None, -1, "", -1)
-        changes = pd.concat(list(rows)).sort_values("seq")
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        status, last, feedback, since, taken = self.row.get() or (None, -1, "", -1, None)
+        timed, due = feedback == "pending", None
         out = []
-        for seq, what, new, receipt, at in zip(*(changes[c].tolist() for c in ("seq", "change", "status", "receipt", "ms"))):
-            tell = lambda effect, detail="", seq=seq, at=at: out.append((key[0], seq, effect, detail, at))
+        for r in sorted(rows, key=lambda r: r["seq"]):
+            seq, what, new, receipt, at = r["seq"], r["change"], r["status"], r["receipt"], r["ms"]
+            tell = lambda effect, detail="", seq=seq, at=at: out.append(Row(id=key[0], seq=seq, effect=effect, detail=detail, ms=at))
             if seq <= last:
                 tell("refused", "late")
                 continue
             last = seq
             if what == "receipt":
-                if self.receipts.containsKey((receipt,)):
+                if feedback == "done" and receipt == taken:
                     tell("refused", "repeated receipt")
                 elif feedback != "pending":
                     tell("refused", "nothing pending")
                 else:
-                    self.receipts.updateValue((receipt,), (seq,))
-                    feedback = "done"
+                    feedback, taken = "done", receipt
                     tell("acknowledged", receipt)
-                    for timer in list(self.handle.listTimers()):
-                        self.handle.deleteTimer(timer)
                 continue
             if what == "insert" and status is not None:
                 tell("refused", "exists")
@@ -70,16 +69,21 @@ class Triggers(StatefulProcessor):
                 tell("applied", new)
                 status = new
                 if closes and feedback == "":
-                    feedback, since = "pending", seq
+                    feedback, since, due = "pending", seq, at + self.wait
                     tell("outbox", new)
-                    self.handle.registerTimer(at + self.wait)
-        self.row.update((status, last, feedback, since))
-        yield pd.DataFrame(out, columns=["id", "seq", "effect", "detail", "ms"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, last, feedback, since = self.row.get()
-        out = [(key[0], since, "overdue", status, expiredTimerInfo.getExpiryTimeInMs())] if feedback == "pending" else []
-        yield pd.DataFrame(out, columns=["id", "seq", "effect", "detail", "ms"])
+        # The state and the timer are written once, as they are after all changes.
+        if due is not None and feedback == "pending":
+            self.handle.registerTimer(due)
+        if timed and feedback == "done":
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        self.row.update((status, last, feedback, since, taken))
+        yield from out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        status, last, feedback, since, taken = self.row.get()
+        if feedback == "pending":
+            yield Row(id=key[0], seq=since, effect="overdue", detail=status, ms=expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
@@ -93,7 +97,7 @@ def effects(changes: DataFrame, late: str = "1 minute", overdue_minutes: int = 6
     column families (PROVIDER).
     """
     rows = changes.filter("id IS NOT NULL").withWatermark("at", late).select("id", "seq", "change", "status", "receipt", "at", F.unix_millis("at").alias("ms"))
-    told = rows.groupBy("id").transformWithStateInPandas(Triggers(overdue_minutes), EFFECTS, "Append", "EventTime")
+    told = rows.groupBy("id").transformWithState(Triggers(overdue_minutes), EFFECTS, "Append", "EventTime")
     return told.withColumn("at", F.timestamp_millis("ms")).drop("ms")
 
 
