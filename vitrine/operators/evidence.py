@@ -75,7 +75,7 @@ def published(rows: DataFrame, most_bytes: int = MOST_BYTES) -> tuple[DataFrame,
 def envelope(rows: DataFrame, priority: list[str], most_bytes: int) -> DataFrame:
     """rows with `end` (bytes of a JSON list of all rows up to this one, in the order of priority) and `kept`, which ends before the first row that doesn't fit.
 
-    The priority should tell the rows of a run apart.
+    The priority should tell the rows of a run apart. Rows are made once: the ranges are sampled from what was stored.
     """
-    summed = running_sum(rows, ["run"], priority, F.col("bytes") + 1, "end").withColumn("end", F.col("end") + 1)
+    summed = running_sum(stored(rows, "rows"), ["run"], priority, F.col("bytes") + 1, "end").withColumn("end", F.col("end") + 1)
     return summed.withColumn("kept", F.col("end") <= most_bytes)
