@@ -111,3 +111,13 @@ def test_pairs_of_large_classes_are_unfolded_by_all_cores(spark):
     tasks = S.expanded(pairs, primary, rivals).groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"), F.sum("primary_id").alias("p"), F.sum("rival_id").alias("r")).collect()
     assert sum(t["n"] for t in tasks) == n * n and max(t["n"] for t in tasks) < n * n / 10
     assert sum(t["p"] for t in tasks) == sum(t["r"] for t in tasks) == n * sum(range(n))
+
+
+def test_scored_pairs_of_large_classes_are_unfolded_by_all_cores(spark, tmp_path):
+    """Products of one name and type are one class a side; pairs of 1,500 by 3,000 are dealt out with their score."""
+    part = spark.range(4_500).selectExpr("id AS p_partkey", "'large ring' AS p_name", "if(id < 1500, 'Brand#1', 'Brand#2') AS p_brand", "'LARGE' AS p_type", "1.0D AS p_retailprice")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    df = plans.QUERIES["pair_score_eligible"](spark, str(tmp_path)).filter("score = 0.76 AND eligible")
+    tasks = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"), F.sum("primary_id").alias("p")).collect()
+    assert sum(t["n"] for t in tasks) == 4_500_000 and max(t["n"] for t in tasks) < 450_000
+    assert sum(t["p"] for t in tasks) == 3_000 * sum(range(1_500))
