@@ -121,3 +121,16 @@ def test_scored_pairs_of_large_classes_are_unfolded_by_all_cores(spark, tmp_path
     tasks = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"), F.sum("primary_id").alias("p")).collect()
     assert sum(t["n"] for t in tasks) == 4_500_000 and max(t["n"] for t in tasks) < 450_000
     assert sum(t["p"] for t in tasks) == 3_000 * sum(range(1_500))
+
+
+def test_bytes_of_evidence_move_no_texts(spark):
+    """Matches become JSON below the window, and who asks for bytes alone moves and lists lengths alone."""
+    product = "named_struct('id', 'i', 'domain', 'd', 'name', string(id), 'category', 'c', 'source_url', 'u', 'observed_at', 't', 'gtins', array('x'), 'sku', 's', 'mpn', 'm', 'brand', 'b', 'prices', array(named_struct('raw', 'r', 'currency', 'EUR', 'amount', 1.0D, 'period', 'p')))"
+    matches = spark.range(40).selectExpr("id % 2 AS run", "id % 8 AS primary_id", "'d' AS domain", "string(id) AS rival_id", "id AS score", "id % 3 = 0 AS exact", "id % 5 > 0 AS eligible", f"{product} AS product")
+    rows = B.evidence_rows(spark.range(9).selectExpr("id % 2 AS run", "id AS primary_id", f"{product} AS product"), matches, 3)
+    budgets = B.run_budgets(rows)
+    plan = budgets._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "StructsToJson" in plan.split("Window [row_number")[1]
+    sizes = [(r["run"], len(r["json"].encode()), r["bytes"]) for r in rows.collect()]
+    assert len(sizes) == 9 and all(a == b for _, a, b in sizes)
+    assert {r["run"]: r["bytes"] for r in budgets.collect()} == {k: sum(b + 1 for run, b, _ in sizes if run == k) + 1 for k in (0, 1)}

@@ -30,9 +30,9 @@ def compact_product(p: Column) -> Column:
     first = F.get(p["prices"], 0)
     price = F.struct(text(first["raw"], "raw").alias("raw"), text(first["currency"], "currency").alias("currency"), first["amount"].alias("amount"), text(first["period"], "period").alias("period"))
     return F.struct(
-        F.coalesce(text(p["id"], "id"), F.lit("")).alias("id"),
+        bounded_text(p["id"], CAPS["id"]).alias("id"),
         p["domain"].alias("domain"),
-        F.coalesce(text(p["name"], "name"), F.lit("")).alias("name"),
+        bounded_text(p["name"], CAPS["name"]).alias("name"),
         F.when(F.startswith(p["category"], F.lit("saas-plan")), bounded_text(p["category"], CAPS["plan"])).alias("plan"),
         F.when(first.isNotNull(), F.array(price)).alias("prices"),
         F.nullif(F.slice(F.coalesce(numbers, F.array().cast("array<string>")), 1, MOST_NUMBERS), F.array().cast("array<string>")).alias("gtins"),
@@ -49,14 +49,19 @@ def evidence_rows(primaries: DataFrame, matches: DataFrame, most_matches: int =
     show a price are kept, the most_matches best: exact ones first, then by score, domain and rival.
     Runs and primaries that are null are left out.
     """
-    order = Window.partitionBy("run", "primary_id").orderBy(F.col("exact").desc(), F.col("score").desc_nulls_last(), "domain", "rival_id")
-    best = matches.filter("eligible").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most_matches)
     match = F.struct("domain", compact_product(F.col("product")).alias("product"), "score", F.when(~F.col("exact"), F.lit("close_substitute")).alias("verdict"))
-    listed = best.groupBy("run", "primary_id").agg(F.array_sort(F.collect_list(F.struct("n", match.alias("m")))).alias("x"))
-    rows = primaries.join(listed, ["run", "primary_id"], "left")
-    kept = F.coalesce(F.transform("x", lambda x: x["m"]), F.array().cast(listed.select(F.transform("x", lambda x: x["m"]).alias("m")).schema["m"].dataType))
-    body = F.to_json(F.struct(compact_product(F.col("product")).alias("primary"), kept.alias("matches")))
-    return rows.select("run", "primary_id", body.alias("json")).withColumn("bytes", F.octet_length("json").cast("long"))
+    told = matches.filter("eligible").select("run", "primary_id", "exact", "score", "domain", "rival_id", F.to_json(match).alias("m")).withColumn("size", F.octet_length("m"))
+    order = Window.partitionBy("run", "primary_id").orderBy(F.col("exact").desc(), F.col("score").desc_nulls_last(), "domain", "rival_id")
+    best = told.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most_matches)
+    # A match's JSON is made before it moves, so that who asks for bytes alone moves lengths alone. Each match but the first adds a comma.
+    listed = best.groupBy("run", "primary_id").agg(F.array_sort(F.collect_list(F.struct("n", "m"))).alias("x"), (F.sum(F.col("size") + 1) - 1).alias("sizes"))
+    rows = primaries.select("run", "primary_id", F.to_json(compact_product(F.col("product"))).alias("p")).withColumn("size", F.octet_length("p"))
+    rows = rows.join(listed, ["run", "primary_id"], "left")
+    head, between, end = '{"primary":', ',"matches":[', "]}"
+    kept = F.coalesce(F.array_join(F.transform("x", lambda x: x["m"]), ","), F.lit(""))
+    body = F.concat(F.lit(head), "p", F.lit(between), kept, F.lit(end))
+    size = F.col("size") + F.coalesce("sizes", F.lit(0)) + len(head + between + end)
+    return rows.select("run", "primary_id", body.alias("json"), size.cast("long").alias("bytes"))
 
 
 def run_budgets(rows: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
