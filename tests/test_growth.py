@@ -128,7 +128,7 @@ def test_tokens_of_names_are_made_once_for_each_name_and_type(spark, tmp_path, m
     """510 products of five names and types: tokens are made of five rows, and nulls and accents find their class."""
     kinds = [("Brand#1", "large ring", "LARGE", 100), ("Brand#2", "large ring", "LARGE", 200), ("Brand#2", "Largé Ríng", "LARGE", 60), ("Brand#2", "large ring", None, 50), ("Brand#2", None, "LARGE", 50), ("Brand#2", "small cup", "SMALL", 50)]
     names = spark.createDataFrame(kinds, "p_brand string, p_name string, p_type string, n int").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    names.select(F.xxhash64("p_brand", "p_name", "p_type", "i").alias("p_partkey"), "p_name", "p_brand", "p_type").write.parquet(f"{tmp_path}/part.parquet")
+    names.select(F.xxhash64("p_brand", "p_name", "p_type", "i").alias("p_partkey"), "p_name", "p_brand", "p_type", F.lit(1.0).alias("p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")
     made, real = [], P.stored
     monkeypatch.setattr(P, "stored", lambda df, what: made.append((df.columns, t := real(df, what))) or t)
     df = plans.QUERIES["pair_score_eligible"](spark, str(tmp_path))
