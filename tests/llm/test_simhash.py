@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import numpy as np
 import xxhash
@@ -153,6 +154,31 @@ def test_neighbours_are_all_pairs_of_different_roots(spark, monkeypatch):
         assert {x for x in near if x[:2] in done} <= named and len(done) > 20
 
 
+def test_a_text_is_sent_to_few_cells_at_the_size_of_millions(spark, monkeypatch):
+    """The plan of 2,440,000 texts: a probe each would be some 700 rows a text; cells are few, and give all pairs."""
+    fps = sorted({f - 2**64 if f >> 63 else f for f in clustered(21, 200)})
+    nodes = spark.createDataFrame([(f, f) for f in fps], "fp long, root long")
+    near = {(a, b) for a in fps for b in fps if a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= 7}
+    plan = replace(S.planned(nodes, 7), n=2_440_000, layout=(3, 3, 2))
+    assert S.postings(nodes, plan).count() < 70 * len(fps)
+    monkeypatch.setattr(S, "BLOCK", 1)
+    for bits in (0, 6, 20):
+        entries = S.postings(nodes, replace(plan, cell_bits=bits)).persist()
+        got = [(r["a"], r["b"]) for r in S.neighbours(entries, replace(plan, cell_bits=bits), None).collect()]
+        assert len(got) == len(set(got)) and set(got) == near and len(near) > 100
+
+
+def test_rows_that_are_surely_kept_do_not_move(spark, monkeypatch):
+    rows = [(i, f"text {i // 2 if i < 60 else i} of words that repeat in pairs", "x") for i in range(400)] + [(5, "again", None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    moved = S.may_be_among(df.select("*", *S.row_key(df)), df.filter("doc_id = 7").select(S.row_key(df)[0]), F.col("k1")).filter("__among").select(*df.columns).collect()
+    assert tuple(rows[7]) in {tuple(r) for r in moved} and len(moved) < 5
+    want = sorted(map(str, S.representatives(df, wide=7).collect()))
+    for places in (6, 9):
+        monkeypatch.setattr(S, "PLACES", places)
+        assert sorted(map(str, S.representatives(df, wide=7).collect())) == want
+
+
 def test_similar_pairs_of_a_dense_value_are_all_compared(spark, monkeypatch):
     """Fingerprints that lie within 7 bits of each other, of which only some texts are similar; all are hot, and two texts share a fingerprint."""
     word = lambda k, i: f"w{k}x{i}"

@@ -30,6 +30,12 @@ above: once for the few best neighbours, and then for all pairs of components th
 apart and that the bound doesn't rule out. So all pairs are either compared, ruled out or
 already joined, and in a dense group nearly all are the last.
 
+The wider radius takes hundreds of probes a text, and more as the table grows, so they don't move
+one by one. Each partition's values are cut into cells by a few of their bits. A fingerprint goes
+once to each cell that its probes reach, with the number of bits it may still differ in, and its
+probes are made there. Texts move only where they must: a bitmap of key hashes, bounded and
+broadcast, tells most of the rows that a join wouldn't keep, and those that need none.
+
 Defined cases: a null or empty text has no shingles and the fingerprint zero, which links
 like any other; fewer words than a shingle form one shorter shingle; repeated rows and copies
 share a fingerprint; null ids never become a component's id unless no other is there; an empty
@@ -40,7 +46,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -65,6 +71,12 @@ TASK_ENTRIES, AT_ONCE = 300_000, 1 << 21
 BLOCKS = 8
 #: Bits of the bitmap of a set of shingles.
 BITMAP = 512
+#: Cells of a partition in the wider search: at least as many bits, and about so many fingerprints a cell (as a power of two).
+LEAST_CELL_BITS, CELL_ROWS = 4, 16
+#: Index entries and probing fingerprints that meet in one block of a cell, times BLOCK.
+CELL_X, CELL_Q = 32, 128
+#: Bits of the hash places of a bitmap of keys.
+PLACES = 24
 #: Most bits in which a probe differs from a partition's value; with four partitions or fewer this allows any radius up to 8.
 MOST_FLIPS = 3
 #: Blocks in each partition, for each number of partitions.
@@ -187,19 +199,30 @@ def allocate(fp: np.ndarray, layout: tuple[int, ...], shares: np.ndarray, n: int
 
 @dataclass
 class Plan:
-    """How fingerprints are partitioned and probed: the order of bits, blocks of each partition, shares of all fingerprints by block, value and distance, their number, and the radius."""
+    """How fingerprints are partitioned and probed: the order of bits, blocks of each partition, shares of all fingerprints by block, value and distance, their number, the radius, and the bits of a value that name its cell (all if none)."""
 
     order: list[int]
     layout: tuple[int, ...]
     shares: np.ndarray
     n: int
     radius: int
+    cell_bits: int | None = None
+
+    def bits(self, i: int) -> tuple[list[int], list[int]]:
+        """The bits of partition i's values that name a cell, taken from its blocks by turns, and the others."""
+        every = [8 * b + k for k in range(8) for b in range(self.layout[i])]
+        return every[: self.cell_bits], [] if self.cell_bits is None else every[self.cell_bits :]
+
+
+def masks(bits: list[int], e: int) -> np.ndarray:
+    """All ways to flip e of the bits."""
+    return np.array([sum(1 << k for k in c) for c in itertools.combinations(bits, e)], dtype=np.int64)
 
 
 def postings(fps: DataFrame, plan: Plan) -> DataFrame:
-    """key, fp, probe: one index entry a partition, and the probes within the thresholds. The key is partition and value. Other columns of fps go along."""
+    """key, fp, probe, left: one index entry a partition, and the cells that probes within the thresholds reach, with the bits left to flip there. The key is partition and cell. Other columns of fps go along."""
     more = [c for c in fps.columns if c != "fp"]
-    names = ["key", "fp", "probe", *more]
+    names = ["key", "fp", "probe", "left", *more]
 
     def run(batches):
         for b in batches:
@@ -208,19 +231,20 @@ def postings(fps: DataFrame, plan: Plan) -> DataFrame:
             t, _ = allocate(fp, plan.layout, plan.shares, plan.n, plan.radius)
             start = 0
             for i, width in enumerate(plan.layout):
-                value = ((fp >> np.uint64(8 * start)) & np.uint64((1 << 8 * width) - 1)).astype(np.int64) | (np.int64(i) << np.int64(40))
+                named, _ = plan.bits(i)
+                cell = ((fp >> np.uint64(8 * start)) & np.uint64(sum(1 << k for k in named))).astype(np.int64) | (np.int64(i) << np.int64(40))
                 start += width
-                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(raw), pa.array(np.zeros(len(raw), bool)), *b.columns[1:]], names=names)
-                for e in range(int(t[:, i].max(initial=-1)) + 1):
-                    who = np.flatnonzero(t[:, i] >= e)
-                    masks = np.array([sum(1 << k for k in c) for c in itertools.combinations(range(8 * width), e)], dtype=np.int64)
-                    for part in np.array_split(who, max(1, len(who) * len(masks) // 200_000)) if len(who) else []:
-                        keys = (value[part][:, None] ^ masks[None, :]).ravel()
-                        own = pa.array(np.repeat(part, len(masks)))
-                        yield pa.RecordBatch.from_arrays([pa.array(keys), *(c.take(own) for c in b.columns[:1]), pa.array(np.ones(len(keys), bool)), *(c.take(own) for c in b.columns[1:])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(raw), pa.array(np.zeros(len(raw), bool)), pa.array(np.zeros(len(raw), np.int8)), *b.columns[1:]], names=names)
+                for e in range(min(int(t[:, i].max(initial=-1)), len(named)) + 1):
+                    who, flips = np.flatnonzero(t[:, i] >= e), masks(named, e)
+                    for part in np.array_split(who, max(1, len(who) * len(flips) // 200_000)) if len(who) else []:
+                        keys = (cell[part][:, None] ^ flips[None, :]).ravel()
+                        own = np.repeat(part, len(flips))
+                        left, rows = pa.array(t[own, i] - np.int8(e)), pa.array(own)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(rows), pa.array(np.ones(len(keys), bool)), left, *(c.take(rows) for c in b.columns[1:])], names=names)
 
     kinds = "".join(f", {c} {fps.schema[c].dataType.simpleString()}" for c in more)
-    return fps.select("fp", *more).mapInArrow(run, f"key long, fp long, probe boolean{kinds}")
+    return fps.select("fp", *more).mapInArrow(run, f"key long, fp long, probe boolean, left tinyint{kinds}")
 
 
 def spanning_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -241,10 +265,10 @@ def spanning_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def in_blocks(entries: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Adds x and q, by which index entries and probes of partition values (key, xs, qs) meet in blocks of bounded size; other values are left out."""
+def in_blocks(entries: DataFrame, sizes: DataFrame, times: tuple[int, int] = (1, 1)) -> DataFrame:
+    """Adds x and q, by which index entries and probes of the keys of sizes (key, xs, qs) meet in blocks of bounded size, BLOCK times `times`; other keys are left out."""
     both = entries.join(sizes, "key")
-    n_x, n_q = (F.greatest(F.ceil(F.col(c) / F.lit(BLOCK)).cast("int"), F.lit(1)) for c in ("xs", "qs"))
+    n_x, n_q = (F.greatest(F.ceil(F.col(c) / F.lit(BLOCK * k)).cast("int"), F.lit(1)) for c, k in zip(("xs", "qs"), times))
     mix = F.xxhash64("fp")
     x = F.when(F.col("probe"), F.sequence(F.lit(0), n_x - 1)).otherwise(F.array(F.pmod(mix, n_x).cast("int")))
     q = F.when(~F.col("probe"), F.sequence(F.lit(0), n_q - 1)).otherwise(F.array(F.pmod(mix, n_q).cast("int")))
@@ -283,7 +307,7 @@ def planned(fps: DataFrame, radius: int) -> Plan:
     shares = distance_shares(counts.reshape(BLOCKS, 256))
     some = permuted(np.array(sample or [0], dtype="<i8").view("<u8"), order)
     layout = min(LAYOUTS.values(), key=lambda x: allocate(some, x, shares, n, radius)[1].mean())
-    return Plan(order, layout, shares, n, radius)
+    return Plan(order, layout, shares, n, radius, max(LEAST_CELL_BITS, (n >> CELL_ROWS).bit_length()))
 
 
 def value_sizes(entries: DataFrame) -> DataFrame:
@@ -293,7 +317,7 @@ def value_sizes(entries: DataFrame) -> DataFrame:
 
 def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """Links a, b between distinct fingerprints that join all that lie within the radius into the same components."""
-    entries = materialize(postings(fps.select("fp"), planned(fps, radius)), "postings")
+    entries = materialize(postings(fps.select("fp"), replace(planned(fps, radius), cell_bits=None)).drop("left"), "postings")
     hot = materialize(value_sizes(entries).filter(F.col("xs") > HOT), "hot")
     index = entries.filter(~F.col("probe")).select("key", F.col("fp").alias("b"))
     probes = entries.filter("probe").select("key", F.col("fp").alias("a"))
@@ -302,18 +326,18 @@ def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return cold.union(links_in_blocks(entries, hot, radius))
 
 
-def meetings(group: np.ndarray, probe: np.ndarray):
-    """Positions of the probe and the index entry of all pairs of a group, all of one probe at once; group is sorted."""
-    index, probes = np.flatnonzero(~probe), np.flatnonzero(probe)
-    low = np.searchsorted(group[index], group[probes], side="left")
-    n = np.searchsorted(group[index], group[probes], side="right") - low
-    probes, low, n = probes[n > 0], low[n > 0], n[n > 0]
+def meetings(held: np.ndarray, sought: np.ndarray):
+    """Positions in sought and in held of all pairs of equal members, all of one of sought at once; held is sorted."""
+    low = np.searchsorted(held, sought, side="left")
+    found = np.flatnonzero(held[np.minimum(low, len(held) - 1)] == sought) if len(held) else np.zeros(0, np.int64)
+    low = low[found]
+    n = np.searchsorted(held, sought[found], side="right") - low
     part = np.cumsum(n) // AT_ONCE
     for cut in np.split(np.arange(len(n)), np.flatnonzero(np.diff(part)) + 1):
         if len(cut):
             size = n[cut]
             within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            yield np.repeat(probes[cut], size), index[np.repeat(low[cut], size) + within]
+            yield np.repeat(found[cut], size), np.repeat(low[cut], size) + within
 
 
 def met_before(a: np.ndarray, b: np.ndarray, part: np.ndarray, plan: Plan) -> np.ndarray:
@@ -338,16 +362,11 @@ def neighbours(entries: DataFrame, plan: Plan, named: int | None, similarity: fl
     entries has key, fp, probe, root and, with a similarity, t, n, bits of a text: pairs of texts
     that cannot be so similar are left out, and the nearest are those that may be most similar.
     """
-    # Values where no probe meets an entry of another root give no pair, and most don't: they go before anything is dealt.
+    # Cells are few (their number follows the rows only as rows >> CELL_ROWS); those with one root give no pair.
     sizes = entries.groupBy("key").agg(F.count(F.when(~F.col("probe"), 1)).alias("xs"), F.count(F.when(F.col("probe"), 1)).alias("qs"), F.min("root").alias("least"), F.max("root").alias("most"))
     sizes = materialize(sizes.filter((F.col("xs") > 0) & (F.col("qs") > 0) & (F.col("least") != F.col("most"))).select("key", "xs", "qs"), "sizes")
-    fits = (F.col("xs") <= BLOCK) & (F.col("qs") <= BLOCK)
-    large = sizes.filter(~fits)
-    small = entries.join(sizes.filter(fits).select("key"), "key", "left_semi")
-    names = [c for c in entries.columns if c not in ("key", "probe")]
-    dealt = small.select("key", F.lit(0).alias("x"), F.lit(0).alias("q"), "probe", *names)
-    if not large.isEmpty():
-        dealt = dealt.unionByName(in_blocks(entries, large).select("key", "x", "q", "probe", *names))
+    names = [c for c in entries.columns if c not in ("key", "probe", "left")]
+    dealt = in_blocks(entries, F.broadcast(sizes), (CELL_X, CELL_Q)).select("key", "x", "q", "probe", "left", *names)
     parts = max(1, -(-entries.count() // TASK_ENTRIES))
     dealt = dealt.repartition(parts, "key", "x", "q").sortWithinPartitions("key", "x", "q")
     with_texts = "bits" in names
@@ -357,28 +376,49 @@ def neighbours(entries: DataFrame, plan: Plan, named: int | None, similarity: fl
         if not held:
             return
         col = lambda name: np.concatenate([b.column(b.schema.get_field_index(name)).to_numpy(zero_copy_only=False) for b in held])
-        key, x, q, probe, fp, root = (col(c) for c in ("key", "x", "q", "probe", "fp", "root"))
+        key, x, q, probe, left, fp, root = (col(c) for c in ("key", "x", "q", "probe", "left", "fp", "root"))
         group = np.cumsum(np.append(True, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (q[1:] != q[:-1])))
         raw = fp.astype("<i8").view("<u8")
+        own = permuted(raw, plan.order)
+        # What the cell leaves of a value, within its group.
+        code = np.zeros(len(key), dtype=np.int64)
+        for i, width in enumerate(plan.layout):
+            rest = np.uint64(sum(1 << k for k in plan.bits(i)[1]))
+            code = np.where(key >> 40 == i, ((own >> np.uint64(8 * sum(plan.layout[:i]))) & rest).astype(np.int64), code)
+        code |= group << 32
+        index = np.flatnonzero(~probe.astype(bool))
+        index = index[np.argsort(code[index], kind="stable")]
+        held_codes = code[index]
+
+        def probed():
+            """Positions of probing rows and index entries of all pairs of a value, and a number for each probe; all of one probe at once."""
+            for i in range(len(plan.layout)):
+                others = plan.bits(i)[1]
+                for e in range(min(MOST_FLIPS, len(others)) + 1):
+                    who, flips = np.flatnonzero(probe.astype(bool) & (key >> 40 == i) & (left >= e)), masks(others, e)
+                    for rows in np.array_split(who, -(-len(who) * len(flips) // AT_ONCE)) if len(who) else []:
+                        for p, at in meetings(held_codes, (code[rows][:, None] ^ flips[None, :]).ravel()):
+                            yield p, rows[p // len(flips)], index[at]
+
         if with_texts:
             t, n = col("t"), col("n").astype(np.int64)
             bits = np.concatenate([b.column(b.schema.get_field_index("bits")).flatten().to_numpy(zero_copy_only=False) for b in held]).reshape(len(key), -1)
-        for i, j in meetings(group, probe.astype(bool)):
+        for p, i, j in probed():
             d = np.bitwise_count(raw[i] ^ raw[j]).astype(np.int64)
             near = np.flatnonzero((d <= plan.radius) & (root[i] != root[j]))
-            i, j, d = i[near], j[near], d[near]
+            p, i, j, d = p[near], i[near], j[near], d[near]
             fresh = np.flatnonzero(~met_before(raw[i], raw[j], key[i] >> 40, plan)) if len(i) else np.zeros(0, np.int64)
-            i, j, d = i[fresh], j[fresh], d[fresh]
+            p, i, j, d = p[fresh], i[fresh], j[fresh], d[fresh]
             if with_texts:
                 most = np.floor((n[i] + n[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6).astype(np.int64)
                 apart = np.concatenate([np.bitwise_count(bits[i[lo : lo + 65536]] ^ bits[j[lo : lo + 65536]]).sum(axis=1, dtype=np.int64) for lo in range(0, len(i), 65536)] or [np.zeros(0, np.int64)])
                 may = np.flatnonzero(apart <= most)
-                i, j, d = i[may], j[may], (apart - most)[may]
+                p, i, j, d = p[may], i[may], j[may], (apart - most)[may]
             if not len(i):
                 continue
-            by = np.lexsort((raw[j], d, i))
-            i, j = i[by], j[by]
-            first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+            by = np.lexsort((raw[j], d, p))
+            p, i, j = p[by], i[by], j[by]
+            first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
             sizes = np.diff(np.append(first, len(i)))
             k = np.repeat(sizes, sizes)
             if named is not None:
@@ -390,6 +430,19 @@ def neighbours(entries: DataFrame, plan: Plan, named: int | None, similarity: fl
     return dealt.mapInArrow(run, "ra long, a long, ta long, rb long, b long, tb long, k long")
 
 
+def may_be_among(df: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
+    """df's rows with __among: false only where the key, a hash, is none of keys' (a table of that one column).
+
+    A bitmap of 2**PLACES places, broadcast as at most 2**PLACES / 64 longs however many keys there are.
+    """
+    at, bit = "shiftright(pmod({0}, {1}L), 6)", "shiftleft(1L, cast(pmod({0}, 64L) as int))"
+    hashed = keys.toDF("__hash")
+    bitmap = hashed.groupBy(F.expr(at.format("__hash", 1 << PLACES)).alias("__at")).agg(F.bit_or(F.expr(bit.format("__hash"))).alias("__bits"))
+    rows = df.withColumn("__hash", key).withColumn("__at", F.expr(at.format("__hash", 1 << PLACES)))
+    met = rows.join(F.broadcast(materialize(bitmap, "bitmap")), "__at", "left")
+    return met.withColumn("__among", F.coalesce(F.col("__bits").bitwiseAND(F.expr(bit.format("__hash"))) != 0, F.lit(False))).drop("__at", "__bits", "__hash")
+
+
 def unordered(pairs: DataFrame, *cols: str) -> DataFrame:
     """Distinct pairs of structs of the columns that end in a and b, the lesser end first: columns ..a and ..b."""
     one, two = (F.struct(*(F.col(c + end if c else end).alias(c or "fp") for c in cols)) for end in "ab")
@@ -438,13 +491,16 @@ def similar_links(df: DataFrame, docs: DataFrame, radius: int, shingle: int, sim
     pairs = materialize(unordered(named, "", "r"), "pairs")
     ends = pairs.select(F.col("a").alias("fp"), F.col("ra").alias("root")).union(pairs.select("b", "rb")).distinct()
     wanted = docs.join(ends, ["fp", "root"], "left_semi").groupBy("fp", "root", "text_hash").agg(F.min(F.struct("k1", "k2")).alias("k"))
-    wanted = wanted.select("fp", "root", "text_hash", "k.k1", "k.k2")
+    wanted = materialize(wanted.select("fp", "root", "text_hash", "k.k1", "k.k2"), "wanted")
     key = row_key(df)
-    texts = df.select(F.col(text_col).alias("text"), *key).join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2", "fp", "root", "text_hash"])
+    texts = may_be_among(df.select(F.col(text_col).alias("text"), *key), wanted.select("k1"), F.col("k1")).filter("__among").drop("__among")
+    texts = texts.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2", "fp", "root", "text_hash"])
     sets = materialize(shingle_sets(texts, shingle), "shingles")
 
-    def side(end: str, *cols: str) -> DataFrame:
-        return sets.select(F.col("fp").alias(end), F.col("root").alias(f"r{end}"), F.col("text_hash").alias(f"t{end}"), *(F.col(c).alias(c + end) for c in cols))
+    def side(end: str, *cols: str, of: DataFrame | None = None) -> DataFrame:
+        """The sets as an end of pairs; of: those pairs, if they may be few."""
+        own = sets if of is None else may_be_among(sets, of.select(F.xxhash64(end, f"r{end}", f"t{end}")), F.xxhash64("fp", "root", "text_hash")).filter("__among")
+        return own.select(F.col("fp").alias(end), F.col("root").alias(f"r{end}"), F.col("text_hash").alias(f"t{end}"), *(F.col(c).alias(c + end) for c in cols))
 
     def alike(pairs: DataFrame, keys: list[str]) -> DataFrame:
         """Links between the roots of pairs of which some texts are similar enough: the bitmaps' bound comes first, the sets decide."""
@@ -452,7 +508,8 @@ def similar_links(df: DataFrame, docs: DataFrame, radius: int, shingle: int, sim
         apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         most = (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6
         close = pairs.join(side("a", "n", "bits"), a).join(side("b", "n", "bits"), b).filter(apart <= most).select("a", "ra", "ta", "b", "rb", "tb")
-        met = materialize(close, "close").join(side("a", "set"), ["a", "ra", "ta"]).join(side("b", "set"), ["b", "rb", "tb"])
+        close = materialize(close, "close")
+        met = close.join(side("a", "set", of=close), ["a", "ra", "ta"]).join(side("b", "set", of=close), ["b", "rb", "tb"])
         shared = F.size(F.array_intersect("seta", "setb"))
         enough = met.filter(shared >= similarity * (F.size("seta") + F.size("setb") - shared))
         return materialize(enough.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "alike")
@@ -519,9 +576,13 @@ def representatives(
     key = row_key(df)
     docs, rooted = classes(df, id_col, text_col, shingle, radius, wide, wide_shingle, similarity, tuple(key))
     best = docs.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("best"))
-    kept = best.select(F.col("best.k1").alias("__k1"), F.col("best.k2").alias("__k2"))
-    keyed = df.select("*", key[0].alias("__k1"), key[1].alias("__k2"))
-    return keyed.join(kept, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*df.columns)
+    kept = materialize(best.select(F.col("best.k1").alias("__k1"), F.col("best.k2").alias("__k2")), "kept")
+    # Only rows that may be lost or repeated are joined; the others stay as they are and don't move.
+    counts = docs.groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.count(F.lit(1)).alias("n"))
+    doubtful = counts.join(kept.withColumn("kept", F.lit(True)), ["__k1", "__k2"], "left").filter(F.col("kept").isNull() | (F.col("n") > 1))
+    keyed = may_be_among(df.select("*", key[0].alias("__k1"), key[1].alias("__k2")), doubtful.select("__k1"), F.col("__k1"))
+    joined = keyed.filter("__among").join(kept, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
+    return keyed.filter(~F.col("__among")).select(*df.columns).union(joined.select(*df.columns))
 
 
 def op3_simhash_pigeonhole(spark, sf_dir: str) -> DataFrame:
